@@ -5,7 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidloom.llm import quality
+from bidloom.llm import decontam, licenses, packing, quality, tokens, warc
+
+
+def tokenizer_path(name: str) -> str:
+    """Where a public vocabulary file lies; the operators take any path."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,9 +27,41 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as ARC archives, converted to WARC and read back."""
+    return warc.archive(_table(spark, sf_dir, "pages")).select(
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id"
+    )
+
+
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in each row of ``documents``."""
+    return decontam.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
+
+
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and templates in each row of ``documents``."""
+    return licenses.scan(_table(spark, sf_dir, "documents"))
+
+
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of each row of ``documents``."""
+    return tokens.count(_table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
+
+
+def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of ``documents`` packed into sequences."""
+    return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
+
+
 def queries() -> dict:
     return {
+        "op1_warc_archive": op1_warc_archive,
+        "op3_decontamination": op3_decontamination,
+        "op4_license_scan": op4_license_scan,
+        "op5_token_counts": op5_token_counts,
         "op8_quality_rules": op8_quality_rules,
+        "op9_packing": op9_packing,
     }
 
 
