@@ -66,7 +66,7 @@ def spans(tree, words: list[bytes]) -> Iterator[tuple[int, int, list[str]]]:
 
 def char_offsets(text: str) -> list[tuple[int, int]]:
     """Start and end (exclusive) of each word in characters of the original text."""
-    return [m.span() for m in re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text)]
+    return [m.span() for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", text)]
 
 
 def _scan(items: list[tuple[str, str | None]], width: int):

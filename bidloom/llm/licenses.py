@@ -122,7 +122,14 @@ def spans(docs: DataFrame, templates=TEMPLATES, slack: int = 3, cover: float = 0
         f"aggregate(places, struct(0 as n, -{GRAM} as last), "
         f"(a, x) -> struct(a.n + least({GRAM}, x - a.last) as n, x as last)).n"
     )
-    return merged.withColumn("score", covered / F.col("t_size")).filter(F.col("score") >= cover).drop("places")
+    good = merged.withColumn("score", covered / F.col("t_size")).filter(F.col("score") >= cover).drop("places")
+    # Licenses share sentences: of spans that overlap, the best covered template stays.
+    order = W.partitionBy("rid").orderBy("first_word", "end_word", "template", "run")
+    before = F.max("end_word").over(order.rowsBetween(W.unboundedPreceding, -1))
+    island = F.sum((F.col("first_word") >= F.coalesce("before", F.lit(0))).cast("int")).over(order)
+    good = good.withColumn("before", before).withColumn("island", island)
+    best = F.max("score").over(W.partitionBy("rid", "island"))
+    return good.withColumn("best", best).filter("score = best").drop("before", "island", "best", "run")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES,

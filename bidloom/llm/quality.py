@@ -102,7 +102,9 @@ def fit(histogram: list[tuple[tuple[int, ...], int]], rounds: int = 200,
     "bad" on bad documents is free: families of junk trip one rule each, so agreement of the
     others is weak evidence, and the estimates find that.
     """
-    votes = np.array([v for v, _ in histogram], dtype=int).reshape(len(histogram), -1)
+    if not histogram:
+        return {"posterior": np.zeros(0)}
+    votes = np.array([v for v, _ in histogram], dtype=int)
     n = np.array([c for _, c in histogram], dtype=float)
     bad, good = (votes == -1).astype(float), (votes == 1).astype(float)
     hit = np.full(votes.shape[1], 0.3)

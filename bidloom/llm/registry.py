@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidloom.llm import decontam, licenses, packing, quality, tokens, warc
+from bidloom.llm import decontam, licenses, ngram_join, packing, pii, quality, secrets, spans, tokens, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -19,6 +19,16 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in each row of ``documents``."""
+    found = secrets.find(_table(spark, sf_dir, "documents"))
+    counts = [spans.count_of(F.col("base"), k).alias(f"n_{k}") for k in ("assign", "access", "hex")]
+    return found.select(
+        "doc_id", *counts, F.sha2(spans.joined(F.col("base")), 256).alias("base_sha256"),
+        spans.joined(F.col("all")).alias("spans"),
+    )
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weakly supervised quality verdict for each row of ``documents``."""
     return quality.score(_table(spark, sf_dir, "documents")).select(
@@ -34,6 +44,11 @@ def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes and links of near-duplicate rows of ``documents``."""
+    return ngram_join.join(_table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in each row of ``documents``."""
     return decontam.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
@@ -54,14 +69,27 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
 
+def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in each row of ``documents``."""
+    found = pii.find(_table(spark, sf_dir, "documents"))
+    counts = [spans.count_of(F.col("base"), k).alias(f"n_{k}") for k in pii.KINDS]
+    return found.select(
+        "doc_id", *counts, F.sha2(spans.joined(F.col("base")), 256).alias("base_sha256"),
+        spans.joined(F.col("all")).alias("spans"),
+    )
+
+
 def queries() -> dict:
     return {
         "op1_warc_archive": op1_warc_archive,
+        "op2_ngram_join": op2_ngram_join,
         "op3_decontamination": op3_decontamination,
         "op4_license_scan": op4_license_scan,
         "op5_token_counts": op5_token_counts,
+        "op6_secret_scan": op6_secret_scan,
         "op8_quality_rules": op8_quality_rules,
         "op9_packing": op9_packing,
+        "op10_personal_data": op10_personal_data,
     }
 
 
