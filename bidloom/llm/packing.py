@@ -12,8 +12,9 @@ Packing needs no order across documents, so each task packs its own rows and not
 shuffled; a task keeps a bounded number of open windows.  Sequence ids come from the partition
 number of the input split and a counter, the same whenever a task is run again.
 
-Each word between ASCII white space is tokenised once per task and kept in a bounded table, as
-the tokenizer never joins anything across white space.
+Each word between ASCII white space is tokenised once per Python worker and kept in a bounded table, as
+the tokenizer never joins anything across white space (its pieces that close a word end in
+``</w>``).
 
 Defined edge cases: a null or empty text is its closing id alone; repeated rows and ids are
 packed row by row; extra columns are ignored; an empty table gives an empty table.
@@ -36,26 +37,66 @@ SCHEMA = (
     "tier int, step_group int"
 )
 _UNIT = re.compile(r"[^ \t\n\x0b\f\r]+")
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
 class WordTokenizer:
     """Ids of a text as bytes of little-endian 32-bit numbers, by a table of its words."""
 
-    def __init__(self, path: str, words: int = 400_000):
-        from tokenizers import Tokenizer
+    def __init__(self, path: str, words: int = 1_000_000):
+        import tokenizers
 
-        self.tool, self.table, self.words = Tokenizer.from_file(path), {}, words
+        self.tool, self.words = tokenizers.Tokenizer.from_file(path), words
+        # A Python worker serves many tasks, but this package comes to each anew; the table stays
+        # with the library, so later tasks find the words of earlier ones.
+        self.table = tokenizers.__dict__.setdefault("_word_tables", {}).setdefault(path, {})
+        self.special = [t.content for t in self.tool.get_added_tokens_decoder().values()]
+        size = self.tool.get_vocab_size()
+        self.last = np.array([(self.tool.id_to_token(k) or "").endswith("</w>") for k in range(size)])
 
     def add(self, texts: list[str | None]) -> None:
-        """Tokenise at once all words of ``texts`` that the table lacks."""
+        """Tokenise at once all words of ``texts`` that the table lacks.
+
+        Punctuation after a letter or digit is a token run of its own, so it is looked up apart
+        and words that differ by it share their letters' entry.
+        """
         new = set()
         for text in texts:
             new.update(_UNIT.findall(text or ""))
-        if len(self.table) > self.words:
-            self.table = {}
-        new = [w for w in new if w not in self.table]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
+        table = self.table
+        if len(table) > self.words:
+            table.clear()
+        new = [w for w in new if w not in table]
+        split = {}
+        for w in new:
+            core = w.rstrip(_MARKS)
+            if core and core != w and core[-1].isalnum() and not any(x in w for x in self.special):
+                split[w] = (core, w[len(core) :])
+        parts = {p for pair in split.values() for p in pair} | {w for w in new if w not in split}
+        parts = [p for p in parts if p not in table]
+        letters = [p for p in parts if p.isalpha()]
+        for at in range(0, len(letters), 2000):
+            self._letters(letters[at : at + 2000])
+        self._each([p for p in parts if p not in table])
+        for w, (core, marks) in split.items():
+            table[w] = table[core] + table[marks]
+
+    def _letters(self, words: list[str]) -> None:
+        """Words of letters, as one text: each ends with the only closing piece it has."""
+        got = self.tool.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids
+        ids = np.array(got, dtype="<u4")
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(words):  # a letter that decomposes; such blocks go word by word
+            self._each(words)
+            return
+        data, at = ids.tobytes(), 0
+        for word, end in zip(words, (4 * ends).tolist(), strict=True):
+            self.table[word] = data[at:end]
+            at = end
+
+    def _each(self, words: list[str]) -> None:
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
             for word, got in zip(part, self.tool.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.table[word] = np.array(got.ids, dtype="<u4").tobytes()
 

@@ -44,7 +44,8 @@ _LUHN = (
     "(c, i) -> if(i % 2 = 0, cast(c as int), cast(substr('0246813579', cast(c as int) + 1, 1) as int))), "
     "0, (a, v) -> a + v) % 10 = 0, false)"
 )
-MENTION = r"[^\s,;:!?()]+"
+#: A token with a digit or an @, tried from its first character only.
+MENTION = r"(?<![^\s,;:!?()])[^\s,;:!?()]*?[0-9@][^\s,;:!?()]*+"
 
 
 def base_columns(text: str = "t") -> Column:

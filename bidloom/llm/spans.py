@@ -11,8 +11,6 @@ from pyspark.sql import functions as F
 #: words before and after it (lower case, looked for in 48 characters).
 SPAN = "struct<start: int, rank: int, end: int, kind: string, body: string, before: string, after: string>"
 
-MANY = 2**31 - 1
-
 
 def all_matches(text: str, pattern: str, kind: str, rank: int, ok: Column | None = None,
                 group: int = 0, gate: Column | None = None) -> Column:
@@ -29,7 +27,7 @@ def all_matches(text: str, pattern: str, kind: str, rank: int, ok: Column | None
     gaps = f"split({text}, {quoted})"
     # The text after the last match pairs with no match and drops out with the filter.
     both = f"zip_with({every}, {parts if group else every}, (m, p) -> named_struct('m', m, 'p', p))"
-    around = f"zip_with({gaps}, slice({gaps}, 2, {MANY}), (g, h) -> named_struct('g', g, 'h', h))"
+    around = f"zip_with({gaps}, slice({gaps}, 2, size({gaps})), (g, h) -> named_struct('g', g, 'h', h))"
     pairs = f"zip_with({both}, {around}, (z, w) -> named_struct('m', z.m, 'p', z.p, 'g', w.g, 'h', w.h))"
     found = (
         f"filter(aggregate({pairs}, named_struct('at', 0, 'out', "
