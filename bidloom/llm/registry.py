@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidloom.llm import decontam, licenses, ngram_join, packing, pii, quality, secrets, spans, tokens, warc
+from bidloom.llm import decontam, licenses, ngram_join, packing, pii, quality, repeats, secrets, spans, tokens, warc
 
 
 def tokenizer_path(name: str) -> str:
@@ -29,6 +29,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_repeat_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of ``documents`` left without repeated 200-byte strings."""
+    return repeats.remove(_table(spark, sf_dir, "documents"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weakly supervised quality verdict for each row of ``documents``."""
     return quality.score(_table(spark, sf_dir, "documents")).select(
@@ -87,6 +92,7 @@ def queries() -> dict:
         "op4_license_scan": op4_license_scan,
         "op5_token_counts": op5_token_counts,
         "op6_secret_scan": op6_secret_scan,
+        "op7_repeat_removal": op7_repeat_removal,
         "op8_quality_rules": op8_quality_rules,
         "op9_packing": op9_packing,
         "op10_personal_data": op10_personal_data,
