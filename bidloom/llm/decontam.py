@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -70,11 +70,12 @@ def char_offsets(text: str) -> list[tuple[int, int]]:
 
 
 def _scan(items: list[tuple[str, str | None]], width: int):
-    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tree = _automaton(items, width)
         for batch in batches:
             hits, found, sizes, counts = [], [], [], []
-            for text, before, own in zip(batch["text"], batch["hits"], batch["items"], strict=True):
+            lists = (batch.column(c).to_pylist() for c in ("text", "hits", "items"))
+            for text, before, own in zip(*lists, strict=True):
                 words = byte_words(text)
                 sizes.append(len(words))
                 names = set() if own is None else set(own)
@@ -90,7 +91,12 @@ def _scan(items: list[tuple[str, str | None]], width: int):
                 hits.append(mask.tobytes())
                 counts.append(int(np.unpackbits(mask).sum()))
                 found.append(sorted(names))
-            yield batch.assign(n_words=sizes, hits=hits, n_hit=counts, items=found)
+            kept = [c for c in batch.schema.names if c not in ("n_words", "hits", "n_hit", "items")]
+            made = [pa.array(sizes, pa.int64()), pa.array(hits, pa.binary()), pa.array(counts, pa.int64()),
+                    pa.array(found, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in kept), *made], [*kept, "n_words", "hits", "n_hit", "items"]
+            )
 
     return task
 
@@ -117,7 +123,7 @@ def scan(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, id_col: str
     form = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
     for k in range(blocks):
         own = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).collect()]
-        out = out.mapInPandas(_scan(own, width), f"{form}, n_words long, hits binary, n_hit long, items array<string>")
+        out = out.mapInArrow(_scan(own, width), f"{form}, n_words long, hits binary, n_hit long, items array<string>")
     return out.select(
         "doc_id", *(["text"] if "text" in keep else []), *extra, "n_words", "n_hit",
         F.size("items").cast("long").alias("n_items"),

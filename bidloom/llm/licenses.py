@@ -101,10 +101,16 @@ def spans(docs: DataFrame, templates=TEMPLATES, slack: int = 3, cover: float = 0
 
     ``docs`` has ``rid`` and the word array ``w``.
     """
-    grams = docs.select("rid", "w", F.posexplode(_grams("w")).alias("at", "gram"))
-    votes = grams.join(F.broadcast(template_grams(docs.sparkSession, templates)), "gram").filter(
-        F.slice("w", F.col("at") + 1, F.lit(GRAM)) == F.col("t_words")
-    )
+    template = template_grams(docs.sparkSession, templates)
+    known = F.array(*[F.lit(r.gram) for r in template.select("gram").distinct().collect()])  # a fixed list
+    # Documents without any template gram end here; of the others only matching places go on, so
+    # the words of a long text are never repeated for each of its places.
+    grams = docs.select("rid", "w", _grams("w").alias("g")).filter(F.arrays_overlap("g", known))
+    grams = grams.withColumn("own", F.array_intersect("g", known)).select("rid", F.explode(F.expr(
+        "transform(filter(sequence(0, size(g) - 1), i -> array_contains(own, g[i])), "
+        f"i -> named_struct('at', i, 'gram', g[i], 'words', slice(w, i + 1, {GRAM})))"
+    )).alias("x")).select("rid", "x.*")
+    votes = grams.join(F.broadcast(template), "gram").filter(F.col("words") == F.col("t_words"))
     diagonals = (
         votes.groupBy("rid", "template", "label", "t_size", (F.col("at") - F.col("t_at")).alias("diagonal"))
         .agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.collect_set("t_at").alias("places"))

@@ -35,16 +35,19 @@ RULES = [
 ]
 
 
-def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Counts that the rules read, one row per input row."""
-    out = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"))
+def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             keep: tuple[str, ...] = ()) -> DataFrame:
+    """Counts that the rules read, one row per input row; ``kept_row`` carries columns along."""
+    carried = [F.struct(*keep).alias("kept_row")] if keep else []
+    names = ["kept_row"] if keep else []
+    out = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), *carried)
     out = out.select(
-        "doc_id", "t",
+        "doc_id", *names, "t",
         F.btrim("t", F.lit(" \t\n\x0b\x0c\r")).alias("b"),
         F.expr(r"split(t, '\n')").alias("l"),
     )
     out = out.select(
-        "doc_id", "t",
+        "doc_id", *names, "t",
         F.expr(r"if(b = '', cast(array() as array<string>), split(b, '[\\x20\\x09-\\x0D]+'))").alias("w"),
         F.expr(r"filter(l, x -> x rlike '[^\\x20\\x09-\\x0D]')").alias("lines"),
     )
@@ -72,7 +75,7 @@ def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
                "x -> x.i)) end"),
     )
     return out.select(
-        "doc_id",
+        "doc_id", *names,
         F.size("w").cast("long").alias("n_words"),
         F.char_length(F.array_join("w", "")).cast("long").alias("word_chars"),
         F.expr("cast(regexp_count(t, '[#*$%&|<>]') as bigint)").alias("n_symbols"),
@@ -123,24 +126,44 @@ def fit(histogram: list[tuple[tuple[int, ...], int]], rounds: int = 200,
     return {"prior": prior, "hit": hit, "false_alarm": false, "posterior": post}
 
 
-def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-          rules=RULES, threshold: float = 0.5) -> DataFrame:
-    """Features, base verdict, posterior ``quality`` and ``kept``, one row per input row."""
-    spark = docs.sparkSession
-    found = features(docs, id_col, text_col)
-    names = [f"v_{r[0]}" for r in rules]
-    found = materialise(found.select("*", *_votes(rules)), "quality")
-    code = reduce(lambda a, b: a * 3 + b, [F.col(n) + 1 for n in names], F.lit(0)).cast("int")
-    found = found.withColumn("pattern", code)
-    rows = found.groupBy("pattern").count().collect()  # at most 3 ** len(rules) rows
-    patterns = [r["pattern"] for r in rows]
-    votes = [tuple(p // 3**k % 3 - 1 for k in reversed(range(len(rules)))) for p in patterns]
-    model = fit(list(zip(votes, [r["count"] for r in rows], strict=True)))
-    scored = spark.createDataFrame(
-        [(p, float(q)) for p, q in zip(patterns, model["posterior"], strict=True)], "pattern int, quality double"
-    )
-    out = found.join(F.broadcast(scored), "pattern", "left")
+def _pattern(rules):
+    code = reduce(lambda a, r: a * 3 + F.col(f"v_{r[0]}") + 1, rules, F.lit(0))
+    return code.cast("int").alias("pattern")
+
+
+def _judge(found: DataFrame, model: DataFrame, threshold: float) -> DataFrame:
     failed = F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words")
-    return out.withColumn("base_failed", failed).withColumn(
+    return found.join(F.broadcast(model), "pattern", "left").withColumn("base_failed", failed).withColumn(
         "kept", ~F.col("base_failed") & (F.col("quality") >= threshold)
     )
+
+
+def _model(found: DataFrame, rules) -> DataFrame:
+    """Posterior of each vote pattern; the histogram has at most 3 ** len(rules) rows."""
+    rows = found.groupBy("pattern").count().collect()
+    patterns = [r["pattern"] for r in rows]
+    votes = [tuple(p // 3**k % 3 - 1 for k in reversed(range(len(rules)))) for p in patterns]
+    fitted = fit(list(zip(votes, [r["count"] for r in rows], strict=True)))
+    return found.sparkSession.createDataFrame(
+        [(p, float(q)) for p, q in zip(patterns, fitted["posterior"], strict=True)], "pattern int, quality double"
+    )
+
+
+def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+          rules=RULES, threshold: float = 0.5) -> DataFrame:
+    """Features, base verdict, posterior ``quality`` and ``kept``, one row per input row."""
+    found = features(docs, id_col, text_col).select("*", *_votes(rules)).select("*", _pattern(rules))
+    found = materialise(found, "quality")
+    return _judge(found, _model(found, rules), threshold)
+
+
+def select_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+                rules=RULES, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs`` that are kept.
+
+    Texts are read twice, once for the histogram and once to judge, so that no text is shuffled.
+    """
+    found = features(docs, id_col, text_col).select("*", *_votes(rules)).select(_pattern(rules))
+    model = _model(found, rules)
+    again = features(docs, id_col, text_col, tuple(docs.columns)).select("*", *_votes(rules)).select("*", _pattern(rules))
+    return _judge(again, model, threshold).filter("kept").select("kept_row.*")

@@ -84,6 +84,13 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages of the corpus pipeline."""
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict:
     return {
         "op1_warc_archive": op1_warc_archive,
@@ -96,6 +103,7 @@ def queries() -> dict:
         "op8_quality_rules": op8_quality_rules,
         "op9_packing": op9_packing,
         "op10_personal_data": op10_personal_data,
+        "pipeline": pipeline,
     }
 
 
