@@ -8,7 +8,10 @@ and only classes that still hold more than one suffix go on:
    once in the corpus end here, with all strings they stand for.
 2. Runs.  Consecutive strings with one anchor are a run; a run whose whole bytes occur again is
    repeated as a whole, and one run of each such class stands for the others.
-3. Full 200-byte classes, for the runs that are left and the ones they may meet.
+3. Blocks of up to 16 neighbouring strings, for the runs that are left and the ones they may meet.
+   The bytes that all strings of a block share are its core: a block whose core is met nowhere
+   else ends here, one whose bytes are met again is repeated as a whole.
+4. Full 200-byte classes, for the strings of the blocks that are left.
 
 Classes are 64-bit hashes, counted by partial aggregation: a passage that a third of all rows
 share is a few keys whose counts are added before the shuffle.  Nothing gathers a class in one
@@ -27,12 +30,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bidloom.llm.common import materialise, with_row_id
 
-WIDTH, ANCHOR = 200, 32
+WIDTH, ANCHOR, BLOCK = 200, 32, 16
 _BYTE = np.random.default_rng(77).integers(0, 2**63, 256, dtype=np.uint64)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -90,8 +94,8 @@ def _sample(width: int, anchor: int):
     return task, "rid long, doc_id string, n_bytes long, sha string, h array<long>, n array<long>"
 
 
-def runs_of(data: bytes, chosen: np.ndarray, width: int, anchor: int) -> list[tuple[int, int, int, int]]:
-    """(first, last, anchor hash, class) of each run of strings whose anchor is in sorted ``chosen``."""
+def runs_of(data: bytes, chosen: np.ndarray, width: int, anchor: int) -> list[tuple[int, int, int, int, int]]:
+    """(first, last, place of the anchor, its hash, class) of each run of strings whose anchor is in sorted ``chosen``."""
     at, h = anchors(data, width, anchor)
     if not len(at) or not len(chosen):
         return []
@@ -101,8 +105,28 @@ def runs_of(data: bytes, chosen: np.ndarray, width: int, anchor: int) -> list[tu
     good = chosen[np.minimum(np.searchsorted(chosen, keys), len(chosen) - 1)] == keys
     out = []
     for a, b, key in zip(firsts[good].tolist(), lasts[good].tolist(), keys[good].tolist(), strict=True):
-        digest = hashlib.blake2b(data[a : b + width], digest_size=8).digest()
-        out.append((a, b, key, int.from_bytes(digest, "big", signed=True)))
+        p = int(at[a])
+        out.append((a, b, p, key, _digest(data[a : b + width], p - a)))
+    return out
+
+
+def _digest(data: bytes, seed: int = 0) -> int:
+    h = xxhash.xxh64_intdigest(data, seed)
+    return h - (1 << 64) if h >> 63 else h
+
+
+def blocks_of(data: bytes, a: int, b: int, p: int, width: int) -> list[tuple[int, int, int, int, int]]:
+    """(block, first, last, core, class) of the blocks of a run; ``data`` starts at the run's first byte.
+
+    Blocks are aligned to the distance of a string's start from its anchor, so that they line up
+    in all runs of an anchor, whatever their lengths.
+    """
+    out = []
+    for k in range((p - b) // BLOCK, (p - a) // BLOCK + 1):
+        near, far = k * BLOCK, k * BLOCK + BLOCK - 1
+        first, last = max(a, p - far), min(b, p - near)
+        core = data[p - near - a : p - far + width - a]
+        out.append((k, first, last, _digest(core), _digest(data[first - a : last + width - a], p - last)))
     return out
 
 
@@ -124,9 +148,9 @@ def remove(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, id_col: st
             out = []
             for rid, text, own in zip(batch["rid"], batch["t"], batch["chosen"], strict=True):
                 out += [(rid, *r) for r in runs_of(text.encode("utf-8", "surrogatepass"), np.asarray(own), width, anchor)]
-            yield pd.DataFrame(out, columns=["rid", "a", "b", "h", "whole"])
+            yield pd.DataFrame(out, columns=["rid", "a", "b", "p", "h", "whole"])
 
-    runs = materialise(texts.mapInPandas(find_runs, "rid long, a int, b int, h long, whole long"), "runs")
+    runs = materialise(texts.mapInPandas(find_runs, "rid long, a int, b int, p int, h long, whole long"), "runs")
     classes = materialise(
         runs.groupBy("h", "whole").agg(F.count("*").alias("c"), F.min(F.struct("rid", "a")).alias("head")), "classes"
     )
@@ -134,20 +158,55 @@ def remove(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, id_col: st
     open_ = classes.groupBy("h").agg(F.min("c").alias("least"), F.count("*").alias("k")).filter("least = 1 and k > 1").select("h")
     settled = classes.filter("c > 1").select("h", "whole")
     whole = runs.join(settled, ["h", "whole"], "left_semi").select("rid", "a", "b", F.lit(True).alias("whole"))
-    ask = classes.join(open_, "h", "left_semi").select("head.rid", "head.a")
-    ask = runs.select("rid", "a", "b").join(ask, ["rid", "a"]).select("rid", "a", "b", F.lit(False).alias("whole"))
-    plan = ask.groupBy("rid").agg(F.sort_array(F.collect_list(F.struct("a", "b"))).alias("runs"))
+    heads = classes.join(open_, "h", "left_semi").select("head.rid", "head.a")
+    plan = runs.select("rid", "a", "b", "p", "h").join(heads, ["rid", "a"]).groupBy("rid").agg(
+        F.collect_list(F.struct("a", "b", "p", "h")).alias("runs")
+    )
 
-    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def cut_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
+            out = []
             for rid, text, own in zip(batch["rid"], batch["t"], batch["runs"], strict=True):
-                h = _as_long(rolling(text.encode("utf-8", "surrogatepass"), width))
-                at = np.concatenate([np.arange(r["a"], r["b"] + 1) for r in own])
-                yield pd.DataFrame({"rid": rid, "a": at.astype(np.int32), "w": h[at]})
+                data = text.encode("utf-8", "surrogatepass")
+                out += [(rid, r["a"], r["b"], r["p"], r["h"], data[r["a"] : r["b"] + width]) for r in own]
+            yield pd.DataFrame(out, columns=["rid", "a", "b", "p", "h", "bytes"])
+
+    pieces = materialise(
+        texts.select("rid", "t").join(plan, "rid").mapInPandas(cut_runs, "rid long, a int, b int, p int, h long, bytes binary"),
+        "pieces",
+    )
+
+    def find_blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                out += [(r.rid, r.a, r.h, *x) for x in blocks_of(r.bytes, r.a, r.b, r.p, width)]
+            yield pd.DataFrame(out, columns=["rid", "a", "h", "k", "first", "last", "core", "whole"])
+
+    form = "rid long, a int, h long, k int, first int, last int, core long, whole long"
+    blocks = materialise(pieces.mapInPandas(find_blocks, form), "blocks")
+    kinds = materialise(
+        blocks.groupBy("h", "k", "core", "whole").agg(F.count("*").alias("c"), F.min(F.struct("rid", "a")).alias("head")), "kinds"
+    )
+    several = kinds.groupBy("h", "k", "core").agg(F.min("c").alias("least"), F.count("*").alias("n"))
+    several = several.filter("least = 1 and n > 1").select("h", "k", "core")
+    again = kinds.filter("c > 1").select("h", "k", "core", "whole")
+    again = blocks.join(again, ["h", "k", "core", "whole"], "left_semi").select("rid", F.col("first").alias("a"), F.col("last").alias("b"))
+    left = kinds.join(several, ["h", "k", "core"], "left_semi").select("head.rid", "head.a", "k")
+    left = left.groupBy("rid", "a").agg(F.collect_list("k").alias("ks"))
 
-    fine = materialise(texts.select("rid", "t").join(plan, "rid").mapInPandas(strings, "rid long, a int, w long"), "strings")
-    again = fine.groupBy("w").agg(F.count("*").alias("c")).filter("c > 1").select("w")
-    single = fine.join(again, "w", "left_semi").select("rid", "a", F.col("a").alias("b"))
+    def strings(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                for k in r.ks:
+                    first, last = max(r.a, r.p - k * BLOCK - BLOCK + 1), min(r.b, r.p - k * BLOCK)
+                    out += [(r.rid, s, _digest(r.bytes[s - r.a : s - r.a + width])) for s in range(first, last + 1)]
+            yield pd.DataFrame(out, columns=["rid", "a", "w"])
+
+    fine = materialise(pieces.join(left, ["rid", "a"]).mapInPandas(strings, "rid long, a int, w long"), "strings")
+    twice = fine.groupBy("w").agg(F.count("*").alias("c")).filter("c > 1").select("w")
+    single = fine.join(twice, "w", "left_semi").select("rid", "a", F.col("a").alias("b")).unionByName(again)
     marks = whole.select("rid", "a", "b").unionByName(single).groupBy("rid").agg(
         F.collect_list(F.struct("a", "b")).alias("marks")
     )
