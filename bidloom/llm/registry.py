@@ -45,7 +45,7 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op1_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages as ARC archives, converted to WARC and read back."""
     return warc.archive(_table(spark, sf_dir, "pages")).select(
-        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "record_id"
+        "page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"
     )
 
 
@@ -107,5 +107,32 @@ def queries() -> dict:
     }
 
 
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP1_SQL = """
+with p as (select page_id, coalesce(html, '') as h, strlen(coalesce(html, '')) as n, sha1(coalesce(html, '')) as d from pages),
+top as (select h, max(page_id) as keeper from p where n >= 1000 group by h)
+select p.page_id, p.n as payload_bytes, p.d as payload_digest,
+  case when top.keeper is null or top.keeper = p.page_id then 'response' else 'revisit' end as record_type,
+  case when top.keeper <> p.page_id then top.keeper end as refers_to
+from p left join top on top.h = p.h"""
+
+OP3_SQL = f"""
+with d as (select doc_id, {_WORDS} as w from documents),
+i as (select cast(item_id as varchar) as item, {_WORDS} as w from benchmark where text is not null),
+iw as (select distinct item, k, array_to_string(w[s : s + k - 1], ' ') as win from
+  (select item, w, least(13, len(w)) as k, unnest(range(1, len(w) - least(13, len(w)) + 2)) as s from i where len(w) > 0)),
+dw as (select doc_id, k, s, array_to_string(w[s : s + k - 1], ' ') as win from
+  (select doc_id, w, k, unnest(range(1, len(w) - k + 2)) as s from d, (select distinct k from iw) where len(w) >= k)),
+hit as (select doc_id, s, iw.k, item from dw join iw on iw.win = dw.win and iw.k = dw.k),
+cover as (select doc_id, count(distinct p) as n_hit from (select doc_id, unnest(range(s, s + k)) as p from hit) group by doc_id),
+found as (select doc_id, count(distinct item) as n_items, string_agg(distinct item, ',' order by item) as items from hit group by doc_id)
+select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items,
+  sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(d.w) as contaminated
+from d left join cover on cover.doc_id = d.doc_id left join found on found.doc_id = d.doc_id"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """SQL of the operators that SQL can express; the others are tested against brute force."""
+    return {"op1_warc_archive": OP1_SQL, "op3_decontamination": OP3_SQL}
