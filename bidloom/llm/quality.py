@@ -152,8 +152,9 @@ def _model(found: DataFrame, rules) -> DataFrame:
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           rules=RULES, threshold: float = 0.5) -> DataFrame:
     """Features, base verdict, posterior ``quality`` and ``kept``, one row per input row."""
-    found = features(docs, id_col, text_col).select("*", *_votes(rules)).select("*", _pattern(rules))
-    found = materialise(found, "quality")
+    # Written before they are joined: conditions on votes would otherwise be worked out from texts.
+    found = features(docs, id_col, text_col).select("*", *_votes(rules))
+    found = materialise(found, "quality").withColumn("pattern", _pattern(rules))
     return _judge(found, _model(found, rules), threshold)
 
 
@@ -161,9 +162,8 @@ def select_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 rules=RULES, threshold: float = 0.5) -> DataFrame:
     """The rows of ``docs`` that are kept.
 
-    Texts are read twice, once for the histogram and once to judge, so that no text is shuffled.
+    Rows are written with their votes, so texts are read once and none is shuffled.
     """
-    found = features(docs, id_col, text_col).select("*", *_votes(rules)).select(_pattern(rules))
-    model = _model(found, rules)
-    again = features(docs, id_col, text_col, tuple(docs.columns)).select("*", *_votes(rules)).select("*", _pattern(rules))
-    return _judge(again, model, threshold).filter("kept").select("kept_row.*")
+    found = features(docs, id_col, text_col, tuple(docs.columns)).select("*", *_votes(rules))
+    found = materialise(found, "votes").withColumn("pattern", _pattern(rules))
+    return _judge(found, _model(found, rules), threshold).filter("kept").select("kept_row.*")
