@@ -35,7 +35,8 @@ ASSIGN = (
 BASE = [
     ("assign", ASSIGN, 2, "char_length(x.part) >= 12", "true"),
     ("access", "AKIA[A-Z0-9]+", 0, "char_length(x.body) >= 18", "contains(t, 'AKIA')"),
-    ("hex", "[0-9a-f]+", 0, "char_length(x.body) >= 16", "t rlike '[0-9a-f]{16}'"),
+    # Runs are maximal, so asking for 16 characters finds the runs that pass, and no short ones.
+    ("hex", "[0-9a-f]{16,}", 0, "true", "true"),
 ]
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
 #: Alphabets from narrow to wide.
