@@ -155,10 +155,16 @@ def category(field: Column) -> Column:
     return F.coalesce(F.try_element_at(table, field), F.lit("general"))
 
 
-def emit(docs: DataFrame, rules: list[Column], keys: tuple[str, ...] = ("tender_id",)) -> DataFrame:
-    """Rule rows of each text in emission order, the first of each field only."""
+def emit(docs: DataFrame, rules: list[Column], keys: tuple[str, ...] = ("tender_id",),
+         otherwise: Column | None = None) -> DataFrame:
+    """Rule rows of each text in emission order, the first of each field only.
+
+    ``otherwise`` is the one rule of a text that gives none.
+    """
     found = docs.select(*keys, F.array_compact(F.array(*[r.cast(RULE) for r in rules])).alias("r"))
     first = F.filter("r", lambda x, i: ~F.exists(F.slice("r", F.lit(1), i), lambda y: y["field"] == x["field"]))
+    if otherwise is not None:
+        first = F.when(F.size("r") == 0, F.array(otherwise.cast(RULE))).otherwise(first)
     return found.select(*keys, F.posexplode(first).alias("pos", "x")).select(*keys, "pos", "x.*").withColumn(
         "category", category(F.col("field"))
     )
@@ -169,25 +175,18 @@ def every_rule(text: Column) -> list[Column]:
             *presence_rules(text, [BLACKLIST])]
 
 
-def placeholder(docs: DataFrame) -> DataFrame:
-    """The one rule of a text that gives none."""
-    made = F.lit("supporting")
-    return docs.select(
-        "tender_id", F.lit(0).alias("pos"), F.lit("generic_compliance").alias("field"), F.lit("==").alias("operator"),
-        F.lit(1.0).alias("value"), F.lit("bool").alias("unit"), F.lit(True).alias("mandatory"), made.alias("priority"),
+def placeholder() -> Column:
+    return F.struct(
+        F.lit("generic_compliance").alias("field"), F.lit("==").alias("operator"), F.lit(1.0).alias("value"),
+        F.lit("bool").alias("unit"), F.lit(True).alias("mandatory"), F.lit("supporting").alias("priority"),
         F.lit(0.4).alias("extraction_confidence"), F.lit(0.5).alias("semantic_ambiguity_score"),
         F.lit("Minimum eligibility (placeholder)").alias("text_raw"), F.lit(None).cast("string").alias("source_clause"),
-        F.lit("compliance").alias("category"),
     )
 
 
 def extract(docs: DataFrame) -> DataFrame:
     """All rule rows; texts without any get the placeholder."""
-    every = emit(docs, every_rule(F.col("text")))
-    # The array of rules is empty exactly where no emitter fires, which one expression tells.
-    some = F.array_compact(F.array(*[r.isNotNull() for r in every_rule(F.col("text"))]))
-    none = docs.filter(~F.coalesce(F.exists(some, lambda x: x), F.lit(False)))
-    return every.unionByName(placeholder(none))
+    return emit(docs, every_rule(F.col("text")), otherwise=placeholder())
 
 
 def backfill(docs: DataFrame, replies: DataFrame) -> DataFrame:

@@ -53,7 +53,7 @@ def test_chunks(spark):
 
 SAMPLE = """1. Annual turnover of at least Rs. 5 crore in any of the last three years.
 2. Positive net worth.
-3. EMD of Rs. 50,000 by draft. 4. Bank guarantee of Rs. 2 lakh.
+EMD of Rs. 50,000 by draft. 4. Bank guarantee of Rs. 2 lakh.
 5. Minimum 5 years of experience. 6. Completed 3 similar projects. 7. At least 25 employees.
 8. ISO 9001 and ISO 14001. 9. Valid GST and PAN. 10. TDS deducted. 11. MSME preferred.
 12. Bid validity: 90 days. 13. The bidder shall not be blacklisted."""
