@@ -99,6 +99,25 @@ def test_random_tokens_are_found_and_prose_is_not(spark):
     assert not found & set(range(len(keys), len(rows)))
 
 
+def test_recall_by_encoding_and_length_with_rare_secrets(spark):
+    rng = random.Random(8)
+    upper, ten = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    alphabets = [ten + "ABCDEF", upper + upper.lower(), upper + "234567", ten + upper.lower(), ten + upper,
+                 upper + upper.lower() + ten + "+/"]
+    groups = [(a, n) for a in alphabets for n in (20, 24, 32, 64)] + [(upper, 32), (upper.lower(), 32)]
+    keys = ["".join(rng.choice(a) for _ in range(n)) for a, n in groups for _ in range(30)]
+    words = "tender bid value annual licence clause under supply works water road cost bericht angebot oferta valor".split()
+    styles = ["".join, "-".join, "_".join, lambda w: "".join(w).upper(), lambda w: "".join(x.capitalize() for x in w),
+              lambda w: "_".join(w).upper()]
+    plain = [rng.choice(styles)(rng.choices(words, k=rng.randrange(5, 9))) for _ in range(15_000)]
+    rows = [(k, f"a {t} b") for k, t in enumerate(keys + plain)]
+    out = secrets.find(spark.createDataFrame(rows, "doc_id long, text string"))
+    found = {r.doc_id for r in out.filter("exists(all, x -> x.kind = 'random')").select("doc_id").collect()}
+    recall = {(a, n): len(found & set(range(30 * g, 30 * g + 30))) / 30 for g, (a, n) in enumerate(groups)}
+    assert {g: r for g, r in recall.items() if r < (0.8 if g[1] < 32 else 0.9)} == {}
+    assert len([k for k in found if k >= len(keys)]) <= 0.02 * len(found)
+
+
 def test_contexts_find_unseen_identifiers(spark):
     rng = random.Random(6)
     card = lambda: next(c for c in iter(lambda: str(rng.randrange(10**15, 10**16)), "") if luhn(c))
