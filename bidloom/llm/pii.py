@@ -1,12 +1,15 @@
 """Personal data: base patterns, and identifiers found by bootstrapped contexts.
 
-Base matches are the seeds.  A lexical pattern is the word before or after a mention together
-with the mention's shape (runs of digits and letters reduced to one sign).  Mentions are all
-tokens with six or more digits or an @, so patterns are judged by everything they extract, not by
-seeds alone.  Spark scores the bipartite graph of patterns and distinct instances in rounds: a
-pattern scores the mean confidence of its instances (with a prior against rare ones), an instance
-the noisy-or of its patterns.  Instances that no base pattern matches and that end above the
-threshold are reported with the kind whose patterns found them.
+Base matches are the seeds.  A lexical pattern is the word before or the word after a mention.
+Mentions are all tokens with a digit or an @ and runs of such tokens, so patterns are judged by
+everything they extract, not by seeds alone.  A mention without @ and with fewer than six digits
+says little by itself: it is one instance per pair of words around it, the others are one instance
+wherever they stand.  Spark scores the bipartite graph of patterns and distinct instances in rounds:
+a pattern scores the mean confidence of its instances (with a prior against rare ones), an instance
+the noisy-or of its patterns.  The share of confident instances of the same shape (runs of digits
+and letters reduced to one sign) joins that noisy-or as a weak vote: it lifts instances that a
+pattern extracts and keeps none from being found.  Instances that no base pattern matches and that
+end above the threshold are reported with the kind whose patterns found them.
 
 Everything is DataFrame functions.  Texts are not shuffled; mentions are.  A frequent word is a
 frequent pattern: it is counted by partial aggregation, and edges meet scores in a join that
@@ -46,6 +49,13 @@ _LUHN = (
 )
 #: A token with a digit or an @, tried from its first character only.
 MENTION = r"(?<![^\s,;:!?()])[^\s,;:!?()]*?[0-9@][^\s,;:!?()]*+"
+#: Such a token, or digits in brackets, with the tokens of digits that go on from it.
+WIDE = (
+    r"(?<![^\s,;:!?()])(?:\([0-9]++\)(?=\x20?[0-9])|[^\s,;:!?()]*?[0-9@][^\s,;:!?()]*+)"
+    r"(?:\x20?\([0-9]++\)|(?:\x20|(?<=\)))[0-9][^\s,;:!?()]*+|:{1,2}[0-9A-Za-z]++|,[0-9]++)*+"
+)
+#: Weight of the vote of an instance's shape.
+SHAPE_WEIGHT = 0.5
 
 
 def base_columns(text: str = "t") -> Column:
@@ -60,16 +70,22 @@ def shape(body: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(body, r"[0-9]+", "9"), r"\p{L}+", "a")
 
 
+def instance(x: str) -> Column:
+    """What makes mentions the same instance: the text, with the words around it if it is short of digits."""
+    own = f"{x}.body like '%@%' or char_length(regexp_replace({x}.body, '[^0-9]', '')) >= 6 or array_contains(array({', '.join(repr(k) for k in KINDS)}), {x}.kind)"
+    return F.expr(f"if({own}, {x}.body, concat_ws('\x1f', {x}.body, {x}.before, {x}.after))")
+
+
 def _edges(mentions: DataFrame) -> DataFrame:
-    """Distinct (pattern, instance), with the seed kind of the instance or null."""
+    """Distinct (pattern, instance), with the seed kind of the instance or null, and its shape."""
     sides = [
-        F.when(F.col(f"x.{side}") != "", F.concat_ws("\x1f", F.lit(side), F.col(f"x.{side}"), shape(F.col("x.body"))))
-        for side in ("before", "after")
+        F.when(F.col(f"x.{side}") != "", F.concat_ws("\x1f", F.lit(side), F.col(f"x.{side}"))) for side in ("before", "after")
     ]
     return (
-        mentions.select(F.explode(F.array_compact(F.array(*sides))).alias("pattern"), F.col("x.body").alias("body"),
-                        F.col("x.kind").alias("kind"))
-        .groupBy("pattern", "body").agg(F.max(F.when(F.col("kind").isin(KINDS), F.col("kind"))).alias("kind"))
+        mentions.select(F.explode(F.array_compact(F.array(*sides))).alias("pattern"), instance("x").alias("body"),
+                        F.col("x.kind").alias("kind"), shape(F.col("x.body")).alias("shape"))
+        .groupBy("pattern", "body")
+        .agg(F.max(F.when(F.col("kind").isin(KINDS), F.col("kind"))).alias("kind"), F.min("shape").alias("shape"))
     )
 
 
@@ -77,26 +93,29 @@ def confident(mentions: DataFrame, rounds: int = 3, support: int = 5, pattern_le
               level: float = 0.9) -> DataFrame:
     """Unseen instances that high-confidence patterns extract: (body, found kind, confidence)."""
     edges = materialise(_edges(mentions), "edges")
-    known = edges.select("pattern", "body", F.col("kind").alias("of"), F.lit(1.0).alias("conf"))
+    fields = ["pattern", "body", "shape"]
+    known = edges.select(*fields, F.col("kind").alias("of"), F.when(F.col("kind").isNotNull(), 1.0).otherwise(0.0).alias("conf"))
+    best = F.greatest(*KINDS)
+    name = F.coalesce(*[F.when(F.col(kind) == best, F.lit(kind)) for kind in KINDS])
+    of_kind = [F.sum(F.when(F.col("of") == kind, F.col("conf")).otherwise(0.0)).alias(kind) for kind in KINDS]
     for k in range(rounds):
-        sizes = known.groupBy("pattern").agg(
-            F.count("*").alias("n"),
-            *[F.sum(F.when(F.col("of") == kind, F.col("conf")).otherwise(0.0)).alias(kind) for kind in KINDS],
-        )
-        best = F.greatest(*KINDS)
-        name = F.coalesce(*[F.when(F.col(kind) == best, F.lit(kind)) for kind in KINDS])
-        scores = sizes.select("pattern", name.alias("s_kind"), best.alias("s"), (best / (F.col("n") + 1)).alias("score"))
+        scores = known.groupBy("pattern").agg(F.count("*").alias("n"), *of_kind)
+        scores = scores.select("pattern", name.alias("s_kind"), best.alias("s"), (best / (F.col("n") + 1)).alias("score"))
         scores = scores.filter((F.col("s") >= support) & (F.col("score") >= pattern_level)).drop("s")
+        shapes = known.groupBy("shape").agg(F.count("*").alias("n"), *of_kind)
+        shapes = shapes.select("shape", name.alias("s_kind"), (best / (F.col("n") + 1)).alias("share")).filter("share > 0")
         voted = (
-            edges.filter("kind is null").join(scores, "pattern").groupBy("body", "s_kind")
-            .agg((1 - F.exp(F.sum(F.log(F.greatest(F.lit(0.01), 1 - F.col("score")))))).alias("conf"))
+            edges.filter("kind is null").join(scores, "pattern").groupBy("body", "shape", "s_kind")
+            .agg(F.sum(F.log(F.greatest(F.lit(0.01), 1 - F.col("score")))).alias("against"))
+            .join(shapes, ["shape", "s_kind"], "left")
+            .withColumn("conf", 1 - F.exp("against") * (1 - SHAPE_WEIGHT * F.coalesce("share", F.lit(0.0))))
             .groupBy("body").agg(F.max(F.struct("conf", "s_kind")).alias("top"))
             .select("body", F.col("top.s_kind").alias("of"), F.col("top.conf").alias("conf"))
         )
         voted = materialise(voted, f"votes-{k}")
-        seeds = edges.filter("kind is not null").select("pattern", "body", F.col("kind").alias("of"), F.lit(1.0).alias("conf"))
-        rest = edges.filter("kind is null").select("pattern", "body").join(voted, "body", "left")
-        known = seeds.unionByName(rest.select("pattern", "body", "of", F.coalesce("conf", F.lit(0.0)).alias("conf")))
+        seeds = edges.filter("kind is not null").select(*fields, F.col("kind").alias("of"), F.lit(1.0).alias("conf"))
+        rest = edges.filter("kind is null").select(*fields).join(voted, "body", "left")
+        known = seeds.unionByName(rest.select(*fields, "of", F.coalesce("conf", F.lit(0.0)).alias("conf")))
     return voted.filter(F.col("conf") >= level)
 
 
@@ -108,20 +127,22 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"),
         *([F.struct(*extra).alias("kept")] if extra else []),
     )
-    gate = r"t rlike '(?:[0-9][^\\s]*){6}|@'"
-    ok = "(x.body like '%@%' or char_length(regexp_replace(x.body, '[^0-9]', '')) >= 6) and char_length(x.body) <= 64"
     rows = rows.select(
-        "doc_id", *(["kept"] if extra else []), F.monotonically_increasing_id().alias("rid"), base_columns().alias("base"),
-        S.all_matches("t", MENTION, "mention", len(BASE), ok, 0, gate).alias("more"),
+        "doc_id", "t", *(["kept"] if extra else []), F.monotonically_increasing_id().alias("rid"), base_columns().alias("base"),
+        S.all_matches("t", WIDE, "mention", len(BASE), None, 0, "t rlike '[0-9@]'").alias("wide"),
     )
+    # Of runs that hold a base match, the other tokens remain.
+    meets = "exists({}, b -> b.start < x.end and x.start < b.end)".format
+    rows = rows.withColumn("cut", F.expr(f"filter(wide, x -> {meets('base')})"))
+    rows = rows.withColumn("single", S.all_matches("t", MENTION, "mention", len(BASE), None, 0, "size(cut) > 0"))
     rows = rows.withColumn(
-        "more", F.expr("filter(more, x -> not exists(base, b -> b.start < x.end and x.start < b.end))")
-    )
+        "more", F.expr(f"concat(filter(wide, x -> not {meets('base')}), filter(single, x -> {meets('cut')} and not {meets('base')}))")
+    ).drop("t", "wide", "cut", "single")
     rows = materialise(rows, "mentions")
     mentions = rows.select("rid", F.explode(F.concat("base", "more")).alias("x"))
     found = confident(mentions, rounds, support, pattern_level, level).select("body", F.col("of"))
     added = (
-        rows.select("rid", F.explode("more").alias("x")).withColumn("body", F.col("x.body")).join(found, "body")
+        rows.select("rid", F.explode("more").alias("x")).withColumn("body", instance("x")).join(found, "body")
         .groupBy("rid").agg(F.collect_list(F.col("x").withField("kind", F.concat(F.lit("like_"), "of"))).alias("added"))
     )
     both = F.concat("base", F.coalesce("added", F.array().cast(f"array<{S.SPAN}>")))

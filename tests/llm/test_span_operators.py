@@ -130,6 +130,26 @@ def test_contexts_find_unseen_identifiers(spark):
     assert found == {100, 101, 102}
 
 
+def test_contexts_find_shapes_of_no_base_pattern(spark):
+    rng = random.Random(9)
+    digits = lambda n: "".join(rng.choice("123456789") for _ in range(n))
+    rows = [(k, f"{prose(rng, 9)} dial +1 ({digits(3)}) {digits(3)}-{digits(4)} today {prose(rng, 5)}") for k in range(60)]
+    rows += [(100 + k, f"{prose(rng, 9)} mailto jane{digits(4)}@corp.com please {prose(rng, 5)}") for k in range(60)]
+    unseen = {
+        200: ("dial", "743 555 3824", "today"), 201: ("dial", "(743) 555-3824", "today"), 202: ("dial", "555-123-4567", "today"),
+        203: ("dial", "K1234567", "today"), 204: ("dial", "DE89370400440532013000", "today"), 205: ("dial", "x4417", "today"),
+        206: ("dial", "7" * 80, "today"), 207: ("mailto", "jane@corp", "please"), 208: ("dial", "DE89 3704 0044 0532", "today"),
+    }
+    rows += [(k, f"{prose(rng, 9)} {a} {b} {c} {prose(rng, 5)}") for k, (a, b, c) in unseen.items()]
+    rows += [(300 + k, f"{prose(rng, 9)} serial {b} of x4417 {prose(rng, 5)}") for k in range(20) for b in [f"K{digits(7)}"]]
+    rows += [(400, "from 10.20.30.40 555-999-1234 and on"), *[(401 + k, f"dial +1 (743) 555-{digits(4)} today") for k in range(9)]]
+    out = pii.find(spark.createDataFrame(rows, "doc_id long, text string")).cache()
+    got = {}
+    for r in out.select("doc_id", F.explode("all").alias("x")).filter("x.kind like 'like_%'").collect():
+        got.setdefault(r.doc_id, []).append((r.x.kind, r.x.body))
+    assert got == {k: [("like_email" if a == "mailto" else "like_phone", b)] for k, (a, b, _) in unseen.items()}
+
+
 def test_masking(spark):
     df = pii.find(spark.createDataFrame([(1, "mail a@b.cd now +1 (743) 555-3824."), (2, None)], "doc_id long, text string"), keep=("text",))
     got = {r[0]: r[1] for r in df.select("doc_id", pii.masked(F.col("text"), F.col("all"))).collect()}
