@@ -8,6 +8,7 @@ sorted order, here equal keys of a shuffle).  Every pair that meets is checked o
 Depth is adaptive: matching starts on long prefixes.  Each verified link of similarity s would
 have been found with a known chance p(s) at that depth, so the links found tell how many were
 missed (the sum of 1/p(s) - 1).  Prefixes are shortened until that estimate is within the target.
+Both sides count pairs of representatives, so copies do not loosen it.
 
 No pairs are shuffled.  A node of n documents is cut into blocks of ``block`` documents, and a
 task compares two blocks, so no task holds a large group and none is sampled or capped.  A pair
@@ -173,7 +174,7 @@ def candidates(met: DataFrame, reps: DataFrame, depth: int, lowest: float) -> Da
 
 
 def verify(picked: DataFrame, sets: DataFrame, depth: int, threshold: float, lowest: float) -> DataFrame:
-    """Exact similarity of the pairs: per document its links, its root, and the links missed."""
+    """Exact similarity of the pairs: per document its links, its root, and the pairs found and missed."""
     names = ["node", "i", "j"]
     rows = picked.join(sets, "rid").repartition("node", "i", "j").sortWithinPartitions("node", "i", "j")
 
@@ -184,7 +185,7 @@ def verify(picked: DataFrame, sets: DataFrame, depth: int, threshold: float, low
             tree = int(group["tree"].iloc[0])
             found = [np.frombuffer(x, np.uint64) for x in group["shingles"]]
             copies, rid = group["copies"].to_numpy(), group["rid"].to_numpy()
-            links, missed = np.zeros(len(group), np.int64), np.zeros(len(group))
+            links, pairs, missed = np.zeros(len(group), np.int64), np.zeros(len(group), np.int64), np.zeros(len(group))
             root = list(range(len(group)))
 
             def top(k, root=root):
@@ -205,19 +206,22 @@ def verify(picked: DataFrame, sets: DataFrame, depth: int, threshold: float, low
                     if s >= threshold:
                         links[x] += copies[y]
                         links[y] += copies[x]
+                        pairs[x] += 1
                         missed[x] += 1 / chance(s, depth) - 1
                         p, q = top(x), top(y)
                         if p != q:
                             low, high = (p, q) if rid[p] < rid[q] else (q, p)
                             root[high] = low
-            out += [(int(rid[k]), int(links[k]), int(rid[top(k)]), float(missed[k])) for k in np.flatnonzero(links)]
+            out += [
+                (int(rid[k]), int(links[k]), int(rid[top(k)]), int(pairs[k]), float(missed[k])) for k in np.flatnonzero(links)
+            ]
             if len(out) >= 20_000:
-                yield pd.DataFrame(out, columns=["rid", "links", "root", "missed"])
+                yield pd.DataFrame(out, columns=["rid", "links", "root", "pairs", "missed"])
                 out = []
-        yield pd.DataFrame(out, columns=["rid", "links", "root", "missed"])
+        yield pd.DataFrame(out, columns=["rid", "links", "root", "pairs", "missed"])
 
     return rows.select(*names, "tree", "mine", "rid", "labels", "copies", "shingles").mapInPandas(
-        task, "rid long, links long, root long, missed double"
+        task, "rid long, links long, root long, pairs long, missed double"
     )
 
 
@@ -272,7 +276,7 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, target: float = 0.99999,
             set_task, "rid long, copies long, labels binary, shingles binary"
         )
         links = materialise(verify(picked, sets, depth, threshold, lowest), "links")
-        n, missed = links.agg(F.sum("links"), F.sum("missed")).first()
+        n, missed = links.agg(F.sum("pairs"), F.sum("missed")).first()
         if report is not None:
             report[depth] = (n or 0, missed or 0.0)
         if (missed or 0.0) <= (1 - target) * max(n or 0, 1):

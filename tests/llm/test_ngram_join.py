@@ -94,6 +94,23 @@ def test_recall_estimate_shortens_prefixes(spark):
     assert len(report) > 1 and list(report) == sorted(report, reverse=True)
 
 
+def test_copies_do_not_loosen_the_stop_rule(spark):
+    rng = random.Random(4)
+    words = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
+    rows = []
+    for k in range(60):  # 80 of 100 shingles in common
+        own = words(94)
+        rows.append((2 * k, " ".join(own)))
+        own[30], own[70] = "x", "y"
+        rows.append((2 * k + 1, " ".join(own)))
+    hot = words(40)
+    rows += [(1000 + k, " ".join(hot)) for k in range(20_000)] + [(999, " ".join([*hot[:-1], "z"]))]
+    report = {}
+    out = ngram_join.join(spark.createDataFrame(rows, "doc_id long, text string").coalesce(2).cache(), report=report)
+    assert out.filter("doc_id < 120 and n_links = 1").count() == 120
+    assert min(report) == 4 and report[4][0] == 61
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(1000, 2000), (2000, 3000)], "u long, v long")
     got = {r.u: r.root for r in ngram_join.components(edges).collect()}
