@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+import string
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from bidloom.sources.shared import Workspace
+
 #: Bytes of ASCII that are no word characters become spaces, A-Z become a-z; every byte of a
 #: non-ASCII character stays, so UTF-8 text can be split without decoding it.
 WORD_TABLE = bytes(
@@ -19,43 +20,28 @@ WORD_TABLE = bytes(
 NON_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir``.
-
-    Only where the session names none (local tests), a new local folder is set.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{uuid.uuid4().hex}"
-
-
 def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet into the shared folder and read it back.
-
-    The written table cuts the lineage, and a lost executor re-reads it instead of
-    recomputing what came before.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}-{tag}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    """``df`` written into the shared folder and read back; see ``Workspace``."""
+    return Workspace(df.sparkSession).write(df, tag)
 
 
 def with_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
     """A key per input row, so that null or repeated ids stay separate rows.
 
-    It depends on the split of the input files only, hence is the same when a task is rerun.
+    The numbers follow the split of the input, which may change when executors come or go.  So
+    they must be written before anything is joined by them, and be read from there.
     """
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def lower_ascii(text: Column) -> Column:
+    """A-Z to a-z; every other character stays as it is."""
+    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+
+
 def words_of(text: Column) -> Column:
     """Lower-cased words of a text as an array, in JVM expressions; null has none."""
-    return F.filter(
-        F.split(F.lower(F.coalesce(text, F.lit(""))), NON_WORD), lambda w: w != F.lit("")
-    )
+    return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), NON_WORD), "")
 
 
 def byte_words(text: str | None) -> list[bytes]:

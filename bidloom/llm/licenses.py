@@ -1,28 +1,29 @@
 """License scan by diagonal voting.
 
-Every rolling word 4-gram of every document is joined to the places of equal grams in the license
-templates.  A match votes for its diagonal (place in the document minus place in the template);
-votes are counted by diagonal, diagonals at most ``slack`` apart are merged (words that were
-added or left out shift a copy by a few places), and a merged span counts when its verified words
-cover enough of the template.  The gram's hash only finds a match; its words are compared before
-it may vote.
-
-All of it is JVM expressions.  The templates are a fixed list, so their grams are broadcast.
-Documents are not shuffled; only verified matches are, and those of a document are bounded by its
-length.  Base phrases are counted in the document's own row.
-
-Defined edge cases: a null or empty text has no words, labels or places and scores 0; repeated
-rows and ids are scanned row by row; extra columns are ignored; an empty table gives an empty
-table.
+Every rolling word 4-gram of every document is joined by its hash to the places of equal grams in
+the license templates, and the join compares the four words as well.  A match votes for its
+diagonal (place in the document minus place in the template); votes are counted by diagonal,
+diagonals at most ``slack`` apart are merged (words that were added or left out shift a copy by a
+few places), and a merged span counts when its verified words cover enough of the template.
+
+All of it is JVM expressions.  The templates are a fixed list, so their grams are broadcast.  The
+words of each row are written once with a row key, so texts are split once and every later step
+sees the same keys; places are generated and joined within one stage, and only matches are
+shuffled.  Those of a document are bounded by its length.
+
+Defined edge cases: a null or empty text has no words, labels or places and scores 0; the work on
+a text is linear in its words, so very long texts are scanned whole like any other; repeated rows
+and ids are scanned row by row; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from bidloom.llm.common import NON_WORD, with_row_id
+from bidloom.llm.common import with_row_id, words_of
+from bidloom.sources.shared import Workspace
 
 GRAM = 4
 
@@ -33,84 +34,88 @@ PHRASES = [
     ("cc by nc", "cc-by-nc"),
 ]
 
-#: Templates of the method: label and wording, from the licenses' own notices.
+#: Templates of the method (fixed texts): label and wording of notices and of whole licenses.
 TEMPLATES = [
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and "
-            "associated documentation files the software to deal in the software without restriction including "
-            "without limitation the rights to use copy modify merge publish distribute sublicense and or sell "
-            "copies of the software"),
     ("mit", "released under the mit license"),
     ("mit", "licensed under the mit license"),
+    ("mit", """permission is hereby granted free of charge to any person obtaining a copy of this software and
+     associated documentation files the software to deal in the software without restriction including without
+     limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and
+     to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright
+     notice and this permission notice shall be included in all copies or substantial portions of the software"""),
+    ("mit", """permission is hereby granted free of charge to any person obtaining a copy of this software and
+     associated documentation files the software to deal in the software without restriction including without
+     limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software"""),
     ("apache-2", "licensed under the apache license version 2 0"),
-    ("apache-2", "licensed under the apache license version 2 0 the license you may not use this file except in "
-                 "compliance with the license you may obtain a copy of the license at"),
-    ("bsd-3-clause", "redistribution and use in source and binary forms with or without modification are permitted "
-                     "provided that the following conditions are met"),
-    ("bsd-3-clause", "neither the name of the copyright holder nor the names of its contributors may be used to "
-                     "endorse or promote products derived from this software without specific prior written "
-                     "permission"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is "
-            "hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("apache-2", """licensed under the apache license version 2 0 the license you may not use this file except in compliance
+     with the license you may obtain a copy of the license at http www apache org licenses license 2 0 unless required by
+     applicable law or agreed to in writing software distributed under the license is distributed on an as is basis
+     without warranties or conditions of any kind either express or implied see the license for the specific language
+     governing permissions and limitations under the license"""),
+    ("bsd-2-clause", """redistribution and use in source and binary forms with or without modification are permitted
+     provided that the following conditions are met 1 redistributions of source code must retain the above copyright
+     notice this list of conditions and the following disclaimer 2 redistributions in binary form must reproduce the
+     above copyright notice this list of conditions and the following disclaimer in the documentation and or other
+     materials provided with the distribution"""),
+    ("bsd-2-clause", """redistribution and use in source and binary forms with or without modification are permitted
+     provided that the following conditions are met"""),
+    ("bsd-3-clause", """neither the name of the copyright holder nor the names of its contributors may be used to endorse
+     or promote products derived from this software without specific prior written permission"""),
+    ("isc", """permission to use copy modify and or distribute this software for any purpose with or without fee is hereby
+     granted provided that the above copyright notice and this permission notice appear in all copies"""),
+    ("zlib", """permission is granted to anyone to use this software for any purpose including commercial applications and
+     to alter it and redistribute it freely subject to the following restrictions"""),
     ("gpl-3", "this work is licensed under the gnu general public license version 3"),
-    ("gpl-3", "it under the terms of the gnu general public license as published by the free software foundation "
-              "either version 3 of the license or at your option any later version"),
+    ("gpl-3", """it under the terms of the gnu general public license as published by the free software foundation either
+     version 3 of the license or at your option any later version"""),
     ("gpl-2", "this work is licensed under the gnu general public license version 2"),
-    ("gpl-2", "it under the terms of the gnu general public license as published by the free software foundation "
-              "either version 2 of the license or at your option any later version"),
-    ("lgpl-3", "it under the terms of the gnu lesser general public license as published by the free software "
-               "foundation either version 3 of the license"),
-    ("agpl-3", "it under the terms of the gnu affero general public license as published by the free software "
-               "foundation either version 3 of the license"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("gpl-2", """it under the terms of the gnu general public license as published by the free software foundation either
+     version 2 of the license or at your option any later version"""),
+    ("lgpl-3", """it under the terms of the gnu lesser general public license as published by the free software foundation
+     either version 3 of the license"""),
+    ("agpl-3", """it under the terms of the gnu affero general public license as published by the free software foundation
+     either version 3 of the license"""),
+    ("mpl-2", """this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was
+     not distributed with this file you can obtain one at"""),
     ("cc-by-nc", "licensed under cc by nc 4 0"),
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
     ("cc-by-sa", "licensed under cc by sa 4 0"),
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", """this is free and unencumbered software released into the public domain anyone is free to copy modify
+     publish use compile sell or distribute this software either in source code form or as a compiled binary for any
+     purpose commercial or non commercial and by any means"""),
 ]
 
 
-def _words(text: str) -> Column:
-    return F.array_remove(F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), NON_WORD), "")
-
-
-def _grams(words: str) -> Column:
-    parts = ", ".join(f"{words}[i + {k}]" for k in range(GRAM))
-    return F.expr(
-        f"if(size({words}) < {GRAM}, cast(array() as array<bigint>), "
-        f"transform(sequence(0, size({words}) - {GRAM}), i -> xxhash64({parts})))"
-    )
-
-
 def template_grams(spark: SparkSession, templates=TEMPLATES) -> DataFrame:
     """template, label, size, gram, its words and its place in the template."""
     rows = spark.createDataFrame(
         [(k, label, text.split()) for k, (label, text) in enumerate(templates)],
         "template int, label string, tw array<string>",
     )
-    return (
-        rows.select("template", "label", "tw", F.posexplode(_grams("tw")).alias("t_at", "gram"))
-        .select("template", "label", F.size("tw").alias("t_size"), "gram", "t_at",
-                F.slice("tw", F.col("t_at") + 1, F.lit(GRAM)).alias("t_words"))
-    )
+    return grams(rows.withColumn("t_size", F.size("tw")), "tw", "t_at").select(
+        "template", "label", "t_size", "gram", "t_at", F.slice("tw", F.col("t_at") + 1, F.lit(GRAM)).alias("t_words")
+    )
+
 
+def grams(rows: DataFrame, words: str, at: str) -> DataFrame:
+    """A row for each place of a word gram: the place and the hash of its words."""
+    places = F.expr(f"if(size({words}) < {GRAM}, cast(array() as array<int>), sequence(0, size({words}) - {GRAM}))")
+    out = rows.select("*", F.explode(places).alias(at))
+    return out.withColumn("gram", F.expr(f"xxhash64({', '.join(f'{words}[{at} + {k}]' for k in range(GRAM))})"))
 
-def spans(docs: DataFrame, templates=TEMPLATES, slack: int = 3, cover: float = 0.7) -> DataFrame:
+
+def spans(rows: DataFrame, templates=TEMPLATES, slack: int = 3, cover: float = 0.7) -> DataFrame:
     """Verified spans: rid, label, template, first_word, end_word, score (share of the template).
 
-    ``docs`` has ``rid`` and the word array ``w``.
+    ``rows`` is a written table with ``rid`` and the word array ``w``.
     """
-    template = template_grams(docs.sparkSession, templates)
-    known = F.array(*[F.lit(r.gram) for r in template.select("gram").distinct().collect()])  # a fixed list
-    # Documents without any template gram end here; of the others only matching places go on, so
-    # the words of a long text are never repeated for each of its places.
-    grams = docs.select("rid", "w", _grams("w").alias("g")).filter(F.arrays_overlap("g", known))
-    grams = grams.withColumn("own", F.array_intersect("g", known)).select("rid", F.explode(F.expr(
-        "transform(filter(sequence(0, size(g) - 1), i -> array_contains(own, g[i])), "
-        f"i -> named_struct('at', i, 'gram', g[i], 'words', slice(w, i + 1, {GRAM})))"
-    )).alias("x")).select("rid", "x.*")
-    votes = grams.join(F.broadcast(template), "gram").filter(F.col("words") == F.col("t_words"))
+    template = F.broadcast(template_grams(rows.sparkSession, templates))
+    # Words are compared where hashes meet, so unequal grams of one hash give no vote.
+    same = F.expr(" and ".join(f"w[at + {k}] = t_words[{k}]" for k in range(GRAM)))
+    places = grams(rows.select("rid", "w"), "w", "at").alias("d").join(template.alias("t"), F.col("d.gram") == F.col("t.gram"))
+    votes = places.filter(same).select("rid", "template", "label", "t_size", "at", "t_at")
     diagonals = (
         votes.groupBy("rid", "template", "label", "t_size", (F.col("at") - F.col("t_at")).alias("diagonal"))
         .agg(F.min("at").alias("lo"), F.max("at").alias("hi"), F.collect_set("t_at").alias("places"))
@@ -129,29 +134,29 @@ def spans(docs: DataFrame, templates=TEMPLATES, slack: int = 3, cover: float = 0
         f"(a, x) -> struct(a.n + least({GRAM}, x - a.last) as n, x as last)).n"
     )
     good = merged.withColumn("score", covered / F.col("t_size")).filter(F.col("score") >= cover).drop("places")
-    # Licenses share sentences: of spans that overlap, the best covered template stays.
+    # Licenses share sentences: of spans that overlap, the best covered template stays, the longest of equal ones.
     order = W.partitionBy("rid").orderBy("first_word", "end_word", "template", "run")
     before = F.max("end_word").over(order.rowsBetween(W.unboundedPreceding, -1))
     island = F.sum((F.col("first_word") >= F.coalesce("before", F.lit(0))).cast("int")).over(order)
     good = good.withColumn("before", before).withColumn("island", island)
-    best = F.max("score").over(W.partitionBy("rid", "island"))
-    return good.withColumn("best", best).filter("score = best").drop("before", "island", "best", "run")
+    best = F.max(F.struct("score", "t_size")).over(W.partitionBy("rid", "island"))
+    good = good.withColumn("best", best).filter("score = best.score and t_size = best.t_size")
+    return good.drop("before", "island", "best", "run")
 
 
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates=TEMPLATES,
          slack: int = 3, cover: float = 0.7) -> DataFrame:
     """One row per input row: base places, labels of base and method, and the best score."""
-    rows = with_row_id(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("t"))).select(
-        "rid", "doc_id", "t", _words("t").alias("w")
-    )
+    rows = with_row_id(docs.select(F.col(id_col).alias("doc_id"), words_of(F.col(text_col)).alias("w")))
+    rows = Workspace(docs.sparkSession).write(rows, "words")
     places, labels = [], []
     for phrase, label in PHRASES:
         words = phrase.split()
-        listed = ", ".join(f"'{x}'" for x in words)
-        gate = NON_WORD.replace("\\", "\\\\").join(words)
+        here = " and ".join(f"w[i + {k}] = '{x}'" for k, x in enumerate(words))
+        gate = " and ".join(f"array_contains(w, '{x}')" for x in dict.fromkeys(words))
         found = F.expr(
-            f"if(t rlike '(?i){gate}', filter(sequence(0, greatest(size(w) - {len(words)}, 0)), "
-            f"i -> slice(w, i + 1, {len(words)}) = array({listed})), cast(array() as array<int>))"
+            f"if({gate} and size(w) >= {len(words)}, filter(sequence(0, size(w) - {len(words)}), i -> {here}), "
+            "cast(array() as array<int>))"
         )
         places.append(found.alias(label))
         labels.append(F.when(F.size(f"`{label}`") > 0, F.lit(label)))

@@ -2,7 +2,9 @@
 
 import collections
 import hashlib
+import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -122,6 +124,21 @@ def test_license_diagonals(spark):
     assert out[1].labels == "gpl-3" and out[1].score > 0.9 and out[2].labels == "" and out[3].score == 0
 
 
+def test_license_in_a_very_long_text(spark):
+    rng = random.Random(2)
+    whole = next(t for k, t in licenses.TEMPLATES if k == "mit" and "permit persons" in t)
+    filler = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    text = f"{filler(100_000)} {whole} {filler(100_000)} under the MIT license"
+    began = time.monotonic()
+    got = licenses.scan(spark.createDataFrame([(1, text), (2, None)], "doc_id long, text string")).collect()
+    assert time.monotonic() - began < 60  # a quadratic scan takes hours
+    one = next(r for r in got if r.doc_id == 1)
+    n = len(whole.split())
+    assert (one.n_words, one.n_base, one.first_word, one.labels) == (200_004 + n, 1, 200_000 + n, "mit")
+    found = licenses.spans(spark.createDataFrame([(7, text.lower().split())], "rid long, w array<string>")).collect()
+    assert [(r.label, r.first_word, r.end_word, r.score) for r in found if r.first_word < 200_000] == [("mit", 100_000, 100_000 + n, 1.0)]
+
+
 def test_token_counts(docs, rows, no_docs):
     import sentencepiece
 
