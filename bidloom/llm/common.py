@@ -34,6 +34,11 @@ def with_row_id(df: DataFrame, name: str = "rid") -> DataFrame:
     return df.withColumn(name, F.monotonically_increasing_id())
 
 
+def whole_row(columns, name: str) -> Column:
+    """The named columns as one struct, so that no name can clash with others."""
+    return F.struct(*[F.col(f"`{c}`") for c in columns]).alias(name)
+
+
 def lower_ascii(text: Column) -> Column:
     """A-Z to a-z; every other character stays as it is."""
     return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)

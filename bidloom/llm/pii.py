@@ -15,7 +15,8 @@ Everything is DataFrame functions.  Texts are not shuffled; mentions are.  A fre
 frequent pattern: it is counted by partial aggregation, and edges meet scores in a join that
 adaptive execution can split.  Rounds are written to the shared folder.
 
-Defined edge cases: a null or empty text has no spans; repeated rows and ids are scanned row by
+Defined edge cases: a null or empty text has no spans; very long texts are scanned whole, in n log n
+of their matches; repeated rows and ids are scanned row by
 row, and an instance counts once per pattern however often it is repeated; extra columns are
 ignored; an empty table gives an empty table.
 """
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidloom.llm import spans as S
-from bidloom.llm.common import materialise
+from bidloom.llm.common import materialise, whole_row
 
 KINDS = ["email", "ip", "card", "phone"]
 #: A start is allowed after the previous match or where no character of the run stands before it:
@@ -121,23 +122,26 @@ def confident(mentions: DataFrame, rounds: int = 3, support: int = 5, pattern_le
 
 def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (),
          rounds: int = 3, support: int = 5, pattern_level: float = 0.6, level: float = 0.9) -> DataFrame:
-    """One row per input row: ``base`` and ``all`` spans (arrays of SPAN); ``keep`` carries columns along."""
-    extra = [c for c in keep if c != id_col]
+    """One row per input row: ``base`` and ``all`` spans (arrays of SPAN).
+
+    The columns that ``keep`` names come along in the struct ``kept``.
+    """
+    kept = [whole_row(keep, "kept")] if keep else []
+    name = ["kept"] if keep else []
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"),
-        *([F.struct(*extra).alias("kept")] if extra else []),
+        F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), *kept
     )
     rows = rows.select(
-        "doc_id", "t", *(["kept"] if extra else []), F.monotonically_increasing_id().alias("rid"), base_columns().alias("base"),
-        S.all_matches("t", WIDE, "mention", len(BASE), None, 0, "t rlike '[0-9@]'").alias("wide"),
+        "doc_id", "t", *name, F.monotonically_increasing_id().alias("rid"), base_columns().alias("base"),
+        S.all_matches("t", WIDE, "mention", len(BASE)).alias("wide"),
     )
     # Of runs that hold a base match, the other tokens remain.
-    meets = "exists({}, b -> b.start < x.end and x.start < b.end)".format
-    rows = rows.withColumn("cut", F.expr(f"filter(wide, x -> {meets('base')})"))
-    rows = rows.withColumn("single", S.all_matches("t", MENTION, "mention", len(BASE), None, 0, "size(cut) > 0"))
-    rows = rows.withColumn(
-        "more", F.expr(f"concat(filter(wide, x -> not {meets('base')}), filter(single, x -> {meets('cut')} and not {meets('base')}))")
-    ).drop("t", "wide", "cut", "single")
+    rows = rows.withColumn("cut", S.meeting("wide", "base"))
+    rows = rows.withColumn("apart", S.meeting("wide", "base", meets=False))
+    rows = rows.withColumn("single", S.all_matches("t", MENTION, "mention", len(BASE) + 1, gate="size(cut) > 0"))
+    rows = rows.withColumn("single", S.meeting("single", "cut"))
+    rows = rows.withColumn("more", F.concat("apart", S.meeting("single", "base", meets=False)))
+    rows = rows.drop("t", "wide", "cut", "apart", "single")
     rows = materialise(rows, "mentions")
     mentions = rows.select("rid", F.explode(F.concat("base", "more")).alias("x"))
     found = confident(mentions, rounds, support, pattern_level, level).select("body", F.col("of"))
@@ -147,21 +151,27 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep:
     )
     both = F.concat("base", F.coalesce("added", F.array().cast(f"array<{S.SPAN}>")))
     return rows.join(added, "rid", "left").select(
-        "doc_id", *([F.col(f"kept.{c}").alias(c) for c in extra]), "base", both.alias("all")
+        "doc_id", *name, "base", both.alias("all")
     )
 
 
-def masked(text: Column, spans: Column) -> Column:
-    """The text with each span replaced by its kind in brackets; overlapping spans are one."""
-    return F.aggregate(
-        F.sort_array(spans),
-        F.struct(F.lit(0).alias("at"), F.lit("").alias("out")),
-        lambda a, x: F.when(
-            x["start"] >= a["at"],
-            F.struct(
-                x["end"].alias("at"),
-                F.concat(a["out"], F.substr(text, a["at"] + 1, x["start"] - a["at"]), F.lit("["), x["kind"], F.lit("]")).alias("out"),
-            ),
-        ).otherwise(F.struct(F.greatest(a["at"], x["end"]).alias("at"), a["out"].alias("out"))),
-        lambda a: F.concat(a["out"], F.substr(text, a["at"] + 1)),
+def masked(text: str, spans: str, block: int = 4096) -> Column:
+    """Column ``text`` with each of ``spans`` replaced by its kind in brackets; overlapping spans are one.
+
+    The text is cut into blocks once and each gap is taken from its blocks, so that places far
+    into a long text are not looked for from its start.
+    """
+    ends = S.running("transform(x, y -> y.end)", "greatest(p, q)", "0")
+    at, to = "if(i = 0, 0, e[i - 1])", "x[i].start"
+    gap = (
+        "if({to} <= {at}, '', array_join(transform(sequence(int({at} / {n}), int(({to} - 1) / {n})), k -> substr(b[k], "
+        "greatest({at} - k * {n}, 0) + 1, least({to} - k * {n}, {n}) - greatest({at} - k * {n}, 0))), ''))"
+    ).format
+    pieces = f"transform(sequence(0, size(x) - 1), i -> if({to} < {at}, '', concat({gap(at=at, to=to, n=block)}, '[', x[i].kind, ']')))"
+    tail = gap(at="e[size(e) - 1]", to=f"char_length({text})", n=block)
+    body = f"concat(array_join({pieces}, ''), {tail})"
+    bound = (
+        f"transform(array(sort_array({spans})), x -> transform(array({ends}), e -> transform(array("
+        f"regexp_extract_all({text}, '(?s).{{1,{block}}}', 0)), b -> {body})[0])[0])[0]"
     )
+    return F.expr(f"if(size({spans}) = 0, {text}, {bound})")

@@ -17,7 +17,8 @@ bins, so no candidate list is sorted in one place; one threshold comes back.
 
 Everything is DataFrame functions.  No text is shuffled; the histogram is a partial aggregation.
 
-Defined edge cases: a null or empty text has no spans; repeated rows and ids are scanned row by
+Defined edge cases: a null or empty text has no spans; very long texts are scanned whole, in n log n
+of their matches; repeated rows and ids are scanned row by
 row; extra columns are ignored; an empty table gives an empty table.
 """
 
@@ -145,11 +146,8 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: f
          random_level: float = 0.001) -> DataFrame:
     """One row per input row: ``base`` and ``all`` spans (arrays of SPAN)."""
     rows = base_spans(docs, id_col, text_col)
-    gate = "t rlike '[A-Za-z0-9+/_=-]{20}'"
-    rows = rows.withColumn("more", S.all_matches("t", CANDIDATE, "random", len(BASE), None, 0, gate))
-    rows = rows.withColumn(
-        "more", F.expr("filter(more, x -> not exists(base, b -> b.start < x.end and x.start < b.end))")
-    )
+    rows = rows.withColumn("runs", S.all_matches("t", CANDIDATE, "random", len(BASE)))
+    rows = rows.withColumn("more", S.meeting("runs", "base", meets=False)).drop("runs")
     rows = materialise(rows.withColumn("rid", F.monotonically_increasing_id()).drop("t"), "secrets")
     tested = battery(rows.select("rid", F.explode("more").alias("x")).select("rid", "x", F.col("x.body").alias("body")))
     tested = tested.filter(F.col("p_random") >= random_level)

@@ -8,41 +8,71 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: A span: start and end (exclusive) in code points, rank and name of its kind, its text, and the
-#: words before and after it (lower case, looked for in 48 characters).
+#: words before and after it (lower case).
 SPAN = "struct<start: int, rank: int, end: int, kind: string, body: string, before: string, after: string>"
+#: Set around matches before a text is split; texts that hold it themselves get a space in its place.
+CUT = "\x01"
+#: Steps of ``running``: enough for arrays of any size.
+_STEPS = f"array({', '.join(str(1 << k) for k in range(31))})"
 
 
-def all_matches(text: str, pattern: str, kind: str, rank: int, ok: Column | None = None,
-                group: int = 0, gate: Column | None = None) -> Column:
+def running(values: str, combine: str, first: str) -> str:
+    """SQL of the running combination of an int array, each element with all before it.
+
+    Element i is combined with i - 1, then with i - 2, i - 4 and so on, so n elements take
+    n log n steps; appending to an array one element at a time would take n squared.  ``combine``
+    is SQL over ``p`` and ``q``, ``first`` what stands before the first element.
+    """
+    return (
+        f"aggregate(filter({_STEPS}, d -> d < size({values})), cast({values} as array<int>), (v, d) -> "
+        f"cast(zip_with(v, concat(array_repeat({first}, d), slice(v, 1, size(v) - d)), (p, q) -> {combine}) as array<int>))"
+    )
+
+
+def all_matches(text: str, pattern: str, kind: str, rank: int, ok: str = "true", group: int = 0,
+                gate: str = "true") -> Column:
     """Leftmost non-overlapping matches of a pattern in column ``text`` as an array of SPAN.
 
-    The texts between matches come from splitting at the same pattern; their lengths and those of
-    the matches add up to places.  ``ok`` is an SQL predicate over ``x.body`` (the match) and
-    ``x.part`` (the group), as a string; ``gate`` spares texts that cannot match.
+    The pattern runs once: matches are set off by a mark, and the text is split at the marks into
+    gaps and matches in turn, whose lengths add up to places.  The work is n log n in the matches
+    of a text, whatever their number.  ``ok`` is SQL over ``x.body`` (the match) and ``x.part``
+    (its group); ``gate`` spares texts that cannot match.
     """
-    quoted = "'" + pattern.replace("\\", "\\\\").replace("'", "\\'") + "'"
+    quote = lambda p: "'" + p.replace("\\", "\\\\").replace("'", "\\'") + "'"
     empty = f"cast(array() as array<{SPAN}>)"
-    every = f"regexp_extract_all({text}, {quoted}, 0)"
-    parts = f"regexp_extract_all({text}, {quoted}, {group})"
-    gaps = f"split({text}, {quoted})"
-    # The text after the last match pairs with no match and drops out with the filter.
-    both = f"zip_with({every}, {parts if group else every}, (m, p) -> named_struct('m', m, 'p', p))"
-    around = f"zip_with({gaps}, slice({gaps}, 2, size({gaps})), (g, h) -> named_struct('g', g, 'h', h))"
-    pairs = f"zip_with({both}, {around}, (z, w) -> named_struct('m', z.m, 'p', z.p, 'g', w.g, 'h', w.h))"
+    marked = f"split(regexp_replace(replace({text}, '{CUT}', ' '), {quote(pattern)}, '{CUT}$0{CUT}'), '{CUT}')"
+    part = f"regexp_extract(p[i], {quote('^' + pattern + '$')}, {group})" if group else "p[i]"
+    before = r"lower(reverse(regexp_extract(reverse(p[i - 1]), '^\\s*([^\\s]+)', 1)))"
+    after = r"lower(regexp_extract(p[i + 1], '^\\s*([^\\s]+)', 1))"
+    # p: gaps and matches in turn; n: where each ends.
     found = (
-        f"filter(aggregate({pairs}, named_struct('at', 0, 'out', "
-        "cast(array() as array<struct<start: int, end: int, body: string, part: string, g: string, h: string>>)), "
-        "(a, z) -> named_struct('at', a.at + char_length(z.g) + char_length(z.m), 'out', concat(a.out, array("
-        "named_struct('start', a.at + char_length(z.g), 'end', a.at + char_length(z.g) + char_length(z.m), "
-        f"'body', z.m, 'part', z.p, 'g', z.g, 'h', z.h)))), a -> a.out), x -> x.body is not null and {ok or 'true'})"
+        f"filter(transform(sequence(1, size(p) - 2, 2), i -> named_struct('start', n[i - 1], 'end', n[i], 'body', p[i], 'part', {part}, "
+        f"'i', i)), x -> {ok})"
     )
-    before = r"lower(regexp_extract(right(x.g, 48), '([^\\s]+)\\s*$', 1))"
-    after = r"lower(regexp_extract(left(x.h, 48), '^\\s*([^\\s]+)', 1))"
     made = (
-        f"transform({found}, x -> named_struct('start', x.start, 'rank', {rank}, 'end', x.end, "
-        f"'kind', '{kind}', 'body', x.body, 'before', {before}, 'after', {after}))"
+        f"transform({found}, x -> named_struct('start', x.start, 'rank', {rank}, 'end', x.end, 'kind', '{kind}', "
+        f"'body', x.body, 'before', {before.replace('[i ', '[x.i ')}, 'after', {after.replace('[i ', '[x.i ')}))"
     )
-    return F.expr(f"if(({gate or 'true'}) and {text} rlike {quoted}, {made}, {empty})")
+    places = running("transform(p, x -> char_length(x))", "p + q", "0")
+    spans = f"transform(array({marked}), p -> if(size(p) < 3, {empty}, transform(array({places}), n -> {made})[0]))[0]"
+    return F.expr(f"if({gate}, {spans}, {empty})")
+
+
+def meeting(spans: str, others: str, meets: bool = True) -> Column:
+    """Those of ``spans`` that overlap any of ``others`` (or none), by start.
+
+    Both are sorted together by start; a span meets one of the others if one that starts no later
+    ends after its start, or one that starts later starts before its end.  Others need a smaller
+    rank than the spans or another start.
+    """
+    every = f"sort_array(concat(transform({others}, x -> named_struct('x', x, 'own', 0)), transform({spans}, x -> named_struct('x', x, 'own', 1))))"
+    ends = running("transform(a, y -> if(y.own = 1, 0, y.x.end))", "greatest(p, q)", "0")
+    starts = running(f"transform(reverse(a), y -> if(y.own = 1, {2**31 - 1}, y.x.start))", "least(p, q)", str(2**31 - 1))
+    test = "(e[i] > y.x.start or s[size(s) - 1 - i] < y.x.end)"
+    kept = f"transform(filter(a, (y, i) -> y.own = 1 and {'' if meets else 'not '}{test}), y -> y.x)"
+    body = f"transform(array({every}), a -> transform(array({ends}), e -> transform(array({starts}), s -> {kept})[0])[0])[0]"
+    none = f"size({spans}) = 0 or size({others}) = 0"
+    return F.expr(f"if({none}, {f'cast(array() as array<{SPAN}>)' if meets else spans}, {body})")
 
 
 def joined(spans: Column) -> Column:

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -151,6 +152,37 @@ def test_contexts_find_shapes_of_no_base_pattern(spark):
 
 
 def test_masking(spark):
-    df = pii.find(spark.createDataFrame([(1, "mail a@b.cd now +1 (743) 555-3824."), (2, None)], "doc_id long, text string"), keep=("text",))
-    got = {r[0]: r[1] for r in df.select("doc_id", pii.masked(F.col("text"), F.col("all"))).collect()}
-    assert got == {1: "mail [email] now [phone].", 2: None}
+    rng = random.Random(4)
+    long = "".join(rng.choice(["mé ", "a.b@c.de ", "\U0001f600", "x" * 50 + " ", "10.0.0.1, "]) for _ in range(9000))
+    rows = [(1, "mail a@b.cd now +1 (743) 555-3824."), (2, None), (3, ""), (4, "a@b.cd"), (5, long), (6, "none")]
+    df = pii.find(spark.createDataFrame(rows, "doc_id long, text string"), keep=("text",))
+    got = {r[0]: r[1:] for r in df.select("doc_id", "all", F.col("kept.text").alias("text")).select("doc_id", pii.masked("text", "all"), "all").collect()}
+    assert got[1][0] == "mail [email] now [phone]." and got[2][0] is None and got[4][0] == "[email]"
+    for k, text in rows:
+        out, at = [], 0
+        for x in sorted(got[k][1]):
+            if x.start >= at:
+                out += [text[at : x.start], f"[{x.kind}]"]
+            at = max(at, x.end)
+        assert got[k][0] == ("".join([*out, text[at:]]) if text is not None else None)
+
+
+@pytest.mark.parametrize("module, piece", [
+    (secrets, "token=abcdefghijkl%06d Zq9sDk2Lw8Xc3Vb7Nm4%06d "), (pii, "a.b%d@c.de 12 "),
+])
+def test_many_matches_in_one_text(spark, module, piece):
+    n = 20_000
+    text = "".join(piece % ((k,) * piece.count("%")) for k in range(n))
+    began = time.monotonic()
+    out = module.find(spark.createDataFrame([(1, text)], "doc_id long, text string"))
+    assert out.select(F.size("base")).first()[0] == n
+    assert time.monotonic() - began < 90  # work that grows with the square of the matches takes many minutes
+
+
+def test_words_around_a_match_are_whole(spark):
+    long = "b" * 300
+    df = spark.createDataFrame([(1, f"{long} 10.0.0.1  {long}a 10.0.0.2")], "doc_id long, text string")
+    got = df.select(F.inline(spans.all_matches("text", "[0-9.]{8}", "ip", 0))).collect()
+    assert [(x.start, x.end, x.before, x.after) for x in got] == [
+        (301, 309, long, long + "a"), (613, 621, long + "a", ""),
+    ]
