@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 
@@ -50,6 +51,27 @@ def test_stages(spark, corpus):
     assert masked[5].text == docs.filter("doc_id = 5").first().text
 
 
+def test_stages_carry_any_column(spark, corpus):
+    """Names that the operators use themselves, null and repeated ids, null and repeated texts."""
+    names = "rid row _row kept all base t w hits items n_words n_hit key labels quality pattern pos text_raw".split()
+    docs = spark.read.parquet(f"{corpus}/documents.parquet").filter("doc_id < 20 or doc_id = 107")
+    docs = docs.unionByName(docs.filter("doc_id in (3, 4)")).unionByName(docs.filter("doc_id = 5").withColumn("doc_id", F.lit(None)))
+    docs = docs.unionByName(docs.filter("doc_id = 6").withColumn("text", F.lit(None)))
+    docs = docs.select("*", *[F.lit(77 + k).alias(c) for k, c in enumerate(names)]).withColumn("a b.c", F.lit("x"))
+    want = {"quality_rules": docs.filter("text is not null").count(), "near_duplicates": 22, "decontamination": docs.count(),
+            "personal_data": docs.count()}
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, corpus)
+        assert out.columns == docs.columns, name
+        rows = out.collect()
+        assert len(rows) == want[name], name
+        assert all([r[c] for c in names] == list(range(77, 77 + len(names))) and r["a b.c"] == "x" for r in rows), name
+        assert stage(spark, docs.limit(0), corpus).count() == 0
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, corpus)
+    assert pieces.filter("start = 0").count() == docs.count()
+    assert pieces.columns == corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), corpus).columns
+
+
 def test_run(spark, corpus):
     out = corpus_pipeline.run(spark, corpus)
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns)

@@ -60,7 +60,7 @@ def benchmark_rows(rows):
     texts = dict((d, t) for d, t in rows if d is not None)
     long = " ".join(words(texts[10])[50:90])
     return [(1, long), (2, "one"), (3, None), (4, ""), (5, "  ,, "), (2, "one"), (12, texts[5][:200].upper()),
-            (7, " ".join(words(texts[10])[60:73])), (8, "never seen anywhere in this text " * 4)]
+            (7, " ".join(words(texts[10])[60:73])), (None, " ".join(words(texts[10])[200:230])), (8, "never seen anywhere in this text " * 4)]
 
 
 def decontamination(rows, items):
@@ -69,7 +69,7 @@ def decontamination(rows, items):
         w = words(text)
         n = min(13, len(w))
         for i in range(len(w) - n + 1) if n else ():
-            patterns[tuple(w[i : i + n])].add(str(item))
+            patterns[tuple(w[i : i + n])].update([] if item is None else [str(item)])
     sizes = {len(p) for p in patterns}
     for doc, text in rows:
         w, hit, found = words(text), set(), set()
