@@ -4,15 +4,18 @@ Documents and benchmark items are normalised to lower-case words.  Every 13 cons
 an item (all words of a shorter one) are one pattern; one automaton over all patterns reads each
 document once, and a match is mapped to word numbers and to character offsets of the original.
 
-The benchmark is the only thing that reaches every task.  Its pattern text is measured first; a
-benchmark beyond ``block_bytes`` is split by item into blocks, each with an automaton of its own,
-and the documents pass through them one after the other, so no automaton outgrows a task.
-Documents never move: there is no shuffle, whatever keys or sources are frequent.
-
-Defined edge cases: a null or empty text has no words, is hit nowhere and is clean; an item
-without words never matches; repeated rows and ids are judged row by row, repeated item ids count
-once; an empty benchmark leaves all documents clean; columns other than the named ones are
-ignored.
+The benchmark is the only thing that reaches every task.  Its windows become a table; a benchmark
+whose windows exceed ``block_bytes`` is split by their hash into blocks, each with an automaton of
+its own that a broadcast takes to the tasks, and the documents are written with their hits between
+blocks.  So neither the driver nor a task ever holds more than one block, however large the
+benchmark, an item or a repeated id is.  Documents never move: there is no shuffle of them,
+whatever keys or sources are frequent.
+
+Defined edge cases: a null or empty text has no words, is hit nowhere and is clean; very long texts
+are read whole; an item without words never matches; an item whose id is null hits words but adds
+nothing to the list of items; repeated rows and ids are judged row by row, repeated item ids count
+once; an empty table gives an empty table; an empty benchmark leaves all documents clean; columns
+other than the named ones are ignored.
 """
 
 from __future__ import annotations
@@ -22,11 +25,14 @@ from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidloom.llm.common import byte_words
+from bidloom.llm.common import byte_words, whole_row
+from bidloom.sources.shared import Workspace
 
 WINDOW = 13
 
@@ -42,17 +48,28 @@ def windows(text: str | None, width: int = WINDOW) -> list[str]:
     ))
 
 
-def _automaton(items: list[tuple[str, str | None]], width: int):
-    owners: dict[str, list[str]] = {}
-    for item, text in items:
-        for pattern in windows(text, width):
-            owners.setdefault(pattern, []).append(item)
+def window_table(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
+    """Distinct windows: ``pattern``, and ``items``, the sorted ids of the items that have it."""
+
+    def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for item, text in zip(batch["i"], batch["t"], strict=True):
+                own = windows(text, width)
+                if own:
+                    yield pd.DataFrame({"item": item, "pattern": own})
+
+    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t"))
+    rows = items.mapInPandas(task, "item string, pattern string")
+    return rows.groupBy("pattern").agg(F.sort_array(F.collect_set("item")).alias("items"))
+
+
+def _automaton(patterns: list[tuple[str, list[str]]]):
     tree = ahocorasick.Automaton()
-    for pattern, own in owners.items():
+    for pattern, own in patterns:
         tree.add_word(pattern, (pattern.count(" ") - 1, own))
-    if owners:
+    if patterns:
         tree.make_automaton()
-    return tree if owners else None
+    return tree if patterns else None
 
 
 def spans(tree, words: list[bytes]) -> Iterator[tuple[int, int, list[str]]]:
@@ -69,16 +86,22 @@ def char_offsets(text: str) -> list[tuple[int, int]]:
     return [m.span() for m in re.finditer(r"[0-9A-Za-z\x80-\U0010ffff]+", text)]
 
 
-def _scan(items: list[tuple[str, str | None]], width: int):
+_MADE = ("n_words", "hits", "n_hit", "items")
+
+
+def _scan(patterns: Broadcast, inner: str | None):
+    """``inner`` names the text within ``kept``; else it is the column ``text``."""
+
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tree = _automaton(items, width)
+        tree = _automaton(patterns.value)
         for batch in batches:
             hits, found, sizes, counts = [], [], [], []
-            lists = (batch.column(c).to_pylist() for c in ("text", "hits", "items"))
-            for text, before, own in zip(*lists, strict=True):
+            texts = batch.column("text") if inner is None else batch.column("kept").field(inner)
+            lists = (texts, batch.column("hits"), batch.column("items"))
+            for text, before, own in zip(*(c.to_pylist() for c in lists), strict=True):
                 words = byte_words(text)
                 sizes.append(len(words))
-                names = set() if own is None else set(own)
+                names = set(own or ())
                 mask = np.frombuffer(before or b"", dtype=np.uint8)
                 if tree is not None and words:
                     seen = list(spans(tree, words))
@@ -91,44 +114,44 @@ def _scan(items: list[tuple[str, str | None]], width: int):
                 hits.append(mask.tobytes())
                 counts.append(int(np.unpackbits(mask).sum()))
                 found.append(sorted(names))
-            kept = [c for c in batch.schema.names if c not in ("n_words", "hits", "n_hit", "items")]
+            kept = [c for c in batch.schema.names if c not in _MADE]
             made = [pa.array(sizes, pa.int64()), pa.array(hits, pa.binary()), pa.array(counts, pa.int64()),
                     pa.array(found, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in kept), *made], [*kept, "n_words", "hits", "n_hit", "items"]
-            )
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *made], [*kept, *_MADE])
 
     return task
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, id_col: str = "doc_id",
-         text_col: str = "text", keep: tuple[str, ...] = (), block_bytes: int = 32_000_000) -> DataFrame:
+         text_col: str = "text", keep: tuple[str, ...] = (), block_bytes: int = 8_000_000) -> DataFrame:
     """One row per input row: n_words, n_hit, the items found, and the verdict.
 
-    ``keep`` names further columns to carry along.
+    The columns that ``keep`` names come along in the struct ``kept``.
     """
-    items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t")).filter(
-        F.col("i").isNotNull() & F.col("t").isNotNull()
-    )
+    work = Workspace(docs.sparkSession)
+    table = window_table(benchmark, width)
     # Each word starts a window of at most `width` words: text bytes times the width bound it.
-    size = items.agg(F.sum(F.octet_length("t"))).first()[0] or 0
+    size = benchmark.agg(F.sum(F.octet_length(F.col("text").cast("string")))).first()[0] or 0
     blocks = max(1, -(-size * width // block_bytes))
-    extra = [c for c in keep if c not in ("doc_id", "text", "hits", "items", "n_words", "n_hit")]
-    schema = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *extra).schema
+    if blocks > 1:
+        table = work.write(table, "windows")
+    carried = [whole_row(keep, "kept")] if keep else []
+    inner = text_col if text_col in keep else None  # then the text travels within the struct only
+    text = [F.col(text_col).alias("text")] if inner is None else []
     out = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *extra,
-        F.lit(0).cast("long").alias("n_words"), F.lit(b"").alias("hits"), F.lit(0).cast("long").alias("n_hit"),
-        F.array().cast("array<string>").alias("items"),
+        F.col(id_col).alias("doc_id"), *text, *carried, F.lit(0).cast("long").alias("n_words"),
+        F.lit(b"").alias("hits"), F.lit(0).cast("long").alias("n_hit"), F.array().cast("array<string>").alias("items"),
     )
-    form = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema)
+    form = out.schema
     for k in range(blocks):
-        own = [tuple(r) for r in items.filter(F.pmod(F.xxhash64("i"), F.lit(blocks)) == k).collect()]
-        out = out.mapInArrow(_scan(own, width), f"{form}, n_words long, hits binary, n_hit long, items array<string>")
+        own = table.filter(F.pmod(F.xxhash64("pattern"), F.lit(blocks)) == k) if blocks > 1 else table
+        patterns = docs.sparkSession.sparkContext.broadcast([tuple(r) for r in own.select("pattern", "items").collect()])
+        out = out.mapInArrow(_scan(patterns, inner), form)
+        if k < blocks - 1:
+            out = work.write(out, f"hits-{k}")
+            work.drop(f"hits-{k - 1}")
     return out.select(
-        "doc_id", *(["text"] if "text" in keep else []), *extra, "n_words", "n_hit",
-        F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"),
-        "items",
+        "doc_id", *(["kept"] if keep else []), "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "items",
         ((F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))).alias("contaminated"),
     )
-
