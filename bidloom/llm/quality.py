@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidloom.llm.common import materialise
+from bidloom.llm.common import materialise, whole_row
 
 #: name, SQL for "bad", SQL for "good"; neither: abstain.  Over the columns of ``features``.
 RULES = [
@@ -38,7 +38,7 @@ RULES = [
 def features(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              keep: tuple[str, ...] = ()) -> DataFrame:
     """Counts that the rules read, one row per input row; ``kept_row`` carries columns along."""
-    carried = [F.struct(*keep).alias("kept_row")] if keep else []
+    carried = [whole_row(keep, "kept_row")] if keep else []
     names = ["kept_row"] if keep else []
     out = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("t"), *carried)
     out = out.select(
