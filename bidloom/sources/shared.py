@@ -27,15 +27,23 @@ class Workspace:
     """Intermediate tables of one job, as Parquet below one new path of the shared folder.
 
     A written table cuts the lineage: what follows reads files, so a lost executor neither repeats
-    what came before nor sees other row ids than the first reader did.
+    what came before nor sees other row ids than the first reader did.  The shuffles of a write end
+    with it, as nothing reads them again.
     """
 
+    _ENDED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
     def __init__(self, spark: SparkSession):
         self.spark, self.path = spark, shared_folder(spark)
 
     def write(self, df: DataFrame, tag: str) -> DataFrame:
         """``df`` as a written table."""
-        df.write.parquet(f"{self.path}/{tag}")
+        before = self.spark.conf.get(self._ENDED, "false")
+        self.spark.conf.set(self._ENDED, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(f"{self.path}/{tag}")
+        finally:
+            self.spark.conf.set(self._ENDED, before)
         return self.spark.read.schema(df.schema).parquet(f"{self.path}/{tag}")
 
     def drop(self, *tags: str) -> None:
