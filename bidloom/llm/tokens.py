@@ -8,7 +8,7 @@ document.  Ids are never held.
 
 Skew: a pre-token that makes up more than 1/``head`` of all frequencies is frequent.  There can be
 at most ``head`` such pre-tokens, and only those of at most 64 bytes are taken, so their table has a
-proven bound (some 30 MB at the default) and is broadcast; they are summed within the task that
+proven bound (some 50 MB at the default) and is broadcast; they are summed within the task that
 reads them.  The others are shuffled to their piece counts, once per document that has them.
 
 Defined edge cases: a null or empty text has no tokens; very long texts are split whole, and very
@@ -89,7 +89,7 @@ def piece_counts(vocabulary: DataFrame, path: str) -> DataFrame:
     return vocabulary.mapInPandas(task, "p string, docs long, n_pieces long")
 
 
-def count(docs: DataFrame, model: str, limit: int = 4096, head: int = 300_000, id_col: str = "doc_id",
+def count(docs: DataFrame, model: str, limit: int = 4096, head: int = 500_000, id_col: str = "doc_id",
           text_col: str = "text") -> DataFrame:
     """One row per input row: n_bytes, n_tokens and whether they are over the limit."""
     check_model(model)
@@ -102,8 +102,9 @@ def count(docs: DataFrame, model: str, limit: int = 4096, head: int = 300_000, i
     frequent = (F.col("docs") * F.lit(head) > F.lit(total)) & (F.octet_length("p") <= 64)
     top = F.broadcast(vocabulary.filter(frequent).select("p", "n_pieces"))
     rest = vocabulary.filter(~frequent).select("p", "n_pieces")
-    known = parts.join(top, "p").groupBy("rid").agg(F.sum(F.col("c") * F.col("n_pieces")).alias("n"))
-    rare = parts.join(top.select("p"), "p", "left_anti").hint("shuffle_hash").join(rest.hint("shuffle_hash"), "p")
+    met = parts.join(top, "p", "left")
+    known = met.filter("n_pieces is not null").groupBy("rid").agg(F.sum(F.col("c") * F.col("n_pieces")).alias("n"))
+    rare = met.filter("n_pieces is null").drop("n_pieces").hint("shuffle_hash").join(rest.hint("shuffle_hash"), "p")
     rare = rare.groupBy("rid").agg(F.sum(F.col("c") * F.col("n_pieces")).alias("n"))
     none = F.lit(None).cast("long")
     own = rows.select("rid", "doc_id", "n_bytes", F.col("n_lines").alias("n"))
