@@ -13,14 +13,16 @@ and only classes that still hold more than one suffix go on:
    else ends here, one whose bytes are met again is repeated as a whole.
 4. Full 200-byte classes, for the strings of the blocks that are left.
 
-Classes are 64-bit hashes, counted by partial aggregation: a passage that a third of all rows
-share is a few keys whose counts are added before the shuffle.  Nothing gathers a class in one
-task.  Texts equal to another text are settled by their digest and one of them stands for all.
-Row keys follow the split of the input (see ``with_row_id``), so ``docs`` must be a stable table.
+Classes are named by two 64-bit hashes of different functions, that of the anchor and that of the
+bytes, so 1e11 different strings meet by chance once in some 1e16 such corpora.  They are counted by
+partial aggregation: a passage that a third of all rows share is a few keys whose counts are added
+before the shuffle.  Nothing gathers a class in one task.  Texts equal to another text are settled
+by their digest and one of them stands for all.  The rows are written once with their keys, and all
+later steps read those; tables are deleted when no later step reads them.
 
 Defined edge cases: a null or empty text has no bytes; texts under ``width`` bytes lose nothing;
-repeated rows of ``width`` bytes or more lose everything; extra columns are ignored; an empty
-table gives an empty table.
+repeated rows of ``width`` bytes or more lose everything; a very long text is cut into its runs as a
+whole, within one task; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -34,7 +36,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bidloom.llm.common import materialise, with_row_id
+from bidloom.llm.common import with_row_id
+from bidloom.sources.shared import Workspace
 
 WIDTH, ANCHOR, BLOCK = 200, 32, 16
 _BYTE = np.random.default_rng(77).integers(0, 2**63, 256, dtype=np.uint64)
@@ -133,15 +136,19 @@ def blocks_of(data: bytes, a: int, b: int, p: int, width: int) -> list[tuple[int
 def remove(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, id_col: str = "doc_id",
            text_col: str = "text", with_text: bool = False) -> DataFrame:
     """One row per input row: n_bytes, n_removed, n_spans, kept_sha256 (and ``kept`` bytes)."""
+    work = Workspace(docs.sparkSession)
     rows = with_row_id(docs.select(F.col(id_col).cast("string").alias("doc_id"), F.col(text_col).alias("t")))
-    sampled = materialise(rows.mapInPandas(*_sample(width, anchor)), "anchors")
+    rows = work.write(rows, "rows")
+    sampled = work.write(rows.mapInPandas(*_sample(width, anchor)), "anchors")
     same = sampled.filter(F.col("n_bytes") >= width).groupBy("sha").agg(F.min("rid").alias("rid"), F.count("*").alias("c"))
-    same = materialise(same, "texts")
+    same = work.write(same, "texts")
     alone = sampled.select("rid", "h", "n").join(same.select("rid"), "rid", "left_semi")
     seen = alone.select("rid", F.explode(F.arrays_zip("h", "n")).alias("x")).select("rid", "x.h", "x.n")
     often = seen.groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
     chosen = seen.select("rid", "h").join(often, "h").groupBy("rid").agg(F.sort_array(F.collect_set("h")).alias("chosen"))
-    texts = materialise(rows.select("rid", "t").join(chosen, "rid"), "shared")
+    texts = work.write(rows.select("rid", "t").join(chosen, "rid"), "shared")
+    if not with_text:
+        work.drop("rows")
 
     def find_runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -150,8 +157,8 @@ def remove(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, id_col: st
                 out += [(rid, *r) for r in runs_of(text.encode("utf-8", "surrogatepass"), np.asarray(own), width, anchor)]
             yield pd.DataFrame(out, columns=["rid", "a", "b", "p", "h", "whole"])
 
-    runs = materialise(texts.mapInPandas(find_runs, "rid long, a int, b int, p int, h long, whole long"), "runs")
-    classes = materialise(
+    runs = work.write(texts.mapInPandas(find_runs, "rid long, a int, b int, p int, h long, whole long"), "runs")
+    classes = work.write(
         runs.groupBy("h", "whole").agg(F.count("*").alias("c"), F.min(F.struct("rid", "a")).alias("head")), "classes"
     )
     # An anchor's strings need comparing where one of its runs is not repeated as a whole and it has several.
@@ -171,7 +178,7 @@ def remove(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, id_col: st
                 out += [(rid, r["a"], r["b"], r["p"], r["h"], data[r["a"] : r["b"] + width]) for r in own]
             yield pd.DataFrame(out, columns=["rid", "a", "b", "p", "h", "bytes"])
 
-    pieces = materialise(
+    pieces = work.write(
         texts.select("rid", "t").join(plan, "rid").mapInPandas(cut_runs, "rid long, a int, b int, p int, h long, bytes binary"),
         "pieces",
     )
@@ -184,8 +191,8 @@ def remove(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, id_col: st
             yield pd.DataFrame(out, columns=["rid", "a", "h", "k", "first", "last", "core", "whole"])
 
     form = "rid long, a int, h long, k int, first int, last int, core long, whole long"
-    blocks = materialise(pieces.mapInPandas(find_blocks, form), "blocks")
-    kinds = materialise(
+    blocks = work.write(pieces.mapInPandas(find_blocks, form), "blocks")
+    kinds = work.write(
         blocks.groupBy("h", "k", "core", "whole").agg(F.count("*").alias("c"), F.min(F.struct("rid", "a")).alias("head")), "kinds"
     )
     several = kinds.groupBy("h", "k", "core").agg(F.min("c").alias("least"), F.count("*").alias("n"))
@@ -201,15 +208,17 @@ def remove(docs: DataFrame, width: int = WIDTH, anchor: int = ANCHOR, id_col: st
             for r in batch.itertuples(index=False):
                 for k in r.ks:
                     first, last = max(r.a, r.p - k * BLOCK - BLOCK + 1), min(r.b, r.p - k * BLOCK)
-                    out += [(r.rid, s, _digest(r.bytes[s - r.a : s - r.a + width])) for s in range(first, last + 1)]
-            yield pd.DataFrame(out, columns=["rid", "a", "w"])
+                    out += [(r.rid, s, r.h, _digest(r.bytes[s - r.a : s - r.a + width])) for s in range(first, last + 1)]
+            yield pd.DataFrame(out, columns=["rid", "a", "h", "w"])
 
-    fine = materialise(pieces.join(left, ["rid", "a"]).mapInPandas(strings, "rid long, a int, w long"), "strings")
-    twice = fine.groupBy("w").agg(F.count("*").alias("c")).filter("c > 1").select("w")
-    single = fine.join(twice, "w", "left_semi").select("rid", "a", F.col("a").alias("b")).unionByName(again)
+    fine = work.write(pieces.join(left, ["rid", "a"]).mapInPandas(strings, "rid long, a int, h long, w long"), "strings")
+    twice = fine.groupBy("h", "w").agg(F.count("*").alias("c")).filter("c > 1").select("h", "w")
+    single = fine.join(twice, ["h", "w"], "left_semi").select("rid", "a", F.col("a").alias("b")).unionByName(again)
     marks = whole.select("rid", "a", "b").unionByName(single).groupBy("rid").agg(
         F.collect_list(F.struct("a", "b")).alias("marks")
     )
+    marks = work.write(marks, "marks")
+    work.drop("runs", "classes", "pieces", "blocks", "kinds", "strings")
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:

@@ -46,7 +46,7 @@ def shared_rows():
 
 @pytest.mark.parametrize("width, anchor", [(200, 32), (40, 8)])
 def test_removed_bytes(spark, no_docs, width, anchor):
-    rows = shared_rows() + [r for r in document_rows() if r[0] not in (10, 12, 15)]
+    rows = shared_rows() + document_rows()
     docs = spark.createDataFrame([(*r, "x", 1) for r in rows], "doc_id long, text string, sha string, n int").repartition(3).cache()
     out = repeats.remove(docs, width, anchor, with_text=True).cache()
     key = lambda r: tuple((x is not None, x) for x in r)
