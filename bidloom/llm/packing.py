@@ -23,6 +23,8 @@ packed row by row; extra columns are ignored; an empty table gives an empty tabl
 from __future__ import annotations
 
 import re
+import sys
+import types
 import zlib
 from collections.abc import Iterator
 
@@ -40,39 +42,50 @@ _UNIT = re.compile(r"[^ \t\n\x0b\f\r]+")
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
+def _worker_tables() -> dict:
+    """Tables that stay with a Python worker, which serves many tasks: this package comes to each task anew."""
+    home = sys.modules.setdefault("bidloom_worker_tables", types.ModuleType("bidloom_worker_tables"))
+    return home.__dict__
+
+
 class WordTokenizer:
-    """Ids of a text as bytes of little-endian 32-bit numbers, by a table of its words."""
+    """Ids of a text as bytes of little-endian 32-bit numbers, by a table of its words.
+
+    The table has two generations of at most ``words`` entries each: a full one becomes the old
+    one, and words that are met again move to the new one.  So frequent words stay and memory is
+    bounded.
+    """
 
-    def __init__(self, path: str, words: int = 1_000_000):
+    def __init__(self, path: str, words: int = 200_000):
         import tokenizers
 
         self.tool, self.words = tokenizers.Tokenizer.from_file(path), words
-        # A Python worker serves many tasks, but this package comes to each anew; the table stays
-        # with the library, so later tasks find the words of earlier ones.
-        self.table = tokenizers.__dict__.setdefault("_word_tables", {}).setdefault(path, {})
+        self.kept = _worker_tables().setdefault(path, {"new": {}, "old": {}})
+        self.table = self.kept["new"]
         self.special = [t.content for t in self.tool.get_added_tokens_decoder().values()]
         size = self.tool.get_vocab_size()
         self.last = np.array([(self.tool.id_to_token(k) or "").endswith("</w>") for k in range(size)])
 
-    def add(self, texts: list[str | None]) -> None:
-        """Tokenise at once all words of ``texts`` that the table lacks.
+    def add(self, texts: list[list[str]]) -> None:
+        """Tokenise at once all words of ``texts`` (lists of words) that the table lacks.
 
         Punctuation after a letter or digit is a token run of its own, so it is looked up apart
         and words that differ by it share their letters' entry.
         """
-        new = set()
-        for text in texts:
-            new.update(_UNIT.findall(text or ""))
-        table = self.table
-        if len(table) > self.words:
-            table.clear()
-        new = [w for w in new if w not in table]
+        if len(self.table) > self.words:
+            self.kept["old"], self.kept["new"] = self.table, {}
+            self.table = self.kept["new"]
+        table, old = self.table, self.kept["old"]
+        new = [w for w in set().union(*texts) if w not in table]
+        table.update((w, old[w]) for w in new if w in old)
+        new = [w for w in new if w not in old]
         split = {}
         for w in new:
             core = w.rstrip(_MARKS)
             if core and core != w and core[-1].isalnum() and not any(x in w for x in self.special):
                 split[w] = (core, w[len(core) :])
         parts = {p for pair in split.values() for p in pair} | {w for w in new if w not in split}
+        table.update((p, old[p]) for p in parts if p in old)
         parts = [p for p in parts if p not in table]
         letters = [p for p in parts if p.isalpha()]
         for at in range(0, len(letters), 2000):
@@ -100,9 +113,12 @@ class WordTokenizer:
             for word, got in zip(part, self.tool.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 self.table[word] = np.array(got.ids, dtype="<u4").tobytes()
 
-    def ids(self, text: str | None) -> bytes:
-        table = self.table
-        return b"".join([table[w] for w in _UNIT.findall(text or "")])
+    def ids(self, words: list[str]) -> bytes:
+        return b"".join(map(self.table.__getitem__, words))
+
+
+def split_words(text: str | None) -> list[str]:
+    return _UNIT.findall(text or "")
 
 
 class Packer:
@@ -225,7 +241,7 @@ def pack(docs: DataFrame, tokenizer: str, limit: int = 2048, smallest: int = 256
 
         for batch in batches:
             for at in range(0, len(batch), 500):
-                texts = batch["text"].iloc[at : at + 500].tolist()
+                texts = [split_words(x) for x in batch["text"].iloc[at : at + 500]]
                 words.add(texts)
                 for doc, text in zip(batch["doc_id"].iloc[at : at + 500].tolist(), texts, strict=True):
                     packer.add((None if doc is None else int(doc), words.ids(text) + closing))
