@@ -368,7 +368,8 @@ def join(docs: DataFrame, threshold: float = THRESHOLD, target: float = 0.99999,
         known = depth + 1 if found else None
         picked = work.write(candidates(meetings(reps, depth, block), reps, depth, known, lowest), f"picked-{depth}")
         needed = reps.join(picked.select("rid").distinct(), "rid", "left_semi").select("rid", "copies", "labels")
-        sets = rows.select("rid", "t").join(needed, "rid").mapInPandas(
+        # Texts meet their keys by a shuffle at every size: how many are needed has no bound.
+        sets = rows.select("rid", "t").join(needed.hint("merge"), "rid").mapInPandas(
             set_task, "rid long, copies long, labels binary, shingles binary"
         )
         links = work.write(verify(picked, sets, depth, known, threshold, lowest), f"links-{depth}")
