@@ -44,6 +44,12 @@ select cast(l_orderkey as string) || '-' || cast(l_suppkey as string) || '-' ||
     || case when l_returnflag = 'A' then ' We are not blacklisted.' else '' end
     || case when l_partkey % 4 <> 0 then ' Completed ' || cast(cast(l_quantity as bigint) as string) || ' similar projects.' else '' end as text
 from {lineitem}""",
+    "signal_docs": """
+select id, text
+    || case doc_pos % 7 when 0 then ' NABL lab, ISO-14001 and ISO 27001.' when 1 then ' GSTIN 22ABCDE1234F1Z5 of the firm.' when 2 then ' Goods and services tax is paid.' when 3 then ' An undertaking of compliance follows, and certificates are enclosed with it.' else '' end
+    || case doc_pos % 5 when 0 then ' Registered company with Udyam number.' when 1 then ' PAN ABCDE1234F.' when 2 then ' The firm was debarred.' when 3 then ' TDS with TAN ABCD12345E.' else '' end
+    || case doc_pos % 6 when 0 then ' We have 12+ years and 9 years.' when 1 then ' 34 technical staff, 40 engineers.' when 2 then ' 250 full-time employees.' when 3 then ' Valid for 120 days.' when 4 then ' 7 yrs, 15 works, 80 personnel.' else '' end as text
+from {bidder_docs}""",
     "criteria": """
 select cast(t.id as string) || '-' || k.field as id, t.id as tender_id, k.field, k.operator,
   cast(case when k.field = 'annual_turnover' then 1000000.0 * (1 + t.id % 50)
@@ -119,7 +125,7 @@ from {lineitem}""",
     "overrides": """
 select b.tender_id, b.id as bidder_id, cast(b.tender_id as string) || '-annual_turnover' as criterion_id,
   case when b.tender_id % 4 = 0 then 'NOT_ELIGIBLE' when b.tender_id % 4 = 1 then 'MAYBE' else 'ELIGIBLE' end as verdict,
-  case when b.tender_id % 9 = 0 then 'too short' else 'Figures were checked against the signed original.' end as justification,
+  case when b.tender_id % 9 = 0 then 'too short' else 'Figures were checked against the signed original, PAN ABCPE1234F.' end as justification,
   b.tender_id % 77 as officer_id, b.tender_id * 10 + v.k as version
 from {bidders} b cross join (values (1), (2)) as v(k) where b.tender_id % 5 = 0""",
 }

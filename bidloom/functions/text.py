@@ -48,24 +48,46 @@ def mask_ids(text: Column) -> Column:
     return F.regexp_replace(text, r"\b[A-Z]{5}[0-9]([0-9]{3}[A-Z])\b", "[PAN:******$1]")
 
 
+def replace_each(text: Column, pattern: str, change) -> Column:
+    """Every match of a pattern changed where it stands: gaps and changed matches, joined in turn."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), change)
+    gaps = F.split(text, pattern)
+    return F.array_join(F.zip_with(gaps, found, lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+
+
 def mask_aadhaar(text: Column) -> Column:
-    """Twelve digits (also 4-4-4), in no longer run, that pass the checksum."""
-    pattern = r"(?<![0-9])[0-9]{4}[\s-]?[0-9]{4}[\s-]?[0-9]{4}(?![0-9])"
-    found = F.array_distinct(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)))
-    good = F.filter(found, lambda x: verhoeff_ok(F.regexp_replace(x, "[^0-9]", "")))
-    mask = lambda a, x: F.replace(a, x, F.concat(F.lit("[AADHAAR:********"), F.right(x, F.lit(4)), F.lit("]")))
-    return F.aggregate(good, text, mask)
+    """Twelve digits (also 4-4-4), in no longer run, that pass the checksum; Devanagari digits count."""
+    digit = "[0-9०-९]"
+    pattern = rf"(?<!{digit}){digit}{{4}}[\s-]?{digit}{{4}}[\s-]?{digit}{{4}}(?!{digit})"
+
+    def mask(m):
+        bare = F.regexp_replace(m, r"[\s-]", "")
+        good = verhoeff_ok(F.translate(bare, "०१२३४५६७८९", "0123456789"))
+        return F.when(good, F.concat(F.lit("[AADHAAR:********"), F.right(bare, F.lit(4)), F.lit("]"))).otherwise(m)
+
+    return F.when(text.rlike(pattern), replace_each(text, pattern, mask)).otherwise(text)
 
 
 def redact(text: Column) -> Column:
     return mask_aadhaar(mask_ids(text))
 
 
+def redact_json(payload: Column) -> Column:
+    """Masks within the string values of a JSON text, at any depth; keys and numbers stay.
+
+    A text that is no JSON is masked as a whole.
+    """
+    literal = r'"(?:[^"\\]|\\.)*+"(?:\s*+:)?'
+    inside = replace_each(payload, literal, lambda m: F.when(m.endswith(":"), m).otherwise(redact(m)))
+    return F.when(F.try_parse_json(payload).isNotNull(), inside).otherwise(redact(payload))
+
+
 def ocr_repair(text: Column) -> Column:
-    """The letter O within runs of an amount becomes zero, unless a dash, slash or letter follows."""
-    return F.regexp_replace(
-        text, r"(?U)(?<=[\d,₹.][Oo\d,₹.]{0,64})[Oo](?=[Oo\d,₹.]*(?:[^\d,₹.Oo\-/\\A-Za-z]|$))", "0"
-    )
+    """The letter O within the run of an amount becomes zero, unless a dash, slash or letter follows the run."""
+    own = r"\p{Nd},₹."
+    pattern = rf"(?<![{own}])[{own}]++[Oo][Oo{own}]*+(?![-/\\A-Za-z])"
+    changed = replace_each(text, pattern, lambda m: F.translate(m, "Oo", "00"))
+    return F.when(text.rlike(rf"[{own}][Oo]"), changed).otherwise(text)
 
 
 def checksum(payload: Column) -> Column:
@@ -107,20 +129,25 @@ def action_label(action: Column) -> Column:
 
 
 def chunks(text: Column, most: int = 4000) -> Column:
-    """Pieces of at most ``most`` characters, broken at line feeds; longer lines are cut hard."""
+    """Pieces of at most ``most`` characters, broken at line feeds; longer lines are cut hard.
+
+    A text that fits stays whole, and an empty one has no pieces.  Nothing is put before the next
+    line while a piece is still empty, so line feeds at the start of a piece are lost.
+    """
     line_parts = F.flatten(F.transform(F.split(text, "\n"), lambda x: F.when(
         F.char_length(x) <= most, F.array(x)).otherwise(F.transform(
             F.sequence(F.lit(0), F.floor((F.char_length(x) - 1) / most).cast("int")),
             lambda i: F.substr(x, i * most + 1, F.lit(most))))))
     form = "struct<done: array<string>, now: string>"
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("now")).cast(form)
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("now")).cast(form)
 
     def step(a, x):
         fits = F.char_length(a["now"]) + 1 + F.char_length(x) <= most
         return (
-            F.when(a["now"].isNull(), F.struct(a["done"].alias("done"), x.alias("now")))
+            F.when(a["now"] == "", F.struct(a["done"].alias("done"), x.alias("now")))
             .when(fits, F.struct(a["done"].alias("done"), F.concat(a["now"], F.lit("\n"), x).alias("now")))
             .otherwise(F.struct(F.concat(a["done"], F.array(a["now"])).alias("done"), x.alias("now"))).cast(form)
         )
 
-    return F.aggregate(line_parts, start, step, lambda a: F.when(a["now"].isNull(), a["done"]).otherwise(F.concat(a["done"], F.array(a["now"]))))
+    cut = F.aggregate(line_parts, start, step, lambda a: F.when(a["now"] == "", a["done"]).otherwise(F.concat(a["done"], F.array(a["now"]))))
+    return F.when(text == "", F.array().cast("array<string>")).when(F.char_length(text) <= most, F.array(text)).otherwise(cut)

@@ -2,6 +2,9 @@
 
 Patterns run on the lower-cased text; a clause is cut from the original at the same offsets.
 Digits are Unicode digits, as the rules have it.
+
+Each pattern looks through a text once: a first projection finds where it matches, and what a rule
+takes from the match is read at that place.
 """
 
 from __future__ import annotations
@@ -14,7 +17,7 @@ from pyspark.sql import functions as F
 from bidloom.functions import patterns as P
 from bidloom.operators.evidence import amount_inr
 
-_U = "(?iU)"
+_U = "(?U)"
 RULE = (
     "struct<field: string, operator: string, value: double, unit: string, mandatory: boolean, priority: string, "
     "extraction_confidence: double, semantic_ambiguity_score: double, text_raw: string, source_clause: string>"
@@ -59,18 +62,41 @@ BLACKLIST = ("blacklisting_declaration", r"black[\s\-]*list|debar(?:red|ment)|no
 # --------------------------------------------------------------------------------------------
 
 
-def first_match(t: Column, pattern: str, group: int = 0) -> Column:
-    """The first match (or its group), null where there is none."""
-    return F.when(t.rlike(_U + pattern), F.regexp_extract(t, _U + pattern, group))
+class Found:
+    """A text column, and the places at which patterns match in it."""
+
+    def __init__(self, text: str = "text"):
+        self.raw, self.low, self.patterns = F.col(text), F.col("_low"), {}
+
+    def at(self, pattern: str) -> Column:
+        """Where the pattern matches first, from 1; 0 if nowhere."""
+        return F.col(self.patterns.setdefault(pattern, f"_at{len(self.patterns)}"))
+
+    def hit(self, pattern: str) -> Column:
+        return self.at(pattern) > 0
+
+    def group(self, pattern: str, group: int = 0, room: int = 2000) -> Column:
+        """A group of the first match, read where it stands; a match is far shorter than ``room``."""
+        return F.regexp_extract(F.substr(self.low, self.at(pattern), F.lit(room)), f"{_U}^(?:{pattern})", group)
 
+    def clause(self, pattern: str, around: int = 80, most: int = 400) -> Column:
+        """The original text from 80 characters before the match to 80 after it, white space collapsed."""
+        at = self.at(pattern) - 1
+        start = F.greatest(F.lit(0), at - around)
+        cut = F.substr(self.raw, start + 1, at + F.char_length(self.group(pattern)) + around - start)
+        return F.when(self.hit(pattern), F.left(F.trim(F.regexp_replace(cut, r"(?U)\s+", " ")), F.lit(most)))
 
-def source_clause(text: Column, t: Column, pattern: str, around: int = 80, most: int = 400) -> Column:
-    """The original text from 80 characters before the match to 80 after it, white space collapsed."""
-    whole = F.regexp_extract(t, _U + pattern, 0)
-    at = F.regexp_instr(t, F.lit(_U + pattern)) - 1
-    start = F.greatest(F.lit(0), at - around)
-    cut = F.substr(text, start + 1, at + F.char_length(whole) + around - start)
-    return F.when(t.rlike(_U + pattern), F.left(F.trim(F.regexp_replace(cut, r"(?U)\s+", " ")), F.lit(most)))
+    def locate(self, docs: DataFrame, keys: tuple[str, ...], text: str = "text") -> DataFrame:
+        """``keys``, the text and the places of all patterns asked for so far."""
+        low = docs.select(*keys, F.col(text).alias(text), F.lower(text).alias("_low"))
+        return low.select("*", *[F.coalesce(F.regexp_instr("_low", F.lit(_U + p)), F.lit(0)).alias(n) for p, n in self.patterns.items()])
+
+
+def source_clause(docs: DataFrame, pattern: str, key: str = "tender_id") -> DataFrame:
+    """The clause around the first match of one pattern, null where there is none."""
+    found = Found()
+    clause = found.clause(pattern)
+    return found.locate(docs, (key,)).select(key, clause.alias("clause"))
 
 
 def _rule(cond, field, operator, value, unit, mandatory, priority, conf, amb, raw, clause) -> Column:
@@ -83,16 +109,12 @@ def _rule(cond, field, operator, value, unit, mandatory, priority, conf, amb, ra
     return F.when(cond, made)
 
 
-def _pick(*pairs: tuple[Column, Column]) -> Column:
-    return reduce(lambda a, p: a.when(*p) if a is not None else F.when(*p), pairs, None)
-
-
-def amount_rules(text: Column) -> list[Column]:
-    t, out = F.lower(text), []
+def amount_rules(text: Found) -> list[Column]:
+    out = []
     for field, lead, priority, conf, amb, fallback in AMOUNT_RULES:
         pattern = lead + r"[^\n\d]{0,40}" + P.AMOUNT
-        hit = t.rlike(_U + pattern)
-        value = amount_inr(F.regexp_extract(t, _U + pattern, 1), F.regexp_extract(t, _U + pattern, 2))
+        hit = text.hit(pattern)
+        value = amount_inr(text.group(pattern, 1), text.group(pattern, 2))
         if field == "annual_turnover":
             value, good = F.when(value <= 0, 5e7).otherwise(value), hit & value.isNotNull()
         elif field == "net_worth":
@@ -100,51 +122,48 @@ def amount_rules(text: Column) -> list[Column]:
         else:
             good = hit & value.isNotNull()
         own = _rule(good, field, ">=", value, "INR", True, priority, F.lit(conf), F.lit(amb),
-                    F.trim(F.regexp_extract(t, _U + pattern, 0)), source_clause(text, t, pattern))
+                    F.trim(text.group(pattern)), text.clause(pattern))
         if fallback:
             seen, raw, v, c, a = fallback
-            other = _rule(~hit & t.rlike(_U + seen), field, ">=", F.lit(v), "INR", True, priority, F.lit(c), F.lit(a),
-                          F.lit(raw), source_clause(text, t, seen))
+            other = _rule(~hit & text.hit(seen), field, ">=", F.lit(v), "INR", True, priority, F.lit(c), F.lit(a),
+                          F.lit(raw), text.clause(seen))
             own = F.coalesce(own, other)
         out.append(own)
     return out
 
 
-def count_rules(text: Column) -> list[Column]:
-    t = F.lower(text)
-    number = lambda p: F.regexp_extract(t, _U + p, 1).try_cast("double")
-    raw = lambda p: F.trim(F.regexp_extract(t, _U + p, 0))
+def count_rules(text: Found) -> list[Column]:
+    number = lambda p: F.when(text.hit(p), text.group(p, 1).try_cast("double"))
+    raw = lambda p: F.trim(text.group(p))
     letters = "experience_letters,work_order,supporting"
-    years = _rule(t.rlike(_U + EXPERIENCE), "experience_years", ">=", number(EXPERIENCE), "years", True, letters, F.lit(0.78),
-                  F.lit(0.15), raw(EXPERIENCE), source_clause(text, t, EXPERIENCE))
-    spoken = _rule(t.rlike(_U + EXPERIENCE_WORDS), "experience_years", ">=", F.lit(3.0), "years", True, letters, F.lit(0.55),
+    years = _rule(text.hit(EXPERIENCE), "experience_years", ">=", number(EXPERIENCE), "years", True, letters, F.lit(0.78),
+                  F.lit(0.15), raw(EXPERIENCE), text.clause(EXPERIENCE))
+    spoken = _rule(text.hit(EXPERIENCE_WORDS), "experience_years", ">=", F.lit(3.0), "years", True, letters, F.lit(0.55),
                    F.lit(0.3), F.lit("Relevant experience / similar contracts"),
-                   source_clause(text, t, EXPERIENCE_WORDS))
-    projects = _rule(t.rlike(_U + PROJECTS) & number(PROJECTS).between(1, 50), "similar_projects_count", ">=",
+                   text.clause(EXPERIENCE_WORDS))
+    projects = _rule(number(PROJECTS).between(1, 50), "similar_projects_count", ">=",
                      number(PROJECTS), "count", True, "experience_letters,work_order", F.lit(0.7), F.lit(0.22),
-                     raw(PROJECTS), source_clause(text, t, PROJECTS))
-    whole = F.regexp_extract(t, _U + MANPOWER, 0)
+                     raw(PROJECTS), text.clause(PROJECTS))
+    whole = text.group(MANPOWER)
     kind = F.when(whole.contains("engineer") | whole.contains("technical"), "technical_staff_count").otherwise("manpower_count")
-    people = _rule(t.rlike(_U + MANPOWER) & number(MANPOWER).between(1, 100000), kind, ">=", number(MANPOWER), "count", True,
+    people = _rule(number(MANPOWER).between(1, 100000), kind, ">=", number(MANPOWER), "count", True,
                    "pf_records,epf_statement,hr_certificate,supporting", F.lit(0.7), F.lit(0.2), raw(MANPOWER),
-                   source_clause(text, t, MANPOWER))
+                   text.clause(MANPOWER))
     return [F.coalesce(years, spoken), projects, people]
 
 
-def presence_rules(text: Column, rules=None) -> list[Column]:
-    t = F.lower(text)
+def presence_rules(text: Found, rules=None) -> list[Column]:
     return [
-        _rule(t.rlike(_U + test), field, "==", F.lit(1.0), "bool", must, priority, F.lit(conf), F.lit(amb), F.lit(raw),
-              source_clause(text, t, clause or test))
+        _rule(text.hit(test), field, "==", F.lit(1.0), "bool", must, priority, F.lit(conf), F.lit(amb), F.lit(raw),
+              text.clause(clause or test))
         for field, test, clause, raw, must, priority, conf, amb in (rules or PRESENCE_RULES)
     ]
 
 
-def validity_rules(text: Column) -> list[Column]:
-    t = F.lower(text)
+def validity_rules(text: Found) -> list[Column]:
     found = [
-        _rule(t.rlike(_U + p), "bid_validity_days", ">=", F.regexp_extract(t, _U + p, 1).try_cast("double"), "days", True,
-              "bid_form,supporting", F.lit(conf), F.lit(amb), F.trim(F.regexp_extract(t, _U + p, 0)), source_clause(text, t, p))
+        _rule(text.hit(p), "bid_validity_days", ">=", text.group(p, 1).try_cast("double"), "days", True,
+              "bid_form,supporting", F.lit(conf), F.lit(amb), F.trim(text.group(p)), text.clause(p))
         for p, conf, amb in VALIDITY
     ]
     return [F.coalesce(*found)]
@@ -155,13 +174,15 @@ def category(field: Column) -> Column:
     return F.coalesce(F.try_element_at(table, field), F.lit("general"))
 
 
-def emit(docs: DataFrame, rules: list[Column], keys: tuple[str, ...] = ("tender_id",),
-         otherwise: Column | None = None) -> DataFrame:
+def emit(docs: DataFrame, rules, keys: tuple[str, ...] = ("tender_id",), otherwise: Column | None = None) -> DataFrame:
     """Rule rows of each text in emission order, the first of each field only.
 
-    ``otherwise`` is the one rule of a text that gives none.
+    ``rules`` gives the rule columns of a ``Found``; ``otherwise`` is the one rule of a text that
+    gives none.
     """
-    found = docs.select(*keys, F.array_compact(F.array(*[r.cast(RULE) for r in rules])).alias("r"))
+    text = Found()
+    made = F.array_compact(F.array(*[r.cast(RULE) for r in rules(text)])).alias("r")
+    found = text.locate(docs, keys).select(*keys, made)
     first = F.filter("r", lambda x, i: ~F.exists(F.slice("r", F.lit(1), i), lambda y: y["field"] == x["field"]))
     if otherwise is not None:
         first = F.when(F.size("r") == 0, F.array(otherwise.cast(RULE))).otherwise(first)
@@ -170,7 +191,7 @@ def emit(docs: DataFrame, rules: list[Column], keys: tuple[str, ...] = ("tender_
     )
 
 
-def every_rule(text: Column) -> list[Column]:
+def every_rule(text: Found) -> list[Column]:
     return [*amount_rules(text), *count_rules(text), *presence_rules(text), *validity_rules(text),
             *presence_rules(text, [BLACKLIST])]
 
@@ -186,7 +207,7 @@ def placeholder() -> Column:
 
 def extract(docs: DataFrame) -> DataFrame:
     """All rule rows; texts without any get the placeholder."""
-    return emit(docs, every_rule(F.col("text")), otherwise=placeholder())
+    return emit(docs, every_rule, otherwise=placeholder())
 
 
 def backfill(docs: DataFrame, replies: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bidloom.functions import patterns as P
+from bidloom.functions import text as T
 from bidloom.operators import evidence as E
 
 PAIR = ["tender_id", "bidder_id", "criterion_id"]
@@ -65,7 +66,7 @@ def evidence_summary(found: DataFrame) -> DataFrame:
     conf = confidence(F.col("ocr_conf"), F.col("ext_conf"), spi, F.lit(0.0))
     # Highest confidence first, then document, pass and match order.
     rank = F.struct(conf.alias("conf"), (-F.col("doc_pos")).alias("d"), (-F.col("pass")).alias("p"), (-F.col("match_pos")).alias("m"))
-    best = F.struct("doc_id", "doc_type", "value", "ocr_conf", "ext_conf", conf.alias("conf"), "raw")
+    best = F.struct("doc_id", "doc_type", "value", "ocr_conf", "ext_conf", conf.alias("conf"))
     return found.groupBy(*PAIR).agg(
         F.count("*").alias("n"), F.max("value").alias("top"), F.min("value").alias("low"), F.max_by(best, rank).alias("best")
     )
@@ -114,11 +115,40 @@ def cascade(rows: DataFrame) -> DataFrame:
 def decide(bidders: DataFrame, criteria: DataFrame, docs: DataFrame) -> DataFrame:
     """All decisions.  ``docs`` has tender_id, bidder_id, doc_id, doc_pos, doc_type, quality_score, text."""
     pair_rows = pairs(bidders, criteria)
-    found = E.gather(criteria, E.facts(docs))
+    found = E.gather(criteria, E.facts(docs, E.asked_fields(criteria)))
     rows = pair_rows.join(evidence_summary(found), PAIR, "left").join(presence(pair_rows, docs), PAIR, "left")
     return cascade(rows)
 
 
+def model_context(docs: DataFrame, criteria: DataFrame, most_docs: int = 8, per_doc: int = 12_000, most: int = 180_000) -> DataFrame:
+    """Text that a model reads per bidder and criterion: tender_id, bidder_id, criterion_id, context.
+
+    Of the first ``most_docs`` documents of a bidder, each gives a headed snippet: the lines that
+    hold a word of the criterion's field (three letters or more), or its text where none does, up
+    to ``per_doc`` characters.  Snippets are joined in order until ``most`` characters are used.
+    """
+    order = W.partitionBy("tender_id", "bidder_id").orderBy("doc_pos")
+    first = docs.withColumn("k", F.row_number().over(order))
+    first = first.filter((F.col("k") <= most_docs) & (F.coalesce("text", F.lit("")) != ""))
+    words = F.filter(F.split(F.trim(F.lower(F.coalesce("field", F.lit("")))), r"[_\s\-]+"), lambda w: F.char_length(w) >= 3)
+    asked = criteria.select("tender_id", F.col("id").alias("criterion_id"), words.alias("words"))
+    pairs_ = first.select("tender_id", "bidder_id", "k", "filename", "text").join(asked, "tender_id")
+    lines = F.filter(F.split("text", r"\r\n|\r|\n"), lambda x: F.exists("words", lambda w: F.lower(x).contains(w)))
+    chosen = F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise(F.col("text"))
+    snippet = F.concat(F.lit("\n--- Document: "), "filename", F.lit(" ---\n"), F.left(chosen, F.lit(per_doc)), F.lit("\n"))
+    own = pairs_.select(*PAIR, "k", snippet.alias("snippet"))
+    # At most ``most_docs`` snippets of bounded length meet in a row.
+    texts = F.transform(F.sort_array(F.collect_list(F.struct("k", "snippet"))), lambda x: x["snippet"])
+    return own.groupBy(*PAIR).agg(F.left(F.array_join(texts, ""), F.lit(most)).alias("context"))
+
+
+def model_reply(reply: Column) -> Column:
+    """verdict and reason of a model's reply: its outermost braces must hold a JSON object."""
+    block = F.try_parse_json(F.regexp_extract(reply, r"(?s)\{.*\}", 0))
+    get = lambda k, other: F.when(block.isNull(), other).otherwise(F.try_variant_get(block, f"$.{k}", "string")).alias(k)
+    return F.struct(get("verdict", "NEEDS_REVIEW"), get("reason", "PARSE_ERROR"))
+
+
 def explain(rows: DataFrame) -> DataFrame:
     """Explanation columns of ``cascade`` rows, as numbers where text would depend on formatting."""
     r = F.col("reason")
@@ -156,14 +186,49 @@ def cross_flags(found: DataFrame) -> DataFrame:
     return found.join(bad, PAIR, "left").withColumn("conflicts_with", F.coalesce("others", F.lit(0)))
 
 
-def override(decisions: DataFrame, changes: DataFrame) -> DataFrame:
-    """Decisions with the latest admissible override of each; ``override_by`` is null where none applies."""
-    good = changes.filter(
+def accepted(changes: DataFrame, decisions: DataFrame) -> DataFrame:
+    """Changes of an existing decision, with a known verdict and a justification of 10 to 4000 characters."""
+    good = changes.withColumn("verdict", F.upper(F.trim("verdict"))).filter(
         F.col("verdict").isin("ELIGIBLE", "NOT_ELIGIBLE", "NEEDS_REVIEW")
         & F.char_length(F.trim("justification")).between(10, 4000)
     )
-    last = good.groupBy(*PAIR).agg(F.max_by(F.struct("verdict", "officer_id"), "version").alias("o"))
-    return decisions.join(last, PAIR, "left").select(
+    return good.join(decisions.select(*PAIR), PAIR, "left_semi")
+
+
+def latest_override(changes: DataFrame, decisions: DataFrame) -> DataFrame:
+    """The last accepted change of each decision: keys and the struct ``o``."""
+    rest = F.struct("verdict", "officer_id", "justification")
+    return accepted(changes, decisions).groupBy(*PAIR).agg(F.max_by(rest, "version").alias("o"))
+
+
+def override(decisions: DataFrame, changes: DataFrame) -> DataFrame:
+    """Decisions with the latest accepted override of each; ``override_by`` is null where none applies."""
+    return decisions.join(latest_override(changes, decisions), PAIR, "left").select(
         *[c for c in decisions.columns if c != "verdict"],
         F.coalesce("o.verdict", "verdict").alias("verdict"), F.col("o.officer_id").alias("override_by"),
     )
+
+
+def overridden(decisions: DataFrame, changes: DataFrame) -> DataFrame:
+    """The changed decisions only: keys, the new payload as JSON with sorted keys, and its checksum."""
+    rows = decisions.drop("verdict").join(latest_override(changes, decisions), PAIR)
+    fields = {c: F.col(c) for c in rows.columns if c != "o"} | {
+        "verdict": F.col("o.verdict"), "reviewer_override": F.col("o.justification"), "override_by": F.col("o.officer_id"),
+    }
+    payload = F.to_json(F.struct(*[fields[c].alias(c) for c in sorted(fields)]))
+    return rows.select(*PAIR, payload.alias("payload")).withColumn("checksum", T.checksum(F.col("payload")))
+
+
+def close_items(items: DataFrame, done: DataFrame) -> DataFrame:
+    """Review items with ``status``: resolved where a change of their decision was accepted."""
+    closed = done.select(*PAIR).distinct().withColumn("closed", F.lit(True))
+    status = F.when(F.col("closed"), "resolved").otherwise("open")
+    return items.join(closed, PAIR, "left").withColumn("status", status).drop("closed")
+
+
+def override_audit(done: DataFrame) -> DataFrame:
+    """An audit row for every accepted change; what officers typed is masked before it is stored."""
+    payload = F.to_json(F.struct("bidder_id", "criterion_id", "justification", F.col("verdict").alias("new_verdict"), "tender_id"))
+    rows = done.select("tender_id", F.col("officer_id").alias("user_id"), F.lit("reviewer.override").alias("action"),
+                       T.redact_json(payload).alias("payload"))
+    return rows.withColumn("checksum", T.checksum(F.col("payload")))

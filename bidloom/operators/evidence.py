@@ -1,4 +1,4 @@
-"""Facts in bidder documents: each text is read once, whatever the number of criteria.
+"""Facts in bidder documents: one pass over the texts, whatever the number of criteria.
 
 ``facts`` has one row per fact with its field, and the order columns ``pass`` and ``match_pos``.
 Amounts are one family that all money fields share; the family is expanded by the join to
@@ -117,23 +117,46 @@ def full_text(text: Column, pages: Column) -> Column:
     return F.coalesce(F.nullif(F.trim(text), F.lit("")), F.trim(F.array_join(F.transform(pages, lambda p: p["text"]), "\n")))
 
 
-def facts(docs: DataFrame, bool_fields: list[str] | None = None, count_fields: list[str] | None = None) -> DataFrame:
+def facts(docs: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """All facts of documents (tender_id, bidder_id, doc_id, doc_pos, doc_type, quality_score, text).
 
-    ``family`` is ``money`` or the field itself.
+    One pass: each text gives one array of facts.  ``family`` is ``money`` or the field itself;
+    ``fields`` names the fields that are asked for, so that rules of others are not run.
     """
     keys = ["tender_id", "bidder_id", "doc_id", "doc_pos", "doc_type", "quality_score"]
-    src = docs.select(*keys, "text")
-    tail = ["pass", "match_pos", "value", "ext_conf", "raw"]
-    money = money_pass1(src).unionByName(money_pass2(src)).select(*keys, F.lit("money").alias("family"), *tail)
-    flat = lambda df: df.select(
-        *keys, F.col("field").alias("family"), F.lit(1).alias("pass"), F.lit(0).alias("match_pos"), "value", "ext_conf",
-        F.left("text", F.lit(400)).alias("raw"),
-    )
-    signals = flat(bool_facts(src, bool_fields).filter((F.col("value") > 0) | (F.col("field") == "generic_compliance")))
-    return money.unionByName(signals).unionByName(flat(count_facts(src, count_fields))).withColumn(
-        "ocr_conf", ocr_confidence(F.col("quality_score"))
-    )
+    asked = lambda known: [f for f in known if fields is None or f in fields]
+
+    def fact(family, number, place, value, conf, raw):
+        names = zip(("family", "pass", "match_pos", "value", "ext_conf", "raw"), (family, number, place, value, conf, raw), strict=True)
+        return F.struct(*[(c if isinstance(c, Column) else F.lit(c)).alias(n) for n, c in names])
+
+    def matches(pattern, *groups):
+        return F.arrays_zip(*[F.regexp_extract_all("text", F.lit(pattern), F.lit(g)).alias(n) for g, n in groups])
+
+    lists, some = [], F.left("text", F.lit(400))
+    if asked(P.MONEY_FIELDS):
+        lists.append(F.transform(matches(P.MONEY_ALL, (1, "number"), (2, "unit"), (0, "raw")), lambda m, i: fact(
+            "money", 1, i, amount_inr(m["number"], m["unit"], cr_is_unit=False), 0.9, m["raw"])))
+        digits = lambda m: F.regexp_replace(m["number"], ",", "").try_cast("double")
+        lists.append(F.transform(matches(P.MONEY_TURNOVER, (1, "number"), (0, "raw")), lambda m, i: fact(
+            "money", 2, i, F.when(digits(m) < 1e6, digits(m) * 1e7).otherwise(digits(m)), 0.75, m["raw"])))
+    signals = bool_signals(F.col("text"))
+    for f in asked(P.BOOL_FIELDS):
+        found = fact(f, 1, 0, signals[f]["value"], signals[f]["conf"], some)
+        lists.append(F.array(found) if f == "generic_compliance" else F.filter(F.array(found), lambda x: x["value"] > 0))
+    for f in asked(P.COUNT_FIELDS):
+        pattern, conf = P.COUNT_RULES[f]
+        numbers = F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda x: x.try_cast("double"))
+        lists.append(F.filter(F.array(fact(f, 1, 0, F.array_max(numbers), conf, some)), lambda x: x["value"] > 0))
+    form = "array<struct<family: string, pass: int, match_pos: int, value: double, ext_conf: double, raw: string>>"
+    rows = docs.select(*keys, F.inline(F.concat(F.array().cast(form), *[x.cast(form) for x in lists])))
+    return rows.filter("value is not null").withColumn("ocr_conf", ocr_confidence(F.col("quality_score")))
+
+
+def asked_fields(criteria: DataFrame) -> list[str]:
+    """The known fields that criteria name, at most as many as there are rules."""
+    known = P.MONEY_FIELDS + P.COUNT_FIELDS + P.BOOL_FIELDS
+    return sorted(r[0] for r in criteria.filter(F.col("field").isin(known)).select("field").distinct().collect())
 
 
 def family_of(field: Column) -> Column:

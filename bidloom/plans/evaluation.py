@@ -26,4 +26,5 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evidence.gather(view(spark, sf_dir, "criteria"), evidence.facts(documents(spark, sf_dir)))
+    criteria = view(spark, sf_dir, "criteria")
+    return evidence.gather(criteria, evidence.facts(documents(spark, sf_dir), evidence.asked_fields(criteria)))

@@ -62,10 +62,11 @@ def scan_criteria(spark, sf):
     return files.read_criteria(V(spark, sf, "criteria_rows"))
 
 
-@query("select tender_id, id as bidder_id from {bidders} where tender_id % 2 = 0")
+@query("select tender_id, id as bidder_id from {bidders} where tender_id in (select id from {tenders} where status = 'open')")
 def scan_bidders(spark, sf):
-    """Bidder ids of the tenders a filter names; the filter reaches the scan."""
-    return V(spark, sf, "bidders").filter("tender_id % 2 = 0").select("tender_id", F.col("id").alias("bidder_id"))
+    """Bidder ids of the tenders that are open."""
+    open_ = V(spark, sf, "tenders").filter("status = 'open'").select(F.col("id").alias("tender_id"))
+    return V(spark, sf, "bidders").join(open_, "tender_id", "left_semi").select("tender_id", F.col("id").alias("bidder_id"))
 
 
 @query("""select id, bidder_id, doc_type, quality_score, text from
@@ -190,10 +191,10 @@ def paginate(spark, sf):
 
 
 @query("""select t.id as tender_id, coalesce(d.n, 0) as decisions, case when d.n > 0 then 'complete' when j.status is not null then j.status else 'none' end as state
-  from {tenders} t left join (select tender_id, count(*) as n from {decisions} where tender_id % 3 > 0 group by 1) d on d.tender_id = t.id
+  from {tenders} t left join (select tender_id, count(*) as n from {decisions} group by 1) d on d.tender_id = t.id
   left join (select tender_id, arg_max(status, id::bigint) as status from {jobs} group by 1) j on j.tender_id = t.id""")
 def results_state(spark, sf):
-    n = evaluation.decisions(spark, sf).filter("tender_id % 3 > 0").groupBy("tender_id").agg(F.count("*").alias("n"))
+    n = evaluation.decisions(spark, sf).groupBy("tender_id").agg(F.count("*").alias("n"))
     last = V(spark, sf, "jobs").groupBy("tender_id").agg(F.max_by("status", F.col("id").cast("long")).alias("s"))
     out = V(spark, sf, "tenders").select(F.col("id").alias("tender_id")).join(n, "tender_id", "left").join(last, "tender_id", "left")
     return out.select("tender_id", F.coalesce("n", F.lit(0)).alias("decisions"),
@@ -357,19 +358,41 @@ def ev_money_pass2(spark, sf):
     return evidence.money_pass2(evaluation.documents(spark, sf)).select("doc_id", "match_pos", F.round("value", 4).alias("value"))
 
 
-@query("""select id as doc_id, 'iso_9001' as field, case when contains(lower(text), 'iso') and contains(lower(text), '9001') then 1.0::double else 0.0 end as value,
-    case when contains(lower(text), 'iso') and contains(lower(text), '9001') then 0.85::double else 0.6 end as ext_conf from {bidder_docs} union all
-  select id, 'blacklisting_declaration', case when contains(lower(text), 'not blacklisted') then 1.0 else 0.0 end,
-    case when contains(lower(text), 'not blacklisted') then 0.82 when contains(lower(text), 'blacklisted') then 0.85 else 0.45 end from {bidder_docs} union all
-  select id, 'gst_registration', case when contains(lower(text), 'gst') then 1.0 else 0.0 end, case when contains(lower(text), 'gst') then 0.8 else 0.5 end from {bidder_docs}""")
+_SIGNALS = [
+    ("gst_registration", [(r"regexp_matches(t, '\b\d{2}[a-z]{5}\d{4}[a-z][a-z0-9]\b')", 1, 0.92), ("contains(t, 'gst') and contains(t, 'registration')", 1, 0.8),
+                          ("contains(t, 'gstin') or contains(t, 'goods and services tax')", 1, 0.78)], 0.5),
+    *[(f"iso_{n}", [(f"contains(t, 'iso') and contains(t, '{n}')", 1, 0.85)], 0.6) for n in ("9001", "14001", "27001")],
+    ("nabl_accreditation", [("contains(t, 'nabl')", 1, 0.85)], 0.5),
+    ("generic_compliance", [("length(t) > 80 and regexp_matches(t, 'certif|undertaking|compliance')", 1, 0.55)], 0.45),
+    ("blacklisting_declaration", [("regexp_matches(t, 'not blacklisted|no blacklisting|not debarred')", 1, 0.82), ("regexp_matches(t, 'blacklisted|debarred')", 0, 0.85)], 0.45),
+    ("registered_firm", [("contains(t, 'registered') and regexp_matches(t, 'firm|company')", 1, 0.75)], 0.45),
+    *[(f, [("regexp_matches(t, 'msme|udyam|udyog aadhar')", 1, 0.78)], 0.45) for f in ("msme_preference", "msme_registration")],
+    ("pan_registration", [(r"regexp_matches(t, '\b[a-z]{5}\d{4}[a-z]\b')", 1, 0.88), ("contains(t, 'pan')", 1, 0.7)], 0.45),
+    ("tds_registration", [(r"regexp_matches(t, '\b[a-z]{4}\d{5}[a-z]\b')", 1, 0.85), ("regexp_matches(t, 'tds|tan|tax deducted at source')", 1, 0.72)], 0.45),
+]
+_SIGNAL_SQL = " union all ".join(
+    f"select doc_id, '{field}' as field, case {' '.join(f'when {c} then {v}.0::double' for c, v, _ in rules)} else 0.0::double end as value, "
+    f"case {' '.join(f'when {c} then {k}::double' for c, _, k in rules)} else {miss}::double end as ext_conf from d"
+    for field, rules, miss in _SIGNALS
+)
+
+
+@query("select * from (with d as (select id as doc_id, lower(text) as t from {signal_docs}) " + _SIGNAL_SQL + ")")
 def ev_bool_signals(spark, sf):
-    docs = evaluation.documents(spark, sf).select("doc_id", "text")
-    return evidence.bool_facts(docs, ["iso_9001", "blacklisting_declaration", "gst_registration"]).drop("text")
+    """All twelve presence signals of each document, hits and misses."""
+    return evidence.bool_facts(V(spark, sf, "signal_docs").select(F.col("id").alias("doc_id"), "text")).drop("text")
+
+
+_COUNT_SQL = " union all ".join(
+    f"select doc_id, '{field}' as field, list_max(list_transform(regexp_extract_all(text, '{pattern}', 1), lambda x: cast(x as double))) as value, {conf}::double as ext_conf from d"
+    for field, (pattern, conf) in P.COUNT_RULES.items()
+)
 
 
-@query("select id as doc_id, value from {facts} where family = 'similar_projects_count'")
+@query("select * from (with d as (select id as doc_id, text from {signal_docs}) " + _COUNT_SQL + ") where value > 0")
 def ev_counts(spark, sf):
-    return evidence.count_facts(evaluation.documents(spark, sf).select("doc_id", "text"), ["similar_projects_count"]).select("doc_id", "value")
+    """The largest count of each of the six fields in each document."""
+    return evidence.count_facts(V(spark, sf, "signal_docs").select(F.col("id").alias("doc_id"), "text")).drop("text")
 
 
 @query("select id as doc_id, case when q is null or q = 0 then 0.75 else q end as ocr_conf from (select id, case when doc_pos % 10 = 0 then 0 else quality_score end as q from {bidder_docs})")
@@ -476,22 +499,73 @@ def apply_overrides(spark, sf):
     return decide.override(d, V(spark, sf, "overrides")).select(*decide.PAIR, "reason", "verdict", "override_by")
 
 
-@query(r"""select tender_id, bidder_id, left(string_agg(line, chr(10) order by doc_pos), 300) as context from (select *, row_number() over (partition by bidder_id order by doc_pos) as r, text as line from {bidder_docs})
-  where r <= 8 and contains(lower(line), 'turnover') group by all""")
+_GOOD = """(select o.*, d.reason from {overrides} o join {decisions} d using (tender_id, bidder_id, criterion_id)
+  where o.verdict in ('ELIGIBLE', 'NOT_ELIGIBLE', 'NEEDS_REVIEW') and length(trim(o.justification)) between 10 and 4000)"""
+_NEW = """'{"bidder_id":"' || bidder_id || '","criterion_id":"' || criterion_id || '","override_by":' || officer_id || ',"reason":"' || reason || '","reviewer_override":"' || justification || '","tender_id":' || tender_id || ',"verdict":"' || verdict || '"}'"""
+
+
+@query(f"""select tender_id, bidder_id, criterion_id, payload, 'sha256:' || sha256(payload) as checksum from (select *, {_NEW} as payload from {_GOOD}
+  qualify row_number() over (partition by tender_id, bidder_id, criterion_id order by version desc) = 1)""")
+def override_decisions(spark, sf):
+    """Payload and checksum of every decision that an override changed."""
+    d = evaluation.decisions(spark, sf).select(*decide.PAIR, "reason", "verdict")
+    return decide.overridden(d, V(spark, sf, "overrides"))
+
+
+@query(f"""select i.tender_id, i.bidder_id, i.criterion_id, case when g.tender_id is null then 'open' else 'resolved' end as status
+  from (select * from {{decisions}} where verdict = 'NEEDS_REVIEW') i left join (select distinct tender_id, bidder_id, criterion_id from {_GOOD}) g using (tender_id, bidder_id, criterion_id)""")
+def override_queue(spark, sf):
+    """Review items, closed where an override was accepted."""
+    d = evaluation.decisions(spark, sf)
+    items = d.filter("verdict = 'NEEDS_REVIEW'").select(*decide.PAIR)
+    return decide.close_items(items, decide.accepted(V(spark, sf, "overrides"), d.select(*decide.PAIR)))
+
+
+@query(f"""select tender_id, officer_id as user_id, 'reviewer.override' as action, payload, 'sha256:' || sha256(payload) as checksum from (select *,
+  '{{"bidder_id":"' || bidder_id || '","criterion_id":"' || criterion_id || '","justification":"' || replace(justification, 'ABCPE1234F', '[PAN:******234F]') || '","new_verdict":"' || verdict || '","tender_id":' || tender_id || '}}' as payload from {_GOOD})""")
+def override_audit(spark, sf):
+    """One masked audit row for every accepted override."""
+    keys = evaluation.decisions(spark, sf).select(*decide.PAIR)
+    return decide.override_audit(decide.accepted(V(spark, sf, "overrides"), keys))
+
+
+@query("""select owner_id, tender_id, bidder_id, criterion_id, r as rank, n as total from (select t.owner_id, d.*, row_number() over (partition by t.owner_id order by t.created_at, d.tender_id, d.bidder_id, d.criterion_id) as r,
+  count(*) over (partition by t.owner_id) as n from {decisions} d join {tenders} t on t.id = d.tender_id where d.verdict = 'NEEDS_REVIEW') where r <= 50""")
+def review_queue_by_owner(spark, sf):
+    """Each officer's first page of open items of tenders they own, oldest first, with the total."""
+    t = V(spark, sf, "tenders").select(F.col("id").alias("tender_id"), "owner_id", "created_at")
+    items = evaluation.decisions(spark, sf).filter("verdict = 'NEEDS_REVIEW'").join(t, "tender_id")
+    out = changes.page(items, "owner_id", ["created_at", *decide.PAIR])
+    return out.select("owner_id", *decide.PAIR, "rank", "total")
+
+
+@query("""select o.id as user_id, t.id as tender_id from {officers} o join {tenders} t on t.owner_id = o.id where o.role <> 'admin'
+  union all select null, id from {tenders}""")
+def tender_access(spark, sf):
+    """Who sees which tender: its owner, and any admin (one row without a user, not one per admin)."""
+    t = V(spark, sf, "tenders").select(F.col("id").alias("tender_id"), "owner_id")
+    o = V(spark, sf, "officers").filter("role <> 'admin'").select(F.col("id").alias("owner_id"))
+    own = t.join(o, "owner_id").select(F.col("owner_id").alias("user_id"), "tender_id")
+    return own.unionByName(t.select(F.lit(None).cast("long").alias("user_id"), "tender_id"))
+
+
+@query(r"""select * from (with docs as (select d.*, row_number() over (partition by bidder_id order by doc_pos) as r, string_split(replace(text, '. ', '.' || chr(10)), chr(10)) as lines from {bidder_docs} d),
+  named as (select d.tender_id, d.bidder_id, c.id as criterion_id, d.doc_pos, d.id, array_to_string(d.lines, chr(10)) as whole, array_to_string(list_filter(d.lines,
+    lambda x: len(list_filter(string_split(c.field, '_'), lambda k: len(k) >= 3 and contains(lower(x), k))) > 0), chr(10)) as picked
+    from docs d join {criteria} c on c.tender_id = d.tender_id where r <= 8),
+  snippets as (select *, chr(10) || '--- Document: ' || id || ' ---' || chr(10) || left(case when picked <> '' then picked else whole end, 12000) || chr(10) as s from named)
+  select tender_id, bidder_id, criterion_id, left(string_agg(s, '' order by doc_pos), 180000) as context from snippets group by all)""")
 def llm_context(spark, sf):
-    """Lines of the first eight documents that name the field, cut to the room that is left."""
-    docs = changes.page(evaluation.documents(spark, sf), "bidder_id", ["doc_pos"], 8)
-    lines = F.array_join(F.filter(F.split("text", "\n"), lambda x: F.lower(x).contains("turnover")), "\n")
-    docs = docs.select("tender_id", "bidder_id", "doc_pos", F.left(lines, F.lit(12_000)).alias("line")).filter("line <> ''")
-    parts = F.transform(F.sort_array(F.collect_list(F.struct("doc_pos", "line"))), lambda x: x["line"])
-    return docs.groupBy("tender_id", "bidder_id").agg(F.left(F.array_join(parts, "\n"), F.lit(300)).alias("context"))
+    """What a model would read for each bidder and criterion."""
+    text = F.replace("text", F.lit(". "), F.lit(".\n"))
+    docs = evaluation.documents(spark, sf).withColumn("text", text).withColumn("filename", F.col("doc_id"))
+    return decide.model_context(docs, V(spark, sf, "criteria"))
 
 
-@query(r"""select event_id, case when event_type = 'error' then 'NEEDS_REVIEW' else 'ELIGIBLE' end as verdict, case when event_type = 'error' then 'PARSE_ERROR' else 'MATCH' end as reason from {events}""")
+@query(r"""select event_id, case when event_type in ('error', 'view') then 'NEEDS_REVIEW' else 'ELIGIBLE' end as verdict,
+  case when event_type in ('error', 'view') then 'PARSE_ERROR' else 'MATCH' end as reason from {events}""")
 def llm_response_parse(spark, sf):
-    reply = F.expr("""case when event_type = 'error' then 'sorry, ' || props || ' {broken' else 'Answer: {"verdict": "ELIGIBLE", "reason": "MATCH", "raw": ' || props || '} done' end""")
-    block = F.regexp_extract("reply", r"(?s)\{.*\}", 0)
-    v = F.when(~F.col("reply").contains("broken"), F.try_parse_json(block))
-    out = V(spark, sf, "events").select("event_id", reply.alias("reply")).withColumn("v", v)
-    get = lambda k, other: F.coalesce(F.try_variant_get("v", f"$.{k}", "string"), F.lit(other)).alias(k)
-    return out.select("event_id", get("verdict", "NEEDS_REVIEW"), get("reason", "PARSE_ERROR"))
+    """Replies with an answer, with broken JSON, and with none at all."""
+    reply = F.expr("""case when event_type = 'error' then 'sorry, {"verdict": "ELIGIBLE", ' || props || '}' when event_type = 'view' then '["ELIGIBLE"]'
+      else 'Answer: {"verdict": "ELIGIBLE", "reason": "MATCH", "raw": ' || props || '} done' end""")
+    return V(spark, sf, "events").select("event_id", decide.model_reply(reply).alias("p")).select("event_id", "p.verdict", "p.reason")

@@ -184,7 +184,7 @@ def _rules_sql(*parts: str) -> str:
 
 
 def _rules(spark, sf, pick):
-    return criteria.emit(V(spark, sf, "tender_texts"), pick(F.col("text"))).select("tender_id", "field", "value", "extraction_confidence")
+    return criteria.emit(V(spark, sf, "tender_texts"), pick).select("tender_id", "field", "value", "extraction_confidence")
 
 
 @query(_rules_sql(_FIN))
@@ -225,8 +225,7 @@ def fn_amount_inr(spark, sf):
 @query(r"""select tender_id, case when i > 0 then left(trim(regexp_replace(substr(text, greatest(1, i - 80), i + 7 + 80 - greatest(1, i - 80) + 1), '\s+', ' ', 'g')), 400) end as clause
   from (select *, instr(lower(text), 'turnover') as i from {tender_texts})""")
 def fn_source_clause(spark, sf):
-    t = F.lower("text")
-    return V(spark, sf, "tender_texts").select("tender_id", criteria.source_clause(F.col("text"), t, "turnover").alias("clause"))
+    return criteria.source_clause(V(spark, sf, "tender_texts"), "turnover")
 
 
 @query("select field, case field when 'annual_turnover' then 'financial' when 'similar_projects_count' then 'experience' when 'gst_registration' then 'tax' else 'certification' end as category, count(*) as n from {criteria} group by all")
@@ -255,7 +254,7 @@ def fn_detect_language(spark, sf):
 def criteria_language_stamp(spark, sf):
     docs = V(spark, sf, "tender_texts")
     docs = docs.withColumn("source_text_lang", T.language(T.devanagari_ratio(F.col("text"))))
-    rules = [*criteria.presence_rules(F.col("text")), *criteria.presence_rules(F.col("text"), [criteria.BLACKLIST])]
+    rules = lambda t: [*criteria.presence_rules(t), *criteria.presence_rules(t, [criteria.BLACKLIST])]
     return criteria.emit(docs, rules, ("tender_id", "source_text_lang")).groupBy(F.col("source_text_lang").alias("lang"), "field").agg(F.count("*").alias("n"))
 
 
@@ -293,9 +292,11 @@ def fn_verhoeff(spark, sf):
     return V(spark, sf, "identities").select("id", "number", T.verhoeff_ok(F.col("number")).alias("ok"))
 
 
-@query(r"select user_id, count(*) as entries, count_if(regexp_matches(note, '\b[A-Z]{5}[0-9]{4}[A-Z]\b')) as masked from {audit} group by 1")
+@query(r"""select id, '{"PAN":"' || regexp_replace(note, '\b[A-Z]{5}[0-9]([0-9]{3}[A-Z])\b', '[PAN:******\1]', 'g') || '","ref":999999990019,"in":["[PAN:******234F]"]}' as payload from {audit}""")
 def audit_redact(spark, sf):
-    return V(spark, sf, "audit").groupBy("user_id").agg(F.count("*").alias("entries"), F.count_if(T.redact(F.col("note")) != F.col("note")).alias("masked"))
+    """JSON payloads with the string values masked; the number under ``ref`` passes the checksum and stays."""
+    payload = F.concat(F.lit('{"PAN":"'), "note", F.lit('","ref":999999990019,"in":["ABCPE1234F"]}'))
+    return V(spark, sf, "audit").select("id", T.redact_json(payload).alias("payload"))
 
 
 @query()

@@ -89,3 +89,44 @@ def test_signals(spark):
     assert got[2, "nabl_accreditation"] == (1.0, 0.85) and got[3, "gst_registration"] == (1.0, 0.78)
     assert got[4, "gst_registration"] == (1.0, 0.92) and got[5, "blacklisting_declaration"] == (1.0, 0.82)
     assert df.select(F.count("*")).first()[0] == 6
+
+
+def test_model_context(spark):
+    docs = [(1, "b", f"d{k}", k, f"f{k}", t) for k, t in enumerate(
+        ["Turnover: 5\nother\nANNUAL figures", "nothing", None, "", "x" * 30, *["turnover"] * 6])]
+    d = spark.createDataFrame(docs, "tender_id long, bidder_id string, doc_id string, doc_pos int, filename string, text string")
+    c = spark.createDataFrame([(1, "c", "annual_turnover"), (1, "z", "a_b")], "tender_id long, id string, field string")
+    got = {r.criterion_id: r.context for r in decide.model_context(d, c, per_doc=20).collect()}
+    head = "\n--- Document: f{} ---\n{}\n".format
+    parts = [head(0, "Turnover: 5\nANNUAL f"), head(1, "nothing"), head(4, "x" * 20), *[head(k, "turnover") for k in (5, 6, 7)]]
+    assert got["c"] == "".join(parts)
+    assert got["z"].startswith(head(0, "Turnover: 5\nother\nAN"))
+    cut = decide.model_context(d, c, per_doc=20, most=50).filter("criterion_id = 'c'").first().context
+    assert cut == "".join(parts)[:50]
+
+
+@pytest.mark.parametrize("reply, want", [
+    ('so {"verdict": "ELIGIBLE", "reason": "MATCH"} ok', ("ELIGIBLE", "MATCH")), ("none", ("NEEDS_REVIEW", "PARSE_ERROR")),
+    ('{"a": 1} {', (None, None)), ('{"a": ', ("NEEDS_REVIEW", "PARSE_ERROR")), ('{"a": }', ("NEEDS_REVIEW", "PARSE_ERROR")),
+    ('["ELIGIBLE"]', ("NEEDS_REVIEW", "PARSE_ERROR")), (None, ("NEEDS_REVIEW", "PARSE_ERROR")),
+])
+def test_model_reply(spark, reply, want):
+    df = spark.createDataFrame([(reply,)], "reply string")
+    assert tuple(df.select(decide.model_reply(F.col("reply")).alias("p")).select("p.*").first()) == want
+
+
+def test_override_outputs(spark):
+    keys = [(1, "b", "c"), (1, "b", "d")]
+    d = spark.createDataFrame([(*k, "MATCH", "NEEDS_REVIEW") for k in keys], "tender_id long, bidder_id string, criterion_id string, reason string, verdict string")
+    form = "tender_id long, bidder_id string, criterion_id string, verdict string, justification string, officer_id long, version long"
+    why = "Checked against PAN ABCDE1234F by hand."
+    rows = [(1, "b", "c", " eligible ", why, 7, 1), (1, "b", "c", "NOT_ELIGIBLE", why, 8, 2), (1, "b", "d", "MAYBE", why, 7, 1),
+            (1, "b", "d", "ELIGIBLE", "short", 7, 1), (1, "b", "gone", "ELIGIBLE", why, 7, 1)]
+    changes = spark.createDataFrame(rows, form)
+    new = decide.overridden(d, changes).collect()
+    assert [(r.criterion_id, r.payload) for r in new] == [("c", '{"bidder_id":"b","criterion_id":"c","override_by":8,"reason":"MATCH","reviewer_override":"'
+        + why + '","tender_id":1,"verdict":"NOT_ELIGIBLE"}')]
+    done = decide.accepted(changes, d)
+    assert {(r.criterion_id, r.status) for r in decide.close_items(d, done).collect()} == {("c", "resolved"), ("d", "open")}
+    audit = decide.override_audit(done).collect()
+    assert len(audit) == 2 and all("[PAN:******234F]" in r.payload and r.checksum.startswith("sha256:") for r in audit)

@@ -18,7 +18,8 @@ def value(spark, text, f):
         ("EMD Rs.5O,000", "EMD Rs.50,000"), ("turnover 1OO lakh", "turnover 100 lakh"), ("₹1O", "₹10"),
         ("hello world", "hello world"), ("10 OFF on selected items", "10 OFF on selected items"),
         ("ISO 9001 required", "ISO 9001 required"), ("Transformer 10O-1600 kVA", "Transformer 10O-1600 kVA"),
-        ("part 3OEM supply", "part 3OEM supply"),
+        ("part 3OEM supply", "part 3OEM supply"), ("1" + "O" * 300 + "5", "1" + "0" * 300 + "5"), ("OO5O.", "OO50."),
+        ("5O/2", "5O/2"), ("₹O and 1o 2O-3 4o", "₹0 and 10 2O-3 40"), (None, None), ("", ""),
     ],
 )
 def test_ocr_repair(spark, text, want):
@@ -31,6 +32,8 @@ def test_ocr_repair(spark, text, want):
         ("PAN ABCDE1234F.", "PAN [PAN:******234F]."), ("22ABCDE1234F1Z5", "[GSTIN:***********F1Z5]"),
         ("id 9999 9999 0019", "id [AADHAAR:********0019]"), ("999999990019", "[AADHAAR:********0019]"),
         ("123456789012", "123456789012"), ("XABCDE1234F", "XABCDE1234F"), ("1999999990019", "1999999990019"), (None, None),
+        ("id 999999990019 ref 9999999900195", "id [AADHAAR:********0019] ref 9999999900195"),
+        ("९९९९ ९९९९ ००१९ x", "[AADHAAR:********००१९] x"), ("999999990019-999999990019", "[AADHAAR:********0019]-[AADHAAR:********0019]"),
     ],
 )
 def test_masking(spark, text, want):
@@ -51,6 +54,23 @@ def test_chunks(spark):
     assert got[1:] == ["a" * 500 + "\n" + "b" * 3000, "c" * 900 + "\n\nd"]
 
 
+@pytest.mark.parametrize("text, want", [
+    ("\n\n" + "a" * 3000 + "\n" + "b" * 3000, ["a" * 3000, "b" * 3000]), ("\n\nshort", ["\n\nshort"]), ("", []), (None, None),
+    ("a" * 4000, ["a" * 4000]), ("a" * 3999 + "\n\n", ["a" * 3999 + "\n"]), ("\n" * 5000, []),
+])
+def test_chunk_borders(spark, text, want):
+    assert value(spark, text, T.chunks) == want
+
+
+@pytest.mark.parametrize("text, want", [
+    ('{"a": {"PAN": ["ABCDE1234F", 999999990019]}, "999999990019": "x \\" 999999990019"}',
+     '{"a": {"PAN": ["[PAN:******234F]", 999999990019]}, "999999990019": "x \\" [AADHAAR:********0019]"}'),
+    ('{"broken": ABCDE1234F', '{"broken": [PAN:******234F]'), ('"ABCDE1234F"', '"[PAN:******234F]"'), ("5", "5"), (None, None),
+])
+def test_masking_within_json(spark, text, want):
+    assert value(spark, text, T.redact_json) == want
+
+
 SAMPLE = """1. Annual turnover of at least Rs. 5 crore in any of the last three years.
 2. Positive net worth.
 EMD of Rs. 50,000 by draft. 4. Bank guarantee of Rs. 2 lakh.
@@ -93,3 +113,26 @@ def test_latency_ranks(spark):
     got = {r.k: r for r in rollups.latency_summary(df, "v", "k").collect()}
     assert (got["a"].p95, got["a"].p99, got["a"].median, got["a"].mean) == (19.0, 20.0, 10.5, 10.5)
     assert got["b"].p99 == 5.0
+
+
+def test_clause_and_value_are_read_at_the_match(spark):
+    text = "x " * 500 + "Note: EMD\tof  Rs. 7,500 due." + " y" * 300
+    got = criteria.extract(spark.createDataFrame([(1, text)], "tender_id long, text string")).collect()
+    assert [(r.field, r.value, r.text_raw) for r in got] == [("emd_amount", 7500.0, "emd\tof  rs. 7,500")]
+    assert got[0].source_clause == ("x " * 37 + "Note: EMD of Rs. 7,500 due." + " y" * 38).strip()
+
+
+def test_payload_round_trip(spark):
+    text = '{"tender_id":"t","criteria":[{"id":"c","field":"f","operator":">=","value":1}],"bidders":[{"bidder_id":"b","documents":[{"id":"d1","doc_type":"itr","ocr":{"quality_score":0.5,"text":"x"}},{"id":"d2"}]},{"bidder_id":"e","documents":[]}]}'
+    got = files.read_payloads(spark.createDataFrame([(text,), ("{broken",), (None,)], "payload string")).collect()
+    assert [(r.tender_id, r.n_criteria, r.bidder_id, r.doc_pos, r.doc_id, r.doc_type, r.quality_score, r.text) for r in got] == [
+        ("t", 1, "b", 0, "d1", "itr", 0.5, "x"), ("t", 1, "b", 1, "d2", None, None, None),
+    ]
+
+
+def test_replaced_partitions(spark, tmp_path):
+    rows = spark.createDataFrame([(1, 10, "old"), (1, 11, "old"), (2, 20, "old")], "tender_bucket int, id int, v string")
+    files.write_tenders(rows, str(tmp_path / "t"))
+    files.write_tenders(spark.createDataFrame([(1, 12, "new")], "tender_bucket int, id int, v string"), str(tmp_path / "t"))
+    got = sorted((r.tender_bucket, r.id, r.v) for r in spark.read.parquet(str(tmp_path / "t")).collect())
+    assert got == [(1, 12, "new"), (2, 20, "old")]
