@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bidloom.functions import patterns as P
+from bidloom.sources.files import IMAGE_TYPES
 
 
 def is_conflict(reason: Column) -> Column:
@@ -103,24 +104,42 @@ def graph_degree(criteria: DataFrame, decisions: DataFrame) -> DataFrame:
     return out.select("tender_id", "criterion_id", n.alias("verdicts"), F.greatest(F.lit(1), n).cast("long").alias("layout_rows"))
 
 
-def latency_summary(log: DataFrame, value: str, by: str, percentiles: tuple[float, ...] = (0.95, 0.99)) -> DataFrame:
-    """Nearest-rank percentiles (rank rounded half to even), per key.
+def listing_total(rows: DataFrame, listing: str, key: str) -> DataFrame:
+    """Rows of a listing by its key."""
+    return rows.groupBy(F.col(key).cast("string").alias("key")).agg(F.count("*").alias("total")).select(
+        F.lit(listing).alias("listing"), "key", "total"
+    )
+
+
+def latency_summary(log: DataFrame, value: str, *by: str, percentiles: tuple[float, ...] = (0.95, 0.99)) -> DataFrame:
+    """Nearest-rank percentiles (rank rounded half to even), per key; rows with a null key or value do not count.
 
-    Values are counted per key first, and ranks are sums of counts, so a hot key costs its
-    distinct values only.
+    Two passes: counts in bins a thousandth wide show which bin holds each rank, and only the
+    values of those bins are ranked, so a hot key is never sorted in one task.
     """
-    counts = log.groupBy(by, value).agg(F.count("*").alias("c"))
-    order = W.partitionBy(by).orderBy(value)
-    n = F.sum("c").over(W.partitionBy(by))
-    ranked = counts.select(by, value, "c", F.sum("c").over(order).alias("upto"), n.alias("n"))
-    pick = lambda p: F.min(F.when(F.col("upto") > F.bround(F.col("n") * p - p), F.col(value)))
-    middle = (F.min(F.when(F.col("upto") > F.floor((F.col("n") - 1) / 2), F.col(value)))
-              + F.min(F.when(F.col("upto") > F.floor(F.col("n") / 2), F.col(value)))) / 2
-    return ranked.groupBy(by).agg(
-        F.sum("c").alias("n"), F.round(F.sum(F.col(value) * F.col("c")) / F.sum("c"), 6).alias("mean"),
-        F.round(middle, 6).alias("median"), *[pick(p).alias(f"p{round(p * 100)}") for p in percentiles],
-        F.min(value).alias("lowest"), F.max(value).alias("highest"),
-    )
+    log = log.select(*by, F.col(value).cast("double").alias("v")).dropna()
+    log = log.withColumn("bin", F.floor(F.signum("v") * F.log1p(F.abs("v")) * 1000).cast("int"))
+    n = F.col("n")
+    ranks = {f"p{round(p * 100)}": F.bround(n * p - p) for p in percentiles}
+    ranks |= {"low": F.floor((n - 1) / 2), "high": F.floor(n / 2)}
+    wanted = F.array(*[F.struct(F.lit(k).alias("name"), r.cast("long").alias("rank")) for k, r in ranks.items()])
+    bins = log.groupBy(*by, "bin").agg(F.count("*").alias("c"))
+    key = W.partitionBy(*by)
+    bins = bins.select(*by, "bin", "c", F.sum("c").over(key.orderBy("bin")).alias("upto"), F.sum("c").over(key).alias("n"))
+    bins = bins.withColumn("w", F.filter(wanted, lambda x: (x["rank"] < F.col("upto")) & (x["rank"] >= F.col("upto") - F.col("c"))))
+    held = bins.filter(F.size("w") > 0).select(*by, "bin", "w", (F.col("upto") - F.col("c")).alias("before"))
+    values = log.join(held.select(*by, "bin"), [*by, "bin"], "left_semi").groupBy(*by, "bin", "v").agg(F.count("*").alias("c"))
+    within = W.partitionBy(*by, "bin").orderBy("v")
+    values = values.withColumn("upto", F.sum("c").over(within)).join(held, [*by, "bin"])
+    values = values.select(*by, "v", F.explode("w").alias("w"), (F.col("upto") + F.col("before")).alias("upto"))
+    pick = lambda name: F.min(F.when((F.col("w.name") == name) & (F.col("upto") > F.col("w.rank")), F.col("v")))
+    picked = values.groupBy(*by).agg(
+        F.round((pick("low") + pick("high")) / 2, 6).alias("median"), *[pick(p).alias(p) for p in ranks if p not in ("low", "high")]
+    )
+    ends = log.groupBy(*by).agg(
+        F.count("*").alias("n"), F.round(F.avg("v"), 6).alias("mean"), F.min("v").alias("lowest"), F.max("v").alias("highest")
+    )
+    return ends.join(picked, list(by))
 
 
 def ocr_pages(tokens: DataFrame) -> DataFrame:
@@ -142,6 +161,21 @@ def ocr_documents(pages: DataFrame) -> DataFrame:
     )
 
 
+def text_quality(files: DataFrame) -> DataFrame:
+    """``way`` the text of a file was got, and its quality: native text of over 50 characters, page scans, images."""
+    ext = F.lower(F.regexp_extract("path", r"(\.[^./]+)$", 1))
+    conf = F.col("mean_confidence")
+    way = (F.when((ext == ".pdf") & (F.char_length(F.trim("text")) > 50), "native").when(ext == ".pdf", "scan")
+           .when(ext.isin(*IMAGE_TYPES), "image").otherwise("none"))
+    quality = (
+        F.when(F.col("way") == "native", 0.95)
+        .when(F.col("way") == "scan", F.least(F.lit(0.95), F.greatest(F.lit(0.2), F.when(conf <= 0, 0.35).otherwise(conf))))
+        .when(F.col("way") == "image", F.least(F.lit(0.99), F.greatest(F.lit(0.3), conf)))
+        .otherwise(0.0)
+    )
+    return files.withColumn("way", way).withColumn("quality_score", quality)
+
+
 def bounding_box(points: Column) -> Column:
     """x, y, w, h around an array of corner points."""
     xs, ys = F.transform(points, lambda p: p["x"]), F.transform(points, lambda p: p["y"])

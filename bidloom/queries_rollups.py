@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from bidloom.fixtures import view as V
@@ -19,6 +21,24 @@ def totals(spark, sf):
     return V(spark, sf, "tenders").groupBy("owner_id").agg(F.count("*").alias("tenders")).join(F.broadcast(n))
 
 
+_LISTINGS = [("tenders", "owner_id"), ("bidders", "tender_id"), ("criteria", "tender_id"), ("audit", "user_id")]
+
+
+@query(" union all ".join(f"select '{name}' as listing, cast({key} as varchar) as key, count(*) as total from {{{name}}} group by {key}" for name, key in _LISTINGS)
+       + """ union all select 'bidder_docs', bidder_id, count(*) from {bidder_docs} group by bidder_id union all
+  select 'results', cast(tender_id as varchar), count(*) from {decisions} group by tender_id union all
+  select 'review_queue', cast(owner_id as varchar), count(*) from {decisions} d join {tenders} t on t.id = d.tender_id where verdict = 'NEEDS_REVIEW' group by owner_id""")
+def listing_totals(spark, sf):
+    """How many rows each page-wise listing has in all, by the key it is listed for."""
+    d = evaluation.decisions(spark, sf)
+    t = V(spark, sf, "tenders").select(F.col("id").alias("tender_id"), "owner_id")
+    parts = [rollups.listing_total(V(spark, sf, name), name, key) for name, key in _LISTINGS]
+    parts.append(rollups.listing_total(V(spark, sf, "bidder_docs"), "bidder_docs", "bidder_id"))
+    parts.append(rollups.listing_total(d, "results", "tender_id"))
+    parts.append(rollups.listing_total(d.filter("verdict = 'NEEDS_REVIEW'").join(t, "tender_id"), "review_queue", "owner_id"))
+    return reduce(lambda a, b: a.unionByName(b), parts)
+
+
 _OVER = """case when total = 0 then 'PENDING' when conflicts > 0 or needs_review > 0 then 'NEEDS_REVIEW' when not_eligible > 0 then 'NOT_ELIGIBLE' else 'ELIGIBLE' end"""
 
 
@@ -81,12 +101,29 @@ def latency_summary(spark, sf):
     return rollups.latency_summary(V(spark, sf, "http_log"), "latency_ms", "path")
 
 
+@query("""select path, status, count(*) as n, round(avg(latency_ms), 6) as mean, round(median(latency_ms), 6) as median,
+  list_sort(list(latency_ms))[1 + cast(round_even(0.95::double * count(*) - 0.95::double, 0) as bigint)] as p95,
+  list_sort(list(latency_ms))[1 + cast(round_even(0.99::double * count(*) - 0.99::double, 0) as bigint)] as p99, min(latency_ms) as lowest, max(latency_ms) as highest from {http_log} group by path, status""")
+def latency_by_status(spark, sf):
+    return rollups.latency_summary(V(spark, sf, "http_log"), "latency_ms", "path", "status")
+
+
 @query(r"""select doc_id, string_agg(text, chr(10) order by page) as text, round(least(0.95, greatest(0.2, avg(case when mc <= 0 then 0.35 else mc end))), 6) as quality_score from
   (select doc_id, page, string_agg(token, ' ' order by pos, token) as text, round(coalesce(avg(case when confidence >= 0 then confidence end), 0.5), 6) as mc from {ocr_tokens} group by all) group by doc_id""")
 def ocr_assemble(spark, sf):
     return rollups.ocr_documents(rollups.ocr_pages(V(spark, sf, "ocr_tokens")))
 
 
+@query(r"""select f.file_id, case when ext = '.pdf' and length(trim(text)) > 50 then 'native' when ext = '.pdf' then 'scan' when ext in ('.png', '.jpg', '.jpeg', '.tif', '.tiff', '.bmp', '.webp') then 'image' else 'none' end as way,
+  case when ext = '.pdf' and length(trim(text)) > 50 then 0.95 when ext = '.pdf' then least(0.95, greatest(0.2, case when conf <= 0 then 0.35 else conf end))
+    when ext in ('.png', '.jpg', '.jpeg', '.tif', '.tiff', '.bmp', '.webp') then least(0.99, greatest(0.3, conf)) else 0.0 end as quality_score
+  from (select file_id, lower(regexp_extract(path, '(\.[^./]+)$', 1)) as ext, case when file_id % 2 = 0 then repeat('word ', 12) else ' page ' end as text, (file_id % 25) / 20.0 - 0.1 as conf from {files}) f""")
+def ocr_quality(spark, sf):
+    """Quality of native text, scanned pages and images."""
+    f = V(spark, sf, "files").withColumn("text", F.expr("case when file_id % 2 = 0 then repeat('word ', 12) else ' page ' end"))
+    return rollups.text_quality(f.withColumn("mean_confidence", (F.col("file_id") % 25) / F.lit(20.0) - 0.1)).select("file_id", "way", "quality_score")
+
+
 @query("select doc_id, page, min(x) as x, min(y) as y, max(x) - min(x) as w, max(y) - min(y) as h from {ocr_tokens} group by all")
 def ocr_bbox(spark, sf):
     points = V(spark, sf, "ocr_tokens").groupBy("doc_id", "page").agg(F.collect_list(F.struct("x", "y")).alias("p"))
@@ -102,6 +139,18 @@ def review_ratio_daily(spark, sf):
     )
 
 
+@query("""select tender_id, count(*) as decisions, round(count_if(verdict = 'NEEDS_REVIEW') / count(*), 6) as review_ratio from {decisions} group by tender_id""")
+def review_ratio_tender(spark, sf):
+    return evaluation.decisions(spark, sf).groupBy("tender_id").agg(
+        F.count("*").alias("decisions"), F.round(F.count_if(F.col("verdict") == "NEEDS_REVIEW") / F.count("*"), 6).alias("review_ratio")
+    )
+
+
+@query("select cast(cast(created_at as date) as varchar) as day, status, count(*) as jobs from {jobs} group by all")
+def job_state_counts(spark, sf):
+    return V(spark, sf, "jobs").groupBy(F.date_format("created_at", "yyyy-MM-dd").alias("day"), "status").agg(F.count("*").alias("jobs"))
+
+
 # Latest rows ----------------------------------------------------------------------------------
 _KIND = "case when doc_pos % 6 = 0 then ' ' else doc_type end"
 
@@ -228,9 +277,9 @@ def fn_source_clause(spark, sf):
     return criteria.source_clause(V(spark, sf, "tender_texts"), "turnover")
 
 
-@query("select field, case field when 'annual_turnover' then 'financial' when 'similar_projects_count' then 'experience' when 'gst_registration' then 'tax' else 'certification' end as category, count(*) as n from {criteria} group by all")
+@query("select id, field, case field when 'annual_turnover' then 'financial' when 'similar_projects_count' then 'experience' when 'gst_registration' then 'tax' else 'certification' end as category from {criteria}")
 def fn_category(spark, sf):
-    return V(spark, sf, "criteria").groupBy("field", criteria.category(F.col("field")).alias("category")).agg(F.count("*").alias("n"))
+    return V(spark, sf, "criteria").select("id", "field", criteria.category(F.col("field")).alias("category"))
 
 
 def _ratio_sql(body: str) -> str:
@@ -249,13 +298,13 @@ def fn_detect_language(spark, sf):
     return V(spark, sf, "tender_texts").select("tender_id", T.language(r).alias("lang"), F.round(T.language_confidence(r), 3).alias("confidence"))
 
 
-@query(_ratio_sql("""select lang, field, count(*) as n from (select tender_id, case when RATIO > 0.3 then 'hi' when RATIO < 0.05 then 'en' else 'mixed' end as lang from {tender_texts}) l join ("""
-                  + _rules_sql(_CERT) + ") c using (tender_id) group by all"))
+@query(_ratio_sql("""select tender_id, lang, field from (select tender_id, case when RATIO > 0.3 then 'hi' when RATIO < 0.05 then 'en' else 'mixed' end as lang from {tender_texts}) l join ("""
+                  + _rules_sql(_CERT) + ") c using (tender_id)"))
 def criteria_language_stamp(spark, sf):
     docs = V(spark, sf, "tender_texts")
     docs = docs.withColumn("source_text_lang", T.language(T.devanagari_ratio(F.col("text"))))
     rules = lambda t: [*criteria.presence_rules(t), *criteria.presence_rules(t, [criteria.BLACKLIST])]
-    return criteria.emit(docs, rules, ("tender_id", "source_text_lang")).groupBy(F.col("source_text_lang").alias("lang"), "field").agg(F.count("*").alias("n"))
+    return criteria.emit(docs, rules, ("tender_id", "source_text_lang")).select("tender_id", F.col("source_text_lang").alias("lang"), "field")
 
 
 @query(f"""select tender_id, 'net_profit' as field, tender_id * 1.0::double as value, 'financial' as category, 'reply' as origin from {{tender_texts}} where tender_id % 3 = 0
@@ -327,9 +376,9 @@ def fn_discrepancy(spark, sf):
     return V(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", T.discrepancy_percent(a, b).alias("pct"))
 
 
-@query("select case when confidence >= 0.75 then 'high' when confidence >= 0.45 then 'medium' else 'low' end as band, count(*) as n from {decisions} group by 1")
+@query("select tender_id, bidder_id, criterion_id, case when confidence >= 0.75 then 'high' when confidence >= 0.45 then 'medium' else 'low' end as band from {decisions}")
 def fn_conf_band(spark, sf):
-    return evaluation.decisions(spark, sf).groupBy(T.confidence_band(F.col("confidence")).alias("band")).agg(F.count("*").alias("n"))
+    return evaluation.decisions(spark, sf).select("tender_id", "bidder_id", "criterion_id", T.confidence_band(F.col("confidence")).alias("band"))
 
 
 @query("""select id, case when doc_pos % 6 = 0 then 'supporting' when doc_pos % 6 = 1 then null else doc_type end as doc_type from {bidder_docs}""")

@@ -33,6 +33,14 @@ def stream_failure_alert(spark, sf):
     return M.failure_alerts(M.batch_events(spark, sf)).withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
+@query("""select start, count(*) as failures, count(*) > 10 as alert from (select time_bucket(interval '5 minutes', ts) - k * interval '5 minutes' as start
+  from (select *, unnest(range(0, 2)) as k from {events}) where event_type = 'error') group by 1""")
+def stream_ocr_alert(spark, sf):
+    """More than ten failures in ten minutes."""
+    out = M.failure_alerts(M.batch_events(spark, sf), 10, "10 minutes")
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
 @query("""select time_bucket(interval '1 hour', ts) as start, event_type as path, count(*) as n, round(max(value), 6) as slowest, round(min(value), 6) as fastest from {events} group by 1, 2""")
 def stream_request_metrics(spark, sf):
     return M.request_metrics(M.batch_events(spark, sf)).withColumn("start", F.col("start").cast("timestamp_ntz"))

@@ -1,5 +1,8 @@
 """Rules from tender text, masking, repair and language, on literal cases."""
 
+import random
+import statistics
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -115,6 +118,29 @@ def test_latency_ranks(spark):
     assert got["b"].p99 == 5.0
 
 
+def test_latency_ranks_of_many_signs_and_sizes(spark):
+    rng = random.Random(5)
+    rows = [(k, s, rng.choice([-1, 1]) * 10 ** rng.uniform(-4, 6) if rng.random() < 0.7 else 2.5)
+            for k in "ab" for s in (200, 500) for _ in range(rng.randint(1, 400))]
+    rows += [("a", 200, None), (None, 200, 1.0)]
+    df = spark.createDataFrame(rows, "k string, s int, v double")
+    got = rollups.latency_summary(df, "v", "k", "s").collect()
+    assert len(got) == 4
+    for r in got:
+        own = sorted(v for k, s, v in rows if (k, s) == (r.k, r.s) and v is not None)
+        assert (r.n, r.lowest, r.highest) == (len(own), own[0], own[-1])
+        assert (r.p95, r.p99) == tuple(own[round((len(own) - 1) * p)] for p in (0.95, 0.99))
+        assert r.median == round(statistics.median(own), 6)
+
+
+def test_quality_by_way(spark):
+    rows = [("a.pdf", "w" * 51, 0.1), ("a.pdf", " x ", 0.0), ("a.PNG", "x", 1.0), ("b.tif", "x", 0.0), ("c.doc", "x", 0.5)]
+    got = rollups.text_quality(spark.createDataFrame(rows, "path string, text string, mean_confidence double")).collect()
+    assert [(r.way, r.quality_score) for r in got] == [
+        ("native", 0.95), ("scan", 0.35), ("image", 0.99), ("image", 0.3), ("none", 0.0)
+    ]
+
+
 def test_clause_and_value_are_read_at_the_match(spark):
     text = "x " * 500 + "Note: EMD\tof  Rs. 7,500 due." + " y" * 300
     got = criteria.extract(spark.createDataFrame([(1, text)], "tender_id long, text string")).collect()
