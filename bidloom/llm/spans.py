@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 #: A span: start and end (exclusive) in code points, rank and name of its kind, its text, and the
 #: words before and after it (lower case).
 SPAN = "struct<start: int, rank: int, end: int, kind: string, body: string, before: string, after: string>"
-#: Set around matches before a text is split; texts that hold it themselves get a space in its place.
-CUT = "\x01"
+#: Set around matches before a text is split; texts that hold it themselves get another control
+#: character in its place, which like it is in no pattern's characters and is no space.
+CUT, STAND_IN = "\x01", "\x02"
 #: Steps of ``running``: enough for arrays of any size.
 _STEPS = f"array({', '.join(str(1 << k) for k in range(31))})"
 
@@ -40,7 +41,7 @@ def all_matches(text: str, pattern: str, kind: str, rank: int, ok: str = "true",
     """
     quote = lambda p: "'" + p.replace("\\", "\\\\").replace("'", "\\'") + "'"
     empty = f"cast(array() as array<{SPAN}>)"
-    marked = f"split(regexp_replace(replace({text}, '{CUT}', ' '), {quote(pattern)}, '{CUT}$0{CUT}'), '{CUT}')"
+    marked = f"split(regexp_replace(replace({text}, '{CUT}', '{STAND_IN}'), {quote(pattern)}, '{CUT}$0{CUT}'), '{CUT}')"
     part = f"regexp_extract(p[i], {quote('^' + pattern + '$')}, {group})" if group else "p[i]"
     before = r"lower(reverse(regexp_extract(reverse(p[i - 1]), '^\\s*([^\\s]+)', 1)))"
     after = r"lower(regexp_extract(p[i + 1], '^\\s*([^\\s]+)', 1))"

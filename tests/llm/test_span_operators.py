@@ -53,6 +53,7 @@ def awkward_rows():
         "1.2.3.4", "256.1.1.1", "1.2.3.4.5.6.7.8", "00001.0.0.255", "4111 1111 1111 1111", "4111-1111-1111-1112",
         "+1 (743) 555-3824", "+12", "+1 2 3 4 5 6 7 8 9 0 1 2 3 4 5 6 7", "\U0001f600", "ünï", "1" * 40, "\n", "PASSWD='",
         "49927398716000", "12 3456 7890 1234", "a" * 300 + "@",
+        "4111 1111\x011111 1111", "password=\x01abcdefabcdef", "+1\x012345678901", "\x01\x02",
     ]
     rows = [(500 + k, " ".join(rng.choice(pieces) for _ in range(rng.randrange(12)))) for k in range(150)]
     rows += [(700 + k, "".join(rng.choice(pieces) for _ in range(8))) for k in range(100)]
