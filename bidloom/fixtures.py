@@ -71,6 +71,10 @@ select cast(event_id as string) as id, user_id as tender_id,
     when 'error' then 'failed' else 'interrupted' end as status,
   ts as created_at
 from {events}""",
+    "graphs": """
+select event_id as id, user_id as tender_id, ts as updated_at,
+  '{"nodes":[' || cast(event_id % 9 as string) || '],"edges":[]}' as graph
+from {events} where event_type = 'click'""",
     "tender_texts": """
 select o_orderkey as tender_id,
   case when o_orderkey % 13 = 0 then '' else

@@ -36,6 +36,15 @@ def patch(base: DataFrame, patches: DataFrame, key: str, version: str, columns:
     )
 
 
+def patch_extras(base: DataFrame, patches: DataFrame, key: str, version: str, extras: str) -> DataFrame:
+    """Shallow merge of a map column: of each map key the latest value that any patch or the row has."""
+    entries = lambda df, v: df.select(key, v.alias("v"), F.explode(extras).alias("k", "x"))
+    both = entries(base, F.lit(None).cast(patches.schema[version].dataType)).unionByName(entries(patches, F.col(version)))
+    last = both.groupBy(key, "k").agg(F.max_by(F.struct("x"), F.struct("v")).alias("x"))
+    made = last.groupBy(key).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("k", "x.x")))).alias("made"))
+    return base.join(made, key, "left").withColumn(extras, F.coalesce("made", extras)).drop("made")
+
+
 def same_value(number, text):
     """Numbers compare as numbers, anything else as text; null is the empty text."""
     return F.coalesce(number.try_cast("double").cast("string"), text, F.lit(""))
@@ -58,11 +67,18 @@ def audit_rows(log: DataFrame) -> DataFrame:
     )
 
 
-def page(df: DataFrame, key: str, order: list, limit: int = 50, offset: int = 0) -> DataFrame:
-    """A page of every key with the key's total: limit 0 is 50, at most 200, nothing negative."""
+def page(df: DataFrame, key: str, order: list, limit: int = 50, offset: int = 0, total: bool = True) -> DataFrame:
+    """A page of every key, with the key's total if asked: limit 0 is 50, at most 200, nothing negative.
+
+    Ranks are cut to the page before the shuffle and totals are an aggregation of their own, so no
+    task sorts a whole key.
+    """
     if limit < 0 or offset < 0:
         raise ValueError("limit and offset must not be negative")
     limit = min(limit or 50, 200)
-    own = W.partitionBy(key)
-    out = df.withColumn("rank", F.row_number().over(own.orderBy(*order))).withColumn("total", F.count("*").over(own))
-    return out.filter((F.col("rank") > offset) & (F.col("rank") <= offset + limit))
+    out = df.withColumn("rank", F.row_number().over(W.partitionBy(key).orderBy(*order)))
+    out = out.filter(F.col("rank") <= offset + limit).filter(F.col("rank") > offset)
+    if not total:
+        return out
+    n = df.groupBy(F.col(key).alias("page_key")).agg(F.count("*").alias("total"))
+    return out.join(n, F.col(key).eqNullSafe(F.col("page_key")), "left").drop("page_key")

@@ -140,6 +140,17 @@ def criteria_patch(spark, sf):
     return changes.patch(base, first.unionByName(second), "id", "version", ["operator", "value"])
 
 
+@query("""select id, case when tender_id % 6 = 0 then '{"note":"two","unit":"INR","weight":"1"}' when tender_id % 3 = 0 then '{"note":"one","unit":"INR"}' else '{"unit":"INR"}' end as extras from {criteria}""")
+def criteria_patch_extras(spark, sf):
+    """Further keys of criteria, patched twice: keys that a patch does not name stay."""
+    c = V(spark, sf, "criteria").select("id", "tender_id")
+    note = lambda text: (F.lit("note"), F.lit(text))
+    first = c.filter("tender_id % 3 = 0").select("id", F.lit(1).alias("version"), F.create_map(*note("one")).alias("extras"))
+    second = c.filter("tender_id % 6 = 0").select("id", F.lit(2).alias("version"), F.create_map(*note("two"), F.lit("weight"), F.lit("1")).alias("extras"))
+    base = c.select("id", F.create_map(F.lit("unit"), F.lit("INR")).alias("extras"))
+    return changes.patch_extras(base, first.unionByName(second), "id", "version", "extras").select("id", F.to_json("extras").alias("extras"))
+
+
 @query("select id, tender_id, field from {criteria} where tender_id not in (select id from {tenders} where status = 'closed')")
 def criteria_delete(spark, sf):
     """Criteria that are left when those of closed tenders are deleted by their ids."""
@@ -186,7 +197,7 @@ def list_bidders(spark, sf):
   order by kind nulls last, created_at desc, id) as r from (select *, case when doc_pos % 4 = 0 then null else doc_type end as kind from {bidder_docs})) where r <= 50""")
 def list_bidder_docs(spark, sf):
     docs = V(spark, sf, "bidder_docs").withColumn("kind", F.expr("case when doc_pos % 4 = 0 then null else doc_type end"))
-    out = changes.page(docs, "bidder_id", [F.asc_nulls_last("kind"), F.desc("created_at"), "id"])
+    out = changes.page(docs, "bidder_id", [F.asc_nulls_last("kind"), F.desc("created_at"), "id"], total=False)
     return out.select("bidder_id", "id", F.coalesce("kind", F.lit("supporting")).alias("doc_type"), "rank")
 
 
@@ -196,21 +207,24 @@ def paginate(spark, sf):
     return changes.page(V(spark, sf, "tenders"), "owner_id", ["id"], 3, 5).select("owner_id", "id", "rank", "total")
 
 
-@query("""select t.id as tender_id, coalesce(d.n, 0) as decisions, case when d.n > 0 then 'complete' when j.status is not null then j.status else 'none' end as state
+@query("""select t.id as tender_id, coalesce(d.n, 0) as decisions, case when d.n > 0 then 'complete' when j.status is not null then j.status else 'none' end as state, g.graph
   from {tenders} t left join (select tender_id, count(*) as n from {decisions} group by 1) d on d.tender_id = t.id
-  left join (select tender_id, arg_max(status, id::bigint) as status from {jobs} group by 1) j on j.tender_id = t.id""")
+  left join (select tender_id, arg_max(status, id::bigint) as status from {jobs} group by 1) j on j.tender_id = t.id
+  left join (select tender_id, arg_max(graph, (updated_at, id)) as graph from {graphs} group by 1) g on g.tender_id = t.id""")
 def results_state(spark, sf):
     n = evaluation.decisions(spark, sf).groupBy("tender_id").agg(F.count("*").alias("n"))
     last = V(spark, sf, "jobs").groupBy("tender_id").agg(F.max_by("status", F.col("id").cast("long")).alias("s"))
-    out = V(spark, sf, "tenders").select(F.col("id").alias("tender_id")).join(n, "tender_id", "left").join(last, "tender_id", "left")
-    return out.select("tender_id", F.coalesce("n", F.lit(0)).alias("decisions"),
+    graph = V(spark, sf, "graphs").groupBy("tender_id").agg(F.max_by("graph", F.struct("updated_at", "id")).alias("graph"))
+    out = V(spark, sf, "tenders").select(F.col("id").alias("tender_id")).join(n, "tender_id", "left")
+    out = out.join(last, "tender_id", "left").join(graph, "tender_id", "left")
+    return out.select("tender_id", "graph", F.coalesce("n", F.lit(0)).alias("decisions"),
                       F.when(F.col("n") > 0, "complete").otherwise(F.coalesce("s", F.lit("none"))).alias("state"))
 
 
 @query("""select bidder_id, criterion_id, verdict, r as rank from (select *, row_number() over (partition by bidder_id order by criterion_id) as r
   from {decisions}) where r <= 3""")
 def bidder_breakdown(spark, sf):
-    return changes.page(evaluation.decisions(spark, sf), "bidder_id", ["criterion_id"], 3).select("bidder_id", "criterion_id", "verdict", "rank")
+    return changes.page(evaluation.decisions(spark, sf), "bidder_id", ["criterion_id"], 3, total=False).select("bidder_id", "criterion_id", "verdict", "rank")
 
 
 @query("select d.* from {decisions} d where d.criterion_id = cast(d.tender_id as varchar) || '-iso_9001'")

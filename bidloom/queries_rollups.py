@@ -179,7 +179,7 @@ def active_job(spark, sf):
 
 @query("select user_id, id, action, r as rank from (select *, row_number() over (partition by user_id order by id desc) as r from {audit}) where r <= 5")
 def audit_page(spark, sf):
-    return changes.page(V(spark, sf, "audit"), "user_id", [F.desc("id")], 5).select("user_id", "id", "action", "rank")
+    return changes.page(V(spark, sf, "audit"), "user_id", [F.desc("id")], 5, total=False).select("user_id", "id", "action", "rank")
 
 
 @query("""select j.id as request_id, j.tender_id, f.job_id, j.id = f.job_id as accepted from {jobs} j join (select tender_id, arg_min(id, (created_at, cast(id as bigint))) as job_id

@@ -105,6 +105,22 @@ def test_pages(spark, limit, offset, want):
         changes.page(df, "k", ["id"], -1)
 
 
+def test_page_totals_and_null_keys(spark):
+    df = spark.createDataFrame([("a", k) for k in range(7)] + [(None, 9)], "k string, id int")
+    got = sorted((r.k or "", r.id, r["rank"], r.total) for r in changes.page(df, "k", ["id"], 2, 1).collect())
+    assert got == [("a", 1, 2, 7), ("a", 2, 3, 7)]
+    assert [(r.k, r.total) for r in changes.page(df.filter("k is null"), "k", ["id"]).collect()] == [(None, 1)]
+    assert "total" not in changes.page(df, "k", ["id"], total=False).columns
+
+
+def test_patch_of_extras(spark):
+    base = spark.createDataFrame([(1, {"a": "1", "b": "2"}), (2, {}), (3, None)], "id int, extras map<string,string>")
+    patches = spark.createDataFrame([(1, 1, {"b": "x", "c": "y"}), (1, 2, {"b": None}), (2, 1, {"d": "z"})],
+                                    "id int, v int, extras map<string,string>")
+    got = {r.id: r.extras for r in changes.patch_extras(base, patches, "id", "v", "extras").collect()}
+    assert got == {1: {"a": "1", "b": None, "c": "y"}, 2: {"d": "z"}, 3: None}
+
+
 def test_references(spark):
     df = spark.createDataFrame([("s3:b:documents/1/a:b",), ("S3:b:k",), ("s3::k",), ("s3:b:",), ("x",)], "r string")
     got = [r[0] and tuple(r[0]) for r in df.select(files.split_ref(F.col("r"))).collect()]
