@@ -56,7 +56,7 @@ class WordTokenizer:
     bounded.
     """
 
-    def __init__(self, path: str, words: int = 200_000):
+    def __init__(self, path: str, words: int = 600_000):
         import tokenizers
 
         self.tool, self.words = tokenizers.Tokenizer.from_file(path), words
