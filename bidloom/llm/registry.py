@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from bidloom.llm import decontam, licenses, ngram_join, packing, pii, quality, repeats, secrets, spans, tokens, warc
+from bidloom.llm import (
+    collocations, decontam, licenses, mixing, ngram_join, packing, pii, quality, repeats, secrets, spans, tokens, variants,
+    warc,
+)
 
 
 def tokenizer_path(name: str) -> str:
@@ -84,6 +87,21 @@ def op10_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that a curriculum over the sources of ``documents`` takes of each row."""
+    return mixing.taken(*mixing.mix(_table(spark, sf_dir, "documents")))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First collocations of each language of ``documents``."""
+    return collocations.mine(_table(spark, sf_dir, "documents"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of ``documents`` with the form that each rare spelling stands for."""
+    return variants.group(_table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages of the corpus pipeline."""
     import corpus_pipeline
@@ -103,6 +121,9 @@ def queries() -> dict:
         "op8_quality_rules": op8_quality_rules,
         "op9_packing": op9_packing,
         "op10_personal_data": op10_personal_data,
+        "op11_source_mix": op11_source_mix,
+        "op12_collocations": op12_collocations,
+        "op13_spelling_variants": op13_spelling_variants,
         "pipeline": pipeline,
     }
 
@@ -133,6 +154,44 @@ select d.doc_id, len(d.w)::bigint as n_words, coalesce(n_hit, 0) as n_hit, coale
 from d left join cover on cover.doc_id = d.doc_id left join found on found.doc_id = d.doc_id"""
 
 
+OP11_SQL = r"""
+with d as (select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) as size,
+    md5('0' || chr(31) || coalesce(cast(doc_id as varchar), '') || chr(31) || coalesce(text, '')) as h from documents),
+s as (select source, sum(size)::bigint as source_size, (row_number() over (order by source nulls last) - 1) % 3 + 1 as w from d group by source),
+-- Sources that reach their limit first come first; the first open one whose share is under its limit sets the shares.
+c as (select *, 3 * source_size as cap, row_number() over (order by source_size::double / w, source nulls last) as k from s),
+p as (select *, coalesce(sum(cap) over (order by k rows between unbounded preceding and 1 preceding), 0) as shut,
+    sum(w) over (order by k rows between current row and unbounded following) as heavy, sum(source_size) over () as total from c),
+f as (select k, total - shut as remains, heavy from p where (total - shut) * w <= cap * heavy order by k limit 1),
+t as (select c.source, c.source_size, case when c.k < f.k then c.cap::double else c.w * f.remains::double / f.heavy end as target from c, f),
+a as (select d.*, t.source_size, t.target, round(t.target)::bigint as goal,
+    sum(size) over (partition by d.source order by h rows between unbounded preceding and current row) - size as began from d join t on t.source is not distinct from d.source)
+select doc_id, size, source_size, target,
+  (greatest(0, least(size, goal - began)) + greatest(0, least(size, goal - began - source_size)) + greatest(0, least(size, goal - began - 2 * source_size)))::bigint as taken
+from a"""
+
+OP12_SQL = r"""
+with pieces as (select coalesce(lang, 'und') as lang, unnest(string_split_regex(LOWER, '[.,;:!?\x0A-\x0D]')) as piece from documents),
+ws as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+totals as (select lang, sum(len(w)) as n from ws group by lang),
+ph as (select lang, phrase, any_value(k) as k, count(*) as f from
+  (select lang, k, array_to_string(w[s : s + k - 1], ' ') as phrase from
+    (select lang, w, k, unnest(range(1, len(w) - k + 2)) as s from ws, (select unnest(range(1, 6)) as k) where len(w) >= k)) group by lang, phrase having count(*) >= 100),
+cut as (select lang, phrase, f as a, c, array_to_string(p[: c], ' ') as lp, array_to_string(p[c + 1 :], ' ') as rp from
+  (select *, string_split(phrase, ' ') as p, unnest(range(1, k)) as c from ph where k > 1)),
+sc as (select cut.lang, cut.phrase, a, x.f as l, y.f as r, n, (1000::hugeint * a * n) // (x.f::hugeint * y.f) as score, c from cut
+  join ph x on x.lang = cut.lang and x.phrase = lp join ph y on y.lang = cut.lang and y.phrase = rp join totals on totals.lang = cut.lang),
+best as (select * from sc qualify row_number() over (partition by lang, phrase order by score, c) = 1),
+inside as (select lang, sub, max(f) as longer from (select lang, f, array_to_string(p[s : s + m - 1], ' ') as sub from
+  (select lang, f, p, m, unnest(range(1, len(p) - m + 2)) as s from
+    (select *, string_split(phrase, ' ') as p, unnest(range(2, k)) as m from ph where k > 2))) group by lang, sub)
+select best.lang, row_number() over (partition by best.lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n::bigint as n, score::bigint as score
+from best left join inside on inside.lang = best.lang and sub = phrase where longer is null or 100 * longer < 100 * a
+qualify rank <= 2000""".replace("LOWER", _LOWER)
+
+
 def oracle_sql() -> dict[str, str]:
     """SQL of the operators that SQL can express; the others are tested against brute force."""
-    return {"op1_warc_archive": OP1_SQL, "op3_decontamination": OP3_SQL}
+    return {
+        "op1_warc_archive": OP1_SQL, "op3_decontamination": OP3_SQL, "op11_source_mix": OP11_SQL, "op12_collocations": OP12_SQL,
+    }
