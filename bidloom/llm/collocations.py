@@ -48,7 +48,7 @@ _BASES = (0x9E6C63D0676A9A99, 0xC2B2AE3D27D4EB4F)
 _BYTES = tuple(bloom.mix(np.arange(1, 257, dtype=_U) * _U(b)) for b in _BASES)
 _CHAIN = _U(0xA24BAED4963EE407)
 #: Words that are summed before they are shuffled, and distinct chunks that are.
-_ROOM, _CHUNKS = 2_000_000, 200_000
+_ROOM, _CHUNKS = 1_000_000, 100_000
 
 
 class Words:
@@ -61,19 +61,23 @@ class Words:
         self.start, self.end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
         self.letters = self.buffer[inside]
         #: Number of the piece of each word; pieces without words leave gaps.
-        self.piece = np.cumsum(_ENDS[self.buffer], dtype=np.int32)[self.start]
+        self.piece = np.searchsorted(np.flatnonzero(_ENDS[self.buffer]), self.start)
 
     def __len__(self) -> int:
         return len(self.start)
 
-    def hashes(self, which: int = 0) -> np.ndarray:
-        if not len(self):
-            return np.zeros(0, _U)
-        length = self.end - self.start
-        first = np.cumsum(length) - length
-        at = np.arange(len(self.letters)) - np.repeat(first, length)
-        value = _BYTES[which][self.letters] * bloom.powers(_BASES[which], int(length.max()))[at]
-        return bloom.mix(np.add.reduceat(value, first))
+    def hashes(self, which: int = 0, room: int = 100_000) -> np.ndarray:
+        length, out = self.end - self.start, np.zeros(len(self), _U)
+        power = bloom.powers(_BASES[which], int(length.max(initial=1)))
+        done = 0
+        for k in range(0, len(self), room):  # what a letter takes is held for some words at a time
+            own = length[k : k + room]
+            first = np.cumsum(own) - own
+            n = int(own.sum())
+            at = np.arange(n) - np.repeat(first, own)
+            out[k : k + room] = np.add.reduceat(_BYTES[which][self.letters[done : done + n]] * power[at], first)
+            done += n
+        return bloom.mix(out)
 
 
 def parse(docs: DataFrame, overlap: int, every: int) -> DataFrame:
