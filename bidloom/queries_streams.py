@@ -14,6 +14,7 @@ from bidloom.plans import evaluation
 from bidloom.queries import query
 from bidloom.sources.shared import shared_folder
 from bidloom.streaming import monitors as M
+from bidloom.streaming.replacing import ReplacingSink, reevaluate
 
 
 @query("""select time_bucket(interval '1 minute', ts) as start, user_id, count(*) as n, least(count(*), 15) as allowed, greatest(count(*) - 15, 0) as refused from {events} group by 1, 2""")
@@ -41,22 +42,39 @@ def stream_ocr_alert(spark, sf):
     return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
 
 
-@query("""select time_bucket(interval '1 hour', ts) as start, event_type as path, count(*) as n, round(max(value), 6) as slowest, round(min(value), 6) as fastest from {events} group by 1, 2""")
+_METRICS = """select time_bucket(interval '{width}', ts) as start, path, status, count(*) as n, round(max(latency_ms), 6) as slowest, round(min(latency_ms), 6) as fastest,
+  round(quantile_disc(latency_ms, 0.5), 6) as p50, round(quantile_disc(latency_ms, 0.95), 6) as p95, round(quantile_disc(latency_ms, 0.99), 6) as p99 from {{http_log}} group by all"""
+
+
+@query(_METRICS.format(width="1 hour"))
 def stream_request_metrics(spark, sf):
-    return M.request_metrics(M.batch_events(spark, sf)).withColumn("start", F.col("start").cast("timestamp_ntz"))
+    """Requests and percentiles of their latencies per hour, path and status."""
+    out = M.with_percentiles(M.request_metrics(M.request_log(M.batch_events(spark, sf))))
+    return out.withColumn("start", F.col("start").cast("timestamp_ntz"))
+
+
+@query("select start, path, status, n, slowest, fastest from (" + _METRICS.format(width="1 day") + ")")
+def stream_metrics_rollup(spark, sf):
+    """Days merged from the hours' sketches; their percentiles are within the sketch's error, so SQL compares the rest."""
+    days = M.with_percentiles(M.rolled_up(M.request_metrics(M.request_log(M.batch_events(spark, sf)))))
+    return days.withColumn("start", F.col("start").cast("timestamp_ntz")).drop("p50", "p95", "p99")
 
 
 @query()
 def stream_job_state(spark, sf):
-    """State per tender over the stream, run over all events there are."""
-    return M.drain(M.job_states(M.read_events(spark, sf)), shared_folder(spark))
+    """The last state of every attempt, from a stream of three micro-batches."""
+    news = M.job_events(M.read_in_batches(spark, sf))
+    return M.latest_jobs(M.drain(M.job_changes(news), shared_folder(spark)))
 
 
-@query("""select d.event_id as decision, q.event_id as queue_item from {events} d join {events} q on q.user_id = d.user_id and q.ts between d.ts and d.ts + interval '1 hour'
-  where d.event_type = 'click' and q.event_type = 'view'""")
+@query("""select d.event_id as decision, q.event_id as queue_item from {events} d join {events} q on q.user_id = d.user_id
+    and q.ts + (q.event_id % 60) * interval '1 second' between d.ts and d.ts + interval '30 seconds'
+  where d.event_type = 'click' and q.event_type = 'click'""")
 def stream_review_freshness(spark, sf):
-    e = M.batch_events(spark, sf)
-    return M.freshness(e.filter("event_type = 'click'"), e.filter("event_type = 'view'"), "1 hour")
+    """Queue entries within 30 seconds of a decision; each decision is queued some seconds after it."""
+    e = M.batch_events(spark, sf).filter("event_type = 'click'")
+    queued = e.withColumn("ts", F.col("ts") + F.make_dt_interval(secs=F.col("event_id") % 60))
+    return M.freshness(e, queued)
 
 
 @query()
@@ -65,17 +83,20 @@ def stream_audit(spark, sf):
     return M.drain(M.audit_entries(M.read_events(spark, sf)), shared_folder(spark))
 
 
-@query()
+@query("""select tender_id, bidder_id, criterion_id, verdict, reason from {decisions} where tender_id in
+  (select user_id % (select greatest(count(*), 1) from {tenders}) + 1 from {events})""")
 def stream_reevaluate(spark, sf):
-    """Tenders touched by changes in the event stream, decided anew per micro-batch."""
-    orders, tenders = V(spark, sf, "criteria"), V(spark, sf, "tenders")
+    """Tenders touched by changes in the event stream, decided anew in three micro-batches and replaced in the table."""
+    rules, tenders = V(spark, sf, "criteria"), V(spark, sf, "tenders")
     n = tenders.count()
-    changes = M.read_events(spark, sf).select((F.col("user_id") % F.lit(max(n, 1)) + 1).alias("tender_id"))
+    changes = M.read_in_batches(spark, sf).select((F.col("user_id") % F.lit(max(n, 1)) + 1).alias("tender_id"))
 
     def evaluate(touched):
         b = V(spark, sf, "bidders").join(touched, "tender_id", "left_semi")
         docs = evaluation.documents(spark, sf).join(touched, "tender_id", "left_semi")
-        out = decide.decide(b, orders.join(touched, "tender_id", "left_semi"), docs)
+        out = decide.decide(b, rules.join(touched, "tender_id", "left_semi"), docs)
         return out.select(*decide.PAIR, "verdict", "reason")
 
-    return M.reevaluate(changes, evaluate, shared_folder(spark))
+    path = shared_folder(spark)
+    sink = ReplacingSink(spark, f"{path}/decisions", "tender_id long, bidder_id string, criterion_id string, verdict string, reason string")
+    return reevaluate(changes, evaluate, sink, f"{path}/progress")
