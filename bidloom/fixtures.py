@@ -38,14 +38,15 @@ select cast(l_orderkey as string) || '-' || cast(l_suppkey as string) || '-' ||
     when 2 then 'gst_certificate' when 3 then 'work_order' else 'supporting' end as doc_type,
   round(1.0 - l_discount * 6.0, 2) as quality_score,
   l_shipdate as created_at,
-  'Annual turnover: Rs. ' || cast(cast(floor(l_extendedprice / 100.0) as bigint) as string) || ' Lakh.'
+  translate('Annual turnover: Rs. ' || cast(cast(floor(l_extendedprice / 100.0) as bigint) as string) || ' Lakh.'
     || case when l_partkey % 3 = 0 then ' GST registration is valid.' else '' end
     || case when l_returnflag = 'R' then ' ISO 9001 certified.' else '' end
     || case when l_returnflag = 'A' then ' We are not blacklisted.' else '' end
-    || case when l_partkey % 4 <> 0 then ' Completed ' || cast(cast(l_quantity as bigint) as string) || ' similar projects.' else '' end as text
+    || case when l_partkey % 4 <> 0 then ' Completed ' || cast(cast(l_quantity as bigint) as string) || ' similar projects.' else '' end,
+    '0123456789', case when l_partkey % 13 = 5 then '०१२३४५६७८९' else '0123456789' end) as text
 from {lineitem}""",
     "signal_docs": """
-select id, text
+select id, bidder_id, tender_id, doc_pos, doc_type, quality_score, created_at, text
     || case doc_pos % 7 when 0 then ' NABL lab, ISO-14001 and ISO 27001.' when 1 then ' GSTIN 22ABCDE1234F1Z5 of the firm.' when 2 then ' Goods and services tax is paid.' when 3 then ' An undertaking of compliance follows, and certificates are enclosed with it.' else '' end
     || case doc_pos % 5 when 0 then ' Registered company with Udyam number.' when 1 then ' PAN ABCDE1234F.' when 2 then ' The firm was debarred.' when 3 then ' TDS with TAN ABCD12345E.' else '' end
     || case doc_pos % 6 when 0 then ' We have 12+ years and 9 years.' when 1 then ' 34 technical staff, 40 engineers.' when 2 then ' 250 full-time employees.' when 3 then ' Valid for 120 days.' when 4 then ' 7 yrs, 15 works, 80 personnel.' else '' end as text
@@ -55,12 +56,24 @@ select cast(t.id as string) || '-' || k.field as id, t.id as tender_id, k.field,
   cast(case when k.field = 'annual_turnover' then 1000000.0 * (1 + t.id % 50)
        when k.field = 'similar_projects_count' then 1.0 * (t.id % 40) else 1.0 end as double) as value,
   k.priority,
-  cast(case when t.id % 11 = 0 then 0.6 else 0.1 end as double) as semantic_ambiguity_score
+  cast(case when t.id % 11 = 0 then 0.6 else 0.1 end as double) as semantic_ambiguity_score,
+  case t.id % 3 when 0 then '' when 1 then 'Requirement of the notice on ' || k.field
+    else repeat('The bidder shall show this in the documents of its offer. ', 3) || k.field end as text_raw
 from (select o_orderkey as id from {orders}) t
 cross join (values ('annual_turnover', '>=', 'audited_balance_sheet,ca_certificate'),
   ('similar_projects_count', '>=', 'work_order,supporting'),
   ('gst_registration', '==', 'gst_certificate'),
   ('iso_9001', '==', 'iso_certificate,supporting')) as k(field, operator, priority)""",
+    "wide_criteria": """
+select id, tender_id, field, case when v.op = '' then operator else v.op end as operator, case when v.target < 0 then value else v.target end as value,
+  case when tender_id % 6 = 5 and field = 'similar_projects_count' then '' else priority end as priority, semantic_ambiguity_score, text_raw from (
+  select c.id, c.tender_id, c.operator, c.value, c.priority, c.semantic_ambiguity_score, c.text_raw, case c.field
+    when 'annual_turnover' then case c.tender_id % 7 when 2 then 'turnover' when 3 then 'net_worth' when 4 then 'emd_amount' when 5 then 'bank_guarantee' else 'annual_turnover' end
+    when 'similar_projects_count' then case c.tender_id % 7 when 1 then 'years_of_experience' when 2 then 'experience_years' when 4 then 'bid_validity_days' when 5 then 'manpower_count' when 6 then 'technical_staff_count' else 'similar_projects_count' end
+    when 'gst_registration' then case c.tender_id % 7 when 1 then 'pan_registration' when 2 then 'blacklisting_declaration' when 3 then 'generic_compliance' when 4 then 'registered_firm' when 5 then 'msme_preference' when 6 then 'tds_registration' else 'gst_registration' end
+    else case c.tender_id % 7 when 2 then 'iso_14001' when 3 then 'nabl_accreditation' when 4 then 'iso_27001' when 5 then 'msme_registration' when 6 then 'local_content' else 'iso_9001' end end as field
+  from {criteria} c) x
+join (values (0, '', -1.0), (1, '<=', -1.0), (2, '!=', -1.0), (3, '~', -1.0), (4, '', -1.0), (5, '>=', 12.0)) as v(k, op, target) on v.k = x.tender_id % 6""",
     "http_log": """
 select event_id as id, ts, user_id, event_type as path,
   case when event_type = 'error' then 500 else 200 end as status, value as latency_ms
@@ -77,8 +90,9 @@ select event_id as id, user_id as tender_id, ts as updated_at,
 from {events} where event_type = 'click'""",
     "tender_texts": """
 select o_orderkey as tender_id,
-  case when o_orderkey % 13 = 0 then '' else
-  'Eligibility: annual turnover of at least Rs. ' || cast(1 + o_orderkey % 90 as string)
+  case when o_orderkey % 13 = 0 then '' else translate(
+  case when o_orderkey % 97 = 5 then 'Annual turnover of Rs.' || repeat(' ', 2100) || '5 crore. ' when o_orderkey % 31 = 4 then 'EMD of Rs. 500
+in cash. ' else '' end || 'Eligibility: annual turnover of at least Rs. ' || cast(1 + o_orderkey % 90 as string)
     || case o_orderkey % 4 when 0 then ' crore' when 1 then ' lakh' when 2 then ',50,000' else ' million' end || '.'
     || case when o_orderkey % 2 = 0 then ' Positive net worth.' when o_orderkey % 5 = 1 then ' Net worth of INR ' || cast(o_orderkey % 70 as string) || ' lakh.' else '' end
     || case when o_orderkey % 3 = 0 then ' EMD of Rs. ' || cast(1000 + o_orderkey % 900 as string) || '.' when o_orderkey % 3 = 1 then ' Bid security shall apply.' else '' end
@@ -92,7 +106,7 @@ select o_orderkey as tender_id,
     || case when o_orderkey % 6 = 1 then ' Bid validity: ' || cast(30 + o_orderkey % 150 as string) || ' days.' when o_orderkey % 6 = 2 then ' Validity of bid is 90 days.' else '' end
     || case when o_orderkey % 5 = 3 then ' Bidder must not be blacklisted.' else '' end
     || case when o_orderkey % 12 = 5 then ' निविदा शर्तें लागू होंगी।' when o_orderkey % 12 = 7 then ' निविदा की सभी शर्तें सामान्य नियमों के अनुसार लागू होंगी और बोलीदाता को अनुभव प्रमाण पत्र जमा करना होगा तथा सभी दस्तावेज समय पर देने होंगे। कार्य पूरा करने की अवधि और भुगतान की शर्तें अनुबंध में दी गई हैं और सभी पक्षों को मान्य होंगी।' else '' end
-  end as text
+, '0123456789', case when o_orderkey % 17 = 3 then '०१२३४५६७८९' else '0123456789' end) end as text
 from {orders}""",
     "files": """
 select p_partkey as file_id, '/uploads/' || case when p_partkey % 17 = 0 then 'a..b' else 'Doc' || cast(p_partkey as string) end

@@ -2,8 +2,9 @@
 
 # Fixed values -------------------------------------------------------------------------------
 AMOUNT = r"(?:₹|rs\.?|inr)?\s*([\d][\d,]*(?:\.\d+)?)\s*(crore|crores|cr|lakh|lakhs|lac|lacs|million)?"
-MONEY_ALL = r"(?i)(?:₹|Rs\.?|INR)\s*([\d,]+(?:\.\d+)?)\s*(crore|lakh|lac|million)?"
-MONEY_TURNOVER = r"(?i)turnover[^\d]{0,40}([\d,]{4,})"
+# Digits, white space and word borders are those of Unicode (flag U).
+MONEY_ALL = r"(?iU)(?:₹|Rs\.?|INR)\s*([\d,]+(?:\.\d+)?)\s*(crore|lakh|lac|million)?"
+MONEY_TURNOVER = r"(?iU)turnover[^\d]{0,40}([\d,]{4,})"
 
 MONEY_FIELDS = ["annual_turnover", "net_worth", "net_profit", "turnover", "emd_amount", "bid_security",
                 "earnest_money", "bank_guarantee"]
@@ -15,13 +16,34 @@ BOOL_FIELDS = ["gst_registration", "iso_9001", "iso_14001", "iso_27001", "nabl_a
 
 #: field: pattern with one group, confidence; the largest match counts.
 COUNT_RULES = {
-    "similar_projects_count": (r"(?i)(\d+)\s*(?:similar|projects?|works?)", 0.72),
-    "experience_years": (r"(?i)(\d+)\s*(?:\+)?\s*(?:years?|yrs?)", 0.75),
-    "years_of_experience": (r"(?i)(\d+)\s*(?:\+)?\s*(?:years?|yrs?)", 0.75),
-    "technical_staff_count": (r"(?i)(\d+)\s*(?:technical staff|engineers?|staff)", 0.76),
+    "similar_projects_count": (r"(?iU)(\d+)\s*(?:similar|projects?|works?)", 0.72),
+    "experience_years": (r"(?iU)(\d+)\s*(?:\+)?\s*(?:years?|yrs?)", 0.75),
+    "years_of_experience": (r"(?iU)(\d+)\s*(?:\+)?\s*(?:years?|yrs?)", 0.75),
+    "technical_staff_count": (r"(?iU)(\d+)\s*(?:technical staff|engineers?|staff)", 0.76),
     "manpower_count": (
-        r"(?i)(\d+)\s*(?:full[-\s]*time\s*)?(?:employees?|manpower|personnel|professionals?|workforce)", 0.74),
-    "bid_validity_days": (r"(?i)(\d{2,4})\s*days?", 0.72),
+        r"(?iU)(\d+)\s*(?:full[-\s]*time\s*)?(?:employees?|manpower|personnel|professionals?|workforce)", 0.74),
+    "bid_validity_days": (r"(?iU)(\d{2,4})\s*days?", 0.72),
+}
+
+#: Presence signals on lower-cased text.  field: rules (all of these words, one of these words, pattern, minimal
+#: length, value, confidence) of which the first that holds counts, and the confidence where none does.
+SIGNALS = {
+    "gst_registration": ([((), (), r"(?U)\b\d{2}[a-z]{5}\d{4}[a-z][a-z0-9]\b", 0, 1, 0.92),
+                          (("gst", "registration"), (), None, 0, 1, 0.8),
+                          ((), ("gstin", "goods and services tax"), None, 0, 1, 0.78)], 0.5),
+    "iso_9001": ([(("iso", "9001"), (), None, 0, 1, 0.85)], 0.6),
+    "iso_14001": ([(("iso", "14001"), (), None, 0, 1, 0.85)], 0.6),
+    "iso_27001": ([(("iso", "27001"), (), None, 0, 1, 0.85)], 0.6),
+    "nabl_accreditation": ([(("nabl",), (), None, 0, 1, 0.85)], 0.5),
+    "generic_compliance": ([((), ("certif", "undertaking", "compliance"), None, 81, 1, 0.55)], 0.45),
+    "blacklisting_declaration": ([((), ("not blacklisted", "no blacklisting", "not debarred"), None, 0, 1, 0.82),
+                                  ((), ("blacklisted", "debarred"), None, 0, 0, 0.85)], 0.45),
+    "registered_firm": ([(("registered",), ("firm", "company"), None, 0, 1, 0.75)], 0.45),
+    "msme_preference": ([((), ("msme", "udyam", "udyog aadhar"), None, 0, 1, 0.78)], 0.45),
+    "msme_registration": ([((), ("msme", "udyam", "udyog aadhar"), None, 0, 1, 0.78)], 0.45),
+    "pan_registration": ([((), (), r"(?U)\b[a-z]{5}\d{4}[a-z]\b", 0, 1, 0.88), (("pan",), (), None, 0, 1, 0.7)], 0.45),
+    "tds_registration": ([((), (), r"(?U)\b[a-z]{4}\d{5}[a-z]\b", 0, 1, 0.85),
+                          ((), ("tds", "tan", "tax deducted at source"), None, 0, 1, 0.72)], 0.45),
 }
 
 CATEGORIES = {
@@ -46,5 +68,16 @@ ACTION_LABELS = {
     "REVIEW_OVERRIDE": "Review Override",
 }
 CONFLICT_WORDS = r"(?i)conflict|contradict|mismatch|inconsist|manipul|discrepan"
-UUID = r"(?i)^[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}$"
+#: Bidder ids: the usual form, with a URN prefix or one character on each side, or 32 digits.
+UUID = r"(?i)^(?:(?:urn:uuid:)?@|.@.|[0-9a-f]{32})$".replace("@", "[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}")
+#: Limits of the decision cascade: relative spread of values, absolute one where none is positive, confidence of
+#: reading and of the whole, ambiguity of the rule, and the confidences that verdicts are given.
+SPREAD, SPREAD_ABSOLUTE, LEAST_OCR, LEAST_CONFIDENCE, MOST_AMBIGUITY = 0.05, 1, 0.5, 0.6, 0.55
+PRESENCE_CONFIDENCE, CONFLICT_CONFIDENCE, DECIDED_CONFIDENCE = 0.7, 0.51, 0.7
 WEIGHTS = {"ocr": 0.35, "extraction": 0.30, "priority": 0.20, "agreement": 0.15}
+# --------------------------------------------------------------------------------------------
+
+
+def as_sql(pattern: str) -> str:
+    """A pattern for engines whose digits are ASCII ones unless they are named."""
+    return pattern.replace("(?iU)", "(?i)").replace("(?U)", "").replace(r"\d", r"\p{Nd}")

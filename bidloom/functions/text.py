@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import sys
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -17,6 +20,21 @@ VERHOEFF_P = "".join(
 )
 
 
+#: Decimal digits of all scripts but ASCII, and what they stand for.
+_DIGITS = [chr(c) for c in range(128, sys.maxunicode + 1) if unicodedata.category(chr(c)) == "Nd"]
+_PLAIN = "".join(str(unicodedata.decimal(c)) for c in _DIGITS)
+
+
+def plain_digits(text: Column) -> Column:
+    """Digits of any script as ASCII digits; the length stays."""
+    return F.when(F.octet_length(text) == F.char_length(text), text).otherwise(F.translate(text, "".join(_DIGITS), _PLAIN))
+
+
+def strip(text: Column) -> Column:
+    """Without white space of any kind at both ends."""
+    return F.regexp_replace(text, r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+
+
 def devanagari_ratio(text: Column) -> Column:
     """Devanagari characters among letter-like ones; 0 where there are none."""
     own = F.regexp_count(text, F.lit(r"[\x{0900}-\x{097F}]"))
@@ -100,6 +118,26 @@ def stable_key(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(prefix), F.left(F.sha2(joined, 256), F.lit(48)))
 
 
+def python_float(value: Column) -> Column:
+    """A number as Python writes it: the shortest digits, with an exponent from 1e16 on and below 1e-4."""
+    s = value.cast("string")
+    part = lambda g: F.regexp_extract(s, r"^-?(\d)\.(\d+)E(-?\d+)$", g)
+    sign = F.when(value < 0, "-").otherwise("")
+    power = part(3).cast("int")
+    frac = F.when(part(2) == "0", "").otherwise(part(2))
+    digits = F.concat(part(1), frac)
+    whole = F.rpad(digits, power + 1, F.lit("0"))
+    rest = F.when(F.char_length(digits) > power + 1, F.substr(digits, power + 2)).otherwise("0")
+    short = F.concat(part(1), F.when(frac == "", "").otherwise(F.concat(F.lit("."), frac)))
+    power_text = F.concat(F.when(power < 0, "-").otherwise("+"), F.lpad(F.abs(power).cast("string"), F.greatest(F.lit(2), F.char_length(F.abs(power).cast("string"))), F.lit("0")))
+    return (
+        F.when(~s.contains("E"), s)
+        .when(power.between(0, 15), F.concat(sign, whole, F.lit("."), rest))
+        .when(power.between(-4, -1), F.concat(sign, F.lit("0."), F.repeat(F.lit("0"), -power - 1), digits))
+        .otherwise(F.concat(sign, short, F.lit("e"), power_text))
+    )
+
+
 def format_inr(value: Column) -> Column:
     return (
         F.when(value >= 1e7, F.format_string("₹%.2f Cr", value / 1e7)).when(value >= 1e5, F.format_string("₹%.1f L", value / 1e5))

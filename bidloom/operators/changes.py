@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from bidloom.functions import patterns as P
 from bidloom.functions import text as T
+from bidloom.sources.shared import Workspace
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], version: str) -> DataFrame:
@@ -23,16 +24,48 @@ def replace_group(old: DataFrame, new: DataFrame, key: str) -> DataFrame:
 
 
 def valid_decisions(rows: DataFrame) -> DataFrame:
-    """Adds ``ok``: the bidder id is a UUID and the criterion is not blank."""
-    ok = F.col("bidder_id").rlike(P.UUID) & (F.trim(F.coalesce("criterion_id", F.lit(""))) != "")
+    """Adds ``ok``: the bidder id is a UUID and the criterion is not empty."""
+    ok = F.col("bidder_id").rlike(P.UUID) & (F.coalesce("criterion_id", F.lit("")) != "")
     return rows.withColumn("ok", F.coalesce(ok, F.lit(False)))
 
 
-def patch(base: DataFrame, patches: DataFrame, key: str, version: str, columns: list[str]) -> DataFrame:
-    """Shallow merge of the latest patch of each row; null leaves a column as it is, the key stays."""
-    last = patches.groupBy(key).agg(F.max_by(F.struct(*columns), version).alias("p"))
-    return base.join(last, key, "left").select(
-        *[F.coalesce(f"p.{c}", c).alias(c) if c in columns else F.col(c) for c in base.columns]
+class NoValidDecisions(ValueError):
+    """A batch without one valid decision; its rows are in ``quarantine``."""
+
+    def __init__(self, rows: int, quarantine: DataFrame):
+        super().__init__(f"none of {rows} decisions is valid")
+        self.quarantine = quarantine
+
+
+def admit_decisions(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(good, quarantine)`` of a batch, written and counted in one pass; without a good row an error.
+
+    Nothing is stored where later steps look until the counts are in, so a refused batch changes
+    nothing, and its rows can be looked into.
+    """
+    seen = Observation("decisions")
+    marked = valid_decisions(rows).observe(seen, F.count("*").alias("rows"), F.count_if("ok").alias("good"))
+    stored = Workspace(rows.sparkSession).write(marked, "decisions")
+    good, bad = (stored.filter(c).drop("ok") for c in ("ok", "not ok"))
+    if not seen.get["good"]:
+        raise NoValidDecisions(seen.get["rows"], bad)
+    return good, bad
+
+
+def patch(base: DataFrame, patches: DataFrame, key: str, version: str, columns: list[str], named: str | None = None) -> DataFrame:
+    """All patches of each row merged in order of ``version``: of each column the latest value that a patch sets.
+
+    A patch sets the columns that the array column ``named`` lists, null included; without it those
+    that are not null.  The key stays.  One aggregation, so many patches of one row combine map-side.
+    """
+
+    def last(c: str):
+        says = F.array_contains(named, c) if named else F.col(c).isNotNull()
+        return F.max_by(F.struct(F.col(c).alias("x")), F.when(says, F.col(version))).alias(c)
+
+    merged = patches.groupBy(key).agg(*[last(c) for c in columns]).select(key, F.struct(*columns).alias("p"))
+    return base.join(merged, key, "left").select(
+        *[F.when(F.col(f"p.{c}").isNotNull(), F.col(f"p.{c}.x")).otherwise(F.col(c)).alias(c) if c in columns else F.col(c) for c in base.columns]
     )
 
 
@@ -59,12 +92,19 @@ def new_criteria(batch: DataFrame, stored: DataFrame) -> DataFrame:
     return first.join(form(stored).select(*keys).distinct(), keys, "left_anti").select("r.id", "tender_id", "field", "operator", "r.value")
 
 
+def manual_criteria(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """Criteria that officers enter: a confidence that is none counts as 1; ``accepted`` is false where the rule is there already."""
+    c = F.col("confidence")
+    rows = batch.withColumn("confidence", F.when((c <= 0) | (c > 1) | c.isNull(), 1.0).otherwise(c))
+    new = new_criteria(batch, stored).select("id", F.lit(True).alias("new"))
+    return rows.join(new, "id", "left").withColumn("accepted", F.coalesce("new", F.lit(False))).drop("new")
+
+
 def audit_rows(log: DataFrame) -> DataFrame:
-    """Redacted payload and checksum of each entry, over JSON of fixed field order."""
+    """Redacted payload and checksum of each entry, over JSON of fixed field order; empty ids become null."""
     payload = F.to_json(F.struct("action", T.redact(F.col("note")).alias("note")))
-    return log.select(
-        "id", "tender_id", "user_id", "action", payload.alias("payload"), T.checksum(payload).alias("checksum"), "created_at"
-    )
+    ids = [F.nullif(F.col(c).cast("string"), F.lit("")).cast(log.schema[c].dataType).alias(c) for c in ("tender_id", "user_id")]
+    return log.select("id", *ids, "action", payload.alias("payload"), T.checksum(payload).alias("checksum"), "created_at")
 
 
 def page(df: DataFrame, key: str, order: list, limit: int = 50, offset: int = 0, total: bool = True) -> DataFrame:
@@ -82,3 +122,22 @@ def page(df: DataFrame, key: str, order: list, limit: int = 50, offset: int = 0,
         return out
     n = df.groupBy(F.col(key).alias("page_key")).agg(F.count("*").alias("total"))
     return out.join(n, F.col(key).eqNullSafe(F.col("page_key")), "left").drop("page_key")
+
+
+def keyset_page(df: DataFrame, order: list[tuple[str, bool]], after: tuple | None = None, limit: int = 50) -> DataFrame:
+    """The page of the whole table that follows the row ``after`` in ``order`` (column, descending), with the total.
+
+    ``after`` has that row's values of the order columns; without it the first page.  Each task keeps
+    its own first rows only, so a page costs one pass wherever it lies, and nothing is ranked.
+    """
+    if limit < 0:
+        raise ValueError("limit must not be negative")
+    rows = df
+    if after is not None:
+        tests, same = F.lit(False), F.lit(True)
+        for (c, descending), x in zip(order, after, strict=True):
+            tests = tests | (same & (F.col(c) < F.lit(x) if descending else F.col(c) > F.lit(x)))
+            same = same & (F.col(c) == F.lit(x))
+        rows = df.filter(tests)
+    page_ = rows.orderBy(*[F.desc(c) if d else F.asc(c) for c, d in order]).limit(min(limit or 50, 200))
+    return page_.join(F.broadcast(df.agg(F.count("*").alias("total"))))

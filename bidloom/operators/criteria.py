@@ -3,8 +3,8 @@
 Patterns run on the lower-cased text; a clause is cut from the original at the same offsets.
 Digits are Unicode digits, as the rules have it.
 
-Each pattern looks through a text once: a first projection finds where it matches, and what a rule
-takes from the match is read at that place.
+Each pattern looks through a text once: a first projection finds where it matches, a second reads the
+match there, however long it is, and rules take their groups from the match.
 """
 
 from __future__ import annotations
@@ -15,12 +15,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidloom.functions import patterns as P
-from bidloom.operators.evidence import amount_inr
+from bidloom.functions import text as T
+from bidloom.operators.evidence import amount_inr, number_of
 
 _U = "(?U)"
 RULE = (
     "struct<field: string, operator: string, value: double, unit: string, mandatory: boolean, priority: string, "
-    "extraction_confidence: double, semantic_ambiguity_score: double, text_raw: string, source_clause: string>"
+    "extraction_confidence: double, semantic_ambiguity_score: double, text_raw: string, source_clause: string, "
+    "temporal: struct<type: string, n: int, anchor: string>, depends_on: string>"
 )
 
 # Fixed values -------------------------------------------------------------------------------
@@ -43,6 +45,8 @@ MANPOWER = (r"(\d+)\s*(?:\+|or\s*more)?\s*(?:full[-\s]*time\s*)?"
             r"(?:employees?|engineers?|technical\s*staff|manpower|professionals?|personnel)")
 VALIDITY = [(r"bid\s*validity[^\n\d]{0,30}(\d{2,4})\s*(?:days?|d)?", 0.78, 0.1),
             (r"validity\s*of\s*bid[^\n\d]{0,30}(\d{2,4})\s*(?:days?|d)?", 0.75, 0.12)]
+#: Fields whose figures are of certain years: type, number of years, day from which they count.
+TEMPORAL = {"annual_turnover": ("any_of_last_n_years", 3, "tender_date"), "similar_projects_count": ("last_n_years", 5, None)}
 #: Presence rules: field, test, pattern of the clause, raw text, mandatory, priority, confidence, ambiguity.
 PRESENCE_RULES = [
     ("iso_9001", r"iso[\s\-]*9001", None, "ISO 9001 certification (quality management)", False, "iso_certificate", 0.88, 0.08),
@@ -63,33 +67,47 @@ BLACKLIST = ("blacklisting_declaration", r"black[\s\-]*list|debar(?:red|ment)|no
 
 
 class Found:
-    """A text column, and the places at which patterns match in it."""
+    """A text column, the places at which patterns match in it, and the matches."""
 
     def __init__(self, text: str = "text"):
         self.raw, self.low, self.patterns = F.col(text), F.col("_low"), {}
 
+    def _number(self, pattern: str) -> int:
+        return self.patterns.setdefault(pattern, len(self.patterns))
+
     def at(self, pattern: str) -> Column:
         """Where the pattern matches first, from 1; 0 if nowhere."""
-        return F.col(self.patterns.setdefault(pattern, f"_at{len(self.patterns)}"))
+        return F.col(f"_at{self._number(pattern)}")
 
     def hit(self, pattern: str) -> Column:
         return self.at(pattern) > 0
 
-    def group(self, pattern: str, group: int = 0, room: int = 2000) -> Column:
-        """A group of the first match, read where it stands; a match is far shorter than ``room``."""
-        return F.regexp_extract(F.substr(self.low, self.at(pattern), F.lit(room)), f"{_U}^(?:{pattern})", group)
+    def whole(self, pattern: str) -> Column:
+        """The first match; null if there is none."""
+        return F.col(f"_match{self._number(pattern)}")
+
+    def group(self, pattern: str, group: int) -> Column:
+        """A group of the first match, read from the match alone."""
+        return F.regexp_extract(self.whole(pattern), f"{_U}^(?:{pattern})", group)
 
     def clause(self, pattern: str, around: int = 80, most: int = 400) -> Column:
         """The original text from 80 characters before the match to 80 after it, white space collapsed."""
         at = self.at(pattern) - 1
         start = F.greatest(F.lit(0), at - around)
-        cut = F.substr(self.raw, start + 1, at + F.char_length(self.group(pattern)) + around - start)
+        cut = F.substr(self.raw, start + 1, at + F.char_length(self.whole(pattern)) + around - start)
         return F.when(self.hit(pattern), F.left(F.trim(F.regexp_replace(cut, r"(?U)\s+", " ")), F.lit(most)))
 
     def locate(self, docs: DataFrame, keys: tuple[str, ...], text: str = "text") -> DataFrame:
-        """``keys``, the text and the places of all patterns asked for so far."""
-        low = docs.select(*keys, F.col(text).alias(text), F.lower(text).alias("_low"))
-        return low.select("*", *[F.coalesce(F.regexp_instr("_low", F.lit(_U + p)), F.lit(0)).alias(n) for p, n in self.patterns.items()])
+        """``keys``, the text, and the places and matches of all patterns asked for so far."""
+        low = F.lower(text)
+        # Places count characters where the pattern functions count code units; no rule has a character of two units.
+        low = F.when(F.octet_length(low) == F.char_length(low), low).otherwise(F.regexp_replace(low, r"[\x{10000}-\x{10FFFF}]", "\ufffd"))
+        at = {f"_at{k}": F.coalesce(F.regexp_instr("_low", F.lit(_U + p)), F.lit(0)) for p, k in self.patterns.items()}
+        read = {
+            f"_match{k}": F.when(self.hit(p), F.regexp_extract(F.substr(self.low, self.at(p)), f"{_U}^(?:{p})", 0))
+            for p, k in self.patterns.items()
+        }
+        return docs.select(*keys, F.col(text).alias(text), low.alias("_low")).withColumns(at).withColumns(read)
 
 
 def source_clause(docs: DataFrame, pattern: str, key: str = "tender_id") -> DataFrame:
@@ -99,12 +117,19 @@ def source_clause(docs: DataFrame, pattern: str, key: str = "tender_id") -> Data
     return found.locate(docs, (key,)).select(key, clause.alias("clause"))
 
 
+def temporal(field) -> Column:
+    kind, n, anchor = TEMPORAL.get(field, (None, None, None)) if isinstance(field, str) else (None, None, None)
+    made = F.struct(F.lit(kind).cast("string").alias("type"), F.lit(n).cast("int").alias("n"), F.lit(anchor).cast("string").alias("anchor"))
+    return F.when(F.lit(kind is not None), made).alias("temporal")
+
+
 def _rule(cond, field, operator, value, unit, mandatory, priority, conf, amb, raw, clause) -> Column:
     made = F.struct(
         F.lit(field).alias("field") if isinstance(field, str) else field.alias("field"),
         F.lit(operator).alias("operator"), value.cast("double").alias("value"), F.lit(unit).alias("unit"),
         F.lit(mandatory).alias("mandatory"), F.lit(priority).alias("priority"), conf.alias("extraction_confidence"),
         amb.alias("semantic_ambiguity_score"), raw.alias("text_raw"), clause.alias("source_clause"),
+        temporal(field), F.lit(None).cast("string").alias("depends_on"),
     )
     return F.when(cond, made)
 
@@ -122,7 +147,7 @@ def amount_rules(text: Found) -> list[Column]:
         else:
             good = hit & value.isNotNull()
         own = _rule(good, field, ">=", value, "INR", True, priority, F.lit(conf), F.lit(amb),
-                    F.trim(text.group(pattern)), text.clause(pattern))
+                    T.strip(text.whole(pattern)), text.clause(pattern))
         if fallback:
             seen, raw, v, c, a = fallback
             other = _rule(~hit & text.hit(seen), field, ">=", F.lit(v), "INR", True, priority, F.lit(c), F.lit(a),
@@ -133,8 +158,8 @@ def amount_rules(text: Found) -> list[Column]:
 
 
 def count_rules(text: Found) -> list[Column]:
-    number = lambda p: F.when(text.hit(p), text.group(p, 1).try_cast("double"))
-    raw = lambda p: F.trim(text.group(p))
+    number = lambda p: number_of(text.group(p, 1))
+    raw = lambda p: T.strip(text.whole(p))
     letters = "experience_letters,work_order,supporting"
     years = _rule(text.hit(EXPERIENCE), "experience_years", ">=", number(EXPERIENCE), "years", True, letters, F.lit(0.78),
                   F.lit(0.15), raw(EXPERIENCE), text.clause(EXPERIENCE))
@@ -144,7 +169,7 @@ def count_rules(text: Found) -> list[Column]:
     projects = _rule(number(PROJECTS).between(1, 50), "similar_projects_count", ">=",
                      number(PROJECTS), "count", True, "experience_letters,work_order", F.lit(0.7), F.lit(0.22),
                      raw(PROJECTS), text.clause(PROJECTS))
-    whole = text.group(MANPOWER)
+    whole = text.whole(MANPOWER)
     kind = F.when(whole.contains("engineer") | whole.contains("technical"), "technical_staff_count").otherwise("manpower_count")
     people = _rule(number(MANPOWER).between(1, 100000), kind, ">=", number(MANPOWER), "count", True,
                    "pf_records,epf_statement,hr_certificate,supporting", F.lit(0.7), F.lit(0.2), raw(MANPOWER),
@@ -162,8 +187,8 @@ def presence_rules(text: Found, rules=None) -> list[Column]:
 
 def validity_rules(text: Found) -> list[Column]:
     found = [
-        _rule(text.hit(p), "bid_validity_days", ">=", text.group(p, 1).try_cast("double"), "days", True,
-              "bid_form,supporting", F.lit(conf), F.lit(amb), F.trim(text.group(p)), text.clause(p))
+        _rule(text.hit(p), "bid_validity_days", ">=", number_of(text.group(p, 1)), "days", True,
+              "bid_form,supporting", F.lit(conf), F.lit(amb), T.strip(text.whole(p)), text.clause(p))
         for p, conf, amb in VALIDITY
     ]
     return [F.coalesce(*found)]
@@ -202,6 +227,7 @@ def placeholder() -> Column:
         F.lit("bool").alias("unit"), F.lit(True).alias("mandatory"), F.lit("supporting").alias("priority"),
         F.lit(0.4).alias("extraction_confidence"), F.lit(0.5).alias("semantic_ambiguity_score"),
         F.lit("Minimum eligibility (placeholder)").alias("text_raw"), F.lit(None).cast("string").alias("source_clause"),
+        temporal("generic_compliance"), F.lit(None).cast("string").alias("depends_on"),
     )
 
 
@@ -210,15 +236,42 @@ def extract(docs: DataFrame) -> DataFrame:
     return emit(docs, every_rule, otherwise=placeholder())
 
 
+REPLY = (
+    "struct<criteria: array<struct<field: string, operator: string, value: double, unit: string, mandatory: boolean, "
+    "source_priority: array<string>, extraction_confidence: double, semantic_ambiguity_score: double, text_raw: string, "
+    "source_clause: string, temporal: struct<type: string, n: int, anchor: string>, depends_on: string, category: string>>>"
+)
+
+
 def backfill(docs: DataFrame, replies: DataFrame) -> DataFrame:
-    """Rules of a model's reply (its first JSON block), else those of the text itself."""
+    """Rules of a model's reply (its first JSON block), else those of the text itself.
+
+    What a reply leaves out is null, but for the category, which follows from the field.
+    """
     block = F.regexp_extract("reply", r"(?s)\{.*\}", 0)
-    form = "struct<criteria: array<struct<field: string, operator: string, value: double>>>"
-    parsed = replies.select("tender_id", F.from_json(block, form)["criteria"].alias("c")).filter("size(c) > 0")
-    given = parsed.select("tender_id", F.posexplode("c").alias("pos", "x")).select(
-        "tender_id", "pos", "x.field", "x.operator", "x.value", category(F.col("x.field")).alias("category"),
-        F.lit("reply").alias("origin"),
-    )
-    rest = docs.join(parsed.select("tender_id"), "tender_id", "left_anti")
-    own = extract(rest).select("tender_id", "pos", "field", "operator", "value", "category", F.lit("rules").alias("origin"))
-    return given.unionByName(own)
+    parsed = replies.select("tender_id", F.from_json(block, REPLY)["criteria"].alias("c")).filter("size(c) > 0")
+    given = parsed.select("tender_id", F.posexplode("c").alias("pos", "x")).select("tender_id", "pos", "x.*")
+    given = given.withColumn("priority", F.array_join("source_priority", ",")).withColumn("category", F.coalesce("category", category(F.col("field"))))
+    own = extract(docs.join(parsed.select("tender_id"), "tender_id", "left_anti"))
+    return given.select(own.columns).withColumn("origin", F.lit("reply")).unionByName(own.withColumn("origin", F.lit("rules")))
+
+
+def extract_in_language(docs: DataFrame, translated: DataFrame | None = None) -> DataFrame:
+    """All rule rows with ``source_text_lang``, a translated clause and a warning.
+
+    ``translated`` has tender_id and english, null where the translation failed.  Texts that are not
+    English go through the rules in English where there is a translation; the clause is then one of
+    it.  Where there is none the text itself goes, with the warning ``untranslated_indic_text``.
+    """
+    lang = T.language(T.devanagari_ratio(F.coalesce("text", F.lit(""))))
+    docs = docs.withColumn("source_text_lang", lang)
+    other = translated.select("tender_id", F.nullif("english", F.lit("")).alias("english")) if translated is not None else None
+    docs = docs.join(other, "tender_id", "left") if other is not None else docs.withColumn("english", F.lit(None).cast("string"))
+    foreign = F.col("source_text_lang") != "en"
+    docs = docs.withColumn("english", F.when(foreign, F.col("english"))).withColumn("text", F.coalesce("english", "text"))
+    docs = docs.withColumn("is_translated", F.col("english").isNotNull())
+    keys = ("tender_id", "source_text_lang", "is_translated")
+    rules = emit(docs, every_rule, keys, otherwise=placeholder())
+    return rules.withColumn("source_clause_translated", F.when(F.col("is_translated"), F.coalesce("source_clause", F.lit("")))).withColumn(
+        "extraction_warning", F.when((F.col("source_text_lang") != "en") & ~F.col("is_translated"), "untranslated_indic_text")
+    ).drop("is_translated")

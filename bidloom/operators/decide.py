@@ -25,7 +25,7 @@ def pairs(bidders: DataFrame, criteria: DataFrame) -> DataFrame:
 
 def in_conflict(n: Column, top: Column, low: Column) -> Column:
     """Two or more values that differ by over a twentieth of the largest."""
-    return (n >= 2) & F.when(top > 0, (top - low) / top > 0.05).otherwise(F.abs(top - low) > 1)
+    return (n >= 2) & F.when(top > 0, (top - low) / top > P.SPREAD).otherwise(F.abs(top - low) > P.SPREAD_ABSOLUTE)
 
 
 def priority_list(priority: Column) -> Column:
@@ -66,7 +66,7 @@ def evidence_summary(found: DataFrame) -> DataFrame:
     conf = confidence(F.col("ocr_conf"), F.col("ext_conf"), spi, F.lit(0.0))
     # Highest confidence first, then document, pass and match order.
     rank = F.struct(conf.alias("conf"), (-F.col("doc_pos")).alias("d"), (-F.col("pass")).alias("p"), (-F.col("match_pos")).alias("m"))
-    best = F.struct("doc_id", "doc_type", "value", "ocr_conf", "ext_conf", conf.alias("conf"))
+    best = F.struct("doc_id", "doc_type", "value", "ocr_conf", "ext_conf", conf.alias("conf"), evidence_id().alias("best_id"), "raw")
     return found.groupBy(*PAIR).agg(
         F.count("*").alias("n"), F.max("value").alias("top"), F.min("value").alias("low"), F.max_by(best, rank).alias("best")
     )
@@ -94,8 +94,8 @@ def cascade(rows: DataFrame) -> DataFrame:
         .when(none & is_bool, "DOC_MISSING")
         .when(none, "NO_EVIDENCE")
         .when(in_conflict(F.col("n"), F.col("top"), F.col("low")), "CONFLICT_DETECTED")
-        .when(ocr < 0.5, "LOW_OCR_CONFIDENCE")
-        .when((conf < 0.6) | (F.coalesce("semantic_ambiguity_score", F.lit(0.0)) > 0.55), "LOW_CONFIDENCE")
+        .when(ocr < P.LEAST_OCR, "LOW_OCR_CONFIDENCE")
+        .when((conf < P.LEAST_CONFIDENCE) | (F.coalesce("semantic_ambiguity_score", F.lit(0.0)) > P.MOST_AMBIGUITY), "LOW_CONFIDENCE")
         .when(ok, "MATCH").otherwise("REQUIREMENT_NOT_MET")
     )
     rows = rows.withColumn("reason", reason)
@@ -105,9 +105,9 @@ def cascade(rows: DataFrame) -> DataFrame:
         .otherwise("NEEDS_REVIEW")
     )
     level = (
-        F.when(r.isin("DOC_PRESENT", "DOC_MISSING"), F.lit(0.7)).when(r == "CONFLICT_DETECTED", 0.51)
+        F.when(r.isin("DOC_PRESENT", "DOC_MISSING"), F.lit(P.PRESENCE_CONFIDENCE)).when(r == "CONFLICT_DETECTED", P.CONFLICT_CONFIDENCE)
         .when(r == "LOW_OCR_CONFIDENCE", ocr).when(r == "LOW_CONFIDENCE", conf)
-        .when(r == "NO_EVIDENCE", 0.0).otherwise(F.greatest(conf, F.lit(0.7)))
+        .when(r == "NO_EVIDENCE", 0.0).otherwise(F.greatest(conf, F.lit(P.DECIDED_CONFIDENCE)))
     )
     return rows.withColumn("verdict", verdict).withColumn("confidence", level)
 
@@ -169,23 +169,111 @@ def explain(rows: DataFrame) -> DataFrame:
     )
 
 
+def evidence_id() -> Column:
+    """Name of an evidence row among those of its pair."""
+    return F.concat_ws("#", "doc_id", F.col("pass").cast("string"), F.col("match_pos").cast("string"))
+
+
+def conflicting(found: DataFrame) -> DataFrame:
+    """Pairs whose evidence is in conflict, with its count and extremes."""
+    n = found.groupBy(*PAIR).agg(F.count("*").alias("n"), F.max("value").alias("top"), F.min("value").alias("low"))
+    return n.filter(in_conflict(F.col("n"), F.col("top"), F.col("low")))
+
+
 def conflict_snapshots(found: DataFrame, most: int = 4) -> DataFrame:
-    """First evidence rows of each conflicting pair, in document and match order."""
+    """First evidence rows (``k`` from 1) of each conflicting pair, in document and match order.
+
+    Ranks are cut before the shuffle, so no task holds more than the first rows of a pair from each
+    task before it.
+    """
     order = W.partitionBy(*PAIR).orderBy("doc_pos", "pass", "match_pos")
-    ends = W.partitionBy(*PAIR)
-    out = found.withColumn("k", F.row_number().over(order)).withColumn(
-        "bad", in_conflict(F.count("*").over(ends), F.max("value").over(ends), F.min("value").over(ends))
-    )
-    return out.filter((F.col("k") <= most) & F.col("bad"))
+    some = found.join(conflicting(found).select(*PAIR), PAIR, "left_semi")
+    return some.withColumn("k", F.row_number().over(order)).filter(F.col("k") <= most)
+
+
+def conflict_classes(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(classes, members)``: each conflicting pair with its size, and the ids of its evidence, one a row.
+
+    All evidence of such a pair contradicts the others of it, so the ids that an evidence row is in
+    conflict with are the other members of its class, by one join.
+    """
+    classes = conflicting(found).select(*PAIR, "n")
+    members = found.join(classes.select(*PAIR), PAIR, "left_semi").select(*PAIR, evidence_id().alias("evidence_id"))
+    return classes, members
+
+
+def conflicts_of(evidence: DataFrame, members: DataFrame) -> DataFrame:
+    """Of each given evidence row (pair and evidence_id) the ids it is in conflict with, one a row."""
+    other = members.withColumnRenamed("evidence_id", "conflicts_with")
+    return evidence.select(*PAIR, "evidence_id").join(other, PAIR).filter("evidence_id <> conflicts_with")
 
 
 def cross_flags(found: DataFrame) -> DataFrame:
-    """Every evidence row with the number of others it conflicts with; ids stay rows, not lists."""
-    n = found.groupBy(*PAIR).agg(F.count("*").alias("n"), F.max("value").alias("top"), F.min("value").alias("low"))
-    bad = n.filter(in_conflict(F.col("n"), F.col("top"), F.col("low"))).select(*PAIR, (F.col("n") - 1).alias("others"))
+    """Every evidence row with the number of others it conflicts with; ``conflict_classes`` has their ids."""
+    bad = conflicting(found).select(*PAIR, (F.col("n") - 1).alias("others"))
     return found.join(bad, PAIR, "left").withColumn("conflicts_with", F.coalesce("others", F.lit(0)))
 
 
+def explanations(rows: DataFrame, found: DataFrame, docs: DataFrame) -> DataFrame:
+    """What is told of each decision: reasoning, mode, evidence_used, snapshot, snapshots and trace.
+
+    ``rows`` are those of ``cascade``, ``found`` their evidence.  Texts of documents (named by
+    ``filename`` where there is such a column) are read for the evidence that is shown only: the best
+    of a pair, or the first four of one in conflict.
+    """
+    name = F.coalesce("filename", "doc_id") if "filename" in docs.columns else F.col("doc_id")
+    shown = docs.select("tender_id", "bidder_id", "doc_id", name.alias("document"), F.left("text", F.lit(200)).alias("start"))
+    raw = F.left(F.coalesce("raw", "start"), F.lit(200))
+    first = conflict_snapshots(found).join(shown, ["tender_id", "bidder_id", "doc_id"])
+    first = first.select(*PAIR, F.struct("k", evidence_id().alias("id"), "document", "doc_type", F.col("value").alias("normalized_value"), raw.alias("raw_text")).alias("s"))
+    # Four rows of bounded length meet here at most.
+    first = first.groupBy(*PAIR).agg(F.sort_array(F.collect_list("s")).alias("first"))
+    best = rows.select(*PAIR, "reason", "field", "operator", "target", "priority", "n", "present_type", "confidence", "semantic_ambiguity_score", F.col("best.*"))
+    best = best.join(shown, ["tender_id", "bidder_id", "doc_id"], "left").join(first, PAIR, "left")
+    r, number = F.col("reason"), T.python_float
+    wanted = F.concat(F.lit("["), F.array_join(F.transform(F.split("priority", ","), lambda p: F.concat(F.lit("'"), p, F.lit("'"))), ", "), F.lit("]"))
+    values = F.array_join(F.transform(F.slice("first", 1, 3), lambda s: T.format_inr(s["normalized_value"])), " vs ")
+    known = F.col("field").isin(P.MONEY_FIELDS + P.COUNT_FIELDS + P.BOOL_FIELDS)
+    say = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    target, value = number(F.coalesce("target", F.lit(0.0))), number(F.col("value"))
+    reasoning = (
+        F.when(~known, "Unknown field with no documents matching expected types.")
+        .when(r == "DOC_MISSING", say("No document of type matching ", wanted, " provided by bidder."))
+        .when(r == "DOC_PRESENT", say("Document of type '", F.col("present_type"), "' satisfies presence requirement (expected one of ", wanted, ")."))
+        .when(r == "NO_EVIDENCE", "No evidence extracted for this criterion.")
+        .when(r == "CONFLICT_DETECTED", say("Conflicting ", F.col("field"), " values detected across documents: ", values,
+                                            ". Cannot auto-decide — requires officer verification."))
+        .when(r == "LOW_OCR_CONFIDENCE", "OCR confidence below threshold.")
+        .when(r == "LOW_CONFIDENCE", say(F.col("operator"), " ", target, "; extracted ", value, " but confidence/ambiguity requires review."))
+        .otherwise(say(F.col("field"), " requires ", F.col("operator"), " ", target, ". Extracted ", value, " from ", F.col("document"), "."))
+    )
+    decided, present = r.isin("MATCH", "REQUIREMENT_NOT_MET"), r.isin("DOC_PRESENT", "DOC_MISSING")
+    used = F.when(r == "CONFLICT_DETECTED", F.col("first")[0]["id"]).when(decided | r.isin("LOW_OCR_CONFIDENCE", "LOW_CONFIDENCE"), F.col("best_id"))
+    snapshot = F.struct(
+        F.when(decided, F.col("document")).alias("document"),
+        F.when(decided, F.left(F.coalesce("raw", "start"), F.lit(200))).alias("extracted_value"),
+        F.when(decided, F.col("value")).alias("normalized_value"), F.when(decided, F.col("ocr_conf")).alias("ocr_confidence"),
+        F.when(r == "DOC_PRESENT", F.col("present_type")).alias("doc_type"),
+    )
+    only = lambda cond, c: F.when(cond, c)
+    trace = F.struct(
+        F.when(present, "deterministic_doc_presence").otherwise("deterministic").alias("mode"), "field",
+        only(known & r.isin("NO_EVIDENCE", "CONFLICT_DETECTED"), F.coalesce("n", F.lit(0))).alias("evidence_count"),
+        only(r == "LOW_OCR_CONFIDENCE", F.col("ocr_conf")).alias("ocr_confidence"),
+        only(r == "LOW_CONFIDENCE", F.col("conf")).alias("overall_confidence"),
+        only(decided, F.col("operator")).alias("operator"), only(decided, F.coalesce("target", F.lit(0.0))).alias("target"),
+        only(decided, F.col("value")).alias("extracted"), only(decided, F.col("document")).alias("source_doc"),
+        only(present, F.split("priority", ",")).alias("expected_doc_types"), only(present, r == "DOC_PRESENT").alias("found"),
+        only(~known, F.lit("no_signal_no_llm")).alias("fallback"),
+    )
+    conflict = r == "CONFLICT_DETECTED"
+    snapshots = F.when(conflict, F.transform("first", lambda s: s.dropFields("k", "id")))
+    return best.select(
+        *PAIR, "reason", reasoning.alias("reasoning"), used.alias("evidence_used"), F.when(decided | (r == "DOC_PRESENT"), snapshot).alias("snapshot"),
+        snapshots.alias("snapshots"), trace.alias("trace"),
+    )
+
+
 def accepted(changes: DataFrame, decisions: DataFrame) -> DataFrame:
     """Changes of an existing decision, with a known verdict and a justification of 10 to 4000 characters."""
     good = changes.withColumn("verdict", F.upper(F.trim("verdict"))).filter(

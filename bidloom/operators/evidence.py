@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bidloom.functions import patterns as P
+from bidloom.functions import text as T
 
 
 def amount_inr(number: Column, unit: Column, cr_is_unit: bool = True) -> Column:
@@ -22,67 +23,64 @@ def amount_inr(number: Column, unit: Column, cr_is_unit: bool = True) -> Column:
     scale = (
         F.when(crore, 1e7).when(unit.contains("lakh") | unit.contains("lac"), 1e5).when(unit.contains("million"), 1e6)
     )
-    return F.regexp_replace(number, ",", "").try_cast("double") * scale.otherwise(1.0)
+    return number_of(number) * scale.otherwise(1.0)
+
+
+def number_of(digits: Column) -> Column:
+    """A number in digits of any script, with or without commas; null if it is none."""
+    return F.regexp_replace(T.plain_digits(digits), ",", "").try_cast("double")
+
+
+def money_matches(text: Column) -> Column:
+    """All rupee amounts of a text, in order: value, raw.  The text is searched once, groups are read from its matches."""
+    group = lambda m, g: F.regexp_extract(m, P.MONEY_ALL, g)
+    found = F.transform(F.regexp_extract_all(text, F.lit(P.MONEY_ALL), F.lit(0)), lambda m: F.struct(
+        amount_inr(group(m, 1), group(m, 2), cr_is_unit=False).alias("value"), m.alias("raw")))
+    return found
+
+
+def turnover_matches(text: Column) -> Column:
+    """Numbers after the word turnover: value, raw; small ones are taken as crores."""
+    number = lambda m: number_of(F.regexp_extract(m, P.MONEY_TURNOVER, 1))
+    found = F.transform(F.regexp_extract_all(text, F.lit(P.MONEY_TURNOVER), F.lit(0)), lambda m: F.struct(
+        number(m).alias("value"), m.alias("raw")))
+    small = lambda x: F.struct(F.when(x["value"] < 1e6, x["value"] * 1e7).otherwise(x["value"]).alias("value"), x["raw"].alias("raw"))
+    return F.transform(found, small)
+
+
+def _money(docs: DataFrame, matches: Column, number: int, conf: float) -> DataFrame:
+    out = docs.select(*docs.columns, F.posexplode(matches).alias("match_pos", "m")).filter("m.value is not null")
+    return out.select(*docs.columns, F.lit(number).alias("pass"), "match_pos", "m.value", F.lit(conf).alias("ext_conf"), "m.raw")
 
 
 def money_pass1(docs: DataFrame, text: str = "text") -> DataFrame:
     """All rupee amounts, in order: match_pos, value, ext_conf, raw."""
-    found = F.arrays_zip(*[
-        F.regexp_extract_all(text, F.lit(P.MONEY_ALL), F.lit(g)).alias(n) for g, n in ((1, "number"), (2, "unit"), (0, "raw"))
-    ])
-    out = docs.withColumn("m", found).select(*docs.columns, F.posexplode("m").alias("match_pos", "m"))
-    value = amount_inr(F.col("m.number"), F.col("m.unit"), cr_is_unit=False)
-    out = out.select(*docs.columns, F.lit(1).alias("pass"), "match_pos", value.alias("value"),
-                     F.lit(0.9).alias("ext_conf"), F.col("m.raw").alias("raw"))
-    return out.filter(F.col("value").isNotNull())
+    return _money(docs, money_matches(F.col(text)), 1, 0.9)
 
 
 def money_pass2(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Numbers after the word turnover; small ones are taken as crores."""
-    found = F.arrays_zip(*[
-        F.regexp_extract_all(text, F.lit(P.MONEY_TURNOVER), F.lit(g)).alias(n) for g, n in ((1, "number"), (0, "raw"))
-    ])
-    out = docs.withColumn("m", found).select(*docs.columns, F.posexplode("m").alias("match_pos", "m"))
-    digits = F.regexp_replace("m.number", ",", "")
-    value = digits.try_cast("double")
-    value = F.when(value < 1e6, value * 1e7).otherwise(value)
-    out = out.select(*docs.columns, F.lit(2).alias("pass"), "match_pos", value.alias("value"),
-                     F.lit(0.75).alias("ext_conf"), F.col("m.raw").alias("raw"))
-    return out.filter(F.col("value").isNotNull())
+    """Numbers after the word turnover."""
+    return _money(docs, turnover_matches(F.col(text)), 2, 0.75)
 
 
 def bool_signals(text: Column) -> dict[str, Column]:
     """field: struct(value, conf) by the presence rules; the first rule that holds counts."""
     t = F.lower(text)
-    has = lambda *words: reduce(lambda a, b: a | b, (t.contains(w) for w in words))
 
-    def pick(*rules, miss):
-        out = None
-        for cond, value, conf in rules:
-            s = F.struct(F.lit(float(value)).alias("value"), F.lit(conf).alias("conf"))
-            out = F.when(cond, s) if out is None else out.when(cond, s)
+    def holds(every, some, pattern, least) -> Column:
+        tests = [t.contains(w) for w in every]
+        tests += [reduce(lambda a, b: a | b, (t.contains(w) for w in some))] if some else []
+        tests += [t.rlike(pattern)] if pattern else []
+        tests += [F.char_length(t) >= least] if least else []
+        return reduce(lambda a, b: a & b, tests)
+
+    def pick(rules, miss) -> Column:
+        out = F
+        for *test, value, conf in rules:
+            out = out.when(holds(*test), F.struct(F.lit(float(value)).alias("value"), F.lit(conf).alias("conf")))
         return out.otherwise(F.struct(F.lit(0.0).alias("value"), F.lit(miss).alias("conf")))
 
-    iso = lambda n: pick((t.contains("iso") & t.contains(n), 1, 0.85), miss=0.6)
-    msme = pick((has("msme", "udyam", "udyog aadhar"), 1, 0.78), miss=0.45)
-    return {
-        "gst_registration": pick(
-            (t.rlike(r"\b\d{2}[a-z]{5}\d{4}[a-z][a-z0-9]\b"), 1, 0.92),
-            (t.contains("gst") & t.contains("registration"), 1, 0.8),
-            (has("gstin", "goods and services tax"), 1, 0.78), miss=0.5),
-        "iso_9001": iso("9001"), "iso_14001": iso("14001"), "iso_27001": iso("27001"),
-        "nabl_accreditation": pick((t.contains("nabl"), 1, 0.85), miss=0.5),
-        "generic_compliance": pick(
-            ((F.char_length(t) > 80) & has("certif", "undertaking", "compliance"), 1, 0.55), miss=0.45),
-        "blacklisting_declaration": pick(
-            (has("not blacklisted", "no blacklisting", "not debarred"), 1, 0.82),
-            (has("blacklisted", "debarred"), 0, 0.85), miss=0.45),
-        "registered_firm": pick((t.contains("registered") & has("firm", "company"), 1, 0.75), miss=0.45),
-        "msme_preference": msme, "msme_registration": msme,
-        "pan_registration": pick((t.rlike(r"\b[a-z]{5}\d{4}[a-z]\b"), 1, 0.88), (t.contains("pan"), 1, 0.7), miss=0.45),
-        "tds_registration": pick(
-            (t.rlike(r"\b[a-z]{4}\d{5}[a-z]\b"), 1, 0.85), (has("tds", "tan", "tax deducted at source"), 1, 0.72), miss=0.45),
-    }
+    return {field: pick(*signal) for field, signal in P.SIGNALS.items()}
 
 
 def bool_facts(docs: DataFrame, fields: list[str] | None = None, text: str = "text") -> DataFrame:
@@ -100,7 +98,7 @@ def count_facts(docs: DataFrame, fields: list[str] | None = None, text: str = "t
     parts = []
     for k in fields or P.COUNT_FIELDS:
         pattern, conf = P.COUNT_RULES[k]
-        numbers = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), lambda x: x.try_cast("double"))
+        numbers = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(1)), number_of)
         parts.append(F.struct(F.lit(k).alias("field"), F.array_max(numbers).alias("value"), F.lit(conf).alias("ext_conf")))
     out = docs.select(*docs.columns, F.inline(F.array(*parts)))
     return out.filter(F.col("value") > 0)
@@ -113,41 +111,51 @@ def ocr_confidence(quality: Column, mean: Column | None = None) -> Column:
 
 
 def full_text(text: Column, pages: Column) -> Column:
-    """Trimmed text, else the pages' texts by line."""
-    return F.coalesce(F.nullif(F.trim(text), F.lit("")), F.trim(F.array_join(F.transform(pages, lambda p: p["text"]), "\n")))
+    """The text without white space around it, else the texts of the pages that have one, by line."""
+    own = F.filter(F.transform(pages, lambda p: p["text"]), lambda x: x != "")
+    return F.coalesce(F.nullif(T.strip(text), F.lit("")), T.strip(F.array_join(own, "\n")), F.lit(""))
+
+
+def stored_text(payload: Column) -> Column:
+    """Text of a stored reading, in any of its four forms.
+
+    An object with ``text``, an object with ``pages``, plain text that is no JSON, and any other
+    JSON, which has none.  A value that is false, zero or empty counts as missing.
+    """
+    v = F.try_parse_json(payload)
+    is_object = lambda x: F.schema_of_variant(x).startswith("OBJECT")
+    read = lambda x, path: F.nullif(F.nullif(F.try_variant_get(x, path, "string"), F.lit("false")), F.lit("0"))
+    pages = F.transform(F.try_variant_get(v, "$.pages", "array<variant>"), lambda p: F.struct(F.when(is_object(p), read(p, "$.text")).alias("text")))
+    return F.when(v.isNull(), F.coalesce(T.strip(payload), F.lit(""))).when(is_object(v), full_text(read(v, "$.text"), pages)).otherwise("")
 
 
 def facts(docs: DataFrame, fields: list[str] | None = None) -> DataFrame:
     """All facts of documents (tender_id, bidder_id, doc_id, doc_pos, doc_type, quality_score, text).
 
     One pass: each text gives one array of facts.  ``family`` is ``money`` or the field itself;
-    ``fields`` names the fields that are asked for, so that rules of others are not run.
+    ``fields`` names the fields that are asked for, so that rules of others are not run.  ``raw`` is
+    the match of an amount; for other facts, which rest on the text as a whole, it is null.
     """
     keys = ["tender_id", "bidder_id", "doc_id", "doc_pos", "doc_type", "quality_score"]
     asked = lambda known: [f for f in known if fields is None or f in fields]
 
-    def fact(family, number, place, value, conf, raw):
+    def fact(family, number, place, value, conf, raw=None):
         names = zip(("family", "pass", "match_pos", "value", "ext_conf", "raw"), (family, number, place, value, conf, raw), strict=True)
         return F.struct(*[(c if isinstance(c, Column) else F.lit(c)).alias(n) for n, c in names])
 
-    def matches(pattern, *groups):
-        return F.arrays_zip(*[F.regexp_extract_all("text", F.lit(pattern), F.lit(g)).alias(n) for g, n in groups])
-
-    lists, some = [], F.left("text", F.lit(400))
+    lists = []
     if asked(P.MONEY_FIELDS):
-        lists.append(F.transform(matches(P.MONEY_ALL, (1, "number"), (2, "unit"), (0, "raw")), lambda m, i: fact(
-            "money", 1, i, amount_inr(m["number"], m["unit"], cr_is_unit=False), 0.9, m["raw"])))
-        digits = lambda m: F.regexp_replace(m["number"], ",", "").try_cast("double")
-        lists.append(F.transform(matches(P.MONEY_TURNOVER, (1, "number"), (0, "raw")), lambda m, i: fact(
-            "money", 2, i, F.when(digits(m) < 1e6, digits(m) * 1e7).otherwise(digits(m)), 0.75, m["raw"])))
+        for number, conf, matches in ((1, 0.9, money_matches(F.col("text"))), (2, 0.75, turnover_matches(F.col("text")))):
+            # The lambda is read here and now, so it has this turn's values.
+            lists.append(F.transform(matches, lambda m, i: fact("money", number, i, m["value"], conf, m["raw"])))
     signals = bool_signals(F.col("text"))
     for f in asked(P.BOOL_FIELDS):
-        found = fact(f, 1, 0, signals[f]["value"], signals[f]["conf"], some)
+        found = fact(f, 1, 0, signals[f]["value"], signals[f]["conf"])
         lists.append(F.array(found) if f == "generic_compliance" else F.filter(F.array(found), lambda x: x["value"] > 0))
     for f in asked(P.COUNT_FIELDS):
         pattern, conf = P.COUNT_RULES[f]
-        numbers = F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), lambda x: x.try_cast("double"))
-        lists.append(F.filter(F.array(fact(f, 1, 0, F.array_max(numbers), conf, some)), lambda x: x["value"] > 0))
+        numbers = F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), number_of)
+        lists.append(F.filter(F.array(fact(f, 1, 0, F.array_max(numbers), conf)), lambda x: x["value"] > 0))
     form = "array<struct<family: string, pass: int, match_pos: int, value: double, ext_conf: double, raw: string>>"
     rows = docs.select(*keys, F.inline(F.concat(F.array().cast(form), *[x.cast(form) for x in lists])))
     return rows.filter("value is not null").withColumn("ocr_conf", ocr_confidence(F.col("quality_score")))

@@ -67,8 +67,9 @@ def tender_risk(decisions: DataFrame) -> DataFrame:
 
 
 def alerts(decisions: DataFrame) -> DataFrame:
-    """Decisions whose reason speaks of a contradiction."""
-    return decisions.filter(F.col("reason").rlike(P.CONFLICT_WORDS))
+    """Decisions whose reasoning, or reason where there is none, speaks of a contradiction."""
+    said = F.coalesce(F.nullif("reasoning", F.lit("")), "reason") if "reasoning" in decisions.columns else F.col("reason")
+    return decisions.filter(said.rlike(P.CONFLICT_WORDS))
 
 
 def graph_nodes(criteria: DataFrame, decisions: DataFrame) -> DataFrame:

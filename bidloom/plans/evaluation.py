@@ -28,3 +28,8 @@ def decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 def evidence_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     criteria = view(spark, sf_dir, "criteria")
     return evidence.gather(criteria, evidence.facts(documents(spark, sf_dir), evidence.asked_fields(criteria)))
+
+
+def explained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is told of each decision."""
+    return decide.explanations(rows(spark, sf_dir), evidence_rows(spark, sf_dir), documents(spark, sf_dir))

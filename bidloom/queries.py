@@ -9,7 +9,7 @@ from bidloom.fixtures import view, with_views
 from bidloom.functions import patterns as P
 from bidloom.functions import text as T
 from bidloom.operators import changes, criteria, decide, evidence, rollups
-from bidloom.oracle_views import ORACLE
+from bidloom.oracle_views import ORACLE, largest, signal_case
 from bidloom.plans import evaluation
 from bidloom.sources import files
 
@@ -77,15 +77,16 @@ def scan_bidder_docs(spark, sf):
     return docs.dropna(subset=["kind"]).withColumn("ocr", ocr).select("id", "bidder_id", "doc_type", "ocr.quality_score", "ocr.text")
 
 
-@query()
+@query("""select cast(tender_id as varchar) as tender_id, 4 as n_criteria, 0 as bidder_pos, bidder_id, (row_number() over (partition by tender_id, bidder_id order by doc_pos, id) - 1)::int as doc_pos,
+  id as doc_id, doc_type, quality_score, text from {bidder_docs}""")
 def src_eval_payload(spark, sf):
-    """Evaluation payloads as JSON text, one per tender, read back to documents."""
+    """Evaluation payloads as JSON text, one line for each bidder of a tender, read back to documents."""
     docs = V(spark, sf, "bidder_docs").groupBy("tender_id", "bidder_id").agg(
         F.sort_array(F.collect_list(F.struct("doc_pos", "id", "doc_type", F.struct("quality_score", "text").alias("ocr")))).alias("documents")
     )
-    bidders = docs.groupBy("tender_id").agg(F.sort_array(F.collect_list(F.struct("bidder_id", "documents"))).alias("bidders"))
+    bidders = docs.select("tender_id", F.array(F.struct("bidder_id", "documents")).alias("bidders"))
     rules = V(spark, sf, "criteria").groupBy("tender_id").agg(F.sort_array(F.collect_list(F.struct("id", "field", "operator", "value"))).alias("criteria"))
-    made = rules.join(bidders, "tender_id").select(F.to_json(F.struct(F.col("tender_id").cast("string").alias("tender_id"), "criteria", "bidders")).alias("payload"))
+    made = bidders.join(rules, "tender_id").select(F.to_json(F.struct(F.col("tender_id").cast("string").alias("tender_id"), "criteria", "bidders")).alias("payload"))
     return files.read_payloads(made)
 
 
@@ -116,10 +117,12 @@ def sink_review_items(spark, sf):
 _MASK = r"regexp_replace(note, '\b[A-Z]{5}[0-9]([0-9]{3}[A-Z])\b', '[PAN:******\1]', 'g')"
 
 
-@query(f"""select id, tender_id, user_id, action, payload, 'sha256:' || sha256(payload) as checksum, created_at from (select *,
+@query(f"""select id, cast(tender_id as varchar) as tender_id, user_id, action, payload, 'sha256:' || sha256(payload) as checksum, created_at from (select *,
   '{{"action":"' || action || '","note":"' || {_MASK.replace("{5}", "{{5}}").replace("{3}", "{{3}}")} || '"}}' as payload from {{audit}})""".replace("{{5}}", "{5}").replace("{{3}}", "{3}"))
 def audit_append(spark, sf):
-    return changes.audit_rows(V(spark, sf, "audit"))
+    """Entries whose tender is an empty text or a number; the empty one is stored as null."""
+    blank = F.coalesce(F.col("tender_id").cast("string"), F.lit(""))
+    return changes.audit_rows(V(spark, sf, "audit").withColumn("tender_id", blank))
 
 
 @query("""select file_id, 's3:tenders:documents/' || file_id || '/' || regexp_extract(path, '([^/]*)$', 1) as ref, 'tenders' as bucket,
@@ -130,14 +133,20 @@ def fn_object_ref(spark, sf):
     return out.select("file_id", "ref", files.split_ref(F.col("ref"))["bucket"].alias("bucket"), files.split_ref(F.col("ref"))["key"].alias("key"))
 
 
-@query("""select id, tender_id, field, operator, case when tender_id % 6 = 0 then value + 2 when tender_id % 3 = 0 then value + 1 else value end as value
-  from {criteria}""")
+@query("""select id, tender_id, field, case when tender_id % 3 = 0 then '<=' else operator end as operator,
+  case when tender_id % 6 = 0 then value + 2 when tender_id % 9 = 0 then value + 1 else value end as value, case when tender_id % 12 = 0 then null else text_raw end as text_raw from {criteria}""")
 def criteria_patch(spark, sf):
-    base = V(spark, sf, "criteria").select("id", "tender_id", "field", "operator", "value")
-    none = F.lit(None).cast("string").alias("operator")
-    first = base.filter("tender_id % 3 = 0").select("id", none, (F.col("value") + 1).alias("value"), F.lit(1).alias("version"))
-    second = base.filter("tender_id % 6 = 0").select("id", none, (F.col("value") + 2).alias("value"), F.lit(2).alias("version"))
-    return changes.patch(base, first.unionByName(second), "id", "version", ["operator", "value"])
+    """Patches of different columns of the same rows: an operator, then a value, then a text that is taken away."""
+    base = V(spark, sf, "criteria").select("id", "tender_id", "field", "operator", "value", "text_raw")
+
+    def made(every: int, version: int, **columns) -> DataFrame:
+        all_ = {"operator": F.lit(None).cast("string"), "value": F.lit(None).cast("double"), "text_raw": F.lit(None).cast("string")} | columns
+        named = F.array(*map(F.lit, columns)).alias("named")
+        return base.filter(F.col("tender_id") % every == 0).select("id", *[c.alias(k) for k, c in all_.items()], F.lit(version).alias("version"), named)
+
+    patches = made(3, 1, operator=F.lit("<=")).unionByName(made(9, 2, value=F.col("value") + 1)).unionByName(made(6, 3, value=F.col("value") + 2))
+    patches = patches.unionByName(made(12, 4, text_raw=F.lit(None).cast("string")))
+    return changes.patch(base, patches, "id", "version", ["operator", "value", "text_raw"], named="named")
 
 
 @query("""select id, case when tender_id % 6 = 0 then '{"note":"two","unit":"INR","weight":"1"}' when tender_id % 3 = 0 then '{"note":"one","unit":"INR"}' else '{"unit":"INR"}' end as extras from {criteria}""")
@@ -163,11 +172,14 @@ def _of_closed(spark: SparkSession, sf: str, rows: DataFrame) -> DataFrame:
     return rows.join(closed, "tender_id", "left_semi")
 
 
-@query("""select id, tender_id, field, case when c <= 0 or c > 1 then 1 else c end as confidence from
+@query("""select 'new-' || id as id, tender_id, field, case when c <= 0 or c > 1 then 1 else c end as confidence, tender_id in (select id from {tenders} where status <> 'closed') as accepted from
   (select *, cast(tender_id % 5 as double) / 3 as c from {criteria})""")
 def criteria_manual(spark, sf):
-    c = F.col("tender_id") % 5 / F.lit(3.0)
-    return V(spark, sf, "criteria").select("id", "tender_id", "field", F.when((c <= 0) | (c > 1), 1.0).otherwise(c).alias("confidence"))
+    """Rules that officers enter, of which closed tenders have every one already."""
+    stored = V(spark, sf, "criteria").select("id", "tender_id", "field", "operator", F.col("value").cast("string").alias("value"))
+    batch = stored.withColumn("id", F.concat(F.lit("new-"), "id")).withColumn("confidence", F.col("tender_id") % 5 / F.lit(3.0))
+    out = changes.manual_criteria(batch, _of_closed(spark, sf, stored))
+    return out.select("id", "tender_id", "field", "confidence", "accepted")
 
 
 # Listings and lookups ----------------------------------------------------------------------------
@@ -178,6 +190,17 @@ def list_tenders(spark, sf):
     return out.select("owner_id", "id", "title", "status", "rank", "total")
 
 
+@query("""select id, title, owner_id, status, (select count(*) from {tenders}) as total from {tenders} order by created_at desc, id limit 50 offset 100""")
+def list_all_tenders(spark, sf):
+    """The third page of all tenders, newest first, as an admin sees them: each page starts after the last row of the one before."""
+    order, after = [("created_at", True), ("id", False)], None
+    tenders = V(spark, sf, "tenders")
+    for _ in range(2):
+        last = changes.keyset_page(tenders, order, after).collect()[-1:]
+        after = (last[0].created_at, last[0].id) if last else after
+    return changes.keyset_page(tenders, order, after).select("id", "title", "owner_id", "status", "total")
+
+
 @query("""select t.id, t.title, t.status, count(c.id) as n_criteria, coalesce(string_agg(c.field, ',' order by c.field), '') as fields
   from {tenders} t left join {criteria} c on c.tender_id = t.id group by all""")
 def tender_detail(spark, sf):
@@ -234,10 +257,21 @@ def decision_evidence(spark, sf):
     return evaluation.decisions(spark, sf).join(keys, ["tender_id", "bidder_id", "criterion_id"], "left_semi")
 
 
-@query("select * from {decisions} where verdict = 'NEEDS_REVIEW' and (contains(lower(criterion_id), 'turnover') or contains(lower(reason), 'ocr'))")
+_REASONED = """(select d.*, r.reasoning from {decisions} d join {reasoned} r using (tender_id, bidder_id, criterion_id))"""
+
+
+@query("select * exclude (reasoning) from " + _REASONED + """ where verdict = 'NEEDS_REVIEW' and (contains(lower(criterion_id), 'turnover')
+  or contains(lower(coalesce(nullif(reasoning, ''), reason, '')), 'ocr'))""")
 def search_decisions(spark, sf):
-    d = evaluation.decisions(spark, sf).filter("verdict = 'NEEDS_REVIEW'")
-    return d.filter(F.lower("criterion_id").contains("turnover") | F.lower("reason").contains("ocr"))
+    d = _reasoned(spark, sf).filter("verdict = 'NEEDS_REVIEW'")
+    said = F.lower(F.coalesce(F.nullif("reasoning", F.lit("")), "reason", F.lit("")))
+    return d.filter(F.lower("criterion_id").contains("turnover") | said.contains("ocr")).drop("reasoning")
+
+
+def _reasoned(spark: SparkSession, sf: str) -> DataFrame:
+    """Decisions with what is told of them."""
+    told = evaluation.explained(spark, sf).select(*decide.PAIR, "reasoning")
+    return evaluation.decisions(spark, sf).join(told, decide.PAIR)
 
 
 _QUEUE = """select d.tender_id, t.title, d.bidder_id, b.name, d.criterion_id, d.reason, d.confidence from {decisions} d
@@ -250,15 +284,18 @@ def search_review_queue(spark, sf):
     return _queue(spark, sf).filter(title.contains("12") | F.lower(F.coalesce(F.nullif("name", F.lit("")), "bidder_id")).contains("7"))
 
 
-@query("""select bidder_id, criterion_id, bidder_id like '%-%-%-%-%' and criterion_id <> '' as ok from (select
-  case when tender_id % 3 = 0 then bidder_id else lpad(cast(tender_id as varchar), 8, '0') || '-0000-4000-8000-000000000001' end as bidder_id,
-  case when tender_id % 4 = 0 then ' ' else criterion_id end as c, trim(case when tender_id % 4 = 0 then ' ' else criterion_id end) as criterion_id from {decisions})""")
+_OUTPUT = """select tender_id, case tender_id % 6 when 0 then bidder_id when 1 then '1-2-3-4-5' when 2 then '{' || u || '}' when 3 then replace(u, '-', '') when 4 then upper(u) || 'x' else u end as bidder_id,
+  case when tender_id % 4 = 0 then '' else criterion_id end as criterion_id from (select *, lpad(cast(tender_id as string), 8, '0') || '-0000-4000-8000-00000000000a' as u from DECISIONS)"""
+
+
+@query("select bidder_id, criterion_id, regexp_full_match(bidder_id, '(urn:uuid:)?U|.U.|[0-9a-fA-F]{32}') and criterion_id <> '' as ok from (".replace(
+    "U", "[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}") + _OUTPUT.replace("DECISIONS", "{decisions}") + ")")
 def validate_decisions(spark, sf):
-    d = evaluation.decisions(spark, sf).select(
-        F.expr("case when tender_id % 3 = 0 then bidder_id else lpad(cast(tender_id as string), 8, '0') || '-0000-4000-8000-000000000001' end").alias("bidder_id"),
-        F.expr("trim(case when tender_id % 4 = 0 then ' ' else criterion_id end)").alias("criterion_id"),
-    )
-    return changes.valid_decisions(d)
+    """Rows of an engine's output, good ones and those that go to quarantine."""
+    d = evaluation.decisions(spark, sf).select("tender_id", "bidder_id", "criterion_id")
+    out = spark.sql(_OUTPUT.replace("{", "{{").replace("}", "}}").replace("DECISIONS", "{d}"), d=d).drop("tender_id")
+    good, bad = changes.admit_decisions(out)
+    return good.withColumn("ok", F.lit(True)).unionByName(bad.withColumn("ok", F.lit(False)))
 
 
 @query("""select t.id as tender_id, case when not exists (select 1 from {criteria} c where c.tender_id = t.id and semantic_ambiguity_score < 0.5) then 'no criteria' else 'no bidders' end as error
@@ -359,12 +396,12 @@ def incremental_anti(spark, sf):
     return docs.join(done, "fingerprint", "left_anti").select("id", "fingerprint")
 
 
-@query("""select d.bidder_id, d.criterion_id, b.name, coalesce(nullif(c.field, ''), c.id) as label from {decisions} d
-  join {bidders} b on b.id = d.bidder_id and b.tender_id = d.tender_id join {criteria} c on c.id = d.criterion_id""")
+@query("""select d.bidder_id, d.criterion_id, b.name, case when length(c.label) > 120 then left(c.label, 117) || '…' else c.label end as label from {decisions} d
+  join {bidders} b on b.id = d.bidder_id and b.tender_id = d.tender_id join (select id, coalesce(nullif(text_raw, ''), nullif(field, ''), id) as label from {criteria}) c on c.id = d.criterion_id""")
 def decision_labels(spark, sf):
-    full = F.coalesce(F.nullif("field", F.lit("")), "cid")
+    full = F.coalesce(F.nullif("text_raw", F.lit("")), F.nullif("field", F.lit("")), "id")
     label = F.when(F.char_length(full) > 120, F.concat(F.left(full, F.lit(117)), F.lit("…"))).otherwise(full)
-    c = V(spark, sf, "criteria").select(F.col("id").alias("cid"), "field").select(F.col("cid").alias("criterion_id"), label.alias("label"))
+    c = V(spark, sf, "criteria").select(F.col("id").alias("criterion_id"), label.alias("label"))
     b = V(spark, sf, "bidders").select("tender_id", F.col("id").alias("bidder_id"), "name")
     out = evaluation.decisions(spark, sf).select("tender_id", "bidder_id", "criterion_id")
     return out.join(b, ["tender_id", "bidder_id"], "left").join(c, "criterion_id", "left").select("bidder_id", "criterion_id", "name", "label")
@@ -381,22 +418,8 @@ def ev_money_pass2(spark, sf):
     return evidence.money_pass2(evaluation.documents(spark, sf)).select("doc_id", "match_pos", F.round("value", 4).alias("value"))
 
 
-_SIGNALS = [
-    ("gst_registration", [(r"regexp_matches(t, '\b\d{2}[a-z]{5}\d{4}[a-z][a-z0-9]\b')", 1, 0.92), ("contains(t, 'gst') and contains(t, 'registration')", 1, 0.8),
-                          ("contains(t, 'gstin') or contains(t, 'goods and services tax')", 1, 0.78)], 0.5),
-    *[(f"iso_{n}", [(f"contains(t, 'iso') and contains(t, '{n}')", 1, 0.85)], 0.6) for n in ("9001", "14001", "27001")],
-    ("nabl_accreditation", [("contains(t, 'nabl')", 1, 0.85)], 0.5),
-    ("generic_compliance", [("length(t) > 80 and regexp_matches(t, 'certif|undertaking|compliance')", 1, 0.55)], 0.45),
-    ("blacklisting_declaration", [("regexp_matches(t, 'not blacklisted|no blacklisting|not debarred')", 1, 0.82), ("regexp_matches(t, 'blacklisted|debarred')", 0, 0.85)], 0.45),
-    ("registered_firm", [("contains(t, 'registered') and regexp_matches(t, 'firm|company')", 1, 0.75)], 0.45),
-    *[(f, [("regexp_matches(t, 'msme|udyam|udyog aadhar')", 1, 0.78)], 0.45) for f in ("msme_preference", "msme_registration")],
-    ("pan_registration", [(r"regexp_matches(t, '\b[a-z]{5}\d{4}[a-z]\b')", 1, 0.88), ("contains(t, 'pan')", 1, 0.7)], 0.45),
-    ("tds_registration", [(r"regexp_matches(t, '\b[a-z]{4}\d{5}[a-z]\b')", 1, 0.85), ("regexp_matches(t, 'tds|tan|tax deducted at source')", 1, 0.72)], 0.45),
-]
 _SIGNAL_SQL = " union all ".join(
-    f"select doc_id, '{field}' as field, case {' '.join(f'when {c} then {v}.0::double' for c, v, _ in rules)} else 0.0::double end as value, "
-    f"case {' '.join(f'when {c} then {k}::double' for c, _, k in rules)} else {miss}::double end as ext_conf from d"
-    for field, rules, miss in _SIGNALS
+    f"select doc_id, '{field}' as field, {signal_case(field, 0)} as value, {signal_case(field, 1)} as ext_conf from d" for field in P.SIGNALS
 )
 
 
@@ -407,8 +430,7 @@ def ev_bool_signals(spark, sf):
 
 
 _COUNT_SQL = " union all ".join(
-    f"select doc_id, '{field}' as field, list_max(list_transform(regexp_extract_all(text, '{pattern}', 1), lambda x: cast(x as double))) as value, {conf}::double as ext_conf from d"
-    for field, (pattern, conf) in P.COUNT_RULES.items()
+    f"select doc_id, '{field}' as field, {largest(field)} as value, {conf}::double as ext_conf from d" for field, (_, conf) in P.COUNT_RULES.items()
 )
 
 
@@ -424,15 +446,27 @@ def ev_ocr_conf(spark, sf):
     return evaluation.documents(spark, sf).select("doc_id", evidence.ocr_confidence(q).alias("ocr_conf"))
 
 
-@query(r"""select doc_id, coalesce(nullif(trim(max(whole)), ''), string_agg(text, chr(10) order by page)) as text from (select doc_id, page, case when doc_id % 2 = 0 then ' whole ' || doc_id || ' ' else '  ' end as whole,
-  string_agg(token, ' ' order by pos, token) as text from {ocr_tokens} group by doc_id, page) group by doc_id""")
+@query(r"""select doc_id, coalesce(nullif(regexp_replace(max(whole), '^\s+|\s+$', '', 'g'), ''), string_agg(text, chr(10) order by page)) as text from (select doc_id, page, case when doc_id % 2 = 0 then ' whole ' || doc_id || ' ' else chr(10) || ' ' end as whole,
+  nullif(case when page = 1 and doc_id % 3 = 0 then '' else string_agg(token, ' ' order by pos, token) end, '') as text from {ocr_tokens} group by doc_id, page) group by doc_id""".replace("string_agg(text, chr(10) order by page)", "coalesce(string_agg(text, chr(10) order by page), '')"))
 def doc_full_text(spark, sf):
+    """A text that is more than white space, else the pages, of which some are empty."""
     pages = rollups.ocr_pages(V(spark, sf, "ocr_tokens"))
+    pages = pages.withColumn("text", F.when((F.col("page") == 1) & (F.col("doc_id") % 3 == 0), "").otherwise(F.col("text")))
     docs = pages.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("page", "text"))).alias("pages"))
-    whole = F.expr("case when doc_id % 2 = 0 then ' whole ' || doc_id || ' ' else '  ' end")
+    whole = F.expr("case when doc_id % 2 = 0 then ' whole ' || doc_id || ' ' else '\n ' end")
     return docs.select("doc_id", evidence.full_text(whole, F.col("pages")).alias("text"))
 
 
+_STORED = """case doc_pos % 6 when 0 then '{"text": " ' || id || ' ", "pages": [{"text": "no"}]}' when 1 then '{"text": "  ", "pages": [{"text": "' || id || '"}, {"text": ""}, {"n": 1}, 7, {"text": "two"}]}'
+  when 2 then '  plain ' || id || ' ' when 3 then '["' || id || '"]' when 4 then '' else '{"pages": 5}' end"""
+
+
+@query("""select id, case doc_pos % 6 when 0 then id when 1 then id || chr(10) || 'two' when 2 then 'plain ' || id else '' end as text from {bidder_docs}""")
+def doc_stored_text(spark, sf):
+    """Stored readings in all forms: objects with a text or pages, plain text, other JSON."""
+    return V(spark, sf, "bidder_docs").select("id", evidence.stored_text(F.expr(_STORED)).alias("text"))
+
+
 @query("select tender_id, bidder_id, criterion_id, n, round(top, 4) as top, round(low, 4) as low from {summary} where n >= 2 and case when top > 0 then (top - low) / top > 0.05 else abs(top - low) > 1 end")
 def conflict_detect(spark, sf):
     out = decide.evidence_summary(evaluation.evidence_rows(spark, sf)).filter(decide.in_conflict(F.col("n"), F.col("top"), F.col("low")))
@@ -504,6 +538,46 @@ def conflict_snapshots(spark, sf):
     return decide.conflict_snapshots(evaluation.evidence_rows(spark, sf)).select(*decide.PAIR, "doc_id", "pass", "match_pos", "k")
 
 
+_BAD = """(select tender_id, bidder_id, criterion_id, n from {summary} where n >= 2 and case when top > 0 then (top - low) / top > 0.05 else abs(top - low) > 1 end)"""
+
+
+@query("select tender_id, bidder_id, criterion_id, n, e.id || '#' || e.pass || '#' || e.match_pos as evidence_id from {evidence} e join " + _BAD + " b using (tender_id, bidder_id, criterion_id)")
+def conflict_members(spark, sf):
+    """The ids that contradict each other, as members of one class for each pair."""
+    classes, members = decide.conflict_classes(evaluation.evidence_rows(spark, sf))
+    return members.join(classes, decide.PAIR)
+
+
+@query("""select d.tender_id, d.bidder_id, d.criterion_id, m.id || '#' || m.pass || '#' || m.match_pos as evidence_id, o.id || '#' || o.pass || '#' || o.match_pos as conflicts_with from (select tender_id, bidder_id, criterion_id, arg_min(id, doc_pos) as id
+    from {evidence} group by all) d join {evidence} m on m.tender_id = d.tender_id and m.bidder_id = d.bidder_id and m.criterion_id = d.criterion_id and m.id = d.id and m.pass = 1 and m.match_pos = 0
+  join """ + _BAD + """ b on b.tender_id = d.tender_id and b.bidder_id = d.bidder_id and b.criterion_id = d.criterion_id
+  join {evidence} o on o.tender_id = d.tender_id and o.bidder_id = d.bidder_id and o.criterion_id = d.criterion_id and (o.id <> m.id or o.pass <> m.pass or o.match_pos <> m.match_pos)""")
+def conflict_others(spark, sf):
+    """What contradicts the first amount of each pair's first document."""
+    found = evaluation.evidence_rows(spark, sf)
+    _, members = decide.conflict_classes(found)
+    first = found.groupBy(*decide.PAIR).agg(F.min(F.struct("doc_pos", "doc_id")).alias("d"))
+    asked = first.select(*decide.PAIR, F.concat("d.doc_id", F.lit("#1#0")).alias("evidence_id"))
+    return decide.conflicts_of(asked.join(members, [*decide.PAIR, "evidence_id"], "left_semi"), members)
+
+
+@query("select tender_id, bidder_id, criterion_id, reason, reasoning, evidence_used, snapshots, mode, round(extracted, 4) as extracted, document from {reasoned}")
+def decision_reasons(spark, sf):
+    """Reasoning, the evidence shown and the trace of every decision."""
+    out = evaluation.explained(spark, sf)
+    line = lambda s: F.concat_ws("|", s["document"], s["doc_type"], s["raw_text"])
+    return out.select(*decide.PAIR, "reason", "reasoning", "evidence_used", F.array_join(F.transform("snapshots", line), ";").alias("snapshots"),
+                      "trace.mode", F.round("trace.extracted", 4).alias("extracted"), F.col("snapshot.document").alias("document"))
+
+
+@query("select tender_id, bidder_id, criterion_id, field, verdict, reason, confidence from {decisions_wide}")
+def evaluation_all_fields(spark, sf):
+    """Decisions over rules of all families, all operators and unknown fields, on documents with signals for them."""
+    docs = V(spark, sf, "signal_docs").withColumnRenamed("id", "doc_id")
+    out = decide.decide(V(spark, sf, "bidders"), V(spark, sf, "wide_criteria"), docs)
+    return out.select(*decide.PAIR, "field", "verdict", "reason", F.round("confidence", 6).alias("confidence"))
+
+
 @query("select * from {decisions}")
 def run_evaluation(spark, sf):
     return evaluation.decisions(spark, sf)

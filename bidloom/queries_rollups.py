@@ -10,8 +10,10 @@ from bidloom.fixtures import view as V
 from bidloom.functions import patterns as P
 from bidloom.functions import text as T
 from bidloom.operators import changes, criteria, rollups
+from bidloom.oracle_views import plain
 from bidloom.plans import evaluation
-from bidloom.queries import query
+from bidloom.queries import _REASONED, _reasoned, query
+from bidloom.sources import plugins
 
 
 # Roll-ups --------------------------------------------------------------------------------------
@@ -68,9 +70,9 @@ def tender_risk(spark, sf):
     return rollups.tender_risk(evaluation.decisions(spark, sf))
 
 
-@query("select * from {decisions} where regexp_matches(reason, '(?i)conflict|contradict|mismatch|inconsist|manipul|discrepan')")
+@query("select * from " + _REASONED + " where regexp_matches(coalesce(nullif(reasoning, ''), reason, ''), '" + P.CONFLICT_WORDS + "')")
 def contradiction_alerts(spark, sf):
-    return rollups.alerts(evaluation.decisions(spark, sf))
+    return rollups.alerts(_reasoned(spark, sf))
 
 
 def _labelled(spark, sf):
@@ -195,45 +197,98 @@ def job_recovery(spark, sf):
 
 
 # Criteria extraction ------------------------------------------------------------------------------
-_A = r"(?:₹|rs\.?|inr)?\s*([\d][\d,]*(?:\.\d+)?)\s*(crore|crores|cr|lakh|lakhs|lac|lacs|million)?"
+def _ratio_sql(body: str) -> str:
+    return body.replace("RATIO", r"coalesce(len(regexp_extract_all(text, '[ऀ-ॿ]')) / nullif(len(regexp_extract_all(text, '[\pLऀ-ॿ]')), 0), 0.0)")
+
+
+_COLUMNS = ("field operator value unit mandatory priority extraction_confidence semantic_ambiguity_score text_raw source_clause "
+            "temporal_type temporal_n temporal_anchor").split()
+
+
+def _find(pattern: str, group: int = 0) -> str:
+    return f"regexp_extract(t, '{P.as_sql(pattern)}', {group})"
+
+
+def _hit(pattern: str) -> str:
+    return f"regexp_matches(t, '{P.as_sql(pattern)}')"
 
 
-def _money(lead: str, group: int) -> str:
-    return f"regexp_extract(t, '{lead}[^\\n\\d]{{0,40}}{_A}', {group})"
+def _number(pattern: str) -> str:
+    return plain(_find(pattern, 1))
 
 
-def _inr(lead: str) -> str:
-    unit = _money(lead, 2)
-    return (f"try_cast(replace({_money(lead, 1)}, ',', '') as double) * case when contains({unit}, 'crore') or {unit} = 'cr' then 1e7 "
+def _clause(pattern: str) -> str:
+    """80 characters on both sides of the first match, in one line."""
+    at = f"length(regexp_extract(t, '(?s)^(.*?)(?:{P.as_sql(pattern)})', 1))"
+    cut = f"substr(text, greatest(0, {at} - 80) + 1, {at} + length({_find(pattern)}) + 80 - greatest(0, {at} - 80))"
+    return rf"case when {_hit(pattern)} then left(trim(regexp_replace({cut}, '\s+', ' ', 'g')), 400) end"
+
+
+def _strip(text: str) -> str:
+    return rf"regexp_replace({text}, '^\s+|\s+$', '', 'g')"
+
+
+def _row(cond: str, field: str, operator: str, value: str, unit: str, must: bool, priority: str, conf, amb, raw: str, clause: str) -> str:
+    kind, n, anchor = criteria.TEMPORAL.get(field.strip("'"), (None, None, None))
+    text = lambda x: f"'{x}'" if x else "null::varchar"
+    values = [field, f"'{operator}'", f"({value})::double", f"'{unit}'", str(must).lower(), f"'{priority}'", f"({conf})::double", f"({amb})::double",
+              raw, clause, text(kind), f"{n or 'null'}::int", text(anchor)]
+    made = ", ".join(f"{v} as {c}" for v, c in zip(values, _COLUMNS, strict=True))
+    return f"select tender_id, {made} from T where {cond}"
+
+
+def _inr(pattern: str) -> str:
+    unit = _find(pattern, 2)
+    return (f"{_number(pattern)} * case when contains({unit}, 'crore') or {unit} = 'cr' then 1e7 "
             f"when contains({unit}, 'lakh') or contains({unit}, 'lac') then 1e5 when contains({unit}, 'million') then 1e6 else 1.0 end")
 
 
-_EMD = r"(?:earnest\s*money(?:\s*deposit)?|\bemd\b|bid\s*security)"
-_FIN = rf"""select tender_id, 'annual_turnover' as field, case when v <= 0 then 5e7 else v end as value, 0.78::double as extraction_confidence from (select tender_id, {_inr("turnover")} as v from T) where v is not null
-  union all select tender_id, 'net_worth', case when v > 0 then v else 1e7 end, 0.6 from (select tender_id, t, {_inr(r"net\s*worth")} as v from T) where v is not null or regexp_matches(t, 'positive\s*net\s*worth')
-  union all select tender_id, 'emd_amount', coalesce(v, 0.0), case when v is null then 0.5 else 0.7 end from (select tender_id, t, {_inr(_EMD)} as v from T) where regexp_matches(t, '{_EMD}')
-  union all select tender_id, 'bank_guarantee', coalesce(v, 0.0), case when v is null then 0.55 else 0.72 end from (select tender_id, t, {_inr(r"bank\s*guarantee")} as v from T)
-    where regexp_matches(t, '\bbank\s*guarantee\b|\bperformance\s*(?:bank\s*)?guarantee\b|\bpbg\b')"""
-_EXP = rf"""select tender_id, 'experience_years' as field, coalesce(try_cast(n as double), 3.0) as value, case when n <> '' then 0.78::double else 0.55 end as extraction_confidence
-    from (select tender_id, t, regexp_extract(t, '{criteria.EXPERIENCE}', 1) as n from T) where n <> '' or regexp_matches(t, '{criteria.EXPERIENCE_WORDS}')
-  union all select tender_id, 'similar_projects_count', n, 0.7 from (select tender_id, try_cast(regexp_extract(t, '{criteria.PROJECTS}', 1) as double) as n from T) where n between 1 and 50
-  union all select tender_id, case when contains(w, 'engineer') or contains(w, 'technical') then 'technical_staff_count' else 'manpower_count' end, n, 0.7 from
-    (select tender_id, regexp_extract(t, '{criteria.MANPOWER}', 0) as w, try_cast(regexp_extract(t, '{criteria.MANPOWER}', 1) as double) as n from T) where n between 1 and 100000"""
+def _amount_sql(field: str, lead: str, priority: str, conf: float, amb: float, seen) -> str:
+    p = lead + r"[^\n\d]{0,40}" + P.AMOUNT
+    v = _inr(p)
+    value = {"annual_turnover": f"case when {v} <= 0 then 5e7 else {v} end", "net_worth": f"case when {v} > 0 then {v} else 1e7 end"}.get(field, v)
+    own = _row(_hit(p), f"'{field}'", ">=", value, "INR", True, priority, conf, amb, _strip(_find(p)), _clause(p))
+    if not seen:
+        return own
+    test, raw, fixed, c, a = seen
+    return f"{own} union all {_row(f'not {_hit(p)} and {_hit(test)}', f'{chr(39)}{field}{chr(39)}', '>=', str(fixed), 'INR', True, priority, c, a, f'{chr(39)}{raw}{chr(39)}', _clause(test))}"
+
+
+_FIN = " union all ".join(_amount_sql(*r) for r in criteria.AMOUNT_RULES)
+_E, _W, _P, _M = criteria.EXPERIENCE, criteria.EXPERIENCE_WORDS, criteria.PROJECTS, criteria.MANPOWER
+_LETTERS = "experience_letters,work_order,supporting"
+_KIND = f"case when contains({_find(_M)}, 'engineer') or contains({_find(_M)}, 'technical') then 'technical_staff_count' else 'manpower_count' end"
+_EXP = " union all ".join([
+    _row(_hit(_E), "'experience_years'", ">=", _number(_E), "years", True, _LETTERS, 0.78, 0.15, _strip(_find(_E)), _clause(_E)),
+    _row(f"not {_hit(_E)} and {_hit(_W)}", "'experience_years'", ">=", "3", "years", True, _LETTERS, 0.55, 0.3, "'Relevant experience / similar contracts'", _clause(_W)),
+    _row(f"{_number(_P)} between 1 and 50", "'similar_projects_count'", ">=", _number(_P), "count", True, "experience_letters,work_order", 0.7, 0.22, _strip(_find(_P)), _clause(_P)),
+    _row(f"{_number(_M)} between 1 and 100000", _KIND, ">=", _number(_M), "count", True, "pf_records,epf_statement,hr_certificate,supporting", 0.7, 0.2, _strip(_find(_M)), _clause(_M)),
+])
 _CERT = " union all ".join(
-    f"select tender_id, '{r[0]}' as field, 1.0::double as value, {r[6]}::double as extraction_confidence from T where regexp_matches(t, '{r[1]}')"
-    for r in [*criteria.PRESENCE_RULES, criteria.BLACKLIST]
+    _row(_hit(test), f"'{field}'", "==", "1", "bool", must, priority, conf, amb, f"'{raw}'", _clause(clause or test))
+    for field, test, clause, raw, must, priority, conf, amb in [*criteria.PRESENCE_RULES, criteria.BLACKLIST]
 )
-_VAL = rf"""select tender_id, 'bid_validity_days' as field, cast(coalesce(nullif(a, ''), b) as double) as value, case when a <> '' then 0.78::double else 0.75 end as extraction_confidence from
-  (select tender_id, regexp_extract(t, '{criteria.VALIDITY[0][0]}', 1) as a, regexp_extract(t, '{criteria.VALIDITY[1][0]}', 1) as b from T) where a <> '' or b <> ''"""
+_V1, _V2 = (r[0] for r in criteria.VALIDITY)
+_VAL = " union all ".join(
+    _row(cond, "'bid_validity_days'", ">=", _number(p), "days", True, "bid_form,supporting", conf, amb, _strip(_find(p)), _clause(p))
+    for (p, conf, amb), cond in zip(criteria.VALIDITY, (_hit(_V1), f"not {_hit(_V1)} and {_hit(_V2)}"), strict=True)
+)
+_PLACEHOLDER = _row("true", "'generic_compliance'", "==", "1", "bool", True, "supporting", 0.4, 0.5, "'Minimum eligibility (placeholder)'", "null::varchar")
+_CATEGORY = "case field " + " ".join(f"when '{k}' then '{v}'" for k, v in P.CATEGORIES.items()) + " else 'general' end"
 
 
-def _rules_sql(*parts: str) -> str:
+def _rules_sql(*parts: str, source: str = "select tender_id, text, lower(text) as t from {tender_texts}") -> str:
     body = " union all ".join(f"({p})" for p in parts)
-    return f"select * from ({body})".replace("from T", "from (select tender_id, lower(text) as t from {tender_texts})")
+    return f"select * from (with T as ({source}) select *, {_CATEGORY} as category from ({body}))"
+
+
+def _shown(rules, *more):
+    parts = [F.col(f"temporal.{c}").alias(f"temporal_{c}") for c in ("type", "n", "anchor")]
+    return rules.select("tender_id", *[c for c in _COLUMNS if not c.startswith("temporal")], *parts, "category", *more)
 
 
 def _rules(spark, sf, pick):
-    return criteria.emit(V(spark, sf, "tender_texts"), pick).select("tender_id", "field", "value", "extraction_confidence")
+    return _shown(criteria.emit(V(spark, sf, "tender_texts"), pick))
 
 
 @query(_rules_sql(_FIN))
@@ -256,17 +311,48 @@ def criteria_validity(spark, sf):
     return _rules(spark, sf, criteria.validity_rules)
 
 
-_ALL = _rules_sql(_FIN, _EXP, _CERT, _VAL)
+_ALL = (_FIN, _EXP, _CERT, _VAL)
+_NONE = f"select * from ({_PLACEHOLDER}) where tender_id not in (select tender_id from ({' union all '.join(_ALL)}))"
 
 
-@query(f"""select * from ({_ALL}) union all select tender_id, 'generic_compliance', 1.0, 0.4 from {{tender_texts}} where tender_id not in (select tender_id from ({_ALL}))""")
+@query(_rules_sql(*_ALL, _NONE))
 def criteria_extract_all(spark, sf):
-    return criteria.extract(V(spark, sf, "tender_texts")).select("tender_id", "field", "value", "extraction_confidence")
+    return _shown(criteria.extract(V(spark, sf, "tender_texts")))
+
+
+_ENGLISH = "case when tender_id % 24 = 7 then null else 'Translated. Minimum 5 years of experience. GST needed. ' || tender_id end"
+_LANG = """(select *, case when r > 0.3 then 'hi' when r < 0.05 then 'en' else 'mixed' end as lang from (select *, RATIO as r from {tender_texts}))"""
+_MIXED = f"select tender_id, lang, e is not null as done, coalesce(e, text) as text, lower(coalesce(e, text)) as t from (select *, case when lang <> 'en' then {_ENGLISH} end as e from {_LANG})"
+
+
+@query(_ratio_sql(f"""select r.*, l.lang as source_text_lang, case when l.done then coalesce(source_clause, '') end as source_clause_translated,
+  case when l.lang <> 'en' and not l.done then 'untranslated_indic_text' end as extraction_warning
+  from ({_rules_sql(*_ALL, _NONE, source=_MIXED)}) r join ({_MIXED}) l using (tender_id)"""))
+def criteria_translated(spark, sf):
+    """Rules of texts in other languages, by a translation that a plug-in makes and that fails for some."""
+    docs = V(spark, sf, "tender_texts")
+
+    def make():
+        def answer(texts: list[str]) -> list[str | None]:
+            if any(t.startswith("fail") for t in texts):
+                raise RuntimeError("down")
+            return ["Translated. Minimum 5 years of experience. GST needed. " + t for t in texts]
+
+        return answer
 
+    # What is sent is short, so that SQL can say what comes back.
+    sent = docs.withColumn("text", F.when(T.language(T.devanagari_ratio(F.col("text"))) != "en", F.col("text")))
+    sent = sent.filter("text is not null").withColumn("sent", F.expr("case when tender_id % 24 = 7 then 'fail ' || tender_id else cast(tender_id as string) end"))
+    english = plugins.call(sent.select("tender_id", "sent"), make, "sent", answer="english")
+    return _shown(criteria.extract_in_language(docs, english), "source_text_lang", "source_clause_translated", "extraction_warning")
 
-@query(f"select tender_id, {_inr('turnover')} as value from (select tender_id, lower(text) as t from {{tender_texts}})")
+
+_TURNOVER = r"turnover[^\n\d]{0,40}" + P.AMOUNT
+
+
+@query(f"select tender_id, {_inr(_TURNOVER)} as value from (select tender_id, lower(text) as t from {{tender_texts}})")
 def fn_amount_inr(spark, sf):
-    p = "(?iU)turnover[^\\n\\d]{0,40}" + P.AMOUNT
+    p = "(?iU)" + _TURNOVER
     t = F.lower("text")
     return V(spark, sf, "tender_texts").select("tender_id", criteria.amount_inr(F.regexp_extract(t, p, 1), F.regexp_extract(t, p, 2)).alias("value"))
 
@@ -277,13 +363,9 @@ def fn_source_clause(spark, sf):
     return criteria.source_clause(V(spark, sf, "tender_texts"), "turnover")
 
 
-@query("select id, field, case field when 'annual_turnover' then 'financial' when 'similar_projects_count' then 'experience' when 'gst_registration' then 'tax' else 'certification' end as category from {criteria}")
+@query("select id, field, " + _CATEGORY + " as category from {wide_criteria}")
 def fn_category(spark, sf):
-    return V(spark, sf, "criteria").select("id", "field", criteria.category(F.col("field")).alias("category"))
-
-
-def _ratio_sql(body: str) -> str:
-    return body.replace("RATIO", r"coalesce(len(regexp_extract_all(text, '[ऀ-ॿ]')) / nullif(len(regexp_extract_all(text, '[\pLऀ-ॿ]')), 0), 0.0)")
+    return V(spark, sf, "wide_criteria").select("id", "field", criteria.category(F.col("field")).alias("category"))
 
 
 @query(_ratio_sql("select tender_id, round(RATIO, 4) as ratio from {tender_texts}"))
@@ -307,15 +389,15 @@ def criteria_language_stamp(spark, sf):
     return criteria.emit(docs, rules, ("tender_id", "source_text_lang")).select("tender_id", F.col("source_text_lang").alias("lang"), "field")
 
 
-@query(f"""select tender_id, 'net_profit' as field, tender_id * 1.0::double as value, 'financial' as category, 'reply' as origin from {{tender_texts}} where tender_id % 3 = 0
-  union all select tender_id, field, value, case when field in ('annual_turnover', 'net_worth', 'emd_amount', 'bank_guarantee') then 'financial' when field in ('experience_years', 'similar_projects_count') then 'experience'
-    when field in ('manpower_count', 'technical_staff_count') then 'capacity' when field in ('gst_registration', 'pan_registration', 'tds_registration') then 'tax'
-    when field = 'msme_registration' then 'preference' when field in ('bid_validity_days', 'blacklisting_declaration', 'generic_compliance') then 'compliance' else 'certification' end, 'rules'
-  from (select * from ({_ALL}) union all select tender_id, 'generic_compliance', 1.0, 0.4 from {{tender_texts}} where tender_id not in (select tender_id from ({_ALL}))) where tender_id % 3 <> 0""")
+@query(f"""select tender_id, 'net_profit' as field, tender_id * 1.0::double as value, 'INR' as unit, 'itr,supporting' as priority, null::double as extraction_confidence, case when tender_id % 2 = 0 then 'given' else 'financial' end as category, 'reply' as origin
+  from {{tender_texts}} where tender_id % 3 = 0
+  union all select tender_id, field, value, unit, priority, extraction_confidence, category, 'rules' from ({_rules_sql(*_ALL, _NONE)}) where tender_id % 3 <> 0""")
 def criteria_backfill(spark, sf):
     docs = V(spark, sf, "tender_texts")
-    reply = F.expr("""case when tender_id % 3 = 0 then 'Here: {"criteria": [{"field": "net_profit", "operator": ">=", "value": ' || tender_id || '}]} end' when tender_id % 3 = 1 then '{"criteria": []}' else 'none' end""")
-    return criteria.backfill(docs, docs.select("tender_id", reply.alias("reply"))).select("tender_id", "field", "value", "category", "origin")
+    reply = F.expr("""case when tender_id % 3 = 0 then 'Here: {"criteria": [{"field": "net_profit", "operator": ">=", "unit": "INR", "source_priority": ["itr", "supporting"], "value": ' || tender_id || case when tender_id % 2 = 0 then ', "category": "given"' else '' end || '}]} end'
+      when tender_id % 3 = 1 then '{"criteria": []}' else 'none' end""")
+    out = criteria.backfill(docs, docs.select("tender_id", reply.alias("reply")))
+    return out.select("tender_id", "field", "value", "unit", "priority", "extraction_confidence", "category", "origin")
 
 
 # Text functions -----------------------------------------------------------------------------------
