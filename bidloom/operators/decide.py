@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from bidloom.functions import patterns as P
 from bidloom.functions import text as T
 from bidloom.operators import evidence as E
+from bidloom.sources.plugins import Plugin, call
 
 PAIR = ["tender_id", "bidder_id", "criterion_id"]
 
@@ -126,20 +127,59 @@ def model_context(docs: DataFrame, criteria: DataFrame, most_docs: int = 8, per_
     Of the first ``most_docs`` documents of a bidder, each gives a headed snippet: the lines that
     hold a word of the criterion's field (three letters or more), or its text where none does, up
     to ``per_doc`` characters.  Snippets are joined in order until ``most`` characters are used.
+
+    Texts are shuffled once, to their bidder; the criteria of its tender come to it as words, and
+    each context is made from the bidder's row.
     """
     order = W.partitionBy("tender_id", "bidder_id").orderBy("doc_pos")
     first = docs.withColumn("k", F.row_number().over(order))
     first = first.filter((F.col("k") <= most_docs) & (F.coalesce("text", F.lit("")) != ""))
+    # At most ``most_docs`` documents meet in a row.
+    own = first.groupBy("tender_id", "bidder_id").agg(F.sort_array(F.collect_list(F.struct("k", "filename", "text"))).alias("docs"))
     words = F.filter(F.split(F.trim(F.lower(F.coalesce("field", F.lit("")))), r"[_\s\-]+"), lambda w: F.char_length(w) >= 3)
-    asked = criteria.select("tender_id", F.col("id").alias("criterion_id"), words.alias("words"))
-    pairs_ = first.select("tender_id", "bidder_id", "k", "filename", "text").join(asked, "tender_id")
-    lines = F.filter(F.split("text", r"\r\n|\r|\n"), lambda x: F.exists("words", lambda w: F.lower(x).contains(w)))
-    chosen = F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise(F.col("text"))
-    snippet = F.concat(F.lit("\n--- Document: "), "filename", F.lit(" ---\n"), F.left(chosen, F.lit(per_doc)), F.lit("\n"))
-    own = pairs_.select(*PAIR, "k", snippet.alias("snippet"))
-    # At most ``most_docs`` snippets of bounded length meet in a row.
-    texts = F.transform(F.sort_array(F.collect_list(F.struct("k", "snippet"))), lambda x: x["snippet"])
-    return own.groupBy(*PAIR).agg(F.left(F.array_join(texts, ""), F.lit(most)).alias("context"))
+    asked = criteria.groupBy("tender_id").agg(F.collect_list(F.struct(F.col("id").alias("criterion_id"), words.alias("words"))).alias("asked"))
+    asked = docs.select("tender_id", "bidder_id").distinct().join(asked, "tender_id")
+    rows = own.join(asked, ["tender_id", "bidder_id"]).select("tender_id", "bidder_id", "docs", F.explode("asked").alias("a"))
+
+    def snippet(d: Column) -> Column:
+        lines = F.filter(F.split(d["text"], r"\r\n|\r|\n"), lambda x: F.exists("a.words", lambda w: F.lower(x).contains(w)))
+        chosen = F.when(F.size(lines) > 0, F.array_join(lines, "\n")).otherwise(d["text"])
+        return F.concat(F.lit("\n--- Document: "), d["filename"], F.lit(" ---\n"), F.left(chosen, F.lit(per_doc)), F.lit("\n"))
+
+    context = F.left(F.array_join(F.transform("docs", snippet), ""), F.lit(most))
+    return rows.select("tender_id", "bidder_id", F.col("a.criterion_id").alias("criterion_id"), context.alias("context"))
+
+
+def model_prompts(contexts: DataFrame, criteria: DataFrame) -> DataFrame:
+    """The question to a model about each context: the rule, the form of the answer, and the documents."""
+    rule = criteria.select("tender_id", F.col("id").alias("criterion_id"), "field", "text_raw", "operator", T.python_float(F.col("value")).alias("v"))
+    ask = F.concat_ws(
+        "\n", F.lit("Is this requirement of a tender met by the documents of a bidder?"), F.concat(F.lit("Field: "), F.coalesce("field", F.lit(""))),
+        F.concat(F.lit("Label: "), F.coalesce("text_raw", F.lit(""))), F.concat(F.lit("Requirement: "), F.coalesce("operator", F.lit("")), F.lit(" "), F.coalesce("v", F.lit(""))),
+        F.lit('Answer with a JSON object only: "verdict" (ELIGIBLE, NOT_ELIGIBLE or NEEDS_REVIEW), "reason", "confidence" (0 to 1), "reasoning".'),
+        F.lit("Documents:"), "context",
+    )
+    return contexts.join(rule, ["tender_id", "criterion_id"]).select(*PAIR, ask.alias("prompt"))
+
+
+def model_decisions(prompts: DataFrame, make: Plugin, batch: int = 8) -> DataFrame:
+    """What a model decides: pair, verdict, reason, confidence, reasoning.
+
+    A call that fails, or an answer without a JSON object, needs review, with confidence 0 and the
+    reason ``LLM_FAILURE`` or ``PARSE_ERROR``; the others keep what the answer says.
+    """
+    asked = call(prompts.repartition(*PAIR), make, "prompt", answer="reply", batch=batch).select(*PAIR, "reply", "failure")
+    v = F.try_parse_json(F.regexp_extract("reply", r"(?s)\{.*\}", 0))
+    failed, broken = F.col("failure").isNotNull(), v.isNull()
+    said = lambda k, kind, lost, unread: (
+        F.when(failed, lost).when(broken, unread).otherwise(F.try_variant_get(v, f"$.{k}", kind)).alias(k)
+    )
+    review = F.lit("NEEDS_REVIEW")
+    message = F.concat(F.lit("LLM evaluation failed: "), F.regexp_replace("failure", r"^\w+: ", ""))
+    return asked.select(
+        *PAIR, said("verdict", "string", review, review), said("reason", "string", F.lit("LLM_FAILURE"), F.lit("PARSE_ERROR")),
+        said("confidence", "double", F.lit(0.0), F.lit(0.0)), said("reasoning", "string", message, F.lit("Could not parse LLM response.")),
+    )
 
 
 def model_reply(reply: Column) -> Column:

@@ -152,6 +152,21 @@ def ocr_pages(tokens: DataFrame) -> DataFrame:
     )
 
 
+def ocr_line_pages(lines: DataFrame, langs: str = "eng+hin") -> DataFrame:
+    """Pages of lines that were read once per language (``pass`` 1, and 2 for Hindi where ``langs`` has it).
+
+    All lines of the first pass come before those of the second; the confidence is the mean over the
+    lines of both, 0 where there are none.
+    """
+    read = (F.col("pass") == 1) | F.lit("hin" in langs.lower())
+    kept = F.when(read, F.struct("pass", "pos", "line"))
+    texts = F.transform(F.sort_array(F.collect_list(kept)), lambda x: x["line"])
+    return lines.groupBy("doc_id", "page").agg(
+        F.array_join(texts, "\n").alias("text"),
+        F.round(F.coalesce(F.avg(F.when(read, F.col("confidence"))), F.lit(0.0)), 6).alias("mean_confidence"),
+    )
+
+
 def ocr_documents(pages: DataFrame) -> DataFrame:
     """Document text and quality: page confidence, 0.35 where it is not positive, kept in 0.2 to 0.95."""
     conf = F.when(F.col("mean_confidence") <= 0, 0.35).otherwise(F.col("mean_confidence"))

@@ -659,6 +659,27 @@ def llm_context(spark, sf):
     return decide.model_context(docs, V(spark, sf, "criteria"))
 
 
+@query("""select b.tender_id, b.id as bidder_id, c.id as criterion_id, case when down or c.operator = '~' then 'NEEDS_REVIEW' else 'ELIGIBLE' end as verdict,
+  case when down then 'LLM_FAILURE' when c.operator = '~' then 'PARSE_ERROR' else 'MATCH' end as reason, case when down or c.operator = '~' then 0.0 else 0.8 end::double as confidence,
+  case when down then 'LLM evaluation failed: down' when c.operator = '~' then 'Could not parse LLM response.' else 'read' end as reasoning
+  from {bidders} b join {wide_criteria} c on c.tender_id = b.tender_id and c.field = 'local_content' join (select tender_id, bidder_id, bool_or(contains(text, 'blacklisted')) as down
+    from (select *, row_number() over (partition by tender_id, bidder_id order by doc_pos) as r from {signal_docs}) where r <= 8 group by all) d on d.tender_id = b.tender_id and d.bidder_id = b.id""")
+def llm_decisions(spark, sf):
+    """Unknown fields as a model decides them, here a stub that fails on some and answers others with no JSON."""
+    unknown = V(spark, sf, "wide_criteria").filter("field = 'local_content'")
+    docs = V(spark, sf, "signal_docs").withColumn("filename", F.col("id"))
+
+    def make():
+        def answer(prompts: list[str]) -> list[str | None]:
+            if any("blacklisted" in p for p in prompts):
+                raise RuntimeError("down")
+            return ["no idea" if "Requirement: ~" in p else 'so: {"verdict": "ELIGIBLE", "reason": "MATCH", "confidence": 0.8, "reasoning": "read"}' for p in prompts]
+
+        return answer
+
+    return decide.model_decisions(decide.model_prompts(decide.model_context(docs, unknown), unknown), make)
+
+
 @query(r"""select event_id, case when event_type in ('error', 'view') then 'NEEDS_REVIEW' else 'ELIGIBLE' end as verdict,
   case when event_type in ('error', 'view') then 'PARSE_ERROR' else 'MATCH' end as reason from {events}""")
 def llm_response_parse(spark, sf):

@@ -116,6 +116,14 @@ def ocr_assemble(spark, sf):
     return rollups.ocr_documents(rollups.ocr_pages(V(spark, sf, "ocr_tokens")))
 
 
+@query("""select doc_id, page, coalesce(string_agg(token, chr(10) order by pass, pos, token) filter (where pass = 1 or page < 2), '') as text,
+  round(coalesce(avg(confidence) filter (where pass = 1 or page < 2), 0.0), 6) as mean_confidence from (select *, case when y % 3 = 0 then 2 else 1 end as pass from {ocr_tokens}) group by doc_id, page""")
+def ocr_two_languages(spark, sf):
+    """Lines of an English and a Hindi pass; the last page of each document was read in English only."""
+    lines = V(spark, sf, "ocr_tokens").withColumn("pass", F.when(F.col("y") % 3 == 0, 2).otherwise(1)).withColumnRenamed("token", "line")
+    return rollups.ocr_line_pages(lines.filter("page < 2")).unionByName(rollups.ocr_line_pages(lines.filter("page >= 2"), "eng"))
+
+
 @query(r"""select f.file_id, case when ext = '.pdf' and length(trim(text)) > 50 then 'native' when ext = '.pdf' then 'scan' when ext in ('.png', '.jpg', '.jpeg', '.tif', '.tiff', '.bmp', '.webp') then 'image' else 'none' end as way,
   case when ext = '.pdf' and length(trim(text)) > 50 then 0.95 when ext = '.pdf' then least(0.95, greatest(0.2, case when conf <= 0 then 0.35 else conf end))
     when ext in ('.png', '.jpg', '.jpeg', '.tif', '.tiff', '.bmp', '.webp') then least(0.99, greatest(0.3, conf)) else 0.0 end as quality_score

@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bidloom.functions import text as T
-from bidloom.operators import changes, criteria, decide, evidence
+from bidloom.operators import changes, criteria, decide, evidence, rollups
 from bidloom.sources import plugins
 
 
@@ -221,3 +221,32 @@ def test_translation_in_pieces(spark):
     assert out[2, "generic_compliance"].extraction_warning is None
     without = {r.tender_id: r.extraction_warning for r in criteria.extract_in_language(docs).collect()}
     assert without == {1: "untranslated_indic_text", 2: None, 3: "untranslated_indic_text", 4: None}
+
+
+def test_model_decisions(spark):
+    def make():
+        def answer(prompts):
+            if any("Field: c" in p for p in prompts):
+                raise RuntimeError("down: again")
+            return ['x {"verdict": "NOT_ELIGIBLE", "reason": "EXP_SHORT", "confidence": 0.9} y' if "Field: a" in p else "[1]" for p in prompts]
+
+        return answer
+
+    rules = spark.createDataFrame([(1, k, k, None, ">=", 2.0) for k in "abc"], "tender_id long, id string, field string, text_raw string, operator string, value double")
+    contexts = spark.createDataFrame([(1, "b", k, "text of " + k) for k in "abc"], "tender_id long, bidder_id string, criterion_id string, context string")
+    prompts = decide.model_prompts(contexts, rules)
+    assert "Requirement: >= 2.0" in prompts.first().prompt
+    got = {r.criterion_id: tuple(r)[3:] for r in decide.model_decisions(prompts, make).collect()}
+    assert got == {
+        "a": ("NOT_ELIGIBLE", "EXP_SHORT", 0.9, None), "b": ("NEEDS_REVIEW", "PARSE_ERROR", 0.0, "Could not parse LLM response."),
+        "c": ("NEEDS_REVIEW", "LLM_FAILURE", 0.0, "LLM evaluation failed: down: again"),
+    }
+
+
+def test_lines_of_two_languages(spark):
+    rows = [(1, 1, 2, 1, "हिंदी", 0.5), (1, 1, 1, 2, "second", 0.9), (1, 1, 1, 1, "first", 0.7), (1, 2, 2, 1, "केवल", 0.4)]
+    lines = spark.createDataFrame(rows, "doc_id long, page int, pass int, pos int, line string, confidence double")
+    both = {r.page: (r.text, r.mean_confidence) for r in rollups.ocr_line_pages(lines).collect()}
+    assert both == {1: ("first\nsecond\nहिंदी", 0.7), 2: ("केवल", 0.4)}
+    one = {r.page: (r.text, r.mean_confidence) for r in rollups.ocr_line_pages(lines, "eng").collect()}
+    assert one == {1: ("first\nsecond", 0.8), 2: ("", 0.0)}
