@@ -149,6 +149,16 @@ from {bidders} b cross join (values (1), (2)) as v(k) where b.tender_id % 5 = 0"
 }
 
 
+#: Views that make long texts of short rows.
+TEXTS = ("bidder_docs", "tender_texts")
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Rows of a small file dealt out to all cores before texts are made of them; larger inputs have parts enough."""
+    most = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(most) if df.rdd.getNumPartitions() < most else df
+
+
 def needs(text: str) -> list[str]:
     return list(dict.fromkeys(re.findall(r"\{([a-z]\w*)\}", text)))
 
@@ -159,6 +169,8 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     sql = VIEWS[name]
     made = {n: view(spark, sf_dir, n) for n in needs(sql)}
+    if name in TEXTS:
+        made = {n: spread(df) for n, df in made.items()}
     for n in made:
         sql = sql.replace("{%s}" % n, f"__{n}__")
     sql = sql.replace("{", "{{").replace("}", "}}")

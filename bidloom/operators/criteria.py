@@ -4,7 +4,8 @@ Patterns run on the lower-cased text; a clause is cut from the original at the s
 Digits are Unicode digits, as the rules have it.
 
 Each pattern looks through a text once: a first projection finds where it matches, a second reads the
-match there, however long it is, and rules take their groups from the match.
+match there, however long it is, a third its groups and a fourth the numbers in them, so that rules
+only name columns.
 """
 
 from __future__ import annotations
@@ -70,7 +71,7 @@ class Found:
     """A text column, the places at which patterns match in it, and the matches."""
 
     def __init__(self, text: str = "text"):
-        self.raw, self.low, self.patterns = F.col(text), F.col("_low"), {}
+        self.raw, self.low, self.patterns, self.groups, self.numbers = F.col(text), F.col("_low"), {}, {}, {}
 
     def _number(self, pattern: str) -> int:
         return self.patterns.setdefault(pattern, len(self.patterns))
@@ -88,7 +89,21 @@ class Found:
 
     def group(self, pattern: str, group: int) -> Column:
         """A group of the first match, read from the match alone."""
-        return F.regexp_extract(self.whole(pattern), f"{_U}^(?:{pattern})", group)
+        name = f"_group{self._number(pattern)}_{group}"
+        self.groups[name] = F.regexp_extract(self.whole(pattern), f"{_U}^(?:{pattern})", group)
+        return F.col(name)
+
+    def number(self, pattern: str) -> Column:
+        """The first group as a number."""
+        name = f"_value{self._number(pattern)}"
+        self.numbers[name] = number_of(self.group(pattern, 1))
+        return F.col(name)
+
+    def amount(self, pattern: str) -> Column:
+        """The first two groups as rupees."""
+        name = f"_amount{self._number(pattern)}"
+        self.numbers[name] = amount_inr(self.group(pattern, 1), self.group(pattern, 2))
+        return F.col(name)
 
     def clause(self, pattern: str, around: int = 80, most: int = 400) -> Column:
         """The original text from 80 characters before the match to 80 after it, white space collapsed."""
@@ -107,7 +122,10 @@ class Found:
             f"_match{k}": F.when(self.hit(p), F.regexp_extract(F.substr(self.low, self.at(p)), f"{_U}^(?:{p})", 0))
             for p, k in self.patterns.items()
         }
-        return docs.select(*keys, F.col(text).alias(text), low.alias("_low")).withColumns(at).withColumns(read)
+        found = docs.select(*keys, F.col(text).alias(text), low.alias("_low")).withColumns(at).withColumns(read)
+        for more in (self.groups, self.numbers):
+            found = found.withColumns(more) if more else found
+        return found
 
 
 def source_clause(docs: DataFrame, pattern: str, key: str = "tender_id") -> DataFrame:
@@ -139,7 +157,7 @@ def amount_rules(text: Found) -> list[Column]:
     for field, lead, priority, conf, amb, fallback in AMOUNT_RULES:
         pattern = lead + r"[^\n\d]{0,40}" + P.AMOUNT
         hit = text.hit(pattern)
-        value = amount_inr(text.group(pattern, 1), text.group(pattern, 2))
+        value = text.amount(pattern)
         if field == "annual_turnover":
             value, good = F.when(value <= 0, 5e7).otherwise(value), hit & value.isNotNull()
         elif field == "net_worth":
@@ -158,7 +176,7 @@ def amount_rules(text: Found) -> list[Column]:
 
 
 def count_rules(text: Found) -> list[Column]:
-    number = lambda p: number_of(text.group(p, 1))
+    number = text.number
     raw = lambda p: T.strip(text.whole(p))
     letters = "experience_letters,work_order,supporting"
     years = _rule(text.hit(EXPERIENCE), "experience_years", ">=", number(EXPERIENCE), "years", True, letters, F.lit(0.78),
@@ -187,7 +205,7 @@ def presence_rules(text: Found, rules=None) -> list[Column]:
 
 def validity_rules(text: Found) -> list[Column]:
     found = [
-        _rule(text.hit(p), "bid_validity_days", ">=", number_of(text.group(p, 1)), "days", True,
+        _rule(text.hit(p), "bid_validity_days", ">=", text.number(p), "days", True,
               "bid_form,supporting", F.lit(conf), F.lit(amb), T.strip(text.whole(p)), text.clause(p))
         for p, conf, amb in VALIDITY
     ]

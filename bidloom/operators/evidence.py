@@ -31,21 +31,22 @@ def number_of(digits: Column) -> Column:
     return F.regexp_replace(T.plain_digits(digits), ",", "").try_cast("double")
 
 
+def _matches(text: Column, pattern: str, groups: tuple[str, ...]) -> Column:
+    """All matches of a pattern with the named groups and ``raw``.  The text is searched once, groups are read from its matches."""
+    return F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda m: F.struct(
+        *[F.regexp_extract(m, pattern, k + 1).alias(g) for k, g in enumerate(groups)], m.alias("raw")))
+
+
 def money_matches(text: Column) -> Column:
-    """All rupee amounts of a text, in order: value, raw.  The text is searched once, groups are read from its matches."""
-    group = lambda m, g: F.regexp_extract(m, P.MONEY_ALL, g)
-    found = F.transform(F.regexp_extract_all(text, F.lit(P.MONEY_ALL), F.lit(0)), lambda m: F.struct(
-        amount_inr(group(m, 1), group(m, 2), cr_is_unit=False).alias("value"), m.alias("raw")))
-    return found
+    """All rupee amounts of a text, in order: value, raw."""
+    return F.transform(_matches(text, P.MONEY_ALL, ("number", "unit")), lambda m: F.struct(
+        amount_inr(m["number"], m["unit"], cr_is_unit=False).alias("value"), m["raw"].alias("raw")))
 
 
 def turnover_matches(text: Column) -> Column:
     """Numbers after the word turnover: value, raw; small ones are taken as crores."""
-    number = lambda m: number_of(F.regexp_extract(m, P.MONEY_TURNOVER, 1))
-    found = F.transform(F.regexp_extract_all(text, F.lit(P.MONEY_TURNOVER), F.lit(0)), lambda m: F.struct(
-        number(m).alias("value"), m.alias("raw")))
-    small = lambda x: F.struct(F.when(x["value"] < 1e6, x["value"] * 1e7).otherwise(x["value"]).alias("value"), x["raw"].alias("raw"))
-    return F.transform(found, small)
+    found = F.transform(_matches(text, P.MONEY_TURNOVER, ("number",)), lambda m: F.struct(number_of(m["number"]).alias("v"), m["raw"].alias("raw")))
+    return F.transform(found, lambda x: F.struct(F.when(x["v"] < 1e6, x["v"] * 1e7).otherwise(x["v"]).alias("value"), x["raw"].alias("raw")))
 
 
 def _money(docs: DataFrame, matches: Column, number: int, conf: float) -> DataFrame:
@@ -64,8 +65,8 @@ def money_pass2(docs: DataFrame, text: str = "text") -> DataFrame:
 
 
 def bool_signals(text: Column) -> dict[str, Column]:
-    """field: struct(value, conf) by the presence rules; the first rule that holds counts."""
-    t = F.lower(text)
+    """field: struct(value, conf) by the presence rules over a lower-cased text; the first rule that holds counts."""
+    t = text
 
     def holds(every, some, pattern, least) -> Column:
         tests = [t.contains(w) for w in every]
@@ -85,12 +86,16 @@ def bool_signals(text: Column) -> dict[str, Column]:
 
 def bool_facts(docs: DataFrame, fields: list[str] | None = None, text: str = "text") -> DataFrame:
     """One row per document and field with value and conf, hits and misses alike."""
-    every = bool_signals(F.col(text))
-    listed = F.array(*[
-        F.struct(F.lit(k).alias("field"), every[k]["value"].alias("value"), every[k]["conf"].alias("ext_conf"))
-        for k in fields or P.BOOL_FIELDS
-    ])
-    return docs.select(*docs.columns, F.inline(listed))
+    rows, signals = _with_signals(docs, fields or P.BOOL_FIELDS, text)
+    listed = F.array(*[F.struct(F.lit(k).alias("field"), s["value"].alias("value"), s["conf"].alias("ext_conf")) for k, s in signals.items()])
+    return rows.select(*docs.columns, F.inline(listed))
+
+
+def _with_signals(docs: DataFrame, fields: list[str], text: str) -> tuple[DataFrame, dict[str, Column]]:
+    """``docs`` with a column for each field's signal, so that each is worked out once, and those columns."""
+    every = bool_signals(F.col("_low"))
+    rows = docs.withColumn("_low", F.lower(text)).withColumns({f"_signal_{f}": every[f] for f in fields})
+    return rows, {f: F.col(f"_signal_{f}") for f in fields}
 
 
 def count_facts(docs: DataFrame, fields: list[str] | None = None, text: str = "text") -> DataFrame:
@@ -148,7 +153,7 @@ def facts(docs: DataFrame, fields: list[str] | None = None) -> DataFrame:
         for number, conf, matches in ((1, 0.9, money_matches(F.col("text"))), (2, 0.75, turnover_matches(F.col("text")))):
             # The lambda is read here and now, so it has this turn's values.
             lists.append(F.transform(matches, lambda m, i: fact("money", number, i, m["value"], conf, m["raw"])))
-    signals = bool_signals(F.col("text"))
+    docs, signals = _with_signals(docs.select(*keys, "text"), asked(P.BOOL_FIELDS), "text")
     for f in asked(P.BOOL_FIELDS):
         found = fact(f, 1, 0, signals[f]["value"], signals[f]["conf"])
         lists.append(F.array(found) if f == "generic_compliance" else F.filter(F.array(found), lambda x: x["value"] > 0))
