@@ -265,12 +265,12 @@ def _amount_sql(field: str, lead: str, priority: str, conf: float, amb: float, s
 _FIN = " union all ".join(_amount_sql(*r) for r in criteria.AMOUNT_RULES)
 _E, _W, _P, _M = criteria.EXPERIENCE, criteria.EXPERIENCE_WORDS, criteria.PROJECTS, criteria.MANPOWER
 _LETTERS = "experience_letters,work_order,supporting"
-_KIND = f"case when contains({_find(_M)}, 'engineer') or contains({_find(_M)}, 'technical') then 'technical_staff_count' else 'manpower_count' end"
+_STAFF = f"case when contains({_find(_M)}, 'engineer') or contains({_find(_M)}, 'technical') then 'technical_staff_count' else 'manpower_count' end"
 _EXP = " union all ".join([
     _row(_hit(_E), "'experience_years'", ">=", _number(_E), "years", True, _LETTERS, 0.78, 0.15, _strip(_find(_E)), _clause(_E)),
     _row(f"not {_hit(_E)} and {_hit(_W)}", "'experience_years'", ">=", "3", "years", True, _LETTERS, 0.55, 0.3, "'Relevant experience / similar contracts'", _clause(_W)),
     _row(f"{_number(_P)} between 1 and 50", "'similar_projects_count'", ">=", _number(_P), "count", True, "experience_letters,work_order", 0.7, 0.22, _strip(_find(_P)), _clause(_P)),
-    _row(f"{_number(_M)} between 1 and 100000", _KIND, ">=", _number(_M), "count", True, "pf_records,epf_statement,hr_certificate,supporting", 0.7, 0.2, _strip(_find(_M)), _clause(_M)),
+    _row(f"{_number(_M)} between 1 and 100000", _STAFF, ">=", _number(_M), "count", True, "pf_records,epf_statement,hr_certificate,supporting", 0.7, 0.2, _strip(_find(_M)), _clause(_M)),
 ])
 _CERT = " union all ".join(
     _row(_hit(test), f"'{field}'", "==", "1", "bool", must, priority, conf, amb, f"'{raw}'", _clause(clause or test))
