@@ -53,10 +53,11 @@ def window_table(benchmark: DataFrame, width: int = WINDOW) -> DataFrame:
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for item, text in zip(batch["i"], batch["t"], strict=True):
-                own = windows(text, width)
-                if own:
-                    yield pd.DataFrame({"item": item, "pattern": own})
+            for at in range(0, len(batch), 500):  # bounds what is held besides the batch
+                part = batch.iloc[at : at + 500]
+                own = [windows(text, width) for text in part["t"]]
+                pairs = [(i, p) for i, w in zip(part["i"], own, strict=True) for p in w]
+                yield pd.DataFrame(pairs, columns=["item", "pattern"], dtype=object)
 
     items = benchmark.select(F.col("item_id").cast("string").alias("i"), F.col("text").alias("t"))
     rows = items.mapInPandas(task, "item string, pattern string")
