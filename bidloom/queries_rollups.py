@@ -55,9 +55,10 @@ def bidder_scoreboard(spark, sf):
     return _board(spark, sf)
 
 
-@query(f"""select tender_id, count(*) as n_bidders, count_if(o = 'ELIGIBLE') as n_eligible, count_if(o = 'NEEDS_REVIEW') as n_review, count_if(o = 'PENDING') as n_pending, 4::bigint as n_criteria,
+@query(f"""select s.tender_id, count(*) as n_bidders, count_if(o = 'ELIGIBLE') as n_eligible, count_if(o = 'NEEDS_REVIEW') as n_review, count_if(o = 'PENDING') as n_pending, coalesce(max(nc), 0) as n_criteria,
   case when count_if(o = 'PENDING') = count(*) then 'pending' when count_if(o = 'NEEDS_REVIEW') > 0 then 'review' when count_if(o = 'ELIGIBLE') > 0 then 'eligible' else 'not_eligible' end as status,
-  greatest(30.0::double, round(4 * count(*) * 1.2::double)) as estimate_sec from (select *, {_OVER} as o from {{scoreboard}}) group by tender_id""")
+  greatest(30.0::double, round(coalesce(max(nc), 0) * count(*) * 1.2::double)) as estimate_sec from (select *, {_OVER} as o from {{scoreboard}}) s
+  left join (select tender_id, count(*) as nc from {{criteria}} group by tender_id) c on c.tender_id = s.tender_id group by s.tender_id""")
 def tender_status(spark, sf):
     return rollups.tender_status(_board(spark, sf), V(spark, sf, "criteria"))
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from bidloom.functions import text as T
 from bidloom.operators import changes, criteria, decide, evidence, rollups
-from bidloom.sources import plugins
+from bidloom.sources import files, plugins
 
 
 def rules_of(spark, *texts):
@@ -168,6 +168,12 @@ def test_explanations_of_each_branch(spark):
     assert sorted(r.conflicts_with for r in others.collect()) == ["d2#1#0", "d2#1#1", "d2#1#3", "d2#1#4"]
 
 
+def test_engines(spark):
+    paths = {"": "missing_file", None: "missing_file", "a/b.PDF": "pdf", "x.webp": "image", "x.docx": "none", "dir.pdf/x": "none"}
+    df = spark.createDataFrame([(p,) for p in paths], "path string")
+    assert {r.path: r.e for r in df.select("path", files.engine(F.col("path")).alias("e")).collect()} == paths
+
+
 # Plug-ins ------------------------------------------------------------------------------------------
 def shouting():
     """A plug-in that answers in capitals, not at all to "nothing", and breaks on "bad"."""
