@@ -59,7 +59,7 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark windows in each row of ``documents``."""
-    return decontam.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items")
+    return decontam.scan(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("items", "spans")
 
 
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

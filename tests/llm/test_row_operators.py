@@ -87,12 +87,32 @@ def test_decontamination(spark, docs, rows, no_docs, block):
     items = benchmark_rows(rows)
     bench = spark.createDataFrame(items, "item_id long, text string")
     columns = ("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
-    got = as_rows(decontam.scan(docs, bench, block_bytes=block), *columns)
-    assert got == sorted(decontamination(rows, items), key=key)
+    out = decontam.scan(docs, bench, keep=("text", "rid", "items"), block_bytes=block)
+    assert as_rows(out, *columns) == sorted(decontamination(rows, items), key=key)
+    assert as_rows(decontam.scan(docs, bench, block_bytes=block), *columns) == as_rows(out, *columns)
+    for r in out.select("kept.*", "n_hit", "spans").collect():  # the spans of the original hold the words that are hit
+        assert sum(len(words(r.text[s.start : s.end])) for s in r.spans) == r.n_hit and r.rid == "x" and r["items"] == "i"
+        assert all(not set(r.text[s.start] + r.text[s.end - 1]) & set(" ,.\n") for s in r.spans)
     assert decontam.scan(no_docs, bench).count() == 0
     assert decontam.scan(docs, bench.limit(0)).filter("contaminated or n_hit > 0").count() == 0
 
 
+def test_decontamination_by_blocks_is_whole(spark):
+    """Thousands of items that share a window, very long texts and a passage that many rows hold."""
+    rng = random.Random(3)
+    shared = " ".join(f"s{k}" for k in range(13))
+    items = [(k, f"{shared} own{k}") for k in range(3000)] + [(9000 + k, f"short{k}") for k in range(30)]
+    rows = [(k, " ".join(f"w{rng.randrange(500)}" for _ in range(60)) + f" {shared} own{k}") for k in range(40)]
+    rows += [(100, "w " * 200_000 + shared + " x" * 10 + " SHORT7, " + shared), (101, shared[:-1]), (102, "short3 short3")]
+    bench = spark.createDataFrame(items, "item_id long, text string").repartition(3)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = sorted(decontamination(rows, items), key=key)
+    for block in (1_000_000_000, 20_000):
+        out = decontam.scan(docs, bench, block_bytes=block)
+        assert as_rows(out, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == want
+    assert [(s.end - s.start) for s in out.filter("doc_id = 100").first().spans] == [len(shared), 6 + 2 + len(shared)]
+
+
 def test_offsets_map_to_the_original():
     text = "Ünï, THE  cat\nsat."
     assert [text[a:b] for a, b in decontam.char_offsets(text)] == ["Ünï", "THE", "cat", "sat"]
