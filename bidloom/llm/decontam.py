@@ -130,11 +130,11 @@ def _texts(batch: pa.RecordBatch, inner: str | None) -> list[str | None]:
     return (batch.column("text") if inner is None else batch.column("kept").field(inner)).to_pylist()
 
 
-def _made(batch: pa.RecordBatch, names: list[str], rows: list[tuple], items: list) -> pa.RecordBatch:
+def _made(batch: pa.RecordBatch, names: list[str], rows: list[tuple], items: pa.Array) -> pa.RecordBatch:
     """The named columns of a batch, then n_words, n_hit, spans and items."""
     sizes, hits, found = zip(*rows, strict=True) if rows else ((), (), ())
     spans = pa.array([[{"start": a, "end": b} for a, b in own] for own in found], _PAIRS)
-    made = [pa.array(sizes, pa.int64()), pa.array(hits, pa.int64()), spans, pa.array(items, pa.list_(pa.string()))]
+    made = [pa.array(sizes, pa.int64()), pa.array(hits, pa.int64()), spans, items]
     return pa.RecordBatch.from_arrays(
         [*(batch.column(c) for c in names), *made], [*names, "n_words", "n_hit", "spans", "items"]
     )
@@ -153,7 +153,7 @@ def _by_broadcast(docs: DataFrame, benchmark: DataFrame, width: int, inner: str
                 seen = list(matches(tree, joined(words))) if tree is not None and words else []
                 out.append((len(words), *_judged(text, len(words), ((f, n) for f, n, _ in seen))))
                 found.append(sorted({i for _, _, own in seen for i in own}))
-            yield _made(batch, names, out, found)
+            yield _made(batch, names, out, pa.array(found, pa.list_(pa.string())))
 
     return docs.mapInArrow(task, form)
 
@@ -211,11 +211,13 @@ def _by_blocks(docs: DataFrame, benchmark: DataFrame, width: int, inner: str | N
 
     def keyed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            lines = [p.encode("latin-1").split() for p in batch["pattern"]]
-            keys = np.array([next(window_keys(w, (len(w),)))[1][0] for w in lines], _U)
-            yield batch.assign(
-                n=np.array([len(w) for w in lines], np.int64), key=keys.view(np.int64), block=(keys % _U(blocks)).view(np.int64)
-            )
+            size = batch["pattern"].str.count(" ").to_numpy(np.int64) - 1
+            key = np.zeros(len(batch), _U)
+            for n in np.unique(size):
+                own = np.flatnonzero(size == n)
+                lines = "".join(batch["pattern"].iloc[own]).encode("latin-1").split()
+                key[own] = next(window_keys(lines, (int(n),)))[1][:: int(n)]
+            yield batch.assign(n=size, key=key.view(np.int64), block=(key % _U(blocks)).view(np.int64))
 
     table = with_row_id(members.select("pattern").distinct(), "wid")
     table = work.write(table.mapInPandas(keyed, "pattern string, wid long, n long, key long, block long"), "windows")
@@ -251,9 +253,10 @@ def _by_blocks(docs: DataFrame, benchmark: DataFrame, width: int, inner: str | N
             for text, runs in zip(_texts(batch, inner), batch.column("runs").to_pylist(), strict=True):
                 n = len(byte_words(text))
                 out.append((n, *_judged(text, n, ((r["first"], r["n"]) for r in runs or ()))))
-            yield _made(batch, names, out, [i or [] for i in batch.column("items").to_pylist()])
+            yield _made(batch, names, out, batch.column("items"))
 
-    return rows.join(found, "rid", "left").mapInArrow(task, form)
+    whole = rows.join(found, "rid", "left").withColumn("items", F.coalesce("items", F.array().cast("array<string>")))
+    return whole.mapInArrow(task, form)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, width: int = WINDOW, id_col: str = "doc_id",
