@@ -5,8 +5,9 @@ tokens while it is long enough; what is left is routed to the smallest tier that
 tier is packed first-fit into its own windows; a tier's windows that stay open hand their pieces
 to the next longer tier, where they fill the gaps of long windows, and pieces may be cut at a gap.
 Whatever is open at the end of a task is cut at powers of two, so only tails that a piece no
-longer fills are padded.  Step groups take windows of a tier in turn, which keeps their token
-counts even.
+longer fills are padded.  Step groups take windows of a tier in turn, and each task begins with
+another group, so neither a task's windows nor the few that each of many tasks has of a tier gather
+in one group, and their token counts stay even.
 
 Packing needs no order across documents, so each task packs its own rows and nothing is
 shuffled; a task keeps a bounded number of open windows.  Sequence ids come from the partition
@@ -17,7 +18,9 @@ the tokenizer never joins anything across white space (its pieces that close a w
 ``</w>``).
 
 Defined edge cases: a null or empty text is its closing id alone; repeated rows and ids are
-packed row by row; extra columns are ignored; an empty table gives an empty table.
+packed row by row; very long texts are cut into as many windows as they fill; windows of equal room
+are filled in the order in which they were opened; extra columns are ignored; an empty table gives an
+empty table; a tokenizer that joins anything across white space is an error.
 """
 
 from __future__ import annotations
@@ -39,6 +42,8 @@ SCHEMA = (
     "tier int, step_group int"
 )
 _UNIT = re.compile(r"[^ \t\n\x0b\f\r]+")
+#: White space, or what tokenizers write for it, with something at either side.
+_CROSSES = re.compile("[^\\s\u0120\u010a\u2581][\\s\u0120\u010a\u2581]+[^\\s\u0120\u010a\u2581]")
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -117,6 +122,23 @@ class WordTokenizer:
         return b"".join(map(self.table.__getitem__, words))
 
 
+def check_tokenizer(path: str) -> None:
+    """Refuse a tokenizer whose tokens can cross white space, or that reads a word by what is around it."""
+    import tokenizers
+
+    tool = tokenizers.Tokenizer.from_file(path)
+    tool.no_truncation()
+    words = ["a", "B", "'s", "it's", "9", "(x)", "--", "é", "中文", "end."]
+    for gap in (" ", "  ", "\t", "\n", "\r\n", "\x0b", "\x0c"):
+        for left, right in zip(words, words[1:] + words[:1], strict=True):
+            apart = [tool.encode(w, add_special_tokens=False).ids for w in (left, right)]
+            if tool.encode(gap + left + gap + right + gap, add_special_tokens=False).ids != apart[0] + apart[1]:
+                raise ValueError(f"the tokenizer does not read {left!r} and {right!r} apart across {gap!r}")
+    for token in tool.get_vocab():
+        if _CROSSES.search(token.removesuffix("</w>")):
+            raise ValueError(f"token {token!r} crosses white space")
+
+
 def split_words(text: str | None) -> list[str]:
     return _UNIT.findall(text or "")
 
@@ -128,8 +150,8 @@ class Packer:
     ``t`` that still have room, by room left.
     """
 
-    def __init__(self, base: int, limit: int, smallest: int, groups: int, most_open: int):
-        self.base, self.limit, self.groups, self.most_open = base, limit, groups, most_open
+    def __init__(self, base: int, limit: int, smallest: int, groups: int, most_open: int, turn: int = 0):
+        self.base, self.limit, self.groups, self.most_open, self.turn = base, limit, groups, most_open, turn
         self.tiers = [1 << k for k in range(smallest.bit_length() - 1, limit.bit_length())]
         self.open: dict[int, list[list]] = {t: [] for t in self.tiers}  # [room, pieces]
         self.count = 0
@@ -138,7 +160,7 @@ class Packer:
 
     def close(self, pieces: list, tier: int) -> None:
         at, seq = 0, self.base + self.count
-        group = self.given.get(tier, 0) % self.groups
+        group = (self.turn + self.given.get(tier, 0)) % self.groups
         self.given[tier] = self.given.get(tier, 0) + 1
         self.count += 1
         for doc, start, length in pieces:
@@ -225,13 +247,15 @@ class Packer:
 def pack(docs: DataFrame, tokenizer: str, limit: int = 2048, smallest: int = 256, end_id: int = 1,
          groups: int = 8, most_open: int = 64, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per piece: where it lies in its document and in its sequence."""
+    check_tokenizer(tokenizer)
     closing = np.array([end_id], dtype="<u4").tobytes()
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
         words = WordTokenizer(tokenizer)
-        packer = Packer(TaskContext.get().partitionId() << 36, limit, smallest, groups, most_open)
+        number = TaskContext.get().partitionId()
+        packer = Packer(number << 36, limit, smallest, groups, most_open, number)
         names = [x.split()[0] for x in SCHEMA.split(", ")]
 
         def out() -> pd.DataFrame:

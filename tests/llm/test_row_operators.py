@@ -205,6 +205,26 @@ def test_packing(docs, rows, no_docs):
     assert packing.pack(no_docs, path).count() == 0
 
 
+def test_step_groups_are_even_across_tasks(spark):
+    """Each of 40 tasks has one window of a tier: every group gets as many of them."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    docs = spark.range(0, 40, 1, 40).selectExpr("id as doc_id", "repeat('a ', 39) as text")
+    windows = packing.pack(docs, path, limit=64, smallest=8).select("tier", "step_group", "sequence_id").distinct().collect()
+    assert collections.Counter((w.tier, w.step_group) for w in windows) == {(t, g): 5 for t in (32, 8) for g in range(8)}
+
+
+def test_tokenizers_that_cross_white_space_are_refused(tmp_path):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    vocab = {c: k for k, c in enumerate(sorted(set(pre_tokenizers.ByteLevel.alphabet())))}
+    spaced = Tokenizer(models.BPE(vocab | {"\u0120a": 256}, [("\u0120", "a")]))
+    spaced.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False)
+    spaced.save(str(tmp_path / "spaced.json"))
+    with pytest.raises(ValueError, match="apart"):
+        packing.check_tokenizer(str(tmp_path / "spaced.json"))
+    packing.check_tokenizer(public_tokenizers.path("word_bpe_49k.json"))
+
+
 def test_archives(spark):
     big = "<p>é</p>" * 400
     pages = [(1, "http://a/ b", big), (7, "http://c", big), (3, None, big), (4, "http://d", "small"), (5, "u", "small"),
