@@ -144,6 +144,98 @@ def test_license_diagonals(spark):
     assert out[1].labels == "gpl-3" and out[1].score > 0.9 and out[2].labels == "" and out[3].score == 0
 
 
+def plain_labels(w, slack=3, cover=0.7, gram=licenses.GRAM):
+    """Labels by diagonal votes, written plainly: one template after the other, one word after the other."""
+    found = []
+    for label, text in licenses.TEMPLATES:
+        t = text.split()
+        hits = [(i - j, i, j) for i in range(len(w) - gram + 1) for j in range(len(t) - gram + 1) if w[i : i + gram] == t[j : j + gram]]
+        runs = []
+        for hit in sorted(hits):
+            if runs and hit[0] - runs[-1][-1][0] <= slack:
+                runs[-1].append(hit)
+            else:
+                runs.append([hit])
+        for run in runs:
+            covered = len({j + k for _, _, j in run for k in range(gram)})
+            if covered / len(t) >= cover:
+                first, end = min(i for _, i, _ in run), max(i for _, i, _ in run) + gram
+                found.append((first, end, 2 * covered - len(t), label))
+    labels, island, reach = set(), [], -1
+    for span in sorted(found) + [(10**9, 10**9, 0, None)]:
+        if span[0] >= reach:
+            best = max((x[2] for x in island), default=0)
+            labels |= {x[3] for x in island if x[2] == best}
+            island = []
+        island.append(span)
+        reach = max(reach, span[1])
+    return ",".join(sorted(labels))
+
+
+def test_license_labels_of_edited_copies(spark):
+    rng = random.Random(5)
+    longest = {}
+    for label, text in licenses.TEMPLATES:
+        longest[label] = max(longest.get(label, ""), text, key=len)
+    rows, want = [], {}
+    for label, text in longest.items():
+        for rate in (0.0, 0.02, 0.04):
+            out = [f"filler{rng.randrange(999)}" for _ in range(30)]
+            for word in text.split():
+                draw = rng.random() / max(rate, 1e-9)
+                out += [] if draw < 1 / 3 else ["changed"] if draw < 2 / 3 else [word, "more"] if draw < 1 else [word]
+            rows.append((len(rows), " ".join(out + ["filler"] * 20)))
+            if rate == 0:
+                want[len(rows) - 1] = label
+    both = " ".join([longest["mit"], "and then", longest["isc"], longest["gpl-3"]])
+    rows.append((len(rows), both))
+    want[len(rows) - 1] = "gpl-3,isc,mit"
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {k: got[k] for k in want} == want
+    plain = {k: plain_labels(t.split()) for k, t in rows}
+    base = {k: {label for phrase, label in licenses.PHRASES if phrase in t} for k, t in rows}
+    assert got == {k: ",".join(sorted(base[k] | set(filter(None, plain[k].split(","))))) for k in got}
+    assert sum(got[k] == label for k, label in zip(range(len(rows) - 1), [x for x in longest for _ in range(3)], strict=True)) >= 0.9 * len(rows)
+
+
+def test_license_texts_as_they_are_printed(spark):
+    bsd_3 = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of Example Corp. nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+    bsd_2 = bsd_3.split("3. Neither")[0]
+    mit = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+    gpl_3 = """GNU GENERAL PUBLIC LICENSE
+                       Version 3, 29 June 2007
+
+ Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/>
+ Everyone is permitted to copy and distribute verbatim copies
+ of this license document, but changing it is not allowed.
+
+                            Preamble
+
+  The GNU General Public License is a free, copyleft license for
+software and other kinds of works."""
+    texts = [bsd_3, bsd_2, mit, gpl_3, "The BSD license is a license. The software is provided to the authors as is."]
+    got = licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [r.labels for r in got] == ["bsd-3-clause", "bsd-2-clause", "mit", "gpl-3", ""]
+
+
 def test_license_in_a_very_long_text(spark):
     rng = random.Random(2)
     whole = next(t for k, t in licenses.TEMPLATES if k == "mit" and "permit persons" in t)
