@@ -11,13 +11,16 @@ the same record), the date is rewritten to ISO form, the type is ``response`` or
 payload digests are SHA-1.  Of equal payloads of at least ``min_revisit`` bytes one record is a
 response and the others revisit it.
 
-Archives are written by Spark's text writer, one stream per task with a bound on records, into
-the shared folder; payloads move once, to meet their digest's keeper, in a join that adaptive
-execution can split when one payload is very frequent.
+A task cuts its records into archives, bounded in records and in bytes before compression, and
+Spark's text writer puts each into a file of its own in the shared folder; readers hold one
+archive as it lies there and one record.  Payloads move once, to meet their digest's keeper, in a
+join that adaptive execution can split when one payload is very frequent.
 
 Defined edge cases: null html is an empty payload; a null URL is written as ``-``; rows with a
 null or repeated page id each get a record (rows that share the largest id of their payload are
-responses alike); extra columns are ignored; an empty table gives an empty table.
+responses alike); a text longer than the bound of an archive, up to the 2 GB of a Spark value,
+gets an archive of its own and is never cut; extra columns are ignored; an empty table gives an
+empty table.
 """
 
 from __future__ import annotations
@@ -42,6 +45,8 @@ VERSION_LINES = {
     2: b"URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 DATE = "20240101000000"
+#: Bytes of an archive before compression: what a task holds of its output.
+MAX_BYTES = 32 << 20
 _RECORD = "page_id long, url string, date string, mime string, http binary, payload binary"
 
 
@@ -169,10 +174,35 @@ def _open(content: bytes) -> BinaryIO:
     return gzip.GzipFile(fileobj=stream) if content[:2] == b"\x1f\x8b" else stream
 
 
-def _write(rows: DataFrame, tag: str, per_file: int) -> str:
-    """Rows of one text column as archives; each value ends with its writer's line feed."""
-    path = f"{shared_folder(rows.sparkSession)}-{tag}"
-    rows.write.option("compression", "gzip").option("maxRecordsPerFile", per_file).text(path)
+class _Archives:
+    """Cuts the records of a task into archives of at most ``per_file`` records and ``max_bytes``.
+
+    Only a record that is larger by itself makes a larger archive.
+    """
+
+    def __init__(self, per_file: int, max_bytes: int, head: bytes = b""):
+        self.per_file, self.max_bytes, self.head = per_file, max_bytes, head
+        self.records, self.size = [], 0
+
+    def add(self, record: bytes) -> Iterator[pd.DataFrame]:
+        """The archive that ``record`` no longer fits into, if there is one."""
+        if self.records and (len(self.records) >= self.per_file or self.size + len(record) > self.max_bytes):
+            yield from self.rest()
+        self.records.append(record)
+        self.size += len(record)
+
+    def rest(self) -> Iterator[pd.DataFrame]:
+        if self.records:
+            whole = b"\n".join([self.head] * bool(self.head) + self.records)
+            self.records, self.size = [], 0
+            yield pd.DataFrame({"value": [whole]})
+
+
+def _write(archives: DataFrame, tag: str) -> str:
+    """Archives, one a row, as files; each ends with its writer's line feed."""
+    path = f"{shared_folder(archives.sparkSession)}-{tag}"
+    text = archives.select(F.col("value").cast("string"))
+    text.write.option("compression", "gzip").option("maxRecordsPerFile", 1).text(path)
     return path
 
 
@@ -181,32 +211,29 @@ def _files(spark, path: str) -> DataFrame:
 
 
 def write_arc(pages: DataFrame, per_file: int = 4096, id_col: str = "page_id", url_col: str = "url",
-              html_col: str = "html") -> str:
+              html_col: str = "html", max_bytes: int = MAX_BYTES) -> str:
     """Pages as ARC archives, half of the tasks in either version; returns their folder.
 
-    Each file starts with its own version block: a block is put before every ``per_file``-th
-    record, which is where the writer starts a file, and readers accept it anywhere.
+    Each archive starts with its own version block.
     """
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyspark import TaskContext
 
-        version, k = 1 + TaskContext.get().partitionId() % 2, 0
+        version = 1 + TaskContext.get().partitionId() % 2
+        archives = _Archives(per_file, max_bytes, arc_head(version))
         for batch in batches:
-            out = []
             for page, url, html in zip(batch["page_id"], batch["url"], batch["html"], strict=True):
                 block = http_block(None if pd.isna(page) else int(page), (html or "").encode("utf-8", "surrogatepass"))
                 where = re.sub(r"\s", "%20", url or "-")
-                record = arc_line(version, where, DATE, "text/html", block) + b"\n" + block
-                out.append(record if k % per_file else arc_head(version) + b"\n" + record)
-                k += 1
-            yield pd.DataFrame({"value": out})
+                yield from archives.add(arc_line(version, where, DATE, "text/html", block) + b"\n" + block)
+        yield from archives.rest()
 
     chosen = pages.select(
         F.col(id_col).cast("decimal(20,0)").cast("string").alias("page_id"),
         F.col(url_col).alias("url"), F.col(html_col).alias("html"),
     )
-    return _write(chosen.mapInPandas(task, "value binary").select(F.col("value").cast("string")), "arc", per_file)
+    return _write(chosen.mapInPandas(task, "value binary"), "arc")
 
 
 def read_arc(spark, path: str) -> DataFrame:
@@ -233,7 +260,7 @@ def read_arc(spark, path: str) -> DataFrame:
     return _files(spark, path).mapInPandas(task, _RECORD + ", sha1 binary")
 
 
-def convert(spark, arc: str, per_file: int = 4096, min_revisit: int = 1000) -> str:
+def convert(spark, arc: str, per_file: int = 4096, min_revisit: int = 1000, max_bytes: int = MAX_BYTES) -> str:
     """ARC archives to WARC archives; returns their folder."""
     records = read_arc(spark, arc)
     keepers = (
@@ -249,20 +276,20 @@ def convert(spark, arc: str, per_file: int = 4096, min_revisit: int = 1000) -> s
     )
 
     def task(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        archives = _Archives(per_file, max_bytes)
         for batch in batches:
-            out = []
             for r in batch.itertuples(index=False):
                 page = None if pd.isna(r.page_id) else int(r.page_id)
                 keeper = None if pd.isna(r.keeper) else int(r.keeper)
                 own = keeper is None or keeper == page
-                out.append(warc_record(page, r.url, r.date, r.http, r.payload, None if own else keeper))
-            yield pd.DataFrame({"value": out})
+                yield from archives.add(warc_record(page, r.url, r.date, r.http, r.payload, None if own else keeper))
+        yield from archives.rest()
 
     picked = joined.select("page_id", "url", "date", "http", "payload", "keeper")
     picked = picked.withColumn("page_id", F.col("page_id").cast("string")).withColumn(
         "keeper", F.col("keeper").cast("string")
     )
-    return _write(picked.mapInPandas(task, "value binary").select(F.col("value").cast("string")), "warc", per_file)
+    return _write(picked.mapInPandas(task, "value binary"), "warc")
 
 
 def read_warc(spark, path: str, with_payload: bool = False) -> DataFrame:
@@ -304,7 +331,7 @@ def read_warc(spark, path: str, with_payload: bool = False) -> DataFrame:
     )
 
 
-def archive(pages: DataFrame, per_file: int = 4096, min_revisit: int = 1000) -> DataFrame:
+def archive(pages: DataFrame, per_file: int = 4096, min_revisit: int = 1000, max_bytes: int = MAX_BYTES) -> DataFrame:
     """Pages to ARC, ARC to WARC, and the WARC records read back."""
     spark = pages.sparkSession
-    return read_warc(spark, convert(spark, write_arc(pages, per_file), per_file, min_revisit))
+    return read_warc(spark, convert(spark, write_arc(pages, per_file, max_bytes=max_bytes), per_file, min_revisit, max_bytes))

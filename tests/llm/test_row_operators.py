@@ -340,6 +340,22 @@ def test_archives(spark):
     assert warc.archive(df.limit(0)).count() == 0
 
 
+def test_archives_are_bounded_by_bytes(spark):
+    """Files hold at most the bound before compression; longer texts get files of their own, whole."""
+    import gzip
+
+    rng = random.Random(9)
+    size = lambda k: 3_000_000 if k == 17 else rng.randrange(20_000)
+    rows = [(k, f"http://x/{k}", "".join(rng.choices("abc<>\n é", k=size(k)))) for k in range(60)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(2)
+    arc = warc.write_arc(pages, max_bytes=100_000)
+    files = [gzip.decompress(r.content) for r in warc._files(spark, arc).collect()]
+    assert len(files) > 8 and sum(len(f) > 101_000 for f in files) == 1
+    assert all(f.startswith(b"filedesc://") and f.count(b"filedesc://") == 1 for f in files)
+    got = warc.read_warc(spark, warc.convert(spark, arc, max_bytes=100_000), with_payload=True)
+    assert {r.page_id: bytes(r.payload).decode() for r in got.collect()} == {k: h for k, _, h in rows}
+
+
 @pytest.mark.parametrize("version", [1, 2])
 def test_arc_round_trip(version):
     import io
