@@ -3,17 +3,20 @@
 Candidates are all runs of 20 or more characters of the base64 and identifier alphabets.  Each gets
 the narrowest encoding that fits (hex, letters, base32, base36, base62 and base64, by case).  Three statistics of its symbols are compared with what uniform draws from that alphabet
 give: chi-squared over the alphabet, runs above and below the middle of the alphabet, and
-serial correlation of neighbours.  A candidate that a test rejects (Bonferroni over the three) is
-not random.
+serial correlation of neighbours.  Their p-values are combined by Bonferroni, and the combined ones
+go through false-discovery control over the whole corpus: of the candidates that are dismissed as
+not random, at most the share ``lost`` is.  A fixed level would lose more the rarer prose is.
 
 The rest are secrets unless prose could have given them: written words and identifiers have letters
 of known frequency and change between cases, digits and signs at known rates.  A string's chance
 under that model over its chance under uniform draws is at most t with probability t or less if it
 is prose (Markov's inequality), so the ratio is a p-value, and for random strings it falls
-exponentially with length.  Those are weighted by length (longer strings carry more power, so they get a larger part of
-the error budget) and controlled at false-discovery rate ``fdr`` over the whole corpus by
-Benjamini-Hochberg.  The ranks come from a histogram of weighted p-values with a fixed number of
-bins, so no candidate list is sorted in one place; one threshold comes back.
+exponentially with length.  The same control holds the false ones of those reported to ``fdr``.
+
+Both controls are Benjamini-Hochberg over p-values weighted by length (longer strings carry more
+power, so they get a larger part of the error budget).  The ranks come from a histogram of weighted
+p-values with a fixed number of bins, so no candidate list is sorted in one place; one threshold
+comes back.  Ties: p-values of one bin stand or fall together, at the bin's largest.
 
 Everything is DataFrame functions.  No text is shuffled; the histogram is a partial aggregation.
 
@@ -142,27 +145,33 @@ def battery(df: DataFrame, body: str = "body") -> DataFrame:
     )
 
 
-def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.01,
-         random_level: float = 0.001) -> DataFrame:
-    """One row per input row: ``base`` and ``all`` spans (arrays of SPAN)."""
-    rows = base_spans(docs, id_col, text_col)
-    rows = rows.withColumn("runs", S.all_matches("t", CANDIDATE, "random", len(BASE)))
-    rows = rows.withColumn("more", S.meeting("runs", "base", meets=False)).drop("runs")
-    rows = materialise(rows.withColumn("rid", F.monotonically_increasing_id()).drop("t"), "secrets")
-    tested = battery(rows.select("rid", F.explode("more").alias("x")).select("rid", "x", F.col("x.body").alias("body")))
-    tested = tested.filter(F.col("p_random") >= random_level)
+def discoveries(tested: DataFrame, p: str, rate: float) -> DataFrame:
+    """Adds ``found``: p-values in column ``p`` that pass at false-discovery rate ``rate``, by length ``n``."""
     total = tested.agg(F.count("*").alias("c"), F.avg("n").alias("n")).first()
     count, mean = total["c"] or 0, total["n"] or 1.0
-    weighted = F.greatest(F.col("p_prose") * mean / F.col("n"), F.lit(10.0**-DECADES))
-    tested = tested.withColumn(
+    weighted = F.greatest(F.col(p) * mean / F.col("n"), F.lit(10.0**-DECADES))
+    binned = tested.withColumn(
         "bin", F.greatest(F.lit(0), F.floor(-F.log10(weighted) * BINS_PER_DECADE)).cast("int")
     )
-    bins = tested.groupBy("bin").agg(F.count("*").alias("c"))  # at most BINS_PER_DECADE * DECADES + 1 rows
+    bins = binned.groupBy("bin").agg(F.count("*").alias("c"))  # at most BINS_PER_DECADE * DECADES + 1 rows
     # A bin passes when its largest p, times all candidates, is within the rate times those at or below it.
     below = F.sum("c").over(W.orderBy(F.col("bin").desc()).rowsBetween(W.unboundedPreceding, 0))
     level = F.pow(F.lit(10.0), -F.col("bin") / BINS_PER_DECADE)
-    passed = bins.select("bin", (level * count <= fdr * below).alias("ok")).filter("ok").agg(F.min("bin")).first()[0]
-    kept = tested.filter(F.col("bin") >= (passed if passed is not None else 10**9))
+    passed = bins.select("bin", (level * count <= rate * below).alias("ok")).filter("ok").agg(F.min("bin")).first()[0]
+    return binned.withColumn("found", F.col("bin") >= (passed if passed is not None else 10**9)).drop("bin")
+
+
+def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", fdr: float = 0.01,
+         lost: float = 0.001) -> DataFrame:
+    """One row per input row: ``base`` and ``all`` spans (arrays of SPAN)."""
+    rows = base_spans(docs, id_col, text_col)
+    rows = rows.withColumn("runs", S.all_matches("t", CANDIDATE, "random", len(BASE)))
+    rows = rows.withColumn("more", S.meeting("runs", "base", meets=False)).drop("runs")
+    rows = materialise(rows.withColumn("rid", F.monotonically_increasing_id()).drop("t"), "secrets")
+    tested = battery(rows.select("rid", F.explode("more").alias("x")).select("rid", "x", F.col("x.body").alias("body")))
+    tested = materialise(tested.select("rid", "x", "n", "p_random", "p_prose"), "tested")
+    random = discoveries(tested, "p_random", lost).filter("not found").drop("found")
+    kept = discoveries(random, "p_prose", fdr).filter("found")
     added = kept.groupBy("rid").agg(F.collect_list("x").alias("added"))
     return rows.join(added, "rid", "left").select(
         "doc_id", "base", F.concat("base", F.coalesce("added", F.array().cast(f"array<{S.SPAN}>"))).alias("all")

@@ -120,6 +120,34 @@ def test_recall_by_encoding_and_length_with_rare_secrets(spark):
     assert len([k for k in found if k >= len(keys)]) <= 0.02 * len(found)
 
 
+def test_discoveries_against_ranks(spark):
+    """The binned control is never looser than ranks say, and at most one bin stricter."""
+    rng = random.Random(11)
+    rows = [(k, rng.choice([20.0, 40.0, 90.0]), 10 ** -rng.uniform(0, 9) if k % 3 else rng.random()) for k in range(4000)]
+    got = secrets.discoveries(spark.createDataFrame(rows, "k long, n double, p double"), "p", 0.01).filter("found")
+    found = {r.k for r in got.collect()}
+    mean = sum(n for _, n, _ in rows) / len(rows)
+
+    def by_ranks(rate):
+        ranked = sorted((p * mean / n, k) for k, n, p in rows)
+        last = max((i for i, (p, _) in enumerate(ranked, 1) if p * len(ranked) <= rate * i), default=0)
+        return {k for _, k in ranked[:last]}
+
+    bin_ = 10 ** (1 / secrets.BINS_PER_DECADE)
+    assert by_ranks(0.01 / bin_) <= found <= by_ranks(0.01) and len(found) > 1000
+    none = spark.createDataFrame([], "k long, n double, p double")
+    assert secrets.discoveries(none, "p", 0.01).count() == 0
+
+
+def test_secrets_among_secrets_only_are_not_dismissed(spark):
+    """Where hardly anything is prose, hardly anything may be dismissed as not random."""
+    rng = random.Random(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    rows = [(k, "".join(rng.choice(letters) for _ in range(40))) for k in range(3000)]
+    out = secrets.find(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert out.filter("exists(all, x -> x.kind = 'random')").count() >= 2990
+
+
 def test_contexts_find_unseen_identifiers(spark):
     rng = random.Random(6)
     card = lambda: next(c for c in iter(lambda: str(rng.randrange(10**15, 10**16)), "") if luhn(c))
