@@ -17,8 +17,9 @@ adaptive execution can split.  Rounds are written to the shared folder.
 
 Defined edge cases: a null or empty text has no spans; very long texts are scanned whole, in n log n
 of their matches; repeated rows and ids are scanned row by
-row, and an instance counts once per pattern however often it is repeated; extra columns are
-ignored; an empty table gives an empty table.
+row, and an instance counts once per pattern however often it is repeated; kinds that score a pattern
+alike go in the order of ``KINDS``, and of kinds that extract an instance with one confidence the
+last by name is reported; extra columns are ignored; an empty table gives an empty table.
 """
 
 from __future__ import annotations

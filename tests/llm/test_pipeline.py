@@ -72,6 +72,21 @@ def test_stages_carry_any_column(spark, corpus):
     assert pieces.columns == corpus_pipeline.STAGES[-1][1](spark, docs.limit(0), corpus).columns
 
 
+def test_very_long_texts(spark, corpus):
+    """A clean text of 100,000 words goes through every stage whole; the share of its distinct words is low, as in any."""
+    rng = random.Random(4)
+    words = [f"{rng.choice('bcdfgklmnprst')}{rng.choice('aeiou')}{int(rng.paretovariate(0.5)) % 30000:x}" for _ in range(100_000)]
+    text = " ".join(x + "." * (k % 17 == 0) + "\n" * (k % 51 == 0) for k, x in enumerate(words))
+    assert 5 * len(set(text.split())) < 100_000
+    docs = spark.read.parquet(f"{corpus}/documents.parquet").filter("doc_id < 40")
+    docs = docs.unionByName(spark.createDataFrame([(500, text, "en", "s", len(text))], docs.schema))
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept = {r.doc_id: r.text for r in stage(spark, docs, corpus).collect()}
+        assert len(kept) == 41 and kept[500] == text, name
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, corpus).filter("doc_id = 500").collect()
+    assert sum(r.length for r in pieces) == pieces[0].doc_tokens > 100_000
+
+
 def test_run(spark, corpus):
     out = corpus_pipeline.run(spark, corpus)
     assert {"doc_id", "start", "length", "sequence_id", "offset"} <= set(out.columns)
