@@ -64,6 +64,19 @@ PRESENCE_RULES = [
 ]
 BLACKLIST = ("blacklisting_declaration", r"black[\s\-]*list|debar(?:red|ment)|not\s*black[\s\-]*listed", None,
              "Non-blacklisting / non-debarment declaration", True, "affidavit,undertaking,supporting", 0.75, 0.15)
+#: Words of which one is in every match of a pattern: texts without any are not searched for it.
+WORDS = {
+    r"turnover[^\n\d]{0,40}" + P.AMOUNT: ("turnover",), r"net\s*worth[^\n\d]{0,40}" + P.AMOUNT: ("worth",),
+    AMOUNT_RULES[2][1] + r"[^\n\d]{0,40}" + P.AMOUNT: ("earnest", "emd", "security"), r"bank\s*guarantee[^\n\d]{0,40}" + P.AMOUNT: ("guarantee",),
+    AMOUNT_RULES[1][5][0]: ("positive",), AMOUNT_RULES[2][5][0]: ("earnest", "emd", "security"), AMOUNT_RULES[3][5][0]: ("guarantee", "pbg"),
+    EXPERIENCE: ("experience",), EXPERIENCE_WORDS: ("experience", "performance", "work"), PROJECTS: ("project",),
+    MANPOWER: ("employee", "engineer", "staff", "manpower", "professional", "personnel"),
+    VALIDITY[0][0]: ("validity",), VALIDITY[1][0]: ("validity",),
+    **{r[1]: w for r, w in zip(PRESENCE_RULES, [
+        ("9001",), ("14001",), ("27001",), ("nabl",), ("gst", "goods"), ("pan", "permanent"), ("tds", "tax", "tan"),
+        ("msme", "udyam", "udyog", "micro")], strict=True)},
+    r"\bnabl\b": ("nabl",), r"\bgst\b|goods and services tax": ("gst", "goods"), BLACKLIST[1]: ("black", "debar"),
+}
 # --------------------------------------------------------------------------------------------
 
 
@@ -90,9 +103,14 @@ class Found:
     def group(self, pattern: str, group: int) -> Column:
         """A group of the first match, read from the match alone."""
         name = f"_group{self._number(pattern)}_{group}"
-        self.groups[name] = F.regexp_extract(self.whole(pattern), f"{_U}^(?:{pattern})", group)
+        self.groups[name] = self._search(lambda p: F.regexp_extract(self.whole(pattern), p, group), f"^(?:{pattern})")
         return F.col(name)
 
+    @staticmethod
+    def _search(search, pattern: str) -> Column:
+        """A search by Unicode's classes; those of ASCII say the same of a text that is plain, and are found faster."""
+        return F.when(F.col("_plain"), search(pattern)).otherwise(search(_U + pattern))
+
     def number(self, pattern: str) -> Column:
         """The first group as a number."""
         name = f"_value{self._number(pattern)}"
@@ -110,19 +128,26 @@ class Found:
         at = self.at(pattern) - 1
         start = F.greatest(F.lit(0), at - around)
         cut = F.substr(self.raw, start + 1, at + F.char_length(self.whole(pattern)) + around - start)
-        return F.when(self.hit(pattern), F.left(F.trim(F.regexp_replace(cut, r"(?U)\s+", " ")), F.lit(most)))
+        return F.when(self.hit(pattern), F.left(F.trim(self._search(lambda p: F.regexp_replace(cut, p, " "), r"\s+")), F.lit(most)))
 
     def locate(self, docs: DataFrame, keys: tuple[str, ...], text: str = "text") -> DataFrame:
         """``keys``, the text, and the places and matches of all patterns asked for so far."""
         low = F.lower(text)
         # Places count characters where the pattern functions count code units; no rule has a character of two units.
         low = F.when(F.octet_length(low) == F.char_length(low), low).otherwise(F.regexp_replace(low, r"[\x{10000}-\x{10FFFF}]", "\ufffd"))
-        at = {f"_at{k}": F.coalesce(F.regexp_instr("_low", F.lit(_U + p)), F.lit(0)) for p, k in self.patterns.items()}
+        plain = (F.octet_length(text) == F.char_length(text)) & (F.octet_length("_low") == F.char_length("_low"))
+
+        def place(p: str) -> Column:
+            first = self._search(lambda x: F.regexp_instr("_low", F.lit(x)), p)
+            words = [F.col("_low").contains(w) for w in WORDS.get(p, ())]
+            return F.coalesce(F.when(reduce(lambda a, b: a | b, words), first) if words else first, F.lit(0))
+
+        at = {f"_at{k}": place(p) for p, k in self.patterns.items()}
         read = {
-            f"_match{k}": F.when(self.hit(p), F.regexp_extract(F.substr(self.low, self.at(p)), f"{_U}^(?:{p})", 0))
+            f"_match{k}": F.when(self.hit(p), self._search(lambda x, p=p: F.regexp_extract(F.substr(self.low, self.at(p)), x, 0), f"^(?:{p})"))
             for p, k in self.patterns.items()
         }
-        found = docs.select(*keys, F.col(text).alias(text), low.alias("_low")).withColumns(at).withColumns(read)
+        found = docs.select(*keys, F.col(text).alias(text), low.alias("_low")).withColumn("_plain", plain).withColumns(at).withColumns(read)
         for more in (self.groups, self.numbers):
             found = found.withColumns(more) if more else found
         return found
@@ -225,8 +250,8 @@ def emit(docs: DataFrame, rules, keys: tuple[str, ...] = ("tender_id",), otherwi
     """
     text = Found()
     made = F.array_compact(F.array(*[r.cast(RULE) for r in rules(text)])).alias("r")
-    found = text.locate(docs, keys).select(*keys, made)
-    first = F.filter("r", lambda x, i: ~F.exists(F.slice("r", F.lit(1), i), lambda y: y["field"] == x["field"]))
+    found = text.locate(docs, keys).select(*keys, made).withColumn("fields", F.col("r.field"))
+    first = F.filter("r", lambda x, i: F.array_position("fields", x["field"]) == i + 1)
     if otherwise is not None:
         first = F.when(F.size("r") == 0, F.array(otherwise.cast(RULE))).otherwise(first)
     return found.select(*keys, F.posexplode(first).alias("pos", "x")).select(*keys, "pos", "x.*").withColumn(

@@ -178,3 +178,11 @@ def test_replaced_partitions(spark, tmp_path):
     files.write_tenders(spark.createDataFrame([(1, 12, "new")], "tender_bucket int, id int, v string"), str(tmp_path / "t"))
     got = sorted((r.tender_bucket, r.id, r.v) for r in spark.read.parquet(str(tmp_path / "t")).collect())
     assert got == [(1, 12, "new"), (2, 20, "old")]
+
+
+def test_every_pattern_names_its_words():
+    """A text without any of a pattern's words is not searched, so each pattern of the rules has its own."""
+    text = criteria.Found()
+    criteria.every_rule(text)
+    assert set(text.patterns) == set(criteria.WORDS)
+    assert all(w in p.replace("(?:s)?", "") for p, words in criteria.WORDS.items() for w in words)
