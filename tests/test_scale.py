@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bidloom import fixtures
 from bidloom.plans import evaluation
+from bidloom.streaming import monitors
 
 
 @pytest.fixture(scope="module")
@@ -48,3 +49,12 @@ def test_rows_of_one_row_group_are_dealt_out(spark, one_group):
     for name in ("bidder_docs", "bidders", "criteria", "tender_texts"):
         parts = fixtures.view(spark, one_group, name).groupBy(F.spark_partition_id()).count().count()
         assert parts == 4, name
+
+
+def test_percentiles_of_many_values_are_exact(spark):
+    """More values than a sketch holds, in one hour, path and status."""
+    rows = spark.range(20_000).select(F.timestamp_seconds(F.lit(0)).alias("ts"), F.lit("view").alias("path"), F.lit(200).alias("status"),
+                                      ((F.col("id") * 7919) % 20_000).cast("double").alias("latency_ms"))
+    got = monitors.exact_metrics(rows).first()
+    assert (got.n, got.fastest, got.slowest) == (20_000, 0.0, 19_999.0)
+    assert (got.p50, got.p95, got.p99) == (9_999.0, 18_999.0, 19_799.0)
