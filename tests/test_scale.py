@@ -7,7 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from bidloom import fixtures
+from bidloom import fixtures, queries
 from bidloom.plans import evaluation
 from bidloom.streaming import monitors
 
@@ -58,3 +58,17 @@ def test_percentiles_of_many_values_are_exact(spark):
     got = monitors.exact_metrics(rows).first()
     assert (got.n, got.fastest, got.slowest) == (20_000, 0.0, 19_999.0)
     assert (got.p50, got.p95, got.p99) == (9_999.0, 18_999.0, 19_799.0)
+
+
+def scans(df, table: str) -> int:
+    """How often a plan reads a table."""
+    return sum("FileScan" in x and f"/{table}.parquet" in x for x in df._jdf.queryExecution().executedPlan().toString().split("\n"))
+
+
+@pytest.mark.parametrize("name", ["gather_evidence", "ev_counts", "ev_money_pass1"])
+def test_facts_are_worked_out_once(spark, one_group, name):
+    """No filter of the optimizer's own works out the facts of a text before the text is dealt out, and once more after."""
+    df = queries.QUERIES[name](spark, one_group)
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert df.count() > 0
+    assert not [x for x in plan.split("\n") if "Filter" in x and "regexp_extract_all" in x]
