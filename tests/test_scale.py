@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bidloom import fixtures, queries
+from bidloom.operators import decide
 from bidloom.plans import evaluation
 from bidloom.streaming import monitors
 
@@ -72,3 +73,14 @@ def test_facts_are_worked_out_once(spark, one_group, name):
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert df.count() > 0
     assert not [x for x in plan.split("\n") if "Filter" in x and "regexp_extract_all" in x]
+
+
+def test_conflicts_of_the_first_amount_take_one_pass(spark, one_group):
+    df = queries.conflict_others(spark, one_group)
+    assert scans(df, "lineitem") == 1
+    _, members = decide.conflict_classes(found := evaluation.evidence_rows(spark, one_group))
+    first = found.groupBy(*decide.PAIR).agg(F.min(F.struct("doc_pos", "doc_id")).alias("d"))
+    asked = first.select(*decide.PAIR, F.concat("d.doc_id", F.lit("#1#0")).alias("evidence_id"))
+    want = decide.conflicts_of(asked.join(members, [*decide.PAIR, "evidence_id"], "left_semi"), members)
+    rows = sorted(map(tuple, df.collect()))
+    assert rows and rows == sorted(map(tuple, want.collect()))
