@@ -84,3 +84,9 @@ def test_conflicts_of_the_first_amount_take_one_pass(spark, one_group):
     want = decide.conflicts_of(asked.join(members, [*decide.PAIR, "evidence_id"], "left_semi"), members)
     rows = sorted(map(tuple, df.collect()))
     assert rows and rows == sorted(map(tuple, want.collect()))
+
+
+@pytest.mark.parametrize("name", ["override_decisions", "override_queue", "apply_overrides"])
+def test_overrides_decide_once(spark, one_group, name):
+    """Documents, bidders and overrides read the lines, each once; decisions are not made again to see which changes are accepted."""
+    assert scans(queries.QUERIES[name](spark, one_group), "lineitem") == 3
