@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bidloom import fixtures, queries
-from bidloom.operators import decide
+from bidloom.operators import decide, evidence
 from bidloom.plans import evaluation
 from bidloom.streaming import monitors
 
@@ -90,3 +90,27 @@ def test_conflicts_of_the_first_amount_take_one_pass(spark, one_group):
 def test_overrides_decide_once(spark, one_group, name):
     """Documents, bidders and overrides read the lines, each once; decisions are not made again to see which changes are accepted."""
     assert scans(queries.QUERIES[name](spark, one_group), "lineitem") == 3
+
+
+def test_parts_grow_with_the_lines(spark, one_group, monkeypatch):
+    """A part holds a bounded number of lines, so that a task groups its pairs in memory; all tables have as many parts."""
+    monkeypatch.setattr(fixtures, "LINES_OF_A_PART", 30)
+    for name in ("bidder_docs", "criteria"):
+        assert fixtures.view(spark, one_group, name).rdd.getNumPartitions() == 7, name
+    moved = exchanges(evaluation.decisions(spark, one_group))
+    assert moved and all("(l_orderkey" in x or "(o_orderkey" in x for x in moved), moved
+
+
+def test_only_what_says_something_is_grouped(spark, one_group):
+    """A document that says nothing of a criterion gives no row to be grouped, and rows hold what is told only."""
+    b, c, d = fixtures.view(spark, one_group, "bidders"), fixtures.view(spark, one_group, "criteria"), evaluation.documents(spark, one_group)
+    rows = decide.judged_documents(b, c, d, ())
+    assert rows.filter("asked is null and n = 0 and present is null").count() == 0
+    assert rows.filter("asked").count() == 4 * b.count()
+    assert rows.schema["best"].dataType.fieldNames() == ["conf", "d", "p", "m", "value", "ocr_conf"]
+
+
+def test_a_null_text_is_an_empty_one(spark):
+    doc = spark.createDataFrame([(1, "b", "d", 0, "t", 0.9, None)], "tender_id long, bidder_id string, doc_id string, doc_pos long, doc_type string, quality_score double, text string")
+    (row,) = evidence.fact_lists(doc, ["annual_turnover", "generic_compliance"]).collect()
+    assert [(x.family, x.value) for x in row.facts] == [("generic_compliance", 0.0)]
