@@ -7,7 +7,7 @@ import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
-from bidloom import fixtures, queries
+from bidloom import fixtures, queries, queries_rollups
 from bidloom.operators import decide, evidence
 from bidloom.plans import evaluation
 from bidloom.streaming import monitors
@@ -114,3 +114,11 @@ def test_a_null_text_is_an_empty_one(spark):
     doc = spark.createDataFrame([(1, "b", "d", 0, "t", 0.9, None)], "tender_id long, bidder_id string, doc_id string, doc_pos long, doc_type string, quality_score double, text string")
     (row,) = evidence.fact_lists(doc, ["annual_turnover", "generic_compliance"]).collect()
     assert [(x.family, x.value) for x in row.facts] == [("generic_compliance", 0.0)]
+
+
+def test_checklist_moves_a_row_a_bidder(spark, one_group):
+    """Required types are laid out after the join, so no exchange carries a bidder once for each."""
+    df = queries_rollups.doc_checklist(spark, one_group)
+    assert df.count() == 9 * fixtures.view(spark, one_group, "bidders").count()
+    plan = df._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    assert [x for x in plan if "Generate" in x] and not any("Generate" in x for x in plan[[k for k, x in enumerate(plan) if "Join" in x][0]:])
