@@ -122,3 +122,13 @@ def test_checklist_moves_a_row_a_bidder(spark, one_group):
     assert df.count() == 9 * fixtures.view(spark, one_group, "bidders").count()
     plan = df._jdf.queryExecution().optimizedPlan().toString().split("\n")
     assert [x for x in plan if "Generate" in x] and not any("Generate" in x for x in plan[[k for k, x in enumerate(plan) if "Join" in x][0]:])
+
+
+def test_labels_meet_decisions_by_tender(spark, one_group):
+    """Only table rows move, and there is a row of every decision."""
+    df = queries.decision_labels(spark, one_group)
+    moved = exchanges(df)
+    assert moved and all("(l_orderkey" in x or "(o_orderkey" in x for x in moved), moved
+    want = evaluation.decisions(spark, one_group).select("bidder_id", "criterion_id")
+    rows = sorted(map(tuple, df.select("bidder_id", "criterion_id").collect()))
+    assert rows and rows == sorted(map(tuple, want.collect()))
