@@ -132,3 +132,13 @@ def test_labels_meet_decisions_by_tender(spark, one_group):
     want = evaluation.decisions(spark, one_group).select("bidder_id", "criterion_id")
     rows = sorted(map(tuple, df.select("bidder_id", "criterion_id").collect()))
     assert rows and rows == sorted(map(tuple, want.collect()))
+
+
+def test_degrees_need_no_verdicts(spark, one_group):
+    """Counted by tender from table rows, as many as there are decisions of each criterion."""
+    df = queries_rollups.graph_degree(spark, one_group)
+    moved = exchanges(df)
+    assert moved and all("(l_orderkey" in x or "(o_orderkey" in x for x in moved), moved
+    want = evaluation.decisions(spark, one_group).groupBy("criterion_id").count()
+    rows = sorted((r.criterion_id, r.verdicts) for r in df.collect() if r.verdicts)
+    assert rows and rows == sorted(map(tuple, want.collect()))
