@@ -142,3 +142,19 @@ def test_degrees_need_no_verdicts(spark, one_group):
     want = evaluation.decisions(spark, one_group).groupBy("criterion_id").count()
     rows = sorted((r.criterion_id, r.verdicts) for r in df.collect() if r.verdicts)
     assert rows and rows == sorted(map(tuple, want.collect()))
+
+
+def test_contexts_move_table_rows_only(spark, one_group):
+    """Texts meet the criteria by tender, where they are."""
+    df = queries.llm_context(spark, one_group)
+    assert df.count() == 4 * fixtures.view(spark, one_group, "bidders").count()
+    moved = exchanges(df)
+    assert moved and all("(l_orderkey" in x or "(o_orderkey" in x for x in moved), moved
+
+
+def test_contexts_leave_out_empty_texts_of_the_first_documents(spark):
+    docs = [(1, "b", 9, "i", "gst one\rno"), (1, "b", 1, "a", None), (1, "b", 2, "c", ""), (1, "b", 3, "d", "x\nGST\r\ny"), (2, "e", 1, "f", ""), (1, None, 1, "g", "gst")]
+    docs = spark.createDataFrame(docs, "tender_id long, bidder_id string, doc_pos long, filename string, text string")
+    rules = spark.createDataFrame([(1, "k", "gst_id"), (1, "m", None), (2, "n", "gst")], "tender_id long, id string, field string")
+    got = {(r.bidder_id, r.criterion_id): r.context for r in decide.model_context(docs, rules, most_docs=3).collect()}
+    assert got == {("b", "k"): "\n--- Document: d ---\nGST\n", ("b", "m"): "\n--- Document: d ---\nx\nGST\r\ny\n"}
