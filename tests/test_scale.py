@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from bidloom import fixtures, queries, queries_rollups
+from bidloom.functions import patterns as P
 from bidloom.operators import decide, evidence
 from bidloom.plans import evaluation
 from bidloom.streaming import monitors
@@ -158,3 +159,23 @@ def test_contexts_leave_out_empty_texts_of_the_first_documents(spark):
     rules = spark.createDataFrame([(1, "k", "gst_id"), (1, "m", None), (2, "n", "gst")], "tender_id long, id string, field string")
     got = {(r.bidder_id, r.criterion_id): r.context for r in decide.model_context(docs, rules, most_docs=3).collect()}
     assert got == {("b", "k"): "\n--- Document: d ---\nGST\n", ("b", "m"): "\n--- Document: d ---\nx\nGST\r\ny\n"}
+
+
+def test_counts_take_one_search_of_a_text(spark, one_group):
+    plan = queries.ev_counts(spark, one_group)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all(") - plan.count("regexp_extract_all(_counted") == 1
+
+
+def test_counts_equal_the_rules_on_whole_texts(spark):
+    texts = [
+        "20 works30 days", "20 workforce", "20 work force 7 personnel", "12345 days, 5 days", "7 ſtaff 8 staſ 9 ſimilar", "3 worKs 4 worKforce",
+        "12 + years 9yrs", "5 full-time\n employees", "१२ similar 1,2 projects", "4 technical staff 40engineers", "10 full time projects", "6+ works", None, "",
+        "days 12", "1234567 years3 yr", "8 bıd 9 dİdays", "4 engıneers 5 engİneer", "007 DAYS|08 day", "3.14 staff 2", "1\n\n2 year",
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    want = set()
+    for field, (pattern, _) in P.COUNT_RULES.items():
+        found = docs.select("doc_id", F.array_max(F.transform(F.regexp_extract_all("text", F.lit(pattern), F.lit(1)), evidence.number_of)).alias("v"))
+        want |= {(r.doc_id, field, r.v) for r in found.filter("v > 0").collect()}
+    rows = evidence.count_facts(docs).collect()
+    assert len(want) > 20 and len(rows) == len(want) and {(r.doc_id, r.field, r.value) for r in rows} == want
