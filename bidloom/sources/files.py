@@ -47,8 +47,11 @@ def read_criteria(rows: DataFrame) -> DataFrame:
 
 
 def read_payloads(rows: DataFrame) -> DataFrame:
-    """Evaluation payloads (JSON text) as one row per document, positions kept."""
-    p = rows.select(F.from_json("payload", PAYLOAD).alias("p")).filter("p is not null")
+    """Evaluation payloads (JSON text) as one row per document, positions kept.
+
+    Each is parsed once: a generator stands between parsing and what is asked of the result.
+    """
+    p = rows.select(F.explode_outer(F.array(F.from_json("payload", PAYLOAD))).alias("p")).filter("p is not null")
     bidders = p.select("p.tender_id", F.size("p.criteria").alias("n_criteria"), F.posexplode("p.bidders").alias("bidder_pos", "b"))
     docs = bidders.select("tender_id", "n_criteria", "bidder_pos", "b.bidder_id", F.posexplode("b.documents").alias("doc_pos", "d"))
     return docs.select("tender_id", "n_criteria", "bidder_pos", "bidder_id", "doc_pos", F.col("d.id").alias("doc_id"),

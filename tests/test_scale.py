@@ -161,6 +161,12 @@ def test_contexts_leave_out_empty_texts_of_the_first_documents(spark):
     assert got == {("b", "k"): "\n--- Document: d ---\nGST\n", ("b", "m"): "\n--- Document: d ---\nx\nGST\r\ny\n"}
 
 
+def test_payloads_are_parsed_once(spark, one_group):
+    df = queries.src_eval_payload(spark, one_group)
+    assert df.count() == 200
+    assert df._jdf.queryExecution().optimizedPlan().toString().count("from_json(") == 1
+
+
 def test_counts_take_one_search_of_a_text(spark, one_group):
     plan = queries.ev_counts(spark, one_group)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_extract_all(") - plan.count("regexp_extract_all(_counted") == 1
