@@ -185,3 +185,9 @@ def test_counts_equal_the_rules_on_whole_texts(spark):
         want |= {(r.doc_id, field, r.v) for r in found.filter("v > 0").collect()}
     rows = evidence.count_facts(docs).collect()
     assert len(want) > 20 and len(rows) == len(want) and {(r.doc_id, r.field, r.value) for r in rows} == want
+
+
+def test_parts_fit_a_small_share_of_memory(spark, one_group, monkeypatch):
+    """A task that groups pairs has at most 50,000 lines on average: under 200 MB measured."""
+    monkeypatch.setattr(fixtures, "lines", lambda *a: 600_000)
+    assert fixtures.view(spark, one_group, "bidder_docs").rdd.getNumPartitions() == 12
