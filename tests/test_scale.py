@@ -187,6 +187,14 @@ def test_counts_equal_the_rules_on_whole_texts(spark):
     assert len(want) > 20 and len(rows) == len(want) and {(r.doc_id, r.field, r.value) for r in rows} == want
 
 
+def test_review_queue_decides_once(spark, one_group):
+    """Ranks and totals read the items that were written, and neither makes decisions again."""
+    df = queries.review_queue_by_owner(spark, one_group)
+    assert scans(df, "lineitem") == 0
+    items = evaluation.decisions(spark, one_group).filter("verdict = 'NEEDS_REVIEW'").count()
+    assert 0 < items == sum(r.total for r in df.select("owner_id", "total").distinct().collect())
+
+
 def test_parts_fit_a_small_share_of_memory(spark, one_group, monkeypatch):
     """A task that groups pairs has at most 50,000 lines on average: under 200 MB measured."""
     monkeypatch.setattr(fixtures, "lines", lambda *a: 600_000)
