@@ -256,3 +256,21 @@ def test_lines_of_two_languages(spark):
     assert both == {1: ("first\nsecond\nहिंदी", 0.7), 2: ("केवल", 0.4)}
     one = {r.page: (r.text, r.mean_confidence) for r in rollups.ocr_line_pages(lines, "eng").collect()}
     assert one == {1: ("first\nsecond", 0.8), 2: ("", 0.0)}
+
+
+@pytest.mark.parametrize("block", [1, 2, 3, 256])
+def test_cross_flags_name_every_conflicting_id(spark, block):
+    """Ids and not their number, of all others of the pair however many blocks they fill; copies of a row count; the rest stay."""
+    values = {"a": [5.0, 5.0, 9.0, 7.0, 20.0], "b": [5.0, 5.0], "c": [3.0], "d": [0.0, 4.0, 4.0]}
+    rows = [(1, b, "turn", f"d{k // 2}", k // 2, 1, k % 2, v) for b, own in values.items() for k, v in enumerate(own)]
+    rows += [(2, "a", "turn", "same", 0, 1, 0, v) for v in (1.0, 2.0, 3.0)]
+    found = spark.createDataFrame(rows, "tender_id long, bidder_id string, criterion_id string, doc_id string, doc_pos long, pass int, match_pos int, value double")
+    name = lambda r: f"{r[3]}#{r[5]}#{r[6]}"
+    want = []
+    for r in rows:
+        own = [x for x in rows if x[:3] == r[:3]]
+        clash = (r[0], r[1]) in {(1, "a"), (1, "d"), (2, "a")}
+        others = [name(x) for x in own if x is not r] if clash else [None]
+        want += [(*r[:4], r[5], r[6], o) for o in others]
+    got = decide.cross_flags(found, block)
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
