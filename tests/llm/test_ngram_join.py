@@ -115,3 +115,27 @@ def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(k, k + 1) for k in range(200)] + [(1000, 2000), (2000, 3000)], "u long, v long")
     got = {r.u: r.root for r in ngram_join.components(edges).collect()}
     assert got == {k: 0 for k in range(1, 201)} | {2000: 1000, 3000: 1000}
+
+
+def test_no_table_is_broadcast_by_its_estimate(spark, monkeypatch):
+    """Rows of an explode and packed numbers are sized far too low, so no join with them is planned as a broadcast.
+
+    Labels alone may be: they do not pack, so their estimate holds.
+    """
+    plans, write = {}, ngram_join.Workspace.write
+
+    def noted(self, df, tag):
+        plans[tag] = df._jdf.queryExecution().executedPlan().toString()
+        return write(self, df, tag)
+
+    monkeypatch.setattr(ngram_join.Workspace, "write", noted)
+    rng = random.Random(5)
+    texts = [prose(rng, 60) for _ in range(30)]
+    docs = spark.createDataFrame(list(enumerate(texts + [x + " more" for x in texts[:9]])), "doc_id long, text string")
+    out = ngram_join.join(docs)
+    plans["out"] = out._jdf.queryExecution().executedPlan().toString()
+    assert len({r.class_id for r in out.collect()}) == 30
+    assert sum("Join" in x for x in plans.values()) > 5
+    assert not [t for t, x in plans.items() if "Broadcast" in x and not t.startswith("picked")]
+    reps = spark.createDataFrame([(k, bytes(2 * ngram_join.TREES * ngram_join.DEPTH)) for k in range(4)], "rid long, labels binary")
+    assert "Broadcast" not in ngram_join.meetings(reps, 6, 512)._jdf.queryExecution().executedPlan().toString()
