@@ -80,6 +80,15 @@ WORDS = {
 # --------------------------------------------------------------------------------------------
 
 
+def apart(name: str) -> Column:
+    """A column as it is, by a lambda.
+
+    The projection that holds it is compiled as many small methods.  Within a stage it would be one method, and one
+    this long is never compiled by the JVM, which then interprets it.
+    """
+    return F.get(F.transform(F.array(name), lambda x: x), F.lit(0)).alias(name)
+
+
 class Found:
     """A text column, the places at which patterns match in it, and the matches."""
 
@@ -147,9 +156,9 @@ class Found:
             f"_match{k}": F.when(self.hit(p), self._search(lambda x, p=p: F.regexp_extract(F.substr(self.low, self.at(p)), x, 0), f"^(?:{p})"))
             for p, k in self.patterns.items()
         }
-        found = docs.select(*keys, F.col(text).alias(text), low.alias("_low")).withColumn("_plain", plain).withColumns(at).withColumns(read)
-        for more in (self.groups, self.numbers):
-            found = found.withColumns(more) if more else found
+        found = docs.select(*keys, F.col(text).alias(text), low.alias("_low")).withColumn("_plain", plain)
+        for more in (at, read, self.groups, self.numbers):
+            found = found.withColumns(more | {"_plain": apart("_plain")}) if more else found
         return found
 
 
@@ -249,11 +258,15 @@ def emit(docs: DataFrame, rules, keys: tuple[str, ...] = ("tender_id",), otherwi
     gives none.
     """
     text = Found()
-    made = F.array_compact(F.array(*[r.cast(RULE) for r in rules(text)])).alias("r")
-    found = text.locate(docs, keys).select(*keys, made).withColumn("fields", F.col("r.field"))
+    made = {f"_rule{k}": r.cast(RULE) for k, r in enumerate(rules(text))}
+    found = text.locate(docs, keys)
+    # Rules are columns of their own before they are an array: what a lambda reads is worked out without compiled code.
+    found = found.select(apart(keys[0]), *keys[1:], *[r.alias(n) for n, r in made.items()])
+    fields = [F.col(f"{n}.field") for n in made]
+    found = found.select(*keys, F.array(*made).alias("r"), F.array(*fields).alias("fields"), F.coalesce(*fields).alias("any"))
     first = F.filter("r", lambda x, i: F.array_position("fields", x["field"]) == i + 1)
     if otherwise is not None:
-        first = F.when(F.size("r") == 0, F.array(otherwise.cast(RULE))).otherwise(first)
+        first = F.when(F.col("any").isNull(), F.array(otherwise.cast(RULE))).otherwise(first)
     return found.select(*keys, F.posexplode(first).alias("pos", "x")).select(*keys, "pos", "x.*").withColumn(
         "category", category(F.col("field"))
     )

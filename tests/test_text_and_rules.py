@@ -1,7 +1,9 @@
 """Rules from tender text, masking, repair and language, on literal cases."""
 
 import random
+import re
 import statistics
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -186,3 +188,25 @@ def test_every_pattern_names_its_words():
     criteria.every_rule(text)
     assert set(text.patterns) == set(criteria.WORDS)
     assert all(w in p.replace("(?:s)?", "") for p, words in criteria.WORDS.items() for w in words)
+
+
+def test_strip_takes_white_space_of_any_kind(spark):
+    """The same as a search for it, for every character, and in time that does not grow with the square of a gap."""
+    rows = [(k, f"{chr(k)}a{chr(k)}b{chr(k)}{chr(k)}") for k in range(1, 0x10000) if not 0xD800 <= k < 0xE000]
+    rows += [(-1, ""), (-2, None), (-3, " \n\x85　"), (-4, "\r\n x  y\r\n")]
+    df = spark.createDataFrame(rows, "k int, t string")
+    searched = F.regexp_replace("t", r"(?U)^[\s\x1C-\x1F]+|[\s\x1C-\x1F]+$", "")
+    assert df.filter(~T.strip(F.col("t")).eqNullSafe(searched)).count() == 0
+    wide = spark.range(4).select(F.concat(F.lit(" a"), F.repeat(F.lit(" "), 100_000), F.lit("b ")).alias("t"))
+    before = time.monotonic()
+    assert wide.agg(F.max(F.char_length(T.strip(F.col("t"))))).first()[0] == 100_002
+    assert time.monotonic() - before < 30
+
+
+def test_rules_are_worked_out_once_in_compiled_code(spark):
+    """No lambda holds a search: what lambdas read is worked out without compiled code; each rule is a column before."""
+    docs = spark.createDataFrame([(1, "Annual turnover of Rs. 5 crore. GST needed.")], "tender_id long, text string")
+    df = criteria.extract(docs)
+    assert [r.field for r in df.orderBy("pos").collect()] == ["annual_turnover", "gst_registration"]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert "filter(" in plan and not re.search(r"(?:filter|transform)\((?:array\()?CASE", plan)
