@@ -8,6 +8,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
+from bidloom import queries_rollups
 from bidloom.functions import text as T
 from bidloom.operators import changes, criteria, rollups
 from bidloom.sources import files
@@ -210,3 +211,19 @@ def test_rules_are_worked_out_once_in_compiled_code(spark):
     assert [r.field for r in df.orderBy("pos").collect()] == ["annual_turnover", "gst_registration"]
     plan = df._jdf.queryExecution().optimizedPlan().toString()
     assert "filter(" in plan and not re.search(r"(?:filter|transform)\((?:array\()?CASE", plan)
+
+
+def test_devanagari_ratio_counts_every_character(spark):
+    """The same as counting matches; a plain text needs no search."""
+    texts = ["", None, "plain 123", "123 .", "निविदा", "निविदा x १२", "é१ \U00010400\U0001F600a", "  ", "कa\nखb", "\u0964\u0970"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    count = lambda p: F.regexp_count("t", F.lit(p))
+    counted = F.coalesce(F.try_divide(count(r"[\x{0900}-\x{097F}]"), count(r"[\p{L}\x{0900}-\x{097F}]")), F.lit(0.0))
+    assert all(a == b for a, b in df.select(T.devanagari_ratio(F.col("t")), counted).collect())
+
+
+def test_texts_are_judged_where_they_were_dealt_out(spark):
+    """What is sent to a translator is chosen after tenders are dealt out, by as many tasks, and not in those that read a file."""
+    plan = queries_rollups.criteria_translated(spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    below = [x for part in plan.split("RepartitionByExpression")[1:] for x in part.split("Relation")[0].split("\n")]
+    assert below and not [x for x in below if "regexp" in x]
